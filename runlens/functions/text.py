@@ -52,7 +52,7 @@ def py_strip_chars(s, chars: str) -> Column:
 def splitlines(s) -> Column:
     """Python ``str.splitlines()`` as array<string> ('' -> [], one trailing break dropped)."""
     arr = F.split(_col(s), SPLITLINES_RE, -1)
-    return F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
+    return F.when(F.try_element_at(arr, F.lit(-1)) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
 
 
 def safe_key(repo) -> Column:

@@ -1,3 +1,143 @@
-"""Driver queries (filled in as operators land)."""
+"""Driver queries for agent logs (X3), status traces (Q3) and trace points (Q6).
 
-from runlens.plans.catalog import register  # noqa: F401
+Bridge B3: every conversation turn becomes one agent log; each paragraph of
+its text (split on '\\n') becomes one step, whose shape is chosen by
+``kind = (conv_id + turn + j) % 5`` (j = 0-based paragraph number):
+
+  0  code block closed by a border with a leading space (border kept in code)
+  1  code block closed by a border at line start
+  2  execution logs (Maven markers for some steps) + ``Out: j``
+  3  ``Warning to user: …``
+  4  unstructured text followed by an empty ``Out:`` (raw text kept)
+
+Meta line ``[Step j: Duration j.25 seconds| Input tokens: len*1000 | Output
+tokens: turn]`` unless ``conv_id % 5 = 0``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runlens.operators import agentlog, trace
+from runlens.plans import bridges as B
+from runlens.plans.catalog import register
+from runlens.plans.q_text import B2_MARKERS
+
+BAR = "━" * 30
+CODE_OPEN = " ─ Executing parsed code: " + "─" * 20 + " "
+BORDER_SPACED = " " + "─" * 40 + " "
+BORDER_PLAIN = "─" * 40
+RUN_HEADER = "╭" + "─" * 20 + " New run " + "─" * 20 + "╮"
+BLANK_FRAME = "│" + " " * 49 + "│"
+
+
+def b3_agent_logs(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    header = F.concat_ws(
+        "\n", F.lit(RUN_HEADER), F.lit(BLANK_FRAME),
+        F.concat(F.lit("│ Conversation "), conv.cast("string"), F.lit(" turn "), turn.cast("string"),
+                 F.lit(" by "), F.col("role"), F.lit("    │")),
+        F.concat(F.lit("╰─ LiteLLMModel - bridge/"), F.col("role"), F.lit(" " + "─" * 10 + "╯")))
+
+    def block(p, j):
+        kind = (conv + turn + j) % 5
+        mk = (conv + j) % 11
+        marker = F.element_at(F.array(*[F.lit(m) for m in B2_MARKERS]), (mk + 1).cast("int"))
+        maven = F.when((conv + j) % 3 != 0,
+                       F.concat(F.lit("[INFO] Scanning for projects...\n[INFO] "), marker, F.lit("\n"), p)
+                       ).otherwise(p)
+        body = (F.when(kind == 0, F.concat_ws("\n", F.lit(CODE_OPEN), F.concat(F.lit("  "), p), F.lit(BORDER_SPACED)))
+                .when(kind == 1, F.concat_ws("\n", F.lit(CODE_OPEN), F.concat(F.lit("  "), p), F.lit(BORDER_PLAIN)))
+                .when(kind == 2, F.concat_ws("\n", F.lit("Execution logs:"), maven, F.lit(""),
+                                             F.concat(F.lit("Out: "), j.cast("string"))))
+                .when(kind == 3, F.concat(F.lit("Warning to user: "), p))
+                .otherwise(F.concat(p, F.lit("\nOut:"))))
+        meta = F.when(conv % 5 != 0, F.concat(
+            F.lit("\n[Step "), j.cast("string"), F.lit(": Duration "), j.cast("string"),
+            F.lit(".25 seconds| Input tokens: "), F.format_number(F.length(p) * 1000, 0),
+            F.lit(" | Output tokens: "), turn.cast("string"), F.lit("]"))).otherwise(F.lit(""))
+        return F.concat(F.lit(BAR + " Step "), (j + 1).cast("string"), F.lit(" " + BAR + "\n"), body, meta,
+                        F.lit("\n"))
+
+    paras = F.split(F.col("text"), "\n", -1)
+    log = F.concat(header, F.lit("\n"), F.array_join(F.transform(paras, block), ""))
+    return c.select((conv * 100 + turn).alias("run_id"), log.alias("log"))
+
+
+# Oracle pieces: one row per (conversation turn, paragraph).
+_PARAS = """
+WITH p AS (
+  SELECT conv_id, turn, role, conv_id * 100 + turn AS run_id,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS j,
+         unnest(string_split(text, chr(10))) AS p
+  FROM conversations),
+q AS (SELECT *, (conv_id + turn + j) % 5 AS kind, (conv_id + j) % 11 AS mk, (conv_id + j) % 3 <> 0 AS has_mvn,
+             conv_id % 5 <> 0 AS has_meta FROM p)"""
+
+_MARKERS_SQL = "[" + ", ".join("'" + m + "'" for m in B2_MARKERS) + "]"
+
+
+@register("agent_steps", oracle=_PARAS + f"""
+SELECT run_id, j AS step_pos, CAST(j + 1 AS INTEGER) AS header_step,
+       '{RUN_HEADER}' AS run_header,
+       'Conversation ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) || ' by ' || role AS description,
+       'LiteLLMModel - bridge/' || role || ' {"─" * 10}╯' AS model_info,
+       CASE kind WHEN 0 THEN p || chr(10) || '{BORDER_SPACED.rstrip()}' WHEN 1 THEN p END AS code,
+       CASE WHEN kind = 3 THEN 'Warning to user: ' || p END AS warnings,
+       CASE WHEN kind = 2 THEN
+         CASE WHEN has_mvn THEN '[INFO] Scanning for projects...' || chr(10) || '[INFO] '
+                                || {_MARKERS_SQL}[mk + 1] || chr(10) || p ELSE p END END AS execution_logs,
+       CASE kind WHEN 2 THEN CAST(j AS VARCHAR) WHEN 4 THEN '' END AS out,
+       CASE WHEN kind = 4 THEN p || chr(10) || 'Out:' ||
+         CASE WHEN has_meta THEN chr(10) || '[Step ' || CAST(j AS VARCHAR) || ': Duration ' || CAST(j AS VARCHAR)
+              || '.25 seconds| Input tokens: ' || format('{{:,}}', length(p) * 1000) || ' | Output tokens: '
+              || CAST(turn AS VARCHAR) || ']' ELSE '' END END AS raw_text,
+       CAST(CASE WHEN has_meta THEN j ELSE j + 1 END AS INTEGER) AS step_number,
+       CASE WHEN has_meta THEN CAST(j AS DOUBLE) + 0.25 ELSE CAST(0 AS DOUBLE) END AS duration,
+       CAST(CASE WHEN has_meta THEN length(p) * 1000 ELSE 0 END AS BIGINT) AS input_tokens,
+       CAST(CASE WHEN has_meta THEN turn ELSE 0 END AS BIGINT) AS output_tokens
+FROM q""")
+def q_agent_steps(spark, sf_dir):
+    steps = agentlog.parse_agent_logs(b3_agent_logs(spark, sf_dir))
+    return steps.select("run_id", "step_pos", "header_step", "run_header", "description", "model_info",
+                        "code", "warnings", "execution_logs", "out", "raw_text", "meta.*")
+
+
+@register("log_header", oracle="""
+SELECT conv_id * 100 + turn AS run_id,
+       'Conversation ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) || ' by ' || role AS description,
+       'LiteLLMModel - bridge/' || role || ' """ + "─" * 10 + """╯' AS model_info,
+       CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_steps
+FROM conversations""")
+def q_log_header(spark, sf_dir):
+    """header fields and step count per log (logs without steps kept)."""
+    h = agentlog.parse_log_headers(b3_agent_logs(spark, sf_dir))
+    return h.select("run_id", "description", "model_info", "n_steps")
+
+
+# Status code of a B3 step's execution log, by marker index (10 = no marker -> UNKNOWN).
+_MK_CODE = "CASE mk WHEN 0 THEN 9 WHEN 1 THEN 9 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 10 WHEN 5 THEN 3 " \
+           "WHEN 6 THEN 2 WHEN 7 THEN 8 WHEN 8 THEN 7 WHEN 9 THEN 5 ELSE 6 END"
+_NAME = "CASE c " + " ".join(f"WHEN {c} THEN '{n}'" for c, n in [
+    (1, "COMPILE_ERROR"), (2, "TESTS_STARTED"), (3, "SUCCESS"), (4, "DEPENDENCY_ERROR"), (5, "UNKNOWN_ERROR"),
+    (6, "UNKNOWN"), (7, "GOAL_ERROR"), (8, "PLUGIN_RESOLVE_ERROR"), (9, "INVALID_POM"), (10, "SKIPPED_TESTS")]) + " END"
+_TRACE_SQL = _PARAS + f""",
+t AS (SELECT run_id, j AS step, {_MK_CODE} AS c FROM q WHERE kind = 2 AND has_mvn)"""
+
+
+@register("status_trace", oracle=_TRACE_SQL + f"""
+SELECT run_id, step, c AS status_code, {_NAME} AS status_name FROM t""")
+def q_status_trace(spark, sf_dir):
+    """Q3 over B3 logs."""
+    return trace.status_trace(agentlog.parse_agent_logs(b3_agent_logs(spark, sf_dir)))
+
+
+@register("trace_points", oracle=_TRACE_SQL + f"""
+SELECT run_id, step,
+       CAST((SELECT count(DISTINCT t2.c) FROM t t2 WHERE t2.run_id = t.run_id AND t2.c < t.c) AS INTEGER) AS y,
+       c AS status_code, {_NAME} || ' (' || CAST(c AS VARCHAR) || ')' AS label
+FROM t""")
+def q_trace_points(spark, sf_dir):
+    """Q6: (step, rank of status among the run's distinct statuses, label)."""
+    return trace.trace_points(q_status_trace(spark, sf_dir))
