@@ -1,3 +1,185 @@
-"""Driver queries (filled in as operators land)."""
+"""Driver queries for coverage reports (Q4) and the coverage guard (Q2).
 
-from runlens.plans.catalog import register  # noqa: F401
+Bridge B4: one JaCoCo-style report per lineitem row (run = order):
+LINE counters (missed = l_linenumber, covered = l_quantity) at method, class
+and report level; METHOD counters (missed = l_linenumber % 2, covered = 1) at
+method level and (missed = l_suppkey % 3, covered = l_quantity) at package
+level.  DOCTYPE with an external DTD when (k + ln) % 3 = 0; cut short
+(malformed) when (k + ln) % 17 = 0; written outside ``target/site/jacoco*``
+(not discovered) when l_partkey % 7 = 0.
+
+Guard inputs from orders: result directory unless k % 19 = 0; stored guard
+result when k % 23 = 0; no patch when k % 29 = 0; pre-coverage by k % 6:
+0 -> 0.0, 1 -> missing row, 2 -> NaN, else 40 + k % 50.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runlens.functions import text as T
+from runlens.operators import coverage as C
+from runlens.plans import bridges as B
+from runlens.plans.catalog import register
+from runlens.plans.q_builds import _RUNS_SQL, _TEST_OK_SQL, verdicts
+
+
+def b4_reports(spark, sf_dir):
+    li = B.table(spark, sf_dir, "lineitem")
+    k, ln, q = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("bigint")
+    pk, sk = F.col("l_partkey"), F.col("l_suppkey")
+
+    def s(c):
+        return c.cast("string")
+
+    def counter(t, missed, covered):
+        return F.concat(F.lit(f'<counter type="{t}" missed="'), s(missed), F.lit('" covered="'), s(covered),
+                        F.lit('"/>'))
+
+    doctype = F.when((k + ln) % 3 == 0, F.lit(
+        '<!DOCTYPE report PUBLIC "-//JACOCO//DTD Report 1.1//EN" "report.dtd">')).otherwise(F.lit(""))
+    xml = F.when(F.col("_cut"), F.expr("substring(_x, 1, length(_x) - 12)")).otherwise(F.col("_x"))
+    site = F.when(pk % 7 == 0, F.lit("/target/site/coverage/jacoco.xml")).when(
+        pk % 2 == 0, F.lit("/target/site/jacoco-aggregate/jacoco.xml")).otherwise(F.lit("/target/site/jacoco/jacoco.xml"))
+    path = F.concat(F.lit("r_"), s(k), F.lit("/m"), s(ln), F.lit("_"), s(pk), site)
+    base = li.select(k.alias("run_id"), path.alias("path"), ((k + ln) % 17 == 0).alias("_cut"),
+                     _xml_expr(k, ln, q, pk, sk, doctype, counter).alias("_x"))
+    return base.select("run_id", "path", xml.alias("xml"))
+
+
+def _xml_expr(k, ln, q, pk, sk, doctype, counter):
+    def s(c):
+        return c.cast("string")
+    return F.concat(
+        F.lit('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'), doctype,
+        F.lit('<report name="r'), s(k), F.lit('"><sessioninfo id="s" start="1" dump="2"/>'),
+        F.lit('<package name="p'), s(pk), F.lit('"><class name="A" sourcefilename="A.java">'),
+        F.lit('<method name="run" desc="()V" line="1">'), counter("INSTRUCTION", F.lit(3), F.lit(4)),
+        counter("LINE", ln, q), counter("METHOD", ln % 2, F.lit(1)), F.lit("</method>"),
+        counter("LINE", ln, q), F.lit("</class>"), counter("METHOD", sk % 3, q), F.lit("</package>"),
+        counter("LINE", ln, q), F.lit("</report>"))
+
+
+def coverage_after(spark, sf_dir):
+    reports = C.discover_reports(b4_reports(spark, sf_dir))
+    return C.coverage_per_run(C.report_counters(reports))
+
+
+_REPORTS_SQL = """
+  SELECT l_orderkey AS k, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS q, l_partkey AS pk, l_suppkey AS sk,
+         (l_orderkey + l_linenumber) % 17 <> 0 AS valid, l_partkey % 7 <> 0 AS found
+  FROM lineitem"""
+_PER_RUN_SQL = f"""
+  SELECT k AS run_id, SUM(3 * ln) AS lm, SUM(3 * q) AS lc, SUM(ln % 2 + sk % 3) AS mm, SUM(1 + q) AS mc
+  FROM ({_REPORTS_SQL}) r WHERE valid AND found GROUP BY k"""
+
+
+@register("coverage_report", oracle=f"""
+SELECT k AS run_id, valid,
+       CAST(CASE WHEN valid THEN 3 * ln END AS BIGINT) AS line_missed,
+       CAST(CASE WHEN valid THEN 3 * q END AS BIGINT) AS line_covered,
+       CAST(CASE WHEN valid THEN ln % 2 + sk % 3 END AS BIGINT) AS method_missed,
+       CAST(CASE WHEN valid THEN 1 + q END AS BIGINT) AS method_covered
+FROM ({_REPORTS_SQL}) r WHERE found""")
+def q_coverage_report(spark, sf_dir):
+    """S6 + A4: discovered reports and their counters (malformed -> valid = false)."""
+    r = C.report_counters(C.discover_reports(b4_reports(spark, sf_dir)))
+    return r.select("run_id", "valid", "line_missed", "line_covered", "method_missed", "method_covered")
+
+
+@register("coverage_repo", oracle=f"""
+WITH p AS ({_PER_RUN_SQL})
+SELECT run_id, 'LINE' AS counter_type, CAST(lm AS BIGINT) AS missed, CAST(lc AS BIGINT) AS covered,
+       CAST(lm + lc AS BIGINT) AS total, CASE WHEN lm + lc > 0 THEN lc / (lm + lc) * 100 ELSE 0.0 END AS percent FROM p
+UNION ALL
+SELECT run_id, 'METHOD', CAST(mm AS BIGINT), CAST(mc AS BIGINT), CAST(mm + mc AS BIGINT),
+       CASE WHEN mm + mc > 0 THEN mc / (mm + mc) * 100 ELSE 0.0 END FROM p""")
+def q_coverage_repo(spark, sf_dir):
+    """Q4/A5 in long form: one row per (run, counter type)."""
+    return C.coverage_long(coverage_after(spark, sf_dir))
+
+
+def guard_inputs(spark, sf_dir):
+    v = verdicts(spark, sf_dir)
+    k = F.col("run_id")
+    manifest = v.select("run_id", "repo", "has_result", "test_success", (k % 29 != 0).alias("has_patch"))
+    results_dirs = v.filter(k % 19 != 0).select("run_id")
+    from runlens.operators import runs
+    candidates = runs.with_results(manifest, results_dirs, key="run_id")
+    stored = (candidates.filter(k % 23 == 0)
+              .select("run_id", "repo", F.lit(50.0).alias("cov_before"),
+                      (F.lit(45.0) + (k % 10).cast("double")).alias("cov_after")))
+    change, passed = C.coverage_change(F.col("cov_before"), F.col("cov_after"))
+    stored = stored.select("*", change.alias("cov_percent_change"), passed.alias("cov_guard_pass"))
+    o = B.table(spark, sf_dir, "orders")
+    ok = F.col("o_orderkey")
+    repo = F.concat(F.lit("own"), (F.col("o_custkey") % 97).cast("string"), F.lit("/r_"), ok.cast("string"))
+    pct = (F.when(ok % 6 == 0, F.lit(0.0)).when(ok % 6 == 2, F.lit(float("nan")))
+           .otherwise((F.lit(40) + ok % 50).cast("double")))
+    # The CSV holds directory-style keys; recover them (F3) before the lookup.
+    pre_csv = o.filter(ok % 6 != 1).select(T.safe_key(repo).alias("repo_dir"), pct.alias("percent_before"))
+    pre_cov = pre_csv.select(T.recover_key("repo_dir").alias("repo"), "percent_before")
+    return candidates, stored, coverage_after(spark, sf_dir), pre_cov
+
+
+def guard(spark, sf_dir):
+    return C.guard_rows(*guard_inputs(spark, sf_dir))
+
+
+_GUARD_SQL = f"""
+WITH r AS ({_RUNS_SQL}),
+v AS (SELECT k, repo, has_result, {_TEST_OK_SQL} AS test_success, k % 29 <> 0 AS has_patch,
+             k % 23 = 0 AS stored FROM r WHERE k % 19 <> 0),
+a AS ({_PER_RUN_SQL}),
+pre AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 0.0 WHEN o_orderkey % 6 = 2 THEN 'NaN'::DOUBLE
+                                     ELSE CAST(40 + o_orderkey % 50 AS DOUBLE) END AS before
+        FROM orders WHERE o_orderkey % 6 <> 1),
+j AS (SELECT v.*, CASE WHEN a.run_id IS NOT NULL THEN CASE WHEN lm + lc > 0 THEN lc / (lm + lc) * 100 ELSE 0.0 END END AS after,
+             pre.before, pre.k IS NOT NULL AS known
+      FROM v LEFT JOIN a ON a.run_id = v.k LEFT JOIN pre ON pre.k = v.k),
+s AS (SELECT *, CASE WHEN stored THEN 'SKIP' WHEN NOT has_result THEN 'FAIL'
+                     WHEN test_success IS NOT TRUE THEN 'SKIP' WHEN NOT has_patch THEN 'FAIL'
+                     WHEN after IS NULL THEN 'FAIL' WHEN NOT known THEN 'FAIL' WHEN before = 0 THEN 'FAIL'
+                     ELSE 'SUCCESS' END AS status FROM j),
+g AS (SELECT k AS run_id, repo, status,
+             CASE WHEN stored THEN NULL WHEN NOT has_result THEN '{C.ERR_EMPTY_RESULT.replace("'", "''")}'
+                  WHEN test_success IS NOT TRUE THEN NULL WHEN NOT has_patch THEN NULL
+                  WHEN after IS NULL THEN '{C.ERR_NO_COVERAGE}' WHEN NOT known THEN '''' || repo || ''''
+                  WHEN before = 0 THEN '{C.ERR_ZERO_BEFORE}' END AS error,
+             CAST(CASE WHEN stored THEN 50.0 WHEN status = 'SUCCESS' THEN before END AS DOUBLE) AS cov_before,
+             CAST(CASE WHEN stored THEN 45.0 + k % 10 WHEN status = 'SUCCESS' THEN after END AS DOUBLE) AS cov_after
+      FROM s),
+c AS (SELECT *, CASE WHEN cov_before IS NOT NULL THEN cov_after / cov_before - 1 END AS cov_percent_change FROM g)
+"""
+
+
+@register("guard_rows", oracle=_GUARD_SQL + """
+SELECT run_id, repo, status, error, CAST(cov_before AS DOUBLE) AS cov_before, CAST(cov_after AS DOUBLE) AS cov_after,
+       cov_percent_change,
+       CASE WHEN cov_before IS NOT NULL THEN NOT isnan(cov_percent_change) AND cov_percent_change > -0.05 END
+         AS cov_guard_pass
+FROM c""")
+def q_guard_rows(spark, sf_dir):
+    """Q2 per-repo rows (resume from stored results, coverage after, pre-coverage lookup)."""
+    return guard(spark, sf_dir)
+
+
+@register("guard_summary", oracle=_GUARD_SQL + """,
+p AS (SELECT *, CASE WHEN cov_before IS NOT NULL THEN NOT isnan(cov_percent_change) AND cov_percent_change > -0.05 END
+         AS pass FROM c)
+SELECT CAST(COUNT_IF(pass) AS BIGINT) AS passed, CAST(COUNT(pass) AS BIGINT) AS total,
+       CASE WHEN COUNT(pass) > 0 THEN COUNT_IF(pass) / COUNT(pass) ELSE 0.0 END AS cov_guard_pass_rate,
+       CAST(COUNT_IF(status = 'FAIL') AS BIGINT) AS job_fails
+FROM p""")
+def q_guard_summary(spark, sf_dir):
+    """A6 over the guard rows."""
+    return C.guard_summary(guard(spark, sf_dir))
+
+
+@register("guard_status_counts", oracle=_GUARD_SQL + """
+SELECT CAST(COUNT_IF(status = 'SUCCESS') AS BIGINT) AS success, CAST(COUNT_IF(status = 'FAIL') AS BIGINT) AS fail,
+       CAST(COUNT_IF(status = 'SKIP') AS BIGINT) AS skip FROM c""")
+def q_guard_status_counts(spark, sf_dir):
+    """A2 over guard rows."""
+    from runlens.operators import runs
+    return runs.result_stats(guard(spark, sf_dir))
