@@ -1,3 +1,59 @@
-"""Driver queries (filled in as operators land)."""
+"""Driver queries for the source corpus (Q5: S7, P2, F27, A7).
 
-from runlens.plans.catalog import register  # noqa: F401
+Bridge B7: each document is a source file of repository ``source``:
+``src/main/d{doc_id}{ext}`` with ext by doc_id % 5 -> .java .py .JAVA .txt .sql;
+under ``.git/objects/`` when doc_id % 13 = 0; a hidden file (leading '.') when
+doc_id % 17 = 0; content = UTF-8 text, plus a 0xFF byte (not UTF-8) when
+doc_id % 19 = 0.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from runlens.operators import corpus as CO
+from runlens.plans import bridges as B
+from runlens.plans.catalog import register
+
+_EXTS = [".java", ".py", ".JAVA", ".txt", ".sql"]
+
+
+def b7_source_files(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    ext = F.element_at(F.array(*[F.lit(e) for e in _EXTS]), (i % 5 + 1).cast("int"))
+    name = F.concat(F.when(i % 17 == 0, F.lit(".")).otherwise(F.lit("")), F.lit("d"), i.cast("string"), ext)
+    rel = F.concat(F.when(i % 13 == 0, F.lit(".git/objects/")).otherwise(F.lit("src/main/")), name)
+    content = F.when(i % 19 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(
+        F.encode("text", "UTF-8"))
+    return d.select(F.col("source").alias("repo"), rel.alias("rel_path"),
+                    F.concat(F.lit("/repos/"), F.col("source"), F.lit("/"), rel).alias("path"),
+                    content.alias("content"))
+
+
+_KEPT_SQL = """
+  SELECT source AS repo, '/repos/' || source || '/src/main/d' || CAST(doc_id AS VARCHAR) ||
+           ['.java', '.py', '.JAVA', '.txt', '.sql'][doc_id % 5 + 1] AS path, text
+  FROM documents
+  WHERE doc_id % 5 IN (0, 1, 4) AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0"""
+_PIECES_SQL = f"""
+  SELECT repo, path, chr(10) || '--- File: ' || path || ' ---' || chr(10) || text AS piece FROM ({_KEPT_SQL})"""
+
+
+@register("corpus_layout", oracle=f"""
+SELECT repo, path,
+       CAST(COALESCE(SUM(length(piece) + 1) OVER (PARTITION BY repo ORDER BY path
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
+       CAST(length(piece) AS BIGINT) AS piece_chars, piece
+FROM ({_PIECES_SQL})""")
+def q_corpus_layout(spark, sf_dir):
+    """Q5: kept files in pack order with their offset in the repository's packed corpus."""
+    return CO.corpus_layout(CO.corpus_pieces(b7_source_files(spark, sf_dir)))
+
+
+@register("corpus_summary", oracle=f"""
+SELECT repo, CAST(COUNT(*) AS BIGINT) AS n_files, CAST(SUM(length(piece)) + COUNT(*) - 1 AS BIGINT) AS total_chars
+FROM ({_PIECES_SQL}) GROUP BY repo""")
+def q_corpus_summary(spark, sf_dir):
+    """Q5 summary: files and packed length per repository."""
+    return CO.corpus_summary(CO.corpus_pieces(b7_source_files(spark, sf_dir)))
