@@ -1,3 +1,176 @@
-"""Driver queries (filled in as operators land)."""
+"""Driver queries for file sources/sinks (S1, S4, S5, K1, K5, U2), user functions
+and the progress stream (ST1).
 
-from runlens.plans.catalog import register  # noqa: F401
+Each query writes data that Spark derives from the driver tables into a fresh
+folder under the shared checkpoint folder (``spark.checkpoint.dir``), then
+reads it back through the source under test, so the work grows with the tables.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from runlens.operators import udf as U
+from runlens.plans import bridges as B
+from runlens.plans.catalog import register
+from runlens.plans.q_builds import verdicts
+from runlens.session import checkpoint_dir
+from runlens.sources import files as S
+from runlens.streaming.progress import progress_counts
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/runlens-io/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("experiment_paths", oracle="""
+SELECT o_orderkey AS run_id, CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT) AS run_epoch,
+       'run' || CAST(o_orderkey AS VARCHAR) AS run_name
+FROM orders""")
+def q_experiment_paths(spark, sf_dir):
+    """K5: experiment folders ``prefix/YYYY-MM-DD/HH-MM-SS-name`` parsed back to (run_ts, run_name)."""
+    o = B.table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("data/experiments/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/"),
+                    F.date_format("o_orderdate", "HH-mm-ss"), F.lit("-run"), F.col("o_orderkey").cast("string"))
+    parsed = o.select(F.col("o_orderkey").alias("run_id"), *S.parse_experiment_path(path))
+    return parsed.select("run_id", F.unix_timestamp("run_ts").alias("run_epoch"), "run_name")
+
+
+# Manifest bridge over customer: full = all; medium = c % 5 = 0; mini = c % 15 = 0;
+# tiny = c % 500 = 7 with another commit (so tiny shares no row with full).
+def _manifest_yaml(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    repo = F.concat(F.lit("own"), F.col("c_nationkey").cast("string"), F.lit("/c"), ck.cast("string"))
+    commit = F.substring(F.md5(F.col("c_name")), 1, 12)
+    item = F.concat(
+        F.lit("- repo_name: "), repo, F.lit("\n  commit: '"), F.col("_commit"), F.lit("'\n  license: "),
+        F.col("c_mktsegment"), F.lit("\n  extra_field: ignored\n  repo_features:\n    number_of_lines_of_code: "),
+        (ck * 7).cast("string"), F.lit("\n    number_of_modules: "), (ck % 4 + 1).cast("string"),
+        F.lit("\n  test_count:\n    tests_run: "), (ck % 50).cast("string"), F.lit("\n    tests_skipped: "),
+        (ck % 3).cast("string"), F.lit("\n"))
+    tiers = F.array(
+        F.lit("full"), F.when(ck % 5 == 0, F.lit("medium")), F.when(ck % 15 == 0, F.lit("mini")),
+        F.when(ck % 500 == 7, F.lit("tiny")))
+    rows = c.select("*", commit.alias("_commit"), F.explode(tiers).alias("tier")).filter(F.col("tier").isNotNull())
+    rows = rows.withColumn("_commit", F.when(F.col("tier") == "tiny", F.lit("tinyhead")).otherwise(F.col("_commit")))
+    return rows.select(item.alias("value"), "tier")
+
+
+def _manifest_roundtrip(spark, sf_dir):
+    out = _scratch(spark, "manifest")
+    _manifest_yaml(spark, sf_dir).write.mode("overwrite").partitionBy("tier").text(out)
+    return S.with_tier(S.read_manifests(spark, out, glob="*.txt"))
+
+
+_MANIFEST_SQL = """
+WITH c AS (SELECT c_custkey AS ck, 'own' || CAST(c_nationkey AS VARCHAR) || '/c' || CAST(c_custkey AS VARCHAR) AS repo_name,
+                  substr(md5(c_name), 1, 12) AS commit, c_mktsegment AS license FROM customer),
+t AS (SELECT 'full' AS tier, * FROM c
+      UNION ALL SELECT 'medium', * FROM c WHERE ck % 5 = 0
+      UNION ALL SELECT 'mini', * FROM c WHERE ck % 15 = 0
+      UNION ALL SELECT 'tiny', ck, repo_name, 'tinyhead', license FROM c WHERE ck % 500 = 7)"""
+
+
+@register("manifest_scan", oracle=_MANIFEST_SQL + """
+SELECT tier, repo_name, commit, license, CAST(ck * 7 AS BIGINT) AS lines_of_code,
+       CAST(ck % 4 + 1 AS BIGINT) AS modules, CAST(ck % 50 AS BIGINT) AS tests_run,
+       CAST(ck % 3 AS BIGINT) AS tests_skipped, CAST(NULL AS BIGINT) AS tests_failed FROM t""")
+def q_manifest_scan(spark, sf_dir):
+    """YAML manifests (written by Spark per tier) read back into typed rows; extra fields dropped."""
+    m = _manifest_roundtrip(spark, sf_dir)
+    return m.select("tier", "repo_name", "commit", "license",
+                    F.col("repo_features.number_of_lines_of_code").alias("lines_of_code"),
+                    F.col("repo_features.number_of_modules").alias("modules"),
+                    F.col("test_count.tests_run").alias("tests_run"),
+                    F.col("test_count.tests_skipped").alias("tests_skipped"),
+                    F.col("test_count.tests_failed").alias("tests_failed"))
+
+
+@register("tier_report", oracle=_MANIFEST_SQL + """
+SELECT tier, CAST(COUNT(*) AS BIGINT) AS n_rows,
+       CAST(COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t f WHERE f.tier = 'full'
+                                               AND f.repo_name = t.repo_name AND f.commit = t.commit)) AS BIGINT)
+         AS not_in_base
+FROM t GROUP BY tier""")
+def q_tier_report(spark, sf_dir):
+    """Tier sizes and rows not contained in the full tier (anti join)."""
+    return S.tier_subset_report(_manifest_roundtrip(spark, sf_dir))
+
+
+@register("run_records", oracle="""
+SELECT o_orderkey AS run_id, 'exp' || CAST(o_orderkey % 3 AS VARCHAR) AS experiment,
+       o_orderkey % 11 <> 0 AS run_success,
+       CASE WHEN o_orderkey % 11 <> 0 THEN NOT (o_orderkey % 7 IN (0, 1, 2)) END AS build_success,
+       CASE WHEN o_orderkey % 11 <> 0 THEN 'run ' || CAST(o_orderkey AS VARCHAR) END AS stdout,
+       CASE WHEN o_orderkey % 11 <> 0 THEN 'diff r_' || CAST(o_orderkey AS VARCHAR) || chr(10) END AS diff,
+       CASE WHEN o_orderkey % 11 <> 0 THEN 'log ' || CAST(o_orderkey AS VARCHAR) END AS build_log,
+       FALSE AS summary_has_log
+FROM orders""")
+def q_run_records(spark, sf_dir):
+    """K1 + S5: run records written as Parquet (ANSI removed, patch newline, build log split off) and read back."""
+    v = verdicts(spark, sf_dir)
+    k = F.col("run_id").cast("string")
+    mr = F.when(F.col("has_result"), F.struct(
+        F.struct("build_success", "test_success").alias("build_result"), F.lit("").alias("output"),
+        F.concat(F.lit("\u001b[32mrun "), k, F.lit("\u001b[0m")).alias("stdout"),
+        F.concat(F.lit("diff r_"), k).alias("diff"), F.concat(F.lit("log "), k).alias("build_log")))
+    runs = v.select("run_id", F.concat(F.lit("exp"), (F.col("run_id") % 3).cast("string")).alias("experiment"),
+                    F.col("has_result").alias("run_success"), mr.alias("migration_result"))
+    out = _scratch(spark, "runs")
+    S.write_run_records(runs, out)
+    back = S.read_stored_results(spark, out)
+    fields = back.schema["migration_result"].dataType.fieldNames()
+    return back.select("run_id", "experiment", "run_success",
+                       F.col("migration_result.build_result.build_success").alias("build_success"),
+                       F.col("migration_result.stdout").alias("stdout"), F.col("migration_result.diff").alias("diff"),
+                       "build_log", F.lit("build_log" in fields).alias("summary_has_log"))
+
+
+@register("pre_coverage_csv", oracle="""
+SELECT 'own' || CAST(o_custkey % 97 AS VARCHAR) || '/r_' || CAST(o_orderkey AS VARCHAR) AS repo,
+       CASE WHEN o_orderkey % 6 = 0 THEN 0.0 WHEN o_orderkey % 6 = 2 THEN 'NaN'::DOUBLE
+            ELSE CAST(40 + o_orderkey % 50 AS DOUBLE) END AS percent_before
+FROM orders WHERE o_orderkey % 6 <> 1""")
+def q_pre_coverage_csv(spark, sf_dir):
+    """Pre-coverage CSV with directory-style keys and blank cells, read back (blank -> NaN)."""
+    o = B.table(spark, sf_dir, "orders")
+    ok = F.col("o_orderkey")
+    repo_dir = F.concat(F.lit("own"), (F.col("o_custkey") % 97).cast("string"), F.lit("_r_"), ok.cast("string"))
+    pct = (F.when(ok % 6 == 0, F.lit("0.0")).when(ok % 6 == 2, F.lit(""))
+           .otherwise((F.lit(40) + ok % 50).cast("double").cast("string")))
+    out = _scratch(spark, "precov")
+    (o.filter(ok % 6 != 1).select(repo_dir.alias("repo"), pct.alias("percent_before"))
+      .write.mode("overwrite").option("header", True).option("emptyValue", "").csv(out))
+    return S.read_pre_coverage(spark, out)
+
+
+_EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+@register("progress", oracle="""
+SELECT event_type AS status, CAST(COUNT(*) AS BIGINT) AS finished FROM events GROUP BY event_type""")
+def q_progress(spark, sf_dir):
+    """ST1: finished-job counts per status from a file stream (availableNow, checkpointed state)."""
+    return progress_counts(spark, sf_dir, _EVENT_SCHEMA, "event_type", glob="events.parquet")
+
+
+def _ratio(rec: dict) -> dict:
+    k = json.loads(rec["props"])["k"]
+    return {"ratio": rec["value"] / (k % 7)}
+
+
+@register("guarded_map", oracle="""
+SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 7 <> 0
+                      THEN value / (CAST(json_extract(props, '$.k') AS BIGINT) % 7) END AS ratio,
+       CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 7 <> 0 THEN 'SUCCESS' ELSE 'FAIL' END AS status,
+       CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 7 = 0 THEN 'float division by zero' END AS error
+FROM events""")
+def q_guarded_map(spark, sf_dir):
+    """A Python function per row; exceptions become FAIL rows with the error text."""
+    ev = B.table(spark, sf_dir, "events").select("event_id", "value", "props")
+    return U.guarded_map(ev, _ratio, StructType([StructField("ratio", DoubleType())]), keep=["event_id"])
