@@ -44,7 +44,8 @@ MODEL_FRAME = "╰─"
 # Segment kinds (event of a segment's first line).
 NONE, CODE, WARN, LOGS, OUT = 0, 1, 2, 3, 4
 
-_EMPTY = F.array().cast("array<string>")
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _at(arr: Column, i) -> Column:
@@ -74,7 +75,7 @@ def _not_meta(arr: Column) -> Column:
 
 def _section(segments: Column, kind: int) -> Column:
     """Lines kept for one section kind, in order (array<string>)."""
-    return F.flatten(F.transform(segments, lambda s: F.when(s["kind"] == kind, s["body"]).otherwise(_EMPTY)))
+    return F.flatten(F.transform(segments, lambda s: F.when(s["kind"] == kind, s["body"]).otherwise(_empty())))
 
 
 def _joined(arr: Column) -> Column:
@@ -129,14 +130,14 @@ def parse_steps(steps: DataFrame, text_col: str = "step_text") -> DataFrame:
         end = F.when(j + 1 < F.size(st), _at(st, j + 2) - 1).otherwise(n)
         seg = F.slice(lines, s, end - s + 1)
         kind = _at(ev, s)
-        rest = F.when(F.size(seg) > 1, F.slice(seg, 2, F.size(seg) - 1)).otherwise(_EMPTY)
+        rest = F.when(F.size(seg) > 1, F.slice(seg, 2, F.size(seg) - 1)).otherwise(_empty())
         border_at = F.array_position(F.transform(rest, _is_border), True)
         code_body = F.when(border_at == 0, rest).otherwise(
-            F.when(border_at > 1, F.slice(rest, 1, (border_at - 1).cast("int"))).otherwise(_EMPTY))
+            F.when(border_at > 1, F.slice(rest, 1, (border_at - 1).cast("int"))).otherwise(_empty()))
         body = (F.when(kind == CODE, _not_meta(code_body))
                 .when(kind == WARN, _not_meta(seg))
                 .when(kind == LOGS, _not_meta(rest))
-                .otherwise(_EMPTY))
+                .otherwise(_empty()))
         out = F.when(kind == OUT, py_strip(F.substring(_at(seg, 1), len(OUT_PREFIX) + 1, 1 << 30)))
         return F.struct(kind.alias("kind"), body.alias("body"), out.alias("out"))
 

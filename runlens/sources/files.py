@@ -135,19 +135,22 @@ parse_result_yaml.__doc__ = "result.yaml text -> struct (empty file -> empty = t
 def scan_run_artifacts(spark: SparkSession, job_results_dir: str, compat: bool = False) -> DataFrame:
     """One row per repository directory with its artefacts (absent -> NULL).
 
-    Key from the directory name (F3), artefact from the file name, then a
+    ``job_results_dir`` holds one folder per repository (``owner_name``).  Key from the directory name (F3), artefact from the file name, then a
     ``groupBy(repo).pivot(artefact, fixed list)``: a repository has at most
     four files, so no group can grow.  ``result.yaml`` is parsed in Arrow
     batches.  ``test_results`` are read from inside ``build_result``, where the
     writer puts them; ``compat=True`` reproduces the reference's reload, which
     looks at the top level and so always gets NULL counters.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(job_results_dir).select("path", "content"))
+    # DataFrame file sources skip zero-length files, but an empty result.yaml is
+    # how a run without result is stored, so the artefacts are listed and read
+    # with wholeTextFiles (empty files included) and turned into a DataFrame at once.
+    pattern = f"{job_results_dir.rstrip('/')}/*/{{{','.join(ARTIFACTS)}}}"
+    n = max(spark.sparkContext.defaultParallelism, 1)
+    files = spark.createDataFrame(spark.sparkContext.wholeTextFiles(pattern, minPartitions=n), "path string, text string")
     parts = files.select(
         F.regexp_extract("path", "([^/]+)/([^/]+)$", 1).alias("repo_dir"),
-        F.regexp_extract("path", "([^/]+)$", 1).alias("artifact"),
-        F.col("content").cast("string").alias("text")).filter(F.col("artifact").isin(*ARTIFACTS))
+        F.regexp_extract("path", "([^/]+)$", 1).alias("artifact"), "text")
     wide = parts.groupBy("repo_dir").pivot("artifact", ARTIFACTS).agg(F.first("text"))
     res = wide.withColumn("_r", parse_result_yaml(F.col("`result.yaml`")))
     complete = F.col("`build.log`").isNotNull() & F.col("`stdout.log`").isNotNull() & \
