@@ -62,42 +62,55 @@ _COUNTER_SCHEMA = StructType([StructField("message", StringType())] + [
 
 
 def _count_one(text):
-    """Parse once; sum missed/covered of every element whose ``type`` is LINE/METHOD."""
-    import xml.etree.ElementTree as ET
+    """One streaming expat parse: sum missed/covered of every element typed LINE/METHOD.
+
+    Only a document whose root element is ``report`` contributes counters; a
+    parse error or a counter that is not an integer makes the report invalid.
+    """
+    import xml.parsers.expat as expat
     if text is None:
         return (None, None, None, None, None)
+    acc = [0, 0, 0, 0]
+    root = []
+
+    def start(name, attrs):
+        if not root:
+            root.append(name)
+        t = attrs.get("type")
+        if t == "LINE":
+            acc[0] += int(attrs.get("missed", 0))
+            acc[1] += int(attrs.get("covered", 0))
+        elif t == "METHOD":
+            acc[2] += int(attrs.get("missed", 0))
+            acc[3] += int(attrs.get("covered", 0))
+
+    p = expat.ParserCreate()
+    p.StartElementHandler = start
     try:
-        root = ET.fromstring(text)
-    except ET.ParseError as pe:
-        return (NOT_WELL_FORMED_PREFIX + str(pe), None, None, None, None)
-    except Exception as e:  # noqa: BLE001
-        return (UNEXPECTED_PREFIX + str(e), None, None, None, None)
-    sums = {t: [0, 0] for t in COVERAGE_TYPES}
-    # Only a document whose root is <report> contributes counters.
-    if root.tag.rsplit("}", 1)[-1] == "report":
-        try:
-            for el in root.iter():
-                t = el.get("type")
-                if t in sums:
-                    sums[t][0] += int(el.get("missed", 0))
-                    sums[t][1] += int(el.get("covered", 0))
-        except ValueError as e:
-            return ("invalid counter: " + str(e), None, None, None, None)
-    return (WELL_FORMED_MSG, sums["LINE"][0], sums["LINE"][1], sums["METHOD"][0], sums["METHOD"][1])
+        p.Parse(text, True)
+    except expat.ExpatError as e:
+        return (NOT_WELL_FORMED_PREFIX + str(e), None, None, None, None)
+    except ValueError as e:
+        return ("invalid counter: " + str(e), None, None, None, None)
+    if root[0] != "report":
+        return (WELL_FORMED_MSG, 0, 0, 0, 0)
+    return (WELL_FORMED_MSG, acc[0], acc[1], acc[2], acc[3])
 
 
 @F.pandas_udf(_COUNTER_SCHEMA)
 def _coverage_counters_udf(texts: pd.Series) -> pd.DataFrame:
     rows = [_count_one(t) for t in texts]
-    return pd.DataFrame(rows, columns=["message", "line_missed", "line_covered",
-                                       "method_missed", "method_covered"]).astype(
-        {"line_missed": "Int64", "line_covered": "Int64", "method_missed": "Int64", "method_covered": "Int64"})
+    cols = list(zip(*rows)) if rows else [[], [], [], [], []]
+    out = {"message": list(cols[0])}
+    for i, name in enumerate(("line_missed", "line_covered", "method_missed", "method_covered"), start=1):
+        out[name] = pd.array(list(cols[i]), dtype="Int64")
+    return pd.DataFrame(out)
 
 
 def coverage_counters(xml) -> Column:
     """A4: per report, sums of missed/covered over every element (any depth) typed LINE / METHOD.
 
-    One expat parse per report (Arrow-batched): the same pass checks
+    One streaming expat parse per report (Arrow-batched): the same pass checks
     well-formedness, so a malformed report yields a message and NULL counters
     instead of failing the job.  ``message`` is 'XML is well-formed.' for
     usable reports.  (Spark's ``xpath_*`` would parse the document again per

@@ -17,3 +17,18 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     and stays in the same stage.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an input that arrives in fewer partitions than the cluster has task slots.
+
+    A small file stored as one Parquet row group is scanned as one partition,
+    and row-local work on it (log parsing, regexes, Python UDFs) would then run
+    in a single task.  Large inputs already arrive in many splits and are
+    returned unchanged, so this never adds a shuffle at scale.  Counting the
+    partitions only plans the scan; it runs no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

@@ -26,11 +26,14 @@ def verdict_inputs(lines: DataFrame, run_col: str = "run_id", kind_col: str = "k
     OR and every counter a sum, exactly like substring tests and ``findall``
     over the joined text (markers never span a line break).
     """
+    from runlens.operators._plan import evaluate_once
+    # Per-line counters are evaluated once (below a Generate) and read four times.
+    lines = evaluate_once(lines.withColumn("_tc", M.test_counters(F.col(line_col))))
     line = F.col(line_col)
     is_c = F.col(kind_col) == "compile"
     is_t = F.col(kind_col) == "test"
-    n_match = F.size(F.regexp_extract_all(line, F.lit(M.TEST_COUNTER_RE), F.lit(1)))
-    counters = M.test_counters(line)
+    n_match = F.when(F.col("_tc").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    counters = F.col("_tc")
     aggs = [
         F.bool_or(is_c & M.compile_failed(line)).alias("c_fail"),
         F.bool_or(is_t & line.contains(M.BUILD_SUCCESS)).alias("t_succ"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import xml as X
 from runlens.operators._plan import evaluate_once
+from runlens.session import ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -39,6 +40,7 @@ def report_counters(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
     Malformed reports (or counters that are not integers) get ``valid = false``
     and NULL counters: the reference skips them and goes on.
     """
+    ship_package(reports.sparkSession)
     staged = evaluate_once(reports.withColumn("_c", X.coverage_counters(xml_col)))
     names = ("line_missed", "line_covered", "method_missed", "method_covered")
     valid = F.coalesce(F.col("_c.message") == X.WELL_FORMED_MSG, F.lit(False))

@@ -17,7 +17,7 @@ EXCLUDED_DIRS = ["target"]
 EXCLUDED_EXTS = [".class", ".jar", ".war", ".ear", ".tmp"]  # compared lower-cased
 # ---------------------------------------------------------------------------
 
-SECTION_SPLIT_RE = "(?m)^(?=diff --git )"
+SECTION_MARK = "diff --git "
 HEADER_PATH_RE = "^diff --git a/(.*?) b/([^\\n]*)"
 
 
@@ -38,8 +38,18 @@ def is_excluded(path) -> Column:
 
 
 def _sections(diff: Column) -> Column:
-    parts = F.split(F.coalesce(diff, F.lit("")), SECTION_SPLIT_RE, -1)
-    return F.filter(parts, lambda s: s.startswith("diff --git "))
+    """File sections: each starts at a line beginning with ``diff --git `` and runs to the next.
+
+    Splitting ``'\n' + diff`` on the literal ``'\ndiff --git '`` (a plain
+    substring search, no look-ahead) yields the preamble and the section
+    bodies; the marker and the line break the split consumed are put back.
+    """
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\n" + SECTION_MARK, -1)
+    n = F.size(parts)
+    body = F.slice(parts, 2, F.greatest(n - 1, F.lit(0)))
+    return F.when(n > 1, F.transform(body, lambda b, i: F.concat(
+        F.lit(SECTION_MARK), b, F.when(i < n - 2, F.lit("\n")).otherwise(F.lit(""))))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def changed_files(patches: DataFrame, diff_col: str = "diff") -> DataFrame:

@@ -31,6 +31,12 @@ def trace_points(trace: DataFrame, run_col: str = "run_id") -> DataFrame:
     one partial row per task.  The rank is the number of present statuses
     with a lower code, ``bit_count(mask & ((1 << code) - 1))``.
     """
+    from runlens.session import checkpoint_dir
+    checkpoint_dir(trace.sparkSession)
+    # The trace feeds both the mask aggregate and the join: materialize the
+    # small (run, step, status) rows once in the shared checkpoint folder
+    # instead of parsing the logs twice.
+    trace = trace.checkpoint(eager=True)
     masks = trace.groupBy(run_col).agg(
         F.bit_or(F.expr("shiftleft(1, status_code)")).alias("_mask"))
     j = trace.join(masks, run_col)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from runlens.operators.runs import JOB_STATUS  # noqa: F401  (status names used below)
+from runlens.session import ship_package
 
 
 def guarded_map(df: DataFrame, fn: Callable[[dict], dict], out_schema: StructType,
@@ -53,4 +53,5 @@ def guarded_map(df: DataFrame, fn: Callable[[dict], dict], out_schema: StructTyp
                 rows.append(out)
             yield pd.DataFrame(rows, columns=schema.names)
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)

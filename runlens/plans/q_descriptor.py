@@ -136,6 +136,8 @@ def q_multi_module(spark, sf_dir):
 WITH p AS ({_PART_SQL}) SELECT k AS part_id, parsed AS well_formed FROM p""")
 def q_xml_valid(spark, sf_dir):
     """the validator's verdict on each descriptor (message starts 'XML is well-formed.')."""
+    from runlens.session import ship_package
+    ship_package(spark)
     d = b5_descriptors(spark, sf_dir)
     return d.select("part_id", (X.xml_check_message("pom") == X.WELL_FORMED_MSG).alias("well_formed"))
 

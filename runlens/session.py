@@ -58,3 +58,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``runlens`` importable in Python workers (idempotent per SparkContext).
+
+    Operators that run Python (pandas UDFs, ``mapInPandas``) pickle functions
+    by reference to this package, so executors need it on their path.  A
+    cluster job usually ships it with ``--py-files``; otherwise the package is
+    zipped once and distributed with ``SparkContext.addPyFile``.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import runlens
+    pkg_dir = os.path.dirname(os.path.abspath(runlens.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="runlens-pyfiles-"), "runlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

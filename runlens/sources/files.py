@@ -18,6 +18,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, LongType, StringType, St
                                TimestampType)
 
 from runlens.functions import text as T
+from runlens.session import ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -43,6 +44,12 @@ MANIFEST_SCHEMA = StructType([
 ])
 
 
+def _yaml_loader():
+    import yaml
+    # libyaml's safe loader when present (same safe subset, C speed).
+    return getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
 def _as_long(v):
     try:
         return None if v is None else int(v)
@@ -56,7 +63,7 @@ def _manifest_rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            items = yaml.safe_load(bytes(content).decode("utf-8")) or []
+            items = yaml.load(bytes(content).decode("utf-8"), Loader=_yaml_loader()) or []
             for i, it in enumerate(items):
                 feats = it.get("repo_features") or None
                 tc = it.get("test_count") or None
@@ -76,6 +83,7 @@ def read_manifests(spark: SparkSession, path: str, glob: str = "*.yaml") -> Data
     Each file is one ``binaryFile`` row; ``mapInPandas`` parses a batch of
     files per Arrow batch.  Undeclared fields are dropped by the fixed schema.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     return files.mapInPandas(_manifest_rows, MANIFEST_SCHEMA)
 
@@ -111,7 +119,7 @@ def _parse_results(texts: pd.Series) -> pd.DataFrame:
     import yaml
     out = []
     for t in texts:
-        d = None if t is None else yaml.safe_load(t)
+        d = None if t is None else yaml.load(t, Loader=_yaml_loader())
         if not isinstance(d, dict):
             out.append({"run_success": None, "error": None, "build_result": None, "empty": True})
             continue
@@ -145,6 +153,7 @@ def scan_run_artifacts(spark: SparkSession, job_results_dir: str, compat: bool =
     # DataFrame file sources skip zero-length files, but an empty result.yaml is
     # how a run without result is stored, so the artefacts are listed and read
     # with wholeTextFiles (empty files included) and turned into a DataFrame at once.
+    ship_package(spark)
     pattern = f"{job_results_dir.rstrip('/')}/*/{{{','.join(ARTIFACTS)}}}"
     n = max(spark.sparkContext.defaultParallelism, 1)
     files = spark.createDataFrame(spark.sparkContext.wholeTextFiles(pattern, minPartitions=n), "path string, text string")
