@@ -96,21 +96,19 @@ def test_counters(log) -> Column:
     """A3: sum of all ``Tests run: …`` matches in a log; NULL when none match.
 
     Every match counts (surefire prints per-class lines and a total line, and
-    both are summed, as the reference does).  One regex pass finds the full
-    matches; the four numbers of a match are its only digit runs.  Sums are
-    bigint with ``try_*`` arithmetic, so an oversized number gives NULL instead
-    of failing the job.
+    both are summed, as the reference does).  Sums are bigint with ``try_*``
+    arithmetic, so an oversized number gives NULL instead of failing the job.
+    For logs held as lines, ``runlens.operators.buildlog`` sums matches with
+    plain aggregates instead.
     """
     log = _col(log)
-    matches = F.regexp_extract_all(log, F.lit(TEST_COUNTER_RE), F.lit(0))
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(n) for n in TEST_COUNTER_FIELDS])
-
-    def add(acc, m):
-        nums = F.regexp_extract_all(m, F.lit("(\\d+)"), F.lit(1))
-        return F.struct(*[F.try_add(acc[n], F.try_element_at(nums, F.lit(i + 1)).try_cast("bigint")).alias(n)
-                          for i, n in enumerate(TEST_COUNTER_FIELDS)])
-
-    return F.when(F.size(matches) > 0, F.aggregate(matches, zero, add))
+    fields = []
+    for i, name in enumerate(TEST_COUNTER_FIELDS, start=1):
+        vals = F.regexp_extract_all(log, F.lit(TEST_COUNTER_RE), F.lit(i))
+        total = F.aggregate(vals, F.lit(0).cast("bigint"), lambda acc, x: F.try_add(acc, x.try_cast("bigint")))
+        fields.append(total.alias(name))
+    n = F.size(F.regexp_extract_all(log, F.lit(TEST_COUNTER_RE), F.lit(1)))
+    return F.when(n > 0, F.struct(*fields))
 
 
 def build_verdict(compile_log, test_log, build_only=None) -> Column:

@@ -26,25 +26,26 @@ def verdict_inputs(lines: DataFrame, run_col: str = "run_id", kind_col: str = "k
     OR and every counter a sum, exactly like substring tests and ``findall``
     over the joined text (markers never span a line break).
     """
-    from runlens.operators._plan import evaluate_once
-    # Per-line counters are evaluated once (below a Generate) and read four times.
-    lines = evaluate_once(lines.withColumn("_tc", M.test_counters(F.col(line_col))))
+    # One row per counter match (explode_outer keeps lines without a match):
+    # flags are ORs, so repeating a line per match leaves them unchanged, and
+    # the numbers are summed by plain compiled aggregates.
+    x = lines.select(run_col, kind_col, line_col, F.explode_outer(
+        F.regexp_extract_all(F.col(line_col), F.lit(M.TEST_COUNTER_RE), F.lit(0))).alias("_m"))
     line = F.col(line_col)
     is_c = F.col(kind_col) == "compile"
     is_t = F.col(kind_col) == "test"
-    n_match = F.when(F.col("_tc").isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    counters = F.col("_tc")
     aggs = [
         F.bool_or(is_c & M.compile_failed(line)).alias("c_fail"),
         F.bool_or(is_t & line.contains(M.BUILD_SUCCESS)).alias("t_succ"),
         F.bool_or(is_t & line.contains(M.BUILD_FAILURE)).alias("t_fail"),
         F.bool_or(is_t & line.contains(M.FATAL_TAG)).alias("t_fatal"),
         F.bool_or(is_t & line.rlike(M.COMPILER_FAILURE_RE)).alias("t_cfail"),
-        F.sum(F.when(is_t, n_match)).alias("t_matches"),
+        F.count(F.when(is_t, F.col("_m"))).alias("t_matches"),
     ]
-    for name in M.TEST_COUNTER_FIELDS:
-        aggs.append(F.try_sum(F.when(is_t, counters[name])).alias(f"t_{name}"))
-    return lines.groupBy(run_col).agg(*aggs)
+    for i, name in enumerate(M.TEST_COUNTER_FIELDS, start=1):
+        v = F.regexp_extract(F.col("_m"), M.TEST_COUNTER_RE, i).try_cast("bigint")
+        aggs.append(F.try_sum(F.when(is_t, v)).alias(f"t_{name}"))
+    return x.groupBy(run_col).agg(*aggs)
 
 
 def attach_verdict(runs: DataFrame, inputs: DataFrame, run_col: str = "run_id",

@@ -76,3 +76,21 @@ def first_n(df: DataFrame, n: int, order_col: str = "ordinal") -> DataFrame:
 def summary_projection(runs: DataFrame, result_col: str = "migration_result") -> DataFrame:
     """Drop the bulky ``build_log`` from the nested result before storing a summary."""
     return runs.withColumn(result_col, F.col(result_col).dropFields("build_log"))
+
+
+def experiment_data(artifacts: DataFrame, log_headers: DataFrame | None = None,
+                    features: DataFrame | None = None, key: str = "repo") -> DataFrame:
+    """J3 (with S3): one row per repository of an experiment, each part optional.
+
+    ``artifacts`` (one row per result folder) drives the rows; agent-log header
+    rows and repository features are attached with left equi-joins, so
+    features of repositories without a result folder are dropped and missing
+    parts are NULL.  Steps stay in their own table (``parse_agent_logs``),
+    joined on the same key when needed, so no repository is collected into one row.
+    """
+    out = artifacts
+    if log_headers is not None:
+        out = out.join(log_headers, key, "left")
+    if features is not None:
+        out = out.join(features, key, "left")
+    return out

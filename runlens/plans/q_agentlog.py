@@ -141,3 +141,33 @@ FROM t""")
 def q_trace_points(spark, sf_dir):
     """Q6: (step, rank of status among the run's distinct statuses, label)."""
     return trace.trace_points(q_status_trace(spark, sf_dir))
+
+
+@register("distinct_statuses", oracle=_TRACE_SQL + f"""
+SELECT DISTINCT run_id, c AS status_code, {_NAME} AS status_name FROM t""")
+def q_distinct_statuses(spark, sf_dir):
+    """A8 + L2: the distinct statuses of each trace, in enum order."""
+    return trace.distinct_statuses(q_status_trace(spark, sf_dir))
+
+
+@register("experiment_data", oracle="""
+WITH r AS (SELECT o_orderkey AS run_id, o_orderkey % 11 <> 0 AS has_result,
+                  CASE WHEN o_orderkey % 11 <> 0 THEN NOT (o_orderkey % 7 IN (0, 1, 2)) END AS build_success
+           FROM orders),
+h AS (SELECT conv_id * 100 + turn AS run_id,
+             'Conversation ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) || ' by ' || role
+               AS description,
+             CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_steps FROM conversations),
+f AS (SELECT p_partkey AS run_id, p_size AS number_of_modules, p_brand AS license FROM part)
+SELECT r.run_id, has_result, build_success, description, n_steps, number_of_modules, license
+FROM r LEFT JOIN h ON h.run_id = r.run_id LEFT JOIN f ON f.run_id = r.run_id""")
+def q_experiment_data(spark, sf_dir):
+    """Build results, agent-log headers and repository features per run (each optional)."""
+    from runlens.operators import runs
+    from runlens.plans.q_builds import verdicts
+    art = verdicts(spark, sf_dir).select("run_id", "has_result", "build_success")
+    heads = agentlog.parse_log_headers(b3_agent_logs(spark, sf_dir)).select("run_id", "description", "n_steps")
+    feats = B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"),
+                                                  F.col("p_size").alias("number_of_modules"),
+                                                  F.col("p_brand").alias("license"))
+    return runs.experiment_data(art, heads, feats, key="run_id")

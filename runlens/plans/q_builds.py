@@ -74,11 +74,13 @@ FROM lineitem""")
 def q_test_counters_text(spark, sf_dir):
     """Whole-text form of F4/F8/A3 (one log per lineitem row, summed over all matches)."""
     t = B.b1_test_texts(spark, sf_dir)
-    c = M.test_counters("log")
-    return t.select("run_id", "line_no", "part_id",
-                    M.overall_success("log").alias("test_success"),
-                    M.compile_failed("log").alias("compile_failed"),
-                    *[c[n].alias(n) for n in M.TEST_COUNTER_FIELDS])
+    # The counter struct is computed once and then expanded (not once per field).
+    staged = t.select("run_id", "line_no", "part_id",
+                      M.overall_success("log").alias("test_success"),
+                      M.compile_failed("log").alias("compile_failed"),
+                      M.test_counters("log").alias("_c"))
+    return staged.select("run_id", "line_no", "part_id", "test_success", "compile_failed",
+                         *[F.col(f"_c.{n}").alias(n) for n in M.TEST_COUNTER_FIELDS])
 
 
 @register("result_stats", oracle=f"""
