@@ -134,3 +134,23 @@ def test_progress_stream_resumes(spark):
     got = {r.status: r.finished for r in progress_counts(spark, src, "status string", "status",
                                                           out_dir=out, checkpoint=ck + "/cp").collect()}
     assert got == {"SUCCESS": 2, "FAIL": 1}
+
+
+def test_report_sinks(spark):
+    import json
+    from runlens.operators import runs as R
+    out = tempfile.mkdtemp(prefix="runlens-sinks-")
+    f = R.funnel(spark.createDataFrame([(True, True, True)], "has_result boolean, build_success boolean, "
+                                                               "test_success boolean"))
+    S.write_funnel(f, out + "/funnel")
+    rows = [json.loads(x) for p in os.listdir(out + "/funnel") if p.endswith(".json")
+            for x in open(os.path.join(out, "funnel", p))]
+    assert sorted(r["stage"] for r in rows) == ["compile", "overall", "run_job", "test"]
+    g = spark.createDataFrame([(1, "a/b", "SUCCESS", None, 1.0, 1.0, 0.0, True)],
+                              "run_id long, repo string, status string, error string, cov_before double, "
+                              "cov_after double, cov_percent_change double, cov_guard_pass boolean")
+    S.write_guard_report(g, C.guard_summary(g), out + "/guard")
+    assert spark.read.parquet(out + "/guard/repo_results").count() == 1
+    assert spark.read.json(out + "/guard/summary").collect()[0].cov_guard_pass_rate == 1.0
+    S.write_nested_results(g.select("repo", F.struct("status", "cov_before").alias("r")), out + "/nested")
+    assert spark.read.json(out + "/nested").collect()[0].r.status == "SUCCESS"
