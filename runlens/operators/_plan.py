@@ -28,7 +28,10 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     returned unchanged, so this never adds a shuffle at scale.  Counting the
     partitions only plans the scan; it runs no job.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the plan as is
         return df
     return df.repartition(target)

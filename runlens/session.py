@@ -50,13 +50,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     created and registered; on a cluster the configured shared folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        sc = None
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(configured)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
     return configured
 
 
@@ -71,8 +75,11 @@ def ship_package(spark: SparkSession) -> None:
     cluster job usually ships it with ``--py-files``; otherwise the package is
     zipped once and distributed with ``SparkContext.addPyFile``.
     """
-    sc = spark.sparkContext
-    key = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: ship with the client's artifact API instead
+        return
     if key in _SHIPPED:
         return
     import zipfile
