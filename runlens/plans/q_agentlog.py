@@ -69,7 +69,7 @@ def b3_agent_logs(spark, sf_dir):
 _PARAS = """
 WITH p AS (
   SELECT conv_id, turn, role, conv_id * 100 + turn AS run_id,
-         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS j,
+         CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS j,
          unnest(string_split(text, chr(10))) AS p
   FROM conversations),
 q AS (SELECT *, (conv_id + turn + j) % 5 AS kind, (conv_id + j) % 11 AS mk, (conv_id + j) % 3 <> 0 AS has_mvn,

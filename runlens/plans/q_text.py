@@ -137,7 +137,7 @@ def q_escape_newlines(spark, sf_dir):
 
 
 @register("splitlines", oracle="""
-SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line
+SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS line_no, unnest(l) AS line
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def q_splitlines(spark, sf_dir):
     """F22 over whole texts: one row per line with its 1-based number."""
