@@ -205,9 +205,17 @@ def scan_coverage_reports(spark: SparkSession, root: str) -> DataFrame:
         "path", F.col("content").cast("string").alias("xml"))
 
 
-def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files under ``root/<repo>/...`` as (repo, rel_path, path, content)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def scan_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """Files under ``root/<repo>/...`` as (repo, rel_path, path, content).
+
+    With ``extensions`` (e.g. the corpus defaults) the file-name glob is given to
+    the scan, so files of other types are never opened; the exact rule (P2) is
+    still applied by ``corpus_pieces``.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if extensions:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(set(extensions))) + "}")
+    files = reader.load(root)
     base = root.rstrip("/")
     rel = F.regexp_extract("path", "^(?:file:)?" + _re_escape(base) + "/(.*)$", 1)
     return files.select(F.regexp_extract(rel, "^([^/]+)/", 1).alias("repo"),
@@ -222,7 +230,7 @@ def _re_escape(s: str) -> str:
 def read_build_log_lines(spark: SparkSession, root: str, name: str = "build.log") -> DataFrame:
     """Build logs as lines (run_dir, line): a huge log is split across tasks by the text reader."""
     df = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", "true").text(root)
-    return df.select(F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1).alias("repo_dir"),
+    return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("repo_dir"),
                      F.col("value").alias("line"))
 
 

@@ -101,7 +101,8 @@ def test_source_tree_and_corpus_sink(spark):
     _write(root, "repoA/src/.h.py", "hidden file")
     _write(root, "repoA/src/C.JAVA", "upper ext")
     _write(root, "repoA/src/bad.py", b"\xff\xfe", mode="wb")
-    files = S.scan_source_tree(spark, root)
+    files = S.scan_source_tree(spark, root, extensions=CO.DEFAULT_EXTENSIONS)
+    assert files.count() == 3          # hidden paths are not listed; C.JAVA is never read
     pieces = CO.corpus_pieces(files)
     lay = sorted(CO.corpus_layout(pieces).collect(), key=lambda r: r.offset)
     assert [os.path.basename(r.path) for r in lay] == ["A.py", "B.java"]
