@@ -50,9 +50,14 @@ def py_strip_chars(s, chars: str) -> Column:
 
 
 def splitlines(s) -> Column:
-    """Python ``str.splitlines()`` as array<string> ('' -> [], one trailing break dropped)."""
-    arr = F.split(_col(s), SPLITLINES_RE, -1)
-    return F.when(F.try_element_at(arr, F.lit(-1)) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
+    """Python ``str.splitlines()`` as array<string> ('' -> [], one trailing break dropped).
+
+    The one trailing line break is removed first (anchored at the very end,
+    ``\\z``) so the text is split exactly once.
+    """
+    c = _col(s)
+    body = F.regexp_replace(c, f"(?:{SPLITLINES_RE})\\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, SPLITLINES_RE, -1))
 
 
 def safe_key(repo) -> Column:

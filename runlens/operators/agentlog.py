@@ -82,48 +82,60 @@ def _joined(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, py_strip(F.array_join(arr, "\n")))
 
 
-def parse_header(header_text: Column) -> list[Column]:
-    """Run header, description and model line of the header block."""
-    lines = splitlines(header_text)
+def _header_fields(lines: Column) -> list[Column]:
     run_header = _at(F.filter(lines, lambda l: l.contains(RUN_HEADER_MARKER)), 1)
     framed = F.transform(lines, lambda l: py_strip(py_strip_chars(l, DESCRIPTION_FRAME)))
     desc = _at(F.filter(framed, lambda s: (s != "") & ~s.contains(RUN_HEADER_MARKER)
-                                 & ~s.contains(BORDER_CHAR) & ~s.contains(MODEL_MARKER)), 1)
+                        & ~s.contains(BORDER_CHAR) & ~s.contains(MODEL_MARKER)), 1)
     model = _at(F.filter(lines, lambda l: l.contains(MODEL_MARKER)), 1)
     return [py_strip(run_header).alias("run_header"), desc.alias("description"),
             py_strip(py_strip_chars(model, MODEL_FRAME)).alias("model_info")]
 
 
+def parse_header(header_text: Column) -> list[Column]:
+    """Run header, description and model line of the header block."""
+    return _header_fields(splitlines(header_text))
+
+
+def _pieces(df: DataFrame, log_col: str) -> DataFrame:
+    """Cut at delimiter lines once; header text, step texts (in order) and their count."""
+    other = [c for c in df.columns if c != log_col]
+    cut = evaluate_once(df.select(*other, F.split(F.col(log_col), f"(?dmU)^(?={STEP_DELIM_RE})", -1).alias("_p")))
+    pieces = F.col("_p")
+    starts_with_step = _at(pieces, 1).rlike(f"(?dU)^{STEP_DELIM_RE}")
+    header = F.when(starts_with_step, F.lit("")).otherwise(_at(pieces, 1))
+    steps = F.when(starts_with_step, pieces).otherwise(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
+    staged = evaluate_once(cut.select(*other, header.alias("_header"), steps.alias("_steps")))
+    return evaluate_once(staged.select(*other, splitlines(F.col("_header")).alias("_hlines"), "_steps"))
+
+
 def split_steps(df: DataFrame, log_col: str = "log") -> DataFrame:
     """Cut each log at delimiter lines; keep header columns; one row per step.
 
     Adds ``step_pos`` (0-based position among all steps, W3) and ``step_text``.
     Logs without a delimiter produce no step rows (see ``parse_log_headers``).
+    Every intermediate array is built once per row (``evaluate_once`` keeps
+    Catalyst from inlining it into each consumer).
     """
-    pieces = F.split(F.col(log_col), f"(?dmU)^(?={STEP_DELIM_RE})", -1)
-    first = _at(pieces, 1)
-    starts_with_step = first.rlike(f"(?dU)^{STEP_DELIM_RE}")
-    header = F.when(starts_with_step, F.lit("")).otherwise(first)
-    steps = F.when(starts_with_step, pieces).otherwise(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))))
     other = [c for c in df.columns if c != log_col]
-    staged = df.select(*other, header.alias("_header"), steps.alias("_steps"))
-    return staged.select(*other, *parse_header(F.col("_header")),
+    staged = _pieces(df, log_col)
+    return staged.select(*other, *_header_fields(F.col("_hlines")),
                          F.posexplode("_steps").alias("step_pos", "step_text"))
 
 
 def parse_steps(steps: DataFrame, text_col: str = "step_text") -> DataFrame:
     """Sections, output, meta and raw text of each step row."""
     t = F.col(text_col)
-    s1 = steps.withColumn("_lines", splitlines(t))
+    s1 = evaluate_once(steps.withColumn("_lines", splitlines(t)))
     lines = F.col("_lines")
     n = F.size(lines)
-    s2 = s1.withColumn("_ev", F.transform(lines, _event)).withColumn(
-        "header_step", F.regexp_extract(t, f"(?dU)^{STEP_DELIM_RE}", 1).try_cast("int"))
+    s2 = evaluate_once(s1.withColumn("_ev", F.transform(lines, _event)).withColumn(
+        "header_step", F.regexp_extract(t, f"(?dU)^{STEP_DELIM_RE}", 1).try_cast("int")))
     ev = F.col("_ev")
     # Segment starts: line 1 (state NONE unless it is itself an event) and every event line.
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     starts = F.filter(idx, lambda i: (i == 1) | (_at(ev, i) > 0))
-    s3 = s2.withColumn("_starts", starts)
+    s3 = evaluate_once(s2.withColumn("_starts", starts))
     st = F.col("_starts")
 
     def segment(s, j):
@@ -141,17 +153,17 @@ def parse_steps(steps: DataFrame, text_col: str = "step_text") -> DataFrame:
         out = F.when(kind == OUT, py_strip(F.substring(_at(seg, 1), len(OUT_PREFIX) + 1, 1 << 30)))
         return F.struct(kind.alias("kind"), body.alias("body"), out.alias("out"))
 
-    s4 = s3.withColumn("_segs", F.transform(st, segment))
+    s4 = evaluate_once(s3.withColumn("_segs", F.transform(st, segment)))
     segs = F.col("_segs")
     # A meta line only counts when no earlier rule consumed it (the code marker wins).
     meta_line = _at(F.filter(lines, lambda l: _is_meta(l) & ~l.contains(CODE_MARKER)
                                       & l.rlike(f"(?U){META_RE}")), -1)
-    s5 = (s4.withColumn("_code", _section(segs, CODE))
-            .withColumn("_warn", _section(segs, WARN))
-            .withColumn("_logs", _section(segs, LOGS))
-            .withColumn("out", _at(F.filter(F.transform(segs, lambda s: s["out"]),
-                                                     lambda o: o.isNotNull()), -1))
-            .withColumn("_meta", meta_line))
+    s5 = evaluate_once(s4.withColumn("_code", _section(segs, CODE))
+                       .withColumn("_warn", _section(segs, WARN))
+                       .withColumn("_logs", _section(segs, LOGS))
+                       .withColumn("out", _at(F.filter(F.transform(segs, lambda s: s["out"]),
+                                                       lambda o: o.isNotNull()), -1))
+                       .withColumn("_meta", meta_line))
     meta = F.col("_meta")
 
     def g(i):
@@ -185,11 +197,6 @@ def parse_agent_logs(df: DataFrame, log_col: str = "log") -> DataFrame:
 
 def parse_log_headers(df: DataFrame, log_col: str = "log") -> DataFrame:
     """One row per log: header fields and the number of steps (logs without steps included)."""
-    pieces = F.split(F.col(log_col), f"(?dmU)^(?={STEP_DELIM_RE})", -1)
-    first = _at(pieces, 1)
-    starts_with_step = first.rlike(f"(?dU)^{STEP_DELIM_RE}")
-    header = F.when(starts_with_step, F.lit("")).otherwise(first)
-    n_steps = F.when(starts_with_step, F.size(pieces)).otherwise(F.size(pieces) - 1)
     other = [c for c in df.columns if c != log_col]
-    return df.select(*other, header.alias("_h"), n_steps.alias("n_steps")).select(
-        *other, *parse_header(F.col("_h")), "n_steps")
+    staged = _pieces(df, log_col)
+    return staged.select(*other, *_header_fields(F.col("_hlines")), F.size("_steps").alias("n_steps"))
