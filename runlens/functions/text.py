@@ -106,13 +106,10 @@ def line_view(s, start, end) -> Column:
     Like the reference, a start below 1 is clamped to 1 and an end past the
     last line stops at the last line.
     """
-    lines = splitlines(s)
     st = F.greatest(_lit(start), F.lit(1))
     e = _lit(end)
-    stop = F.when(e == -1, F.size(lines)).otherwise(F.least(e, F.size(lines)))
-    n = F.greatest(stop - st + 1, F.lit(0))
-    return F.array_join(F.when(st <= F.size(lines), F.slice(lines, st, n))
-                        .otherwise(F.array().cast("array<string>")), "\n")
+    kept = F.filter(splitlines(s), lambda x, i: (i + 1 >= st) & ((e == -1) | (i + 1 <= e)))
+    return F.array_join(kept, "\n")
 
 
 def literal_replace(s, old: str, new: str) -> Column:
@@ -121,15 +118,16 @@ def literal_replace(s, old: str, new: str) -> Column:
 
 
 def line_insert(s, after_line, new_text) -> Column:
-    """insert a line after line ``after_line`` (beyond the end appends); ends with '\\n'."""
+    """insert a line after line ``after_line``; past the end appends; ends with '\\n'.
+
+    A negative position counts from the end, as Python's ``list.insert`` does.
+    """
     lines = splitlines(s)
-    k = F.least(F.greatest(_lit(after_line), F.lit(0)), F.size(lines))
-    head = F.slice(lines, 1, k)
-    tail = F.slice(lines, k + 1, F.greatest(F.size(lines) - k, F.lit(0)))
-    # slice() rejects start 0 on an empty array; guard the empty case explicitly.
-    tail = F.when(F.size(lines) > k, tail).otherwise(F.array().cast("array<string>"))
-    out = F.concat(head, F.array(_lit(new_text)), tail)
-    return F.concat(F.array_join(out, "\n"), F.lit("\n"))
+    a = _lit(after_line)
+    k = F.when(a < 0, F.greatest(F.size(lines) + a, F.lit(0))).otherwise(a)
+    head = F.filter(lines, lambda x, i: i < k)
+    tail = F.filter(lines, lambda x, i: i >= k)
+    return F.concat(F.array_join(F.concat(head, F.array(_lit(new_text)), tail), "\n"), F.lit("\n"))
 
 
 def java_version_ok(version_text, jdk: int) -> Column:

@@ -40,16 +40,13 @@ def is_excluded(path) -> Column:
 def _sections(diff: Column) -> Column:
     """File sections: each starts at a line beginning with ``diff --git `` and runs to the next.
 
-    Splitting ``'\n' + diff`` on the literal ``'\ndiff --git '`` (a plain
-    substring search, no look-ahead) yields the preamble and the section
-    bodies; the marker and the line break the split consumed are put back.
+    ``'\\n' + diff`` is split where ``diff --git `` follows a line break (the
+    look-behind keeps the break with the previous section); the first piece is
+    the preamble, the marker is put back on the others.  The split is
+    referenced once, so it runs once per patch.
     """
-    parts = F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\n" + SECTION_MARK, -1)
-    n = F.size(parts)
-    body = F.slice(parts, 2, F.greatest(n - 1, F.lit(0)))
-    return F.when(n > 1, F.transform(body, lambda b, i: F.concat(
-        F.lit(SECTION_MARK), b, F.when(i < n - 2, F.lit("\n")).otherwise(F.lit(""))))).otherwise(
-        F.array().cast("array<string>"))
+    parts = F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "(?<=\n)" + SECTION_MARK, -1)
+    return F.transform(F.slice(parts, 2, 1 << 30), lambda b: F.concat(F.lit(SECTION_MARK), b))
 
 
 def changed_files(patches: DataFrame, diff_col: str = "diff") -> DataFrame:

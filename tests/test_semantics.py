@@ -213,6 +213,11 @@ def test_line_edit_functions(spark):
     assert one(spark, T.line_insert(F.col("v"), 1, "new"), s) == "l1\nnew\nl2\nl3\n"
     assert one(spark, T.line_insert(F.col("v"), 9, "new"), s) == "l1\nl2\nl3\nnew\n"
     assert one(spark, T.line_insert(F.col("v"), 0, "new"), "") == "new\n"
+    py = "l1\nl2\nl3".splitlines()
+    py.insert(-1, "new")
+    assert one(spark, T.line_insert(F.col("v"), -1, "new"), s) == "\n".join(py) + "\n"
+    assert one(spark, T.line_view(F.col("v"), 2, 2), s) == "l2"
+    assert one(spark, T.line_view(F.col("v"), 3, 1), s) == ""
     assert one(spark, T.literal_replace(F.col("v"), "l.", "$1"), "l.l1") == "$1l1"
 
 
