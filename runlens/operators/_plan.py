@@ -20,17 +20,19 @@ def evaluate_once(df: DataFrame) -> DataFrame:
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input that arrives in fewer partitions than the cluster has task slots.
+    """Round-robin an input that arrives as a single split over the task slots.
 
     A small file stored as one Parquet row group is scanned as one partition,
     and row-local work on it (log parsing, regexes, Python UDFs) would then run
-    in a single task.  Large inputs already arrive in many splits and are
-    returned unchanged, so this never adds a shuffle at scale.  Counting the
-    partitions only plans the scan; it runs no job.
+    in a single task.  Only single-split inputs (at most one file split, i.e.
+    ``spark.sql.files.maxPartitionBytes`` or one row group) are spread, so the
+    extra exchange is bounded in size and never appears for large inputs,
+    which arrive in many splits.  Counting the partitions plans the scan only;
+    it runs no job.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
+        if target <= 1 or df.rdd.getNumPartitions() > 1:
             return df
     except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the plan as is
         return df
