@@ -94,3 +94,62 @@ def q_result_stats(spark, sf_dir):
     st = (F.when(~F.col("has_result"), "FAIL")
           .when(F.col("test_success"), "SUCCESS").otherwise("SKIP"))
     return runs.result_stats(v.select(st.alias("status")))
+
+
+def b1_verdict_texts(spark, sf_dir):
+    """Whole compile and test logs per lineitem row (row-local), for the text form of F10.
+
+    compile log by (k + ln) % 7: 0 compiler-plugin failure, 1 [FATAL], 2 BUILD FAILURE, else success;
+    test log: a per-class and a total surefire line, a marker by (k + ln) % 5 (0 failure, 1 none,
+    2 both, else success), and a compiler-plugin failure line when (k + ln) % 9 = 0; build-only when
+    l_partkey % 13 = 0.
+    """
+    li = B.table(spark, sf_dir, "lineitem")
+    k, ln, pk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    q = F.col("l_quantity").cast("bigint").cast("string")
+    h = k + ln
+    fail_line = F.lit("[ERROR] Failed to execute goal org.apache.maven.plugins:maven-compiler-plugin:3.11.0:compile "
+                      "(default-compile) on project x: Compilation failure")
+    compile_log = F.concat_ws(
+        "\n", F.lit("[INFO] Scanning for projects..."),
+        F.when(h % 7 == 0, fail_line).when(h % 7 == 1, F.lit("[FATAL] Non-resolvable parent POM"))
+        .when(h % 7 == 2, F.lit("[INFO] BUILD FAILURE")).otherwise(F.lit("[INFO] BUILD SUCCESS")))
+    marker = (F.when(h % 5 == 0, F.lit("[INFO] BUILD FAILURE")).when(h % 5 == 1, F.lit("[INFO] done"))
+              .when(h % 5 == 2, F.lit("[INFO] BUILD SUCCESS\n[ERROR] BUILD FAILURE"))
+              .otherwise(F.lit("[INFO] BUILD SUCCESS")))
+    test_log = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Tests run: "), q, F.lit(", Failures: "), ln.cast("string"), F.lit(", Errors: 0, Skipped: "),
+                 (pk % 3).cast("string")),
+        F.concat(F.lit("Tests run: "), q, F.lit(", Failures: 0, Errors: "), ln.cast("string"), F.lit(", Skipped: 0")),
+        marker, F.when(h % 9 == 0, fail_line))
+    return li.select(k.alias("run_id"), ln.alias("line_no"), pk.alias("part_id"),
+                     compile_log.alias("compile_log"), test_log.alias("test_log"), (pk % 13 == 0).alias("build_only"))
+
+
+@register("build_verdict_text", oracle="""
+WITH r AS (SELECT l_orderkey AS run_id, l_linenumber AS line_no, l_partkey AS part_id,
+                  CAST(l_quantity AS BIGINT) AS q, (l_orderkey + l_linenumber) AS h,
+                  (l_orderkey + l_linenumber) % 7 IN (0, 1, 2) AS cfail, l_partkey % 13 = 0 AS build_only
+           FROM lineitem),
+v AS (SELECT *, NOT cfail AND NOT build_only AS tested FROM r)
+SELECT run_id, line_no, part_id, NOT cfail AS build_success,
+       CASE WHEN tested THEN CASE WHEN h % 5 IN (2, 3, 4) THEN TRUE WHEN h % 5 = 0 THEN FALSE END END AS test_success,
+       CASE WHEN tested THEN 2 * q END AS tests_run,
+       CAST(CASE WHEN tested THEN line_no END AS BIGINT) AS failures,
+       CAST(CASE WHEN tested THEN line_no END AS BIGINT) AS errors,
+       CAST(CASE WHEN tested THEN part_id % 3 END AS BIGINT) AS skipped,
+       CASE WHEN tested THEN h % 9 = 0 END AS test_log_compile_failure
+FROM v""")
+def q_build_verdict_text(spark, sf_dir):
+    """F10 on whole compile/test log texts (one pair per lineitem row)."""
+    from runlens.operators._plan import evaluate_once
+    t = b1_verdict_texts(spark, sf_dir)
+    # The verdict struct is computed once per row, then its fields are read.
+    staged = evaluate_once(t.select("run_id", "line_no", "part_id",
+                                    M.build_verdict("compile_log", "test_log", "build_only").alias("v")))
+    return staged.select("run_id", "line_no", "part_id", F.col("v.build_success").alias("build_success"),
+                         F.col("v.test_success").alias("test_success"),
+                         *[F.col(f"v.test_results.{n}").alias(n) for n in M.TEST_COUNTER_FIELDS],
+                         F.col("v.test_log_compile_failure").alias("test_log_compile_failure"))
+
