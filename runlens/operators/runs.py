@@ -7,10 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Funnel stage names, in report order.
+# Funnel stage names (in report order) and job status names.
 FUNNEL_STAGES = ["run_job", "compile", "test", "overall"]
-# guard/job status names and codes.
-JOB_STATUS = [("FAIL", 0), ("SKIP", 1), ("SUCCESS", 2)]
+JOB_STATUSES = ["SUCCESS", "FAIL", "SKIP"]
 
 
 def funnel(runs: DataFrame, result_col: str = "has_result",
@@ -28,19 +27,15 @@ def funnel(runs: DataFrame, result_col: str = "has_result",
         F.count_if(has & F.col(build_col)).alias("build_ok"),
         F.count_if(has & F.col(test_col)).alias("test_ok"),
     )
-    return agg.select(F.expr(
-        "stack(4, 'run_job', n, ran, 'compile', ran, build_ok, "
-        "'test', build_ok, test_ok, 'overall', n, test_ok) as (stage, started, succeeded)"))
+    started_succeeded = [("n", "ran"), ("ran", "build_ok"), ("build_ok", "test_ok"), ("n", "test_ok")]
+    args = ", ".join(f"'{st}', {a}, {b}" for st, (a, b) in zip(FUNNEL_STAGES, started_succeeded))
+    return agg.select(F.expr(f"stack(4, {args}) as (stage, started, succeeded)"))
 
 
 def result_stats(results: DataFrame, status_col: str = "status") -> DataFrame:
     """A2: one row of counts per job status, zero for absent statuses."""
     s = F.col(status_col)
-    return results.agg(
-        F.count_if(s == "SUCCESS").alias("success"),
-        F.count_if(s == "FAIL").alias("fail"),
-        F.count_if(s == "SKIP").alias("skip"),
-    )
+    return results.agg(*[F.count_if(s == name).alias(name.lower()) for name in JOB_STATUSES])
 
 
 def with_results(manifest: DataFrame, results: DataFrame, key: str = "repo_name",

@@ -26,9 +26,6 @@ from runlens.session import ship_package
 ARTIFACTS = ["result.yaml", "build.log", "stdout.log", "diff.patch"]
 # Experiment directory layout: <prefix>/<YYYY-MM-DD>/<HH-MM-SS>-<name>
 EXPERIMENT_PATH_RE = "(\\d{4}-\\d{2}-\\d{2})/(\\d{2}-\\d{2}-\\d{2})-([^/]+)/?$"
-# Dataset tiers and their manifest files.
-TIERS = {"tiny": "tiny_dataset.yaml", "mini": "mini_dataset.yaml",
-         "medium": "medium_dataset.yaml", "full": "full_dataset.yaml"}
 # ---------------------------------------------------------------------------
 
 _FEATURES = StructType([StructField(n, LongType()) for n in (
