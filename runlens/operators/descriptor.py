@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.text import py_strip
+
 _DEP = "struct<groupId:string, artifactId:string, version:string, scope:string>"
 _DEPS = f"struct<dependency: array<{_DEP}>>"
 _PLUGIN = f"struct<groupId:string, artifactId:string, version:string, dependencies:{_DEPS}>"
@@ -31,8 +33,15 @@ WHERE_ORDER = ["direct", "managed", "plugin", "profile", "profile_managed", "pro
 
 
 def parse_pom(pom) -> Column:
+    """One permissive parse; element text is kept raw (stripped later, like Python's ``strip()``)."""
     c = F.col(pom) if isinstance(pom, str) else pom
-    return F.from_xml(c, POM_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.from_xml(c, POM_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+                                      "ignoreSurroundingSpaces": "false"})
+
+
+def _txt(raw: Column) -> Column:
+    """Element text as the reference reads it: no text -> NULL, else stripped."""
+    return F.when(raw != "", py_strip(raw))
 
 
 def with_parsed(descriptors: DataFrame, pom_col: str = "pom") -> DataFrame:
@@ -55,8 +64,9 @@ def _nz(arr: Column, ddl: str) -> Column:
 
 def _tag(arr: Column, where: str) -> Column:
     return _nz(F.transform(arr, lambda d: F.struct(
-        d["groupId"].alias("group_id"), d["artifactId"].alias("artifact_id"), d["version"].alias("version"),
-        d["scope"].alias("scope"), F.lit(where).alias("where_found"))), _TAGGED_DEP)
+        _txt(d["groupId"]).alias("group_id"), _txt(d["artifactId"]).alias("artifact_id"),
+        _txt(d["version"]).alias("version"), _txt(d["scope"]).alias("scope"),
+        F.lit(where).alias("where_found"))), _TAGGED_DEP)
 
 
 def _plugin_deps(plugins: Column, where: str) -> Column:
@@ -88,8 +98,8 @@ def dependencies(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 def _tag_plugins(arr: Column, where: str) -> Column:
     return _nz(F.transform(arr, lambda d: F.struct(
-        d["groupId"].alias("group_id"), d["artifactId"].alias("artifact_id"), d["version"].alias("version"),
-        F.lit(where).alias("where_found"))), _TAGGED_PLUGIN)
+        _txt(d["groupId"]).alias("group_id"), _txt(d["artifactId"]).alias("artifact_id"),
+        _txt(d["version"]).alias("version"), F.lit(where).alias("where_found"))), _TAGGED_PLUGIN)
 
 
 def plugins(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,8 +116,10 @@ def plugins(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def modules(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """module names (stripped) in order; F13 = at least a ``modules`` element."""
-    mods = F.coalesce(F.col("_p.modules.module"), F.array().cast("array<string>"))
+    """module names in order: modules without text are skipped, the others stripped
+    (a whitespace-only name becomes ''); F13 = at least a ``modules`` element."""
+    raw = F.coalesce(F.col("_p.modules.module"), F.array().cast("array<string>"))
+    mods = F.transform(F.filter(raw, lambda m: m != ""), lambda m: py_strip(m))
     return parsed.select(*keys, F.posexplode(mods).alias("module_pos", "module"))
 
 

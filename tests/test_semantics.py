@@ -198,6 +198,11 @@ def test_descriptor_dependencies_aligned(spark):
     plugins = [(r.group_id, r.artifact_id) for r in D.plugins(parsed, ["id"]).collect()]
     assert plugins == [(None, "p")]
     assert [r.module for r in D.modules(parsed, ["id"]).collect()] == ["m1"]
+    odd = D.with_parsed(spark.createDataFrame(
+        [(3, "<project><modules><module></module><module>  </module><module>\n b \n</module></modules></project>"),
+         (4, "<project><modules/></project>")], "id long, pom string"))
+    assert [r.module for r in D.modules(odd, ["id"]).orderBy("module_pos").collect()] == ["", "b"]
+    assert {r.id: r.multi_module for r in D.is_multi_module(odd, ["id"]).collect()} == {3: True, 4: True}
     flags = {r.id: (r.parsed, r.has_namespace) for r in parsed.select("id", "parsed", "has_namespace").collect()}
     assert flags == {1: (True, True), 2: (False, False)}
     policy = spark.createDataFrame([("g", "a", "1"), (None, "p", "1")], "group_id string, artifact_id string, "
