@@ -94,13 +94,20 @@ def with_tier(manifest: DataFrame) -> DataFrame:
 
 def tier_subset_report(manifest_tiers: DataFrame, base_tier: str = "full",
                        key: tuple[str, ...] = ("repo_name", "commit")) -> DataFrame:
-    """Per tier, rows and rows that are not in the base tier (anti join on the key)."""
-    base = manifest_tiers.filter(F.col("tier") == base_tier).select(*key).distinct()
-    missing = manifest_tiers.join(base, list(key), "left_anti").groupBy("tier").agg(
-        F.count(F.lit(1)).alias("not_in_base"))
-    sizes = manifest_tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("n_rows"))
-    return sizes.join(missing, "tier", "left").select(
-        "tier", "n_rows", F.coalesce("not_in_base", F.lit(0)).alias("not_in_base"))
+    """Per tier, rows and rows whose key is not in the base tier.
+
+    One scan, no join: rows are first counted per (key, tier), so a key has at
+    most one row per tier; per key the tiers (a handful) tell whether the base
+    tier holds it; then the counts are summed per tier.  Both aggregates
+    combine partially before their shuffle, so a repeated key stays cheap.
+    """
+    per = manifest_tiers.groupBy(*key, "tier").agg(F.count(F.lit(1)).alias("n"))
+    per_key = per.groupBy(*key).agg(F.collect_list(F.struct("tier", "n")).alias("t"))
+    flagged = per_key.select(F.exists("t", lambda x: x["tier"] == base_tier).alias("in_base"),
+                             F.explode("t").alias("x"))
+    return flagged.groupBy(F.col("x.tier").alias("tier")).agg(
+        F.sum("x.n").alias("n_rows"),
+        F.sum(F.when(~F.col("in_base"), F.col("x.n")).otherwise(F.lit(0))).alias("not_in_base"))
 
 
 _BUILD = StructType([
