@@ -20,19 +20,18 @@ def evaluate_once(df: DataFrame) -> DataFrame:
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input that arrives as a single split over the task slots.
-
-    A small file stored as one Parquet row group is scanned as one partition,
-    and row-local work on it (log parsing, regexes, Python UDFs) would then run
-    in a single task.  Only single-split inputs (at most one file split, i.e.
-    ``spark.sql.files.maxPartitionBytes`` or one row group) are spread, so the
-    extra exchange is bounded in size and never appears for large inputs,
-    which arrive in many splits.  Counting the partitions plans the scan only;
-    it runs no job.
+    """Round-robin an input that arrives in fewer splits than there are task slots.
+
+    Used by the bridges that read the driver tables: each is a single Parquet
+    row group, so although Spark cuts the file into byte ranges, one task reads
+    all rows and every row-local stage after it (log parsing, regexes, Python
+    UDFs) would run in that one task.  The library operators never call it.
+    An input with at least as many splits as slots is returned unchanged.
+    Counting the splits plans the scan only; it runs no job.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if target <= 1 or df.rdd.getNumPartitions() > 1:
+        if target <= 1 or df.rdd.getNumPartitions() >= target:
             return df
     except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the plan as is
         return df
