@@ -29,12 +29,23 @@ def path_extension(path) -> Column:
     return F.regexp_extract(base, "^.*[^.].*(\\.[^.]*)$", 1)
 
 
+def _excluded_re() -> str:
+    import re
+    dirs = "|".join(re.escape(d) for d in EXCLUDED_DIRS)
+    exts = "|".join(re.escape(e.lstrip(".")) for e in EXCLUDED_EXTS)
+    # A path part equal to an excluded folder, or a last dot-segment of the base name
+    # (with a non-dot character before it, as splitext requires) in the list, any case.
+    return f"(^|/)({dirs})(/|$)|[^/.][^/]*\\.(?i:{exts})$"
+
+
 def is_excluded(path) -> Column:
-    """Any path part named ``target``, or a build-output extension (case-insensitive)."""
+    """Any path part named ``target``, or a build-output extension (case-insensitive).
+
+    One ``rlike`` encodes both rules (``os.path.splitext`` semantics for the
+    extension), so the check stays cheap inside per-section lambdas.
+    """
     c = F.col(path) if isinstance(path, str) else path
-    in_dir = F.arrays_overlap(F.split(c, "/"), F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
-    ext = F.lower(path_extension(c))
-    return in_dir | ext.isin(*EXCLUDED_EXTS)
+    return c.rlike(_excluded_re())
 
 
 def _bodies(diff: Column) -> Column:

@@ -58,3 +58,24 @@ def test_guard_lookups_broadcast_small_sides(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in final and "LeftSemi" in final and "LeftOuter" in final
+
+
+path_parts = st.lists(st.sampled_from(["target", "targets", "src", ".git", "a.b", "..", ".", "x.JAR", "y.jar.tmp",
+                                       "z.Class", ".tmp", "..jar", "a..war", "b.ear.bak", "lib"]),
+                      min_size=1, max_size=5)
+
+
+def _py_excluded(p):
+    import os
+    if any(part == "target" for part in p.split("/")):
+        return True
+    return os.path.splitext(p)[1].lower() in {".class", ".jar", ".war", ".ear", ".tmp"}
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(path_parts, min_size=1, max_size=30))
+def test_patch_exclusion_matches_python(spark, paths):
+    from runlens.operators.patch import is_excluded
+    ps = ["/".join(x) for x in paths]
+    got = [r.e for r in spark.createDataFrame([(p,) for p in ps], "p string").select(is_excluded("p").alias("e")).collect()]
+    assert got == [_py_excluded(p) for p in ps], list(zip(ps, got))
