@@ -36,3 +36,38 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the plan as is
         return df
     return df.repartition(target)
+
+
+def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, out_col: str,
+                inclusive: bool = False, n_ranges: int | None = None) -> DataFrame:
+    """Running sum of ``value_col`` per group in ``order_cols`` order, safe for hot groups.
+
+    A plain window partitioned by the group puts a group holding a third of
+    all rows into one task.  Here the (group, order) key space is cut into
+    balanced ranges with ``repartitionByRange``; level 1 sums each (group,
+    range) and takes a running sum over those few rows per group; level 2 is a
+    window inside each (group, range), never larger than one range partition.
+    The range id of a row must agree in both levels, and Spark's range sampler
+    may choose other bounds if the exchange is recomputed, so the narrow key
+    table is checkpointed once into the shared checkpoint folder.
+    Returns ``df`` with ``out_col`` added (exclusive by default).
+    """
+    from pyspark.sql import Window
+
+    from runlens.session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = (df.select(*group_cols, *order_cols, F.col(value_col).alias("_v"))
+              .repartitionByRange(n, *group_cols, *order_cols)
+              .withColumn("_rng", F.spark_partition_id())
+              .checkpoint(eager=True))
+    totals = keys.groupBy(*group_cols, "_rng").agg(F.sum("_v").alias("_t"))
+    w_rng = Window.partitionBy(*group_cols).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group_cols, "_rng", F.coalesce(F.sum("_t").over(w_rng), F.lit(0)).alias("_start"))
+    end = Window.currentRow if inclusive else -1
+    w_in = Window.partitionBy(*group_cols, "_rng").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    local = keys.withColumn("_local", F.coalesce(F.sum("_v").over(w_in), F.lit(0)))
+    sums = local.join(starts, [*group_cols, "_rng"]).select(
+        *group_cols, *order_cols, (F.col("_start") + F.col("_local")).alias(out_col))
+    return df.join(sums, [*group_cols, *order_cols])

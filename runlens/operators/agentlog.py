@@ -200,3 +200,38 @@ def parse_log_headers(df: DataFrame, log_col: str = "log") -> DataFrame:
     other = [c for c in df.columns if c != log_col]
     staged = _pieces(df, log_col)
     return staged.select(*other, *_header_fields(F.col("_hlines")), F.size("_steps").alias("n_steps"))
+
+
+def parse_agent_log_lines(lines: DataFrame, run_col: str = "run_id", pos_col: str = "pos",
+                          line_col: str = "line", n_ranges: int | None = None) -> DataFrame:
+    """X3 for logs held as lines ``(run, position, line)``, e.g. read with ``spark.read.text``.
+
+    The in-row parser keeps a whole log in one row, so one enormous log stays
+    in one task.  Here each line's step number is the running count of
+    delimiter lines before it, computed with ``running_sum`` (two levels over
+    range partitions), so a run holding a third of all lines is spread over
+    many tasks.  Each step's lines are then joined back into its text, one
+    group per (run, step), and parsed by ``parse_steps``; a step is the unit
+    the output describes (its sections are strings).  Header lines (before
+    the first delimiter) give the header fields, joined on the run key.
+    Delimiters are recognised per line.
+    """
+    from runlens.operators._plan import running_sum
+    flagged = lines.select(run_col, pos_col, line_col,
+                           F.col(line_col).rlike(f"(?dU)^{STEP_DELIM_RE}").cast("bigint").alias("_d"))
+    numbered = running_sum(flagged, [run_col], [pos_col], "_d", "_step", inclusive=True, n_ranges=n_ranges)
+    texts = numbered.groupBy(run_col, "_step").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(line_col).alias("l")))),
+        lambda x: x["l"]), "\n").alias("_text"))
+    # A step's text runs up to the next delimiter, so every part but the run's last
+    # ends with a line break (it matters to splitlines when the last line is empty).
+    last = texts.groupBy(run_col).agg(F.max("_step").alias("_last"))
+    texts = texts.join(last, run_col).withColumn(
+        "_text", F.concat("_text", F.when(F.col("_step") < F.col("_last"), F.lit("\n")).otherwise(F.lit(""))))
+    headers = evaluate_once(texts.filter(F.col("_step") == 0).select(
+        run_col, splitlines(F.col("_text")).alias("_hlines")))
+    headers = headers.select(run_col, *_header_fields(F.col("_hlines")))
+    steps = texts.filter(F.col("_step") > 0).select(
+        run_col, (F.col("_step") - 1).cast("int").alias("step_pos"), F.col("_text").alias("step_text"))
+    parsed = parse_steps(steps).drop("step_text")
+    return parsed.join(headers, run_col, "left")

@@ -18,7 +18,7 @@ the corpus is produced in a layout that any repository size survives:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import file_with_header
@@ -52,35 +52,15 @@ def corpus_layout(pieces: DataFrame, repo_col: str = "repo", path_col: str = "pa
                   n_ranges: int | None = None) -> DataFrame:
     """A7 layout: each piece's start ``offset`` in its repository's packed corpus.
 
-    Level 1: ``repartitionByRange(repo, path)`` cuts the (repo, path) order into
-    balanced ranges; per (repo, range) totals form a small table whose running
-    sum (window over at most ``n_ranges`` rows per repo) gives each range's
-    start.  Level 2: running sum inside each (repo, range) group, whose size
-    is bounded by one range partition.  No group is larger than a partition.
-
-    The range id of a key must be the same in both levels, but Spark's range
-    sampler may pick other bounds when the exchange is recomputed, so the small
-    key table (repo, path, length, range) is checkpointed once into the shared
-    checkpoint folder and both levels read that copy; the offsets are then
-    joined back to the pieces on the unique (repo, path) key.
+    The offset is the running sum of the preceding pieces' lengths (+1 for the
+    joining '\\n') in path order, computed by ``running_sum`` in two levels
+    over range partitions, so a repository holding a third of all files is
+    spread over many tasks instead of one window partition.
     """
-    from runlens.session import checkpoint_dir
-    spark = pieces.sparkSession
-    checkpoint_dir(spark)
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (pieces.select(repo_col, path_col, (F.length("piece").cast("bigint") + 1).alias("_len"))  # +1: joining '\n'
-                  .repartitionByRange(n, repo_col, path_col)
-                  .withColumn("_rng", F.spark_partition_id())
-                  .checkpoint(eager=True))
-    totals = keys.groupBy(repo_col, "_rng").agg(F.sum("_len").alias("_rng_len"))
-    w_rng = Window.partitionBy(repo_col).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(repo_col, "_rng", F.coalesce(F.sum("_rng_len").over(w_rng), F.lit(0)).alias("_rng_start"))
-    w_in = Window.partitionBy(repo_col, "_rng").orderBy(path_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = keys.withColumn("_local", F.coalesce(F.sum("_len").over(w_in), F.lit(0)))
-    offsets = local.join(starts, [repo_col, "_rng"]).select(
-        repo_col, path_col, (F.col("_rng_start") + F.col("_local")).alias("offset"))
-    return pieces.join(offsets, [repo_col, path_col]).select(
-        repo_col, path_col, "offset", F.length("piece").cast("bigint").alias("piece_chars"), "piece")
+    from runlens.operators._plan import running_sum
+    sized = pieces.withColumn("_len", F.length("piece").cast("bigint") + 1)
+    out = running_sum(sized, [repo_col], [path_col], "_len", "offset", n_ranges=n_ranges)
+    return out.select(repo_col, path_col, "offset", F.length("piece").cast("bigint").alias("piece_chars"), "piece")
 
 
 def corpus_summary(pieces: DataFrame, repo_col: str = "repo") -> DataFrame:

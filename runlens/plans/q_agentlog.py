@@ -78,7 +78,7 @@ q AS (SELECT *, (conv_id + turn + j) % 5 AS kind, (conv_id + j) % 11 AS mk, (con
 _MARKERS_SQL = "[" + ", ".join("'" + m + "'" for m in B2_MARKERS) + "]"
 
 
-@register("agent_steps", oracle=_PARAS + f"""
+_AGENT_STEPS_SQL = _PARAS + f"""
 SELECT run_id, j AS step_pos, CAST(j + 1 AS INTEGER) AS header_step,
        '{RUN_HEADER}' AS run_header,
        'Conversation ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) || ' by ' || role AS description,
@@ -97,13 +97,29 @@ SELECT run_id, j AS step_pos, CAST(j + 1 AS INTEGER) AS header_step,
        CASE WHEN has_meta THEN CAST(j AS DOUBLE) + 0.25 ELSE CAST(0 AS DOUBLE) END AS duration,
        CAST(CASE WHEN has_meta THEN length(p) * 1000 ELSE 0 END AS BIGINT) AS input_tokens,
        CAST(CASE WHEN has_meta THEN turn ELSE 0 END AS BIGINT) AS output_tokens
-FROM q""")
+FROM q"""
+
+
+@register("agent_steps", oracle=_AGENT_STEPS_SQL)
 def q_agent_steps(spark, sf_dir):
     steps = agentlog.parse_agent_logs(b3_agent_logs(spark, sf_dir))
     return steps.select("run_id", "step_pos", "header_step", "run_header", "description", "model_info",
                         "code", "warnings", "execution_logs", "out", "raw_text", "meta.*")
 
 
+def b3_agent_log_lines(spark, sf_dir):
+    """B3 logs as lines (run_id, pos, line), the shape ``spark.read.text`` gives."""
+    logs = b3_agent_logs(spark, sf_dir)
+    return logs.select("run_id", F.posexplode(F.split("log", "\n", -1)).alias("pos", "line"))
+
+
+def q_agent_steps_lines(spark, sf_dir):
+    """X3 over logs held as lines (skew-safe step numbering); same answer as ``agent_steps``."""
+    steps = agentlog.parse_agent_log_lines(b3_agent_log_lines(spark, sf_dir))
+    return steps.select("run_id", "step_pos", "header_step", "run_header", "description", "model_info",
+                        "code", "warnings", "execution_logs", "out", "raw_text", "meta.*")
+
+
 @register("log_header", oracle="""
 SELECT conv_id * 100 + turn AS run_id,
        'Conversation ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) || ' by ' || role AS description,
@@ -171,3 +187,6 @@ def q_experiment_data(spark, sf_dir):
                                                   F.col("p_size").alias("number_of_modules"),
                                                   F.col("p_brand").alias("license"))
     return runs.experiment_data(art, heads, feats, key="run_id")
+
+
+register("agent_steps_lines", oracle=_AGENT_STEPS_SQL)(q_agent_steps_lines)

@@ -210,3 +210,18 @@ def test_random_logs_match_restatement(spark):
         mine = (row.header_step, row.code, row.warnings, row.execution_logs, row.out, row.raw_text,
                 (row.meta.step_number, row.meta.duration, row.meta.input_tokens, row.meta.output_tokens))
         assert mine == s, (logs[i], n)
+
+
+def test_line_form_matches_in_row_form(spark):
+    from pyspark.sql import functions as F
+    r = random.Random(11)
+    logs = [_random_log(r) for _ in range(150)]
+    # One hot run holding most of the lines, to exercise several ranges of one run.
+    logs.append("\n".join(f"{BAR} Step {i} {BAR}\nExecution logs:\nline {i}\nOut: {i}" for i in range(1, 400)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(logs)], "run_id long, log string")
+    lines = df.select("run_id", F.posexplode(F.split("log", "\n", -1)).alias("pos", "line"))
+    cols = ["run_id", "step_pos", "header_step", "run_header", "description", "model_info", "code", "warnings",
+            "execution_logs", "out", "raw_text", "meta"]
+    a = sorted(tuple(x) for x in agentlog.parse_agent_logs(df).select(*cols).collect())
+    b = sorted(tuple(x) for x in agentlog.parse_agent_log_lines(lines, n_ranges=8).select(*cols).collect())
+    assert a == b
