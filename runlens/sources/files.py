@@ -238,6 +238,21 @@ def read_build_log_lines(spark: SparkSession, root: str, name: str = "build.log"
                      F.col("value").alias("line"))
 
 
+def read_agent_log_lines(spark: SparkSession, root: str, name: str = "stdout.log") -> DataFrame:
+    """Agent logs as lines (repo_dir, pos, line) for ``parse_agent_log_lines``.
+
+    ``pos`` orders the lines of a file: the start of the file split a line
+    was read from, then the row order inside that split
+    (``monotonically_increasing_id`` grows within a partition).  A large log is
+    read by many tasks.
+    """
+    df = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", "true").text(root)
+    return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("repo_dir"),
+                     F.struct(F.col("_metadata.file_block_start").alias("block"),
+                              F.monotonically_increasing_id().alias("row")).alias("pos"),
+                     F.col("value").alias("line"))
+
+
 # ---------------------------------------------------------------- sinks
 def write_run_records(runs: DataFrame, out: str, partition_col: str = "experiment") -> None:
     """K1: store run records: ANSI codes removed from stdout (F5), patch ends in '\\n' (F9),

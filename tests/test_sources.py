@@ -155,3 +155,22 @@ def test_report_sinks(spark):
     assert spark.read.json(out + "/guard/summary").collect()[0].cov_guard_pass_rate == 1.0
     S.write_nested_results(g.select("repo", F.struct("status", "cov_before").alias("r")), out + "/nested")
     assert spark.read.json(out + "/nested").collect()[0].r.status == "SUCCESS"
+
+
+def test_agent_log_lines_from_files(spark):
+    from runlens.operators import agentlog
+    root = tempfile.mkdtemp(prefix="runlens-logs-")
+    bar = "━" * 10
+    log = "\n".join(["╭── New run ──╮", "│ task │"] +
+                    [f"{bar} Step {i} {bar}\nExecution logs:\n" + "x" * 50 + f"\nOut: {i}" for i in range(1, 300)])
+    _write(root, "own_a/stdout.log", log + "\n")
+    # Small splits force one log over several tasks.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = S.read_agent_log_lines(spark, root)
+        got = agentlog.parse_agent_log_lines(lines.withColumnRenamed("repo_dir", "run_id"), n_ranges=4)
+        rows = sorted((r.step_pos, r.out, r.execution_logs) for r in got.collect())
+        assert lines.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == [(i - 1, str(i), "x" * 50) for i in range(1, 300)]
