@@ -41,7 +41,8 @@ def report_counters(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
     and NULL counters: the reference skips them and goes on.
     """
     ship_package(reports.sparkSession)
-    staged = evaluate_once(reports.withColumn("_c", X.coverage_counters(xml_col)))
+    # The report text is dropped before the one-row generator, so it is not copied again.
+    staged = evaluate_once(reports.withColumn("_c", X.coverage_counters(xml_col)).drop(xml_col))
     names = ("line_missed", "line_covered", "method_missed", "method_covered")
     valid = F.coalesce(F.col("_c.message") == X.WELL_FORMED_MSG, F.lit(False))
     return staged.select(*[x for x in reports.columns if x != xml_col], valid.alias("valid"),
