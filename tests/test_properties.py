@@ -79,3 +79,21 @@ def test_patch_exclusion_matches_python(spark, paths):
     ps = ["/".join(x) for x in paths]
     got = [r.e for r in spark.createDataFrame([(p,) for p in ps], "p string").select(is_excluded("p").alias("e")).collect()]
     assert got == [_py_excluded(p) for p in ps], list(zip(ps, got))
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), st.integers(0, 50)), min_size=1,
+                max_size=300),
+       st.booleans(), st.sampled_from([1, 3, 8]))
+def test_running_sum_matches_python(spark, rows, inclusive, n_ranges):
+    from runlens.operators._plan import running_sum
+    data = [(g, i, v) for i, (g, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "g string, pos long, v long")
+    got = {(r.g, r.pos): r.s for r in running_sum(df, ["g"], ["pos"], "v", "s", inclusive=inclusive,
+                                                   n_ranges=n_ranges).collect()}
+    want, acc = {}, {}
+    for g, pos, v in data:
+        before = acc.get(g, 0)
+        want[(g, pos)] = before + v if inclusive else before
+        acc[g] = before + v
+    assert got == want
