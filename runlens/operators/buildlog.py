@@ -63,13 +63,13 @@ def attach_verdict(runs: DataFrame, inputs: DataFrame, run_col: str = "run_id",
                .when(F.col("t_fail") | F.col("t_fatal"), F.lit(False))
                .otherwise(F.lit(None).cast("boolean")))
     has_counts = tested & (F.coalesce(F.col("t_matches"), F.lit(0)) > 0)
-    out = (j.withColumn("build_success", ~failed)
-            .withColumn("test_success", F.when(tested, outcome))
-            .withColumn("test_log_compile_failure", F.when(tested, F.coalesce(F.col("t_cfail"), F.lit(False)))))
-    for name in M.TEST_COUNTER_FIELDS:
-        out = out.withColumn(name, F.when(has_counts, F.col(f"t_{name}")))
-    return out.drop("c_fail", "t_succ", "t_fail", "t_fatal", "t_cfail", "t_matches",
-                    *[f"t_{n}" for n in M.TEST_COUNTER_FIELDS])
+    # One projection (not a chain of withColumn calls, each of which re-analyses the plan).
+    return j.select(
+        *runs.columns,
+        (~failed).alias("build_success"),
+        F.when(tested, outcome).alias("test_success"),
+        F.when(tested, F.coalesce(F.col("t_cfail"), F.lit(False))).alias("test_log_compile_failure"),
+        *[F.when(has_counts, F.col(f"t_{n}")).alias(n) for n in M.TEST_COUNTER_FIELDS])
 
 
 def build_result_struct(df: DataFrame, build_time_col: str | None = None) -> DataFrame:

@@ -14,9 +14,27 @@ from pyspark.sql import functions as F
 from runlens.operators._plan import ensure_parallelism
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the task slots when it arrives as too few splits."""
-    return ensure_parallelism(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A driver table, spread over the task slots when it arrives as too few splits.
+
+    The DataFrame (a lazy plan; no data is cached) is reused within one
+    application, so the file is listed and its footer read once, not at every
+    reference inside a query.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        key = (spark.sparkContext.applicationId, path)
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect): no reuse
+        key = None
+    if key is not None and key in _TABLES:
+        return _TABLES[key]
+    df = ensure_parallelism(spark.read.parquet(path), cache_key=path)
+    if key is not None:
+        _TABLES[key] = df
+    return df
 
 
 def _s(c) -> F.Column:
