@@ -57,3 +57,25 @@ FROM ({_PIECES_SQL}) GROUP BY repo""")
 def q_corpus_summary(spark, sf_dir):
     """Q5 summary: files and packed length per repository."""
     return CO.corpus_summary(CO.corpus_pieces(b7_source_files(spark, sf_dir)))
+
+
+@register("corpus_written", oracle=f"""
+SELECT repo, CAST(COUNT(*) AS BIGINT) AS n_files, CAST(SUM(length(piece)) + COUNT(*) - 1 AS BIGINT) AS total_chars
+FROM ({_PIECES_SQL}) GROUP BY repo""")
+def q_corpus_written(spark, sf_dir):
+    """A7 sink round trip: corpora written per repository as ordered part files, read back and measured.
+
+    Each part file is read whole; its length and header count are summed per
+    repository (partial aggregation), minus the one trailing line break the
+    text writer adds after the last piece.
+    """
+    import uuid
+    from runlens.session import checkpoint_dir
+    out = f"{checkpoint_dir(spark).rstrip('/')}/runlens-io/corpus-{uuid.uuid4().hex[:12]}"
+    CO.write_corpus(CO.corpus_pieces(b7_source_files(spark, sf_dir)), out)
+    back = spark.read.text(out, wholetext=True)
+    per_file = back.select(F.col("repo"), F.length("value").alias("n"),
+                           (F.size(F.split("value", "\\n--- File: ", -1)) - 1).alias("h"))
+    agg = per_file.groupBy("repo").agg(F.sum("h").alias("n_files"), F.sum("n").alias("chars"))
+    return agg.select("repo", F.col("n_files").cast("bigint").alias("n_files"),
+                      (F.col("chars") - 1).cast("bigint").alias("total_chars"))
