@@ -46,3 +46,12 @@ def test_corpus_layout_skewed_repo_matches_brute_force(spark):
             want[(repo, path)] = off
             off += len(piece) + 1
     assert got == want
+
+
+def test_ensure_parallelism_only_spreads_narrow_inputs(spark):
+    from runlens.operators._plan import ensure_parallelism
+    wide = spark.range(100).repartition(8)
+    assert ensure_parallelism(wide, min_partitions=4) is wide
+    narrow = spark.range(100).coalesce(1)
+    spread = ensure_parallelism(narrow, min_partitions=4)
+    assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
