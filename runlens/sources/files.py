@@ -160,7 +160,12 @@ def scan_run_artifacts(spark: SparkSession, job_results_dir: str, compat: bool =
     ship_package(spark)
     pattern = f"{job_results_dir.rstrip('/')}/*/{{{','.join(ARTIFACTS)}}}"
     n = max(spark.sparkContext.defaultParallelism, 1)
-    files = spark.createDataFrame(spark.sparkContext.wholeTextFiles(pattern, minPartitions=n), "path string, text string")
+    rdd = spark.sparkContext.wholeTextFiles(pattern, minPartitions=n)
+    try:
+        empty = rdd.isEmpty()          # a one-element probe; a glob matching nothing raises here
+    except Exception:  # noqa: BLE001 - missing root or no artefact at all: an empty scan, not an error
+        empty = True
+    files = spark.createDataFrame([] if empty else rdd, "path string, text string")
     parts = files.select(
         F.regexp_extract("path", "([^/]+)/([^/]+)$", 1).alias("repo_dir"),
         F.regexp_extract("path", "([^/]+)$", 1).alias("artifact"), "text")

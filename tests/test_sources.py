@@ -174,3 +174,10 @@ def test_agent_log_lines_from_files(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert rows == [(i - 1, str(i), "x" * 50) for i in range(1, 300)]
+
+
+def test_run_artifact_scan_empty_root(spark):
+    root = tempfile.mkdtemp(prefix="runlens-empty-")
+    df = S.scan_run_artifacts(spark, root)
+    assert df.count() == 0 and "migration_result" in df.columns
+    assert S.scan_run_artifacts(spark, root + "/missing").count() == 0
