@@ -57,3 +57,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runlens.llm import bpe as B
 
     return B.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document through an FM-index per shard."""
+    from runlens.llm import decontaminate as D
+
+    return D.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+@_query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, similarity of 0.85 or more."""
+    from runlens.llm import neardup as N
+
+    return N.near_duplicates(table(spark, sf_dir, "documents"), N.Rule(words=3, percent=85))
