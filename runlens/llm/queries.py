@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm._common import table
+from runlens.llm._common import table, written
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -73,3 +73,52 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from runlens.llm import neardup as N
 
     return N.near_duplicates(table(spark, sf_dir, "documents"), N.Rule(words=3, percent=85))
+
+
+@_query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base patterns and identifiers found by bootstrapped context."""
+    from runlens.llm import pii as P
+
+    return P.personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest of every twentieth vector among all others."""
+    from runlens.llm import ann as A
+
+    return A.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@_query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list entries that were active when it was fetched."""
+    from runlens.llm import urlfilter as U
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return U.judge(U.derived_captures(pages), U.derived_listings(pages))
+
+
+#: A conversation whose texts hold the default template's own marks.
+MARKS = (-7, "\\### Assistant: </turn> ok")
+
+
+@_query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted by a compiled template, written, and read back from the formatted text."""
+    from runlens.llm import chat as C
+
+    conv_id, text = MARKS
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    more = spark.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, "assistant", text)], turns.schema)
+    return C.read_back(written(C.format_conversations(turns.union(more)), "formatted"))
+
+
+def _oracles() -> dict[str, str]:
+    from runlens.llm import urlfilter
+
+    return {"op5_url_filter": urlfilter.ORACLE}
+
+
+ORACLES.update(_oracles())
