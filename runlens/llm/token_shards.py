@@ -26,7 +26,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +47,25 @@ class WaveletMatrix:
     """Bit-planes of a sequence of token ids with rank directories (popcounts in front of each 64-bit word)."""
 
     def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.bits, self._packed = n, len(planes), planes
-        self._words, self._before, self._zeros = [], [], []
-        for plane in planes:
-            raw = np.zeros((n // 64 + 1) * 8, dtype=np.uint8)
+        self.n, self.bits, self.planes = n, len(planes), planes
+
+    @cached_property
+    def _words(self) -> list[np.ndarray]:
+        """The planes in 64-bit words, and a spare one for the place behind the end."""
+        out = []
+        for plane in self.planes:
+            raw = np.zeros((self.n // 64 + 1) * 8, dtype=np.uint8)
             raw[:len(plane)] = plane
-            words = raw.view(">u8").astype(np.uint64)
-            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64)))
-            self._words.append(words)
-            self._before.append(ones)
-            self._zeros.append(n - int(ones[-1]))
+            out.append(raw.view(">u8").astype(np.uint64))
+        return out
+
+    @cached_property
+    def _before(self) -> list[np.ndarray]:
+        return [np.concatenate(([0], np.cumsum(np.bitwise_count(w), dtype=np.int64))) for w in self._words]
+
+    @cached_property
+    def _zeros(self) -> list[int]:
+        return [self.n - int(np.bitwise_count(p).sum(dtype=np.int64)) for p in self.planes]
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -131,7 +140,7 @@ class WaveletMatrix:
         """All ids in order: the partitions undone from the deepest plane upwards."""
         now = np.zeros(self.n, dtype=np.uint32 if self.bits > 16 else np.uint16)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self._packed[level], count=self.n)
+            bit = np.unpackbits(self.planes[level], count=self.n)
             out = np.empty_like(now)
             zeros = self._zeros[level]
             out[np.flatnonzero(bit == 0)] = now[:zeros]
@@ -139,10 +148,6 @@ class WaveletMatrix:
             now = out
         return now
 
-    @property
-    def planes(self) -> list[np.ndarray]:
-        return self._packed
-
 
 def pack_image(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
     matrix = WaveletMatrix.build(ids, bits)
@@ -177,7 +182,8 @@ def open_image(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
 
 # ------------------------------------------------------------------ encoding
 
-_GENERATION = 250_000
+_GENERATION = 400_000
+_ENCODE_BYTES = 8 << 20      # text that is cut into slices at once; each distinct slice is looked up once
 _GAP, _LETTER, _NUMBER, _OTHER = range(4)
 
 
@@ -332,7 +338,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFram
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         tail = b"" if end_id is None else np.array([end_id], dtype=tok.dtype).tobytes()
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=_ENCODE_BYTES):
             raw = [x.tobytes() + tail for x in tok.encode([t or "" for t in part.column("text").to_pylist()])]
             keys = part.column("doc_id").cast(pa.int64())
             at = np.searchsorted(cuts, np.array([_NULL_ID if k is None else k for k in keys.to_pylist()],
