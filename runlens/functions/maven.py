@@ -101,14 +101,18 @@ def test_counters(log) -> Column:
     For logs held as lines, ``runlens.operators.buildlog`` sums matches with
     plain aggregates instead.
     """
-    log = _col(log)
-    fields = []
-    for i, name in enumerate(TEST_COUNTER_FIELDS, start=1):
-        vals = F.regexp_extract_all(log, F.lit(TEST_COUNTER_RE), F.lit(i))
-        total = F.aggregate(vals, F.lit(0).cast("bigint"), lambda acc, x: F.try_add(acc, x.try_cast("bigint")))
-        fields.append(total.alias(name))
-    n = F.size(F.regexp_extract_all(log, F.lit(TEST_COUNTER_RE), F.lit(1)))
-    return F.when(n > 0, F.struct(*fields))
+    from runlens.operators._plan import let
+
+    def sums(found: Column) -> Column:
+        fields = []
+        for i, name in enumerate(TEST_COUNTER_FIELDS, start=1):
+            total = F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, x: F.try_add(
+                acc, F.regexp_extract(x, TEST_COUNTER_RE, i).try_cast("bigint")))
+            fields.append(total.alias(name))
+        return F.when(F.size(found) > 0, F.struct(*fields))
+
+    # One pass over the log; the numbers are read from the short matches.
+    return let(F.regexp_extract_all(_col(log), F.lit(TEST_COUNTER_RE), F.lit(0)), sums)
 
 
 def build_verdict(compile_log, test_log, build_only=None) -> Column:

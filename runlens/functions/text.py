@@ -18,6 +18,8 @@ SPLITLINES_RE = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 ANSI_RE = "\u001b[@-_][0-?]*[ -/]*[@-~]"
 # Python str.isspace() characters (Java's Unicode \s plus the \x1c-\x1f separators)
 PY_SPACE = "[\\s\u001c-\u001f]"
+PY_SPACE_CHARS = ("\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+                  "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # Header put before each file of a packed corpus
 FILE_HEADER_PREFIX = "\n--- File: "
 FILE_HEADER_SUFFIX = " ---\n"
@@ -33,20 +35,13 @@ def _col(c) -> Column:
 
 
 def py_strip(s) -> Column:
-    """Python ``str.strip()``: remove all Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(s), f"(?U)^{PY_SPACE}+|{PY_SPACE}+$", "")
-
-
-def py_lstrip_chars(s, chars: str) -> Column:
-    """Python ``str.lstrip(chars)`` for a literal set of characters."""
-    cls = "".join("\\" + c if c in "\\^-[]" else c for c in chars)
-    return F.regexp_replace(_col(s), f"^[{cls}]+", "")
+    """Python ``str.strip()``: remove all Unicode whitespace at both ends (linear in the text's length)."""
+    return F.btrim(_col(s), F.lit(PY_SPACE_CHARS))
 
 
 def py_strip_chars(s, chars: str) -> Column:
     """Python ``str.strip(chars)`` for a literal set of characters."""
-    cls = "".join("\\" + c if c in "\\^-[]" else c for c in chars)
-    return F.regexp_replace(_col(s), f"^[{cls}]+|[{cls}]+$", "")
+    return F.btrim(_col(s), F.lit(chars))
 
 
 def splitlines(s) -> Column:
@@ -104,12 +99,12 @@ def line_view(s, start, end) -> Column:
     """lines [start, end] (1-based, inclusive), ``end = -1`` = to the end, joined by '\\n'.
 
     Like the reference, a start below 1 is clamped to 1 and an end past the
-    last line stops at the last line.
+    last line stops at the last line.  An end below -1 is rejected: NULL.
     """
     st = F.greatest(_lit(start), F.lit(1))
     e = _lit(end)
     kept = F.filter(splitlines(s), lambda x, i: (i + 1 >= st) & ((e == -1) | (i + 1 <= e)))
-    return F.array_join(kept, "\n")
+    return F.when(e >= -1, F.array_join(kept, "\n"))
 
 
 def literal_replace(s, old: str, new: str) -> Column:

@@ -1,11 +1,9 @@
-"""XML column functions: well-formedness (F17), coverage counters (A4),
-Maven descriptor queries (F13-F16).
-
-Spark's ``xpath*`` functions raise on malformed input and would fail the
-whole job, so every XPath use is guarded by ``xml_ok`` inside ``when``.  The
-well-formedness check is the one piece that needs Python (an expat parse,
-the same parser family the reference uses); it runs as an Arrow-batched
-pandas UDF.  The XPath work itself stays in the JVM.
+"""XML column functions: well-formedness (F17) and coverage counters (A4).
+
+Spark's ``xpath*`` functions raise on malformed input and would fail the whole
+job, and ``from_xml`` is no full well-formedness check, so both go through
+expat in Arrow batches: the same parser family the reference uses.  A document
+that cannot be read gives a message, never a failed job.
 """
 
 from __future__ import annotations
@@ -23,51 +21,44 @@ UNEXPECTED_PREFIX = "An unexpected error occurred: "
 COVERAGE_TYPES = ("LINE", "METHOD")
 # ---------------------------------------------------------------------------
 
-DOCTYPE_RE = "<!DOCTYPE[^>]*>"
-
 
-def _check_one(text):
-    import xml.etree.ElementTree as ET
-    if text is None:
-        return None
+def _parse(text, on_start=None) -> str:
+    """Parse a document (text or bytes) and say how it went."""
+    import xml.parsers.expat as expat
+    parser = expat.ParserCreate()
+    if on_start is not None:
+        parser.StartElementHandler = on_start
     try:
-        ET.fromstring(text)
-        return WELL_FORMED_MSG
-    except ET.ParseError as pe:
-        return NOT_WELL_FORMED_PREFIX + str(pe)
-    except Exception as e:  # noqa: BLE001 - mirrors the tool's catch-all message
+        parser.Parse(bytes(text) if isinstance(text, (bytearray, memoryview)) else text, True)
+    except expat.ExpatError as e:
+        return NOT_WELL_FORMED_PREFIX + str(e)
+    except (ValueError, LookupError) as e:      # e.g. an encoding that does not exist
         return UNEXPECTED_PREFIX + str(e)
+    return WELL_FORMED_MSG
 
 
-@F.pandas_udf(StringType())
-def xml_check_message(texts: pd.Series) -> pd.Series:
-    """the validator's message for each document ('XML is well-formed.' or the error)."""
-    return texts.map(_check_one)
+def _check_message(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else _parse(t))
 
 
-def xml_ok(xml) -> Column:
-    """True when the document parses (NULL for NULL input)."""
-    c = F.col(xml) if isinstance(xml, str) else xml
-    return xml_check_message(c) == F.lit(WELL_FORMED_MSG)
-
-
-def strip_doctype(xml) -> Column:
-    """Drop a DOCTYPE declaration so the JVM XPath engine does not fetch an external DTD."""
-    c = F.col(xml) if isinstance(xml, str) else xml
-    return F.regexp_replace(c, DOCTYPE_RE, "")
+def xml_check_message(xml) -> Column:
+    """the validator's message for each document ('XML is well-formed.' or the error); NULL for NULL."""
+    return F.pandas_udf(_check_message, StringType())(F.col(xml) if isinstance(xml, str) else xml)
 
 
 _COUNTER_SCHEMA = StructType([StructField("message", StringType())] + [
     StructField(f"{t.lower()}_{a}", LongType()) for t in COVERAGE_TYPES for a in ("missed", "covered")])
 
 
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
 def _count_one(text):
     """One streaming expat parse: sum missed/covered of every element typed LINE/METHOD.
 
-    Only a document whose root element is ``report`` contributes counters; a
-    parse error or a counter that is not an integer makes the report invalid.
+    Only a document whose root element is ``report`` contributes counters; a parse error, a counter that
+    is not an integer or a sum beyond 64 bits makes the report invalid.
     """
-    import xml.parsers.expat as expat
     if text is None:
         return (None, None, None, None, None)
     acc = [0, 0, 0, 0]
@@ -77,33 +68,26 @@ def _count_one(text):
         if not root:
             root.append(name)
         t = attrs.get("type")
-        if t == "LINE":
-            acc[0] += int(attrs.get("missed", 0))
-            acc[1] += int(attrs.get("covered", 0))
-        elif t == "METHOD":
-            acc[2] += int(attrs.get("missed", 0))
-            acc[3] += int(attrs.get("covered", 0))
-
-    p = expat.ParserCreate()
-    p.StartElementHandler = start
-    try:
-        p.Parse(text, True)
-    except expat.ExpatError as e:
-        return (NOT_WELL_FORMED_PREFIX + str(e), None, None, None, None)
-    except ValueError as e:
-        return ("invalid counter: " + str(e), None, None, None, None)
+        if t in COVERAGE_TYPES:
+            i = 2 * COVERAGE_TYPES.index(t)
+            acc[i] += int(attrs.get("missed", 0))
+            acc[i + 1] += int(attrs.get("covered", 0))
+
+    message = _parse(text, start)
+    if message != WELL_FORMED_MSG:
+        return (message, None, None, None, None)
     if root[0] != "report":
-        return (WELL_FORMED_MSG, 0, 0, 0, 0)
-    return (WELL_FORMED_MSG, acc[0], acc[1], acc[2], acc[3])
+        return (message, 0, 0, 0, 0)
+    if not all(_LEAST <= n <= _MOST for n in acc):
+        return (UNEXPECTED_PREFIX + "a counter beyond 64 bits", None, None, None, None)
+    return (message, *acc)
 
 
-@F.pandas_udf(_COUNTER_SCHEMA)
-def _coverage_counters_udf(texts: pd.Series) -> pd.DataFrame:
-    rows = [_count_one(t) for t in texts]
-    cols = list(zip(*rows)) if rows else [[], [], [], [], []]
-    out = {"message": list(cols[0])}
-    for i, name in enumerate(("line_missed", "line_covered", "method_missed", "method_covered"), start=1):
-        out[name] = pd.array(list(cols[i]), dtype="Int64")
+def _count_all(texts: pd.Series) -> pd.DataFrame:
+    columns = list(zip(*map(_count_one, texts))) or [()] * 5
+    out = {"message": list(columns[0])}
+    for name, values in zip(_COUNTER_SCHEMA.names[1:], columns[1:]):
+        out[name] = pd.array(list(values), dtype="Int64")
     return pd.DataFrame(out)
 
 
@@ -116,24 +100,4 @@ def coverage_counters(xml) -> Column:
     usable reports.  (Spark's ``xpath_*`` would parse the document again per
     expression and throws on malformed input; measured 2x slower here.)
     """
-    c = F.col(xml) if isinstance(xml, str) else xml
-    return _coverage_counters_udf(c)
-
-
-# ------------------------------------------------------------- descriptors
-def pom_is_multi_module(pom) -> Column:
-    """the root element has a ``modules`` child (namespace-agnostic)."""
-    c = F.col(pom) if isinstance(pom, str) else pom
-    return F.xpath_boolean(c, F.lit("/*/*[local-name()='modules']"))
-
-
-def pom_modules(pom) -> Column:
-    """module names under ``/project/modules/module``, stripped.
-
-    Modules without text are skipped (XPath ``text()`` yields no node for them);
-    a whitespace-only name becomes '' as in the reference (test raw text, then strip).
-    """
-    from runlens.functions.text import py_strip
-    c = F.col(pom) if isinstance(pom, str) else pom
-    mods = F.xpath(c, F.lit("/*/*[local-name()='modules']/*[local-name()='module']/text()"))
-    return F.transform(mods, lambda m: py_strip(m))
+    return F.pandas_udf(_count_all, _COUNTER_SCHEMA)(F.col(xml) if isinstance(xml, str) else xml)

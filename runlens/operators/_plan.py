@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 
 def evaluate_once(df: DataFrame) -> DataFrame:
@@ -19,67 +22,78 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
-_SPREAD: dict[tuple, int] = {}
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body names it (a lambda's variable is bound)."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None, cache_key: str | None = None) -> DataFrame:
-    """Round-robin an input that arrives in fewer splits than there are task slots.
+#: Bytes of a range of ``running_sum`` when the number of ranges is not given.
+RANGE_BYTES = 256 << 20
+MAX_RANGES = 20_000
 
-    Used by the bridges that read the driver tables: each is a single Parquet
-    row group, so although Spark cuts the file into byte ranges, one task reads
-    all rows and every row-local stage after it (log parsing, regexes, Python
-    UDFs) would run in that one task.  The library operators never call it.
-    An input with at least as many splits as slots is returned unchanged.
-    Counting the splits plans the scan (no job, but ~0.3 s), so with
-    ``cache_key`` (e.g. the file path) the decision is kept per application.
-    """
-    try:
-        sc = df.sparkSession.sparkContext
-        target = min_partitions or sc.defaultParallelism
-        key = (sc.applicationId, cache_key, target) if cache_key else None
-        if key is not None and key in _SPREAD:
-            n = _SPREAD[key]
-        else:
-            n = 0 if target <= 1 else df.rdd.getNumPartitions()
-            if key is not None:
-                _SPREAD[key] = n
-        if target <= 1 or n >= target:
-            return df
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view; leave the plan as is
-        return df
-    return df.repartition(target)
+
+def ranges_for(df: DataFrame, n_ranges: int | None = None) -> int:
+    """Number of ranges: as given, else by the plan's estimated bytes, the shuffle partitions at least."""
+    if n_ranges:
+        return n_ranges
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MAX_RANGES, -(-size // RANGE_BYTES)))
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, out_col: str,
                 inclusive: bool = False, n_ranges: int | None = None) -> DataFrame:
     """Running sum of ``value_col`` per group in ``order_cols`` order, safe for hot groups.
 
-    A plain window partitioned by the group puts a group holding a third of
-    all rows into one task.  Here the (group, order) key space is cut into
-    balanced ranges with ``repartitionByRange``; level 1 sums each (group,
-    range) and takes a running sum over those few rows per group; level 2 is a
-    window inside each (group, range), never larger than one range partition.
-    The range id of a row must agree in both levels, and Spark's range sampler
-    may choose other bounds if the exchange is recomputed, so the narrow key
-    table is checkpointed once into the shared checkpoint folder.
-    Returns ``df`` with ``out_col`` added (exclusive by default).
+    The rows move once, whole, into balanced ranges of (group, order); a task streams its sorted range,
+    adds the sum inside the range and says which rows belong to the range's first group.  The result is
+    written to the shared folder.  Only a range's first group can continue an earlier range, so what is
+    still missing is one number per range: it is found from one summary row per range (MAX_RANGES at
+    most) and added.  NULL groups and orders are groups and orders like any other, rows that repeat stay
+    apart (their order among themselves is open), a NULL value counts 0.
+    Returns ``df`` with ``out_col`` added (exclusive by default).  Runs a job at the time of the call.
     """
-    from pyspark.sql import Window
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from runlens.session import materialize, ship_package
+    ship_package(df.sparkSession)
+    def run(batches):
+        rng, group, total, nth = TaskContext.get().partitionId(), None, 0, -1
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in group_cols)))
+            sums, firsts, totals = [], [], []
+            for key, value in zip(keys, batch.column(value_col).to_pylist()):
+                if nth < 0 or key != group:
+                    group, total, nth = key, 0, nth + 1
+                before = total
+                total += value or 0
+                sums.append(total if inclusive else before)
+                totals.append(total)
+                firsts.append(nth == 0)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(sums, type=pa.int64()), pa.array(totals, type=pa.int64()),
+                 pa.array([rng] * n, type=pa.int32()), pa.array(firsts, type=pa.bool_())],
+                names=[*batch.schema.names, "_sum", "_total", "_rng", "_first"])
 
-    from runlens.session import checkpoint_dir
+    ordered = [*group_cols, *order_cols]
+    ranged = df.repartitionByRange(ranges_for(df, n_ranges), *ordered).sortWithinPartitions(*ordered)
+    schema = StructType([*df.schema.fields, StructField("_sum", LongType()), StructField("_total", LongType()),
+                         StructField("_rng", IntegerType()), StructField("_first", BooleanType())])
+    summed = materialize(ranged.mapInArrow(run, schema), "running-sum")
+    key = F.struct(*group_cols)
+    place = F.struct(F.struct(*ordered), "_total")
+    ranges = summed.groupBy("_rng").agg(
+        F.min(key).alias("first"), F.max(key).alias("last"),
+        F.max_by("_total", place).alias("last_total"), F.bool_and("_first").alias("single")).orderBy("_rng").collect()
+    starts, group, carried = {}, None, 0
+    for r in ranges:
+        first, last = tuple(r["first"]), tuple(r["last"])
+        start = carried if group == first else 0
+        starts[r["_rng"]] = start
+        group, carried = last, (start + r.last_total if r.single else r.last_total)
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (df.select(*group_cols, *order_cols, F.col(value_col).alias("_v"))
-              .repartitionByRange(n, *group_cols, *order_cols)
-              .withColumn("_rng", F.spark_partition_id())
-              .checkpoint(eager=True))
-    totals = keys.groupBy(*group_cols, "_rng").agg(F.sum("_v").alias("_t"))
-    w_rng = Window.partitionBy(*group_cols).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group_cols, "_rng", F.coalesce(F.sum("_t").over(w_rng), F.lit(0)).alias("_start"))
-    end = Window.currentRow if inclusive else -1
-    w_in = Window.partitionBy(*group_cols, "_rng").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
-    local = keys.withColumn("_local", F.coalesce(F.sum("_v").over(w_in), F.lit(0)))
-    sums = local.join(starts, [*group_cols, "_rng"]).select(
-        *group_cols, *order_cols, (F.col("_start") + F.col("_local")).alias(out_col))
-    return df.join(sums, [*group_cols, *order_cols])
+    table = spark.createDataFrame(list(starts.items()), "_rng int, _start long")
+    out = summed.join(F.broadcast(table), "_rng")                 # one row per range
+    return out.select(*df.columns, (F.col("_sum") + F.when(F.col("_first"), F.col("_start")).otherwise(0)).alias(out_col))

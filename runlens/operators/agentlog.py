@@ -69,15 +69,6 @@ def _is_meta(line: Column) -> Column:
     return line.rlike(f"(?U){META_START_RE}")
 
 
-def _not_meta(arr: Column) -> Column:
-    return F.filter(arr, lambda x: ~_is_meta(x))
-
-
-def _section(segments: Column, kind: int) -> Column:
-    """Lines kept for one section kind, in order (array<string>)."""
-    return F.flatten(F.transform(segments, lambda s: F.when(s["kind"] == kind, s["body"]).otherwise(_empty())))
-
-
 def _joined(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, py_strip(F.array_join(arr, "\n")))
 
@@ -92,11 +83,6 @@ def _header_fields(lines: Column) -> list[Column]:
             py_strip(py_strip_chars(model, MODEL_FRAME)).alias("model_info")]
 
 
-def parse_header(header_text: Column) -> list[Column]:
-    """Run header, description and model line of the header block."""
-    return _header_fields(splitlines(header_text))
-
-
 def _pieces(df: DataFrame, log_col: str) -> DataFrame:
     """Cut at delimiter lines once; header text, step texts (in order) and their count."""
     other = [c for c in df.columns if c != log_col]
@@ -123,14 +109,29 @@ def split_steps(df: DataFrame, log_col: str = "log") -> DataFrame:
                          F.posexplode("_steps").alias("step_pos", "step_text"))
 
 
-def parse_steps(steps: DataFrame, text_col: str = "step_text") -> DataFrame:
-    """Sections, output, meta and raw text of each step row."""
+#: What ``parse_steps`` can build; the raw text needs all sections.
+FIELDS = ("code", "warnings", "execution_logs", "out", "raw_text", "meta")
+
+
+def parse_steps(steps: DataFrame, text_col: str = "step_text", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Sections, output, meta and raw text of each step row.
+
+    ``fields`` names the columns that are built (the evaluate-once stages below would keep Catalyst
+    from dropping unused ones).  The step's text is not carried further.
+    """
+    need = set(FIELDS) - {"meta"} if "raw_text" in fields else set(fields)
     t = F.col(text_col)
-    s1 = evaluate_once(steps.withColumn("_lines", splitlines(t)))
+    other = [c for c in steps.columns if c != text_col]
+    keep = [F.col(c) for c in other]
+    alone = [F.col("_alone")] if "raw_text" in fields else []
+    s1 = evaluate_once(steps.select(*keep, splitlines(t).alias("_lines"), F.regexp_extract(t, f"(?dU)^{STEP_DELIM_RE}", 1)
+                                    .try_cast("int").alias("header_step"),
+                                    *([py_strip(F.when(F.size(splitlines(t)) <= 1, t)).alias("_alone")] if alone else [])))
     lines = F.col("_lines")
     n = F.size(lines)
-    s2 = evaluate_once(s1.withColumn("_ev", F.transform(lines, _event)).withColumn(
-        "header_step", F.regexp_extract(t, f"(?dU)^{STEP_DELIM_RE}", 1).try_cast("int")))
+    # What an event line opens is read once per line; a lambda's shared parts are not, so they come as arrays.
+    s2 = evaluate_once(s1.select("*", F.transform(lines, _event).alias("_ev"), F.transform(lines, _is_border).alias("_border"),
+                                 F.transform(lines, _is_meta).alias("_metas")))
     ev = F.col("_ev")
     # Segment starts: line 1 (state NONE unless it is itself an event) and every event line.
     idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -138,32 +139,34 @@ def parse_steps(steps: DataFrame, text_col: str = "step_text") -> DataFrame:
     s3 = evaluate_once(s2.withColumn("_starts", starts))
     st = F.col("_starts")
 
-    def segment(s, j):
+    def bounds(s, j):
+        """(kind, first line of the body, last line) of a segment; a border line ends a code body."""
         end = F.when(j + 1 < F.size(st), _at(st, j + 2) - 1).otherwise(n)
-        seg = F.slice(lines, s, end - s + 1)
         kind = _at(ev, s)
-        rest = F.when(F.size(seg) > 1, F.slice(seg, 2, F.size(seg) - 1)).otherwise(_empty())
-        border_at = F.array_position(F.transform(rest, _is_border), True)
-        code_body = F.when(border_at == 0, rest).otherwise(
-            F.when(border_at > 1, F.slice(rest, 1, (border_at - 1).cast("int"))).otherwise(_empty()))
-        body = (F.when(kind == CODE, _not_meta(code_body))
-                .when(kind == WARN, _not_meta(seg))
-                .when(kind == LOGS, _not_meta(rest))
-                .otherwise(_empty()))
-        out = F.when(kind == OUT, py_strip(F.substring(_at(seg, 1), len(OUT_PREFIX) + 1, 1 << 30)))
-        return F.struct(kind.alias("kind"), body.alias("body"), out.alias("out"))
-
-    s4 = evaluate_once(s3.withColumn("_segs", F.transform(st, segment)))
+        border = F.array_position(F.slice(F.col("_border"), s + 1, F.greatest(end - s, F.lit(0))), True)
+        return F.struct(kind.alias("kind"), F.when(kind == WARN, s).otherwise(s + 1).alias("first"),
+                        F.when((kind == CODE) & (border > 0), s + border.cast("int") - 1).otherwise(end).alias("last"))
+
+    s4 = evaluate_once(s3.withColumn("_segs", F.transform(st, bounds)))
     segs = F.col("_segs")
+
+    def section(kind):
+        """Lines kept for one section kind, in order; meta lines never count."""
+        own = F.filter(segs, lambda s: (s["kind"] == kind) & (s["last"] >= s["first"]))
+        places = F.flatten(F.transform(own, lambda s: F.sequence(s["first"], s["last"])))
+        return F.transform(F.filter(places, lambda i: ~_at(F.col("_metas"), i)), lambda i: _at(lines, i))
+
+    sections = {"code": CODE, "warnings": WARN, "execution_logs": LOGS}
+    outs = F.filter(segs, lambda s: s["kind"] == OUT)
     # A meta line only counts when no earlier rule consumed it (the code marker wins).
     meta_line = _at(F.filter(lines, lambda l: _is_meta(l) & ~l.contains(CODE_MARKER)
                                       & l.rlike(f"(?U){META_RE}")), -1)
-    s5 = evaluate_once(s4.withColumn("_code", _section(segs, CODE))
-                       .withColumn("_warn", _section(segs, WARN))
-                       .withColumn("_logs", _section(segs, LOGS))
-                       .withColumn("out", _at(F.filter(F.transform(segs, lambda s: s["out"]),
-                                                       lambda o: o.isNotNull()), -1))
-                       .withColumn("_meta", meta_line))
+    s5 = evaluate_once(s4.select(
+        *keep, "header_step", *alone,
+        *([F.when(n > 1, F.array_join(F.slice(lines, 2, n - 1), "\n")).alias("_rest")] if alone else []),
+        *[section(k).alias(f"_{name}") for name, k in sections.items() if name in need],
+        *([_at(lines, _at(outs, -1)["first"] - 1).alias("_out")] if "out" in need else []),
+        *([meta_line.alias("_meta")] if "meta" in fields else [])))
     meta = F.col("_meta")
 
     def g(i):
@@ -178,21 +181,19 @@ def parse_steps(steps: DataFrame, text_col: str = "step_text") -> DataFrame:
         F.when(has_meta, F.replace(g(4), F.lit(","), F.lit("")).try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         .alias("output_tokens"),
     )
-    nothing = ((F.size("_code") == 0) & (F.size("_warn") == 0) & (F.size("_logs") == 0)
-               & (F.col("out").isNull() | (F.col("out") == "")))
-    raw = F.when(nothing, F.when(n > 1, py_strip(F.array_join(F.slice(lines, 2, n - 1), "\n")))
-                 .otherwise(py_strip(t)))
-    out = (s5.withColumn("code", _joined(F.col("_code")))
-             .withColumn("warnings", _joined(F.col("_warn")))
-             .withColumn("execution_logs", _joined(F.col("_logs")))
-             .withColumn("raw_text", raw)
-             .withColumn("meta", meta_struct))
-    return evaluate_once(out.drop("_lines", "_ev", "_starts", "_segs", "_code", "_warn", "_logs", "_meta"))
+    text = F.col("_out")
+    out = py_strip(F.substring(text, F.lit(len(OUT_PREFIX) + 1), F.length(text)))
+    built = {**{name: _joined(F.col(f"_{name}")) for name in sections if name in fields}, "out": out, "meta": meta_struct}
+    if "raw_text" in fields:
+        nothing = ((F.size("_code") == 0) & (F.size("_warnings") == 0) & (F.size("_execution_logs") == 0)
+                   & (text.isNull() | (out == "")))
+        built["raw_text"] = F.when(nothing, F.coalesce(py_strip(F.col("_rest")), F.col("_alone")))
+    return evaluate_once(s5.select(*keep, "header_step", *[built[f].alias(f) for f in FIELDS if f in fields]))
 
 
-def parse_agent_logs(df: DataFrame, log_col: str = "log") -> DataFrame:
-    """(…, log) -> one row per step with header, sections, output, meta, raw text."""
-    return parse_steps(split_steps(df, log_col)).drop("step_text")
+def parse_agent_logs(df: DataFrame, log_col: str = "log", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(…, log) -> one row per step with header and the wanted fields (sections, output, meta, raw text)."""
+    return parse_steps(split_steps(df, log_col), fields=fields)
 
 
 def parse_log_headers(df: DataFrame, log_col: str = "log") -> DataFrame:
@@ -207,31 +208,36 @@ def parse_agent_log_lines(lines: DataFrame, run_col: str = "run_id", pos_col: st
     """X3 for logs held as lines ``(run, position, line)``, e.g. read with ``spark.read.text``.
 
     The in-row parser keeps a whole log in one row, so one enormous log stays
-    in one task.  Here each line's step number is the running count of
-    delimiter lines before it, computed with ``running_sum`` (two levels over
-    range partitions), so a run holding a third of all lines is spread over
-    many tasks.  Each step's lines are then joined back into its text, one
-    group per (run, step), and parsed by ``parse_steps``; a step is the unit
-    the output describes (its sections are strings).  Header lines (before
-    the first delimiter) give the header fields, joined on the run key.
-    Delimiters are recognised per line.
+    in one task.  Here the lines move once into ranges of (run, position) and
+    get their step number, the running count of delimiter lines
+    (``running_sum``, which writes them once), so a run holding a third of all
+    lines is spread over many tasks.  Each step's lines are then joined into
+    its text, one group per (run, step), and parsed by ``parse_steps``; a step
+    is the unit the output describes (its sections are strings).  Header fields
+    are the first matching lines before the first delimiter, an aggregate
+    without a gather, joined on the run key.  Delimiters are recognised per line.
     """
     from runlens.operators._plan import running_sum
-    flagged = lines.select(run_col, pos_col, line_col,
+    flagged = lines.select(F.col(run_col).alias("_run"), F.col(pos_col).alias("_pos"), F.col(line_col).alias("_line"),
                            F.col(line_col).rlike(f"(?dU)^{STEP_DELIM_RE}").cast("bigint").alias("_d"))
-    numbered = running_sum(flagged, [run_col], [pos_col], "_d", "_step", inclusive=True, n_ranges=n_ranges)
-    texts = numbered.groupBy(run_col, "_step").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(line_col).alias("l")))),
-        lambda x: x["l"]), "\n").alias("_text"))
-    # A step's text runs up to the next delimiter, so every part but the run's last
-    # ends with a line break (it matters to splitlines when the last line is empty).
-    last = texts.groupBy(run_col).agg(F.max("_step").alias("_last"))
-    texts = texts.join(last, run_col).withColumn(
-        "_text", F.concat("_text", F.when(F.col("_step") < F.col("_last"), F.lit("\n")).otherwise(F.lit(""))))
-    headers = evaluate_once(texts.filter(F.col("_step") == 0).select(
-        run_col, splitlines(F.col("_text")).alias("_hlines")))
-    headers = headers.select(run_col, *_header_fields(F.col("_hlines")))
-    steps = texts.filter(F.col("_step") > 0).select(
-        run_col, (F.col("_step") - 1).cast("int").alias("step_pos"), F.col("_text").alias("step_text"))
-    parsed = parse_steps(steps).drop("step_text")
-    return parsed.join(headers, run_col, "left")
+    numbered = running_sum(flagged, ["_run"], ["_pos"], "_d", "_step", inclusive=True, n_ranges=n_ranges)
+    # A step's text runs up to the next delimiter, so every step but the run's last ends with a line
+    # break (it matters to splitlines when the last line is empty): a delimiter line tells the step before.
+    told = numbered.where("_step > 0").select("_run", F.explode(F.array(
+        F.struct("_step", F.struct(F.col("_pos").alias("p"), F.col("_line").alias("l")).alias("_x"), F.lit(False).alias("_more")),
+        F.when(F.col("_d") == 1, F.struct((F.col("_step") - 1).alias("_step"), F.lit(None).alias("_x"), F.lit(True).alias("_more")))
+    )).alias("t")).where("t is not null and t._step > 0").select("_run", "t.*")
+    texts = told.groupBy("_run", "_step").agg(F.array_sort(F.collect_list("_x")).alias("_xs"), F.bool_or("_more").alias("_more"))
+    steps = texts.select("_run", (F.col("_step") - 1).cast("int").alias("step_pos"), F.concat(
+        F.array_join(F.transform("_xs", lambda x: x["l"]), "\n"), F.when(F.col("_more"), "\n").otherwise("")).alias("step_text"))
+    head = (numbered.where("_step = 0").select("_run", "_pos", F.posexplode(splitlines(F.col("_line"))).alias("_sub", "_l")))
+    place = F.struct("_pos", "_sub")
+    framed = py_strip(py_strip_chars(F.col("_l"), DESCRIPTION_FRAME))
+    described = ((framed != "") & ~framed.contains(RUN_HEADER_MARKER) & ~framed.contains(BORDER_CHAR) & ~framed.contains(MODEL_MARKER))
+    headers = head.groupBy("_run").agg(
+        py_strip(F.min_by("_l", F.when(F.col("_l").contains(RUN_HEADER_MARKER), place))).alias("run_header"),
+        F.min_by(framed, F.when(described, place)).alias("description"),
+        py_strip(py_strip_chars(F.min_by("_l", F.when(F.col("_l").contains(MODEL_MARKER), place)), MODEL_FRAME)).alias("model_info"))
+    headers = headers.withColumnRenamed("_run", "_owner")
+    return (parse_steps(steps).join(headers, F.col("_run").eqNullSafe(F.col("_owner")), "left").drop("_owner")
+            .withColumnRenamed("_run", run_col))

@@ -71,11 +71,3 @@ def attach_verdict(runs: DataFrame, inputs: DataFrame, run_col: str = "run_id",
         F.when(tested, F.coalesce(F.col("t_cfail"), F.lit(False))).alias("test_log_compile_failure"),
         *[F.when(has_counts, F.col(f"t_{n}")).alias(n) for n in M.TEST_COUNTER_FIELDS])
 
-
-def build_result_struct(df: DataFrame, build_time_col: str | None = None) -> DataFrame:
-    """Pack flat verdict columns into the reference's nested ``build_result`` struct."""
-    tr = F.when(F.col("tests_run").isNotNull(),
-                F.struct(*[F.col(n).alias(n) for n in M.TEST_COUNTER_FIELDS]))
-    bt = F.col(build_time_col).cast("double") if build_time_col else F.lit(None).cast("double")
-    return df.withColumn("build_result", F.struct(
-        F.col("build_success"), F.col("test_success"), tr.alias("test_results"), bt.alias("build_time")))

@@ -8,9 +8,9 @@ the corpus is produced in a layout that any repository size survives:
   (map-only; files that are not valid UTF-8 are dropped, as the reference
   drops unreadable files);
 * ``corpus_layout``: the character ``offset`` of each piece in the packed text
-  (pieces in path order joined by '\\n').  The running sum is computed in two
-  levels over range partitions, so a repository holding a third of all files
-  is spread over many tasks instead of one window partition;
+  (pieces in path order joined by '\\n').  The running sum works on range
+  partitions, so a repository holding a third of all files is spread over many
+  tasks instead of one window partition;
 * ``write_corpus``: writes the packed text per repository as ordered text
   files (``partitionBy(repo)``; concatenating a repository's part files in
   name order gives the corpus plus one trailing newline).
@@ -53,9 +53,9 @@ def corpus_layout(pieces: DataFrame, repo_col: str = "repo", path_col: str = "pa
     """A7 layout: each piece's start ``offset`` in its repository's packed corpus.
 
     The offset is the running sum of the preceding pieces' lengths (+1 for the
-    joining '\\n') in path order, computed by ``running_sum`` in two levels
-    over range partitions, so a repository holding a third of all files is
-    spread over many tasks instead of one window partition.
+    joining '\\n') in path order, computed by ``running_sum``: the pieces move
+    once, into ranges, so a repository holding a third of all files is spread
+    over many tasks instead of one window partition.
     """
     from runlens.operators._plan import running_sum
     sized = pieces.withColumn("_len", F.length("piece").cast("bigint") + 1)
@@ -72,9 +72,13 @@ def corpus_summary(pieces: DataFrame, repo_col: str = "repo") -> DataFrame:
 
 def write_corpus(pieces: DataFrame, out_dir: str, repo_col: str = "repo", path_col: str = "path",
                  n_ranges: int | None = None) -> None:
-    """Write each repository's packed corpus as ordered text part files (no driver round trip)."""
-    n = n_ranges or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (pieces.repartitionByRange(n, repo_col, path_col)
+    """Write each repository's packed corpus as ordered text part files (no driver round trip).
+
+    The number of ranges follows the input's size unless given.  Repositories that are written replace
+    their stored corpora; others stay.
+    """
+    from runlens.operators._plan import ranges_for
+    (pieces.repartitionByRange(ranges_for(pieces, n_ranges), repo_col, path_col)
            .sortWithinPartitions(repo_col, path_col)
            .select(repo_col, "piece")
-           .write.mode("overwrite").partitionBy(repo_col).text(out_dir))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(repo_col).text(out_dir))

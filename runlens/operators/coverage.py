@@ -26,6 +26,7 @@ COV_DECREASE_FLOOR = -0.05
 ERR_NO_COVERAGE = "Failed calculating coverage"
 ERR_EMPTY_RESULT = "'NoneType' object is not subscriptable"
 ERR_ZERO_BEFORE = "float division by zero"
+ERR_PATCH_PREFIX = "Failed applying patch: "
 # ---------------------------------------------------------------------------
 
 
@@ -37,8 +38,9 @@ def discover_reports(files: DataFrame, path_col: str = "path") -> DataFrame:
 def report_counters(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
     """A4: per report, LINE/METHOD missed+covered sums over all depths; ``valid`` flag.
 
-    Malformed reports (or counters that are not integers) get ``valid = false``
-    and NULL counters: the reference skips them and goes on.
+    ``xml_col`` is text or (better, as files have it) binary.  Reports that are malformed, badly encoded
+    or hold a counter that is no 64-bit integer get ``valid = false`` and NULL counters: the reference
+    skips bad reports and goes on.
     """
     ship_package(reports.sparkSession)
     # The report text is dropped before the one-row generator, so it is not copied again.
@@ -83,46 +85,62 @@ def coverage_change(before, after):
     return change, passed
 
 
+def stored_results(stored: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """Earlier guard rows that carry a result (a FAIL or a SKIP without result does not), one per run.
+
+    Of repeated runs the greatest row by its values is taken, so the choice does not depend on row order.
+    """
+    has = stored.where(F.col("cov_guard_pass").isNotNull())
+    return (has.groupBy(run_col).agg(F.max(F.struct(*_RESULT)).alias("_r"))
+            .select(run_col, *[F.col(f"_r.{c}").alias(c) for c in _RESULT]))
+
+
+_RESULT = ("cov_before", "cov_after", "cov_percent_change", "cov_guard_pass")
+
+
 def guard_rows(candidates: DataFrame, stored: DataFrame, coverage_after: DataFrame, pre_cov: DataFrame,
-               run_col: str = "run_id", repo_col: str = "repo") -> DataFrame:
+               run_col: str = "run_id", repo_col: str = "repo", pre_order: str | None = None) -> DataFrame:
     """Q2 per-repo rows: status FAIL/SKIP/SUCCESS, error and the coverage result.
 
     ``candidates``: manifest items that have a result directory (J1 output) with
-    ``has_result``, ``test_success``, ``has_patch``.  ``stored``: earlier guard
-    rows (run, cov_before, cov_after, cov_percent_change, cov_guard_pass), which
-    come back as SKIP with their result (J4/U1).  ``coverage_after``: Q4 per run.
-    ``pre_cov``: (repo, percent_before), looked up with a left join (J2) so a
-    missing key is a FAIL row, never a dropped row.
+    ``has_result``, ``test_success``, ``has_patch`` and, if there is one, ``patch_error``
+    (why the patch could not be applied).  ``stored``: earlier guard rows as
+    ``write_guard_report`` stores them; a candidate whose stored row carries a result comes back as SKIP
+    with it (J4/U1), any other stored row is ignored and its run is done again.
+    ``coverage_after``: Q4 per run.  ``pre_cov``: (repo, percent_before), looked up with a left join (J2)
+    so a missing key is a FAIL row, never a dropped row; a key that repeats has its last row by
+    ``pre_order`` (its greatest value if no order is named).
     """
-    pending = candidates.join(stored.select(run_col), run_col, "left_anti")
-    j = (pending.join(coverage_after.select(run_col, F.col("line_percent").alias("_after")), run_col, "left")
-                .join(pre_cov.select(F.col(repo_col), F.col("percent_before").alias("_before"),
-                                     F.lit(True).alias("_known")), repo_col, "left"))
+    known = pre_cov.groupBy(F.col(repo_col).alias("_key")).agg(
+        (F.max_by("percent_before", pre_order) if pre_order else F.max("percent_before")).alias("_before"), F.lit(True).alias("_known"))
+    earlier = stored_results(stored, run_col).select(run_col, F.struct(*_RESULT).alias("_stored"))
+    j = (candidates.join(earlier, run_col, "left")
+         .join(coverage_after.select(run_col, F.col("line_percent").alias("_after")), run_col, "left")
+         .join(known, F.col(repo_col) == F.col("_key"), "left"))
     before, after = F.col("_before"), F.col("_after")
+    patch_error = F.col("patch_error") if "patch_error" in candidates.columns else F.lit(None).cast("string")
     change, passed = coverage_change(before, after)
-    fail = F.lit("FAIL")
-    status = (F.when(~F.col("has_result"), fail)
-              .when(~F.coalesce(F.col("test_success"), F.lit(False)), F.lit("SKIP"))
-              .when(~F.col("has_patch"), fail)
-              .when(after.isNull(), fail)
-              .when(F.col("_known").isNull(), fail)
-              .when(before == 0, fail)
-              .otherwise(F.lit("SUCCESS")))
-    error = (F.when(~F.col("has_result"), F.lit(ERR_EMPTY_RESULT))
-             .when(~F.coalesce(F.col("test_success"), F.lit(False)), F.lit(None))
-             .when(~F.col("has_patch"), F.lit(None))
-             .when(after.isNull(), F.lit(ERR_NO_COVERAGE))
-             .when(F.col("_known").isNull(), F.concat(F.lit("'"), F.col(repo_col), F.lit("'")))
-             .when(before == 0, F.lit(ERR_ZERO_BEFORE))
-             .otherwise(F.lit(None).cast("string")))
-    ok = status == "SUCCESS"
-    fresh = j.select(
-        run_col, repo_col, status.alias("status"), error.alias("error"),
-        F.when(ok, before).alias("cov_before"), F.when(ok, after).alias("cov_after"),
-        F.when(ok, change).alias("cov_percent_change"), F.when(ok, passed).alias("cov_guard_pass"))
-    restored = stored.select(run_col, repo_col, F.lit("SKIP").alias("status"), F.lit(None).cast("string").alias("error"),
-                             "cov_before", "cov_after", "cov_percent_change", "cov_guard_pass")
-    return restored.unionByName(fresh)
+    none = F.lit(None).cast("string")
+    # In the order in which the work is done: the first that applies decides.
+    outcomes = [
+        (F.col("_stored").isNotNull(), "SKIP", none),
+        (~F.col("has_result"), "FAIL", F.lit(ERR_EMPTY_RESULT)),
+        (~F.coalesce(F.col("test_success"), F.lit(False)), "SKIP", none),
+        (~F.col("has_patch"), "FAIL", none),
+        (patch_error.isNotNull(), "FAIL", F.concat(F.lit(ERR_PATCH_PREFIX), patch_error)),
+        (after.isNull(), "FAIL", F.lit(ERR_NO_COVERAGE)),
+        (F.col("_known").isNull(), "FAIL", F.concat(F.lit("'"), F.col(repo_col), F.lit("'"))),
+        (before == 0, "FAIL", F.lit(ERR_ZERO_BEFORE)),
+    ]
+    decided = F.lit(None).cast("struct<status: string, error: string>")
+    for holds, status, error in reversed(outcomes):
+        decided = F.when(holds, F.struct(F.lit(status).alias("status"), error.alias("error"))).otherwise(decided)
+    fresh = F.struct(before.alias("cov_before"), after.alias("cov_after"), change.alias("cov_percent_change"),
+                     passed.alias("cov_guard_pass"))
+    rows = j.select(run_col, repo_col, decided.alias("_d"), F.when(F.col("_stored").isNotNull(), F.col("_stored"))
+                    .when(decided.isNull(), fresh).alias("_r"))
+    return rows.select(run_col, repo_col, F.coalesce("_d.status", F.lit("SUCCESS")).alias("status"), F.col("_d.error").alias("error"),
+                       *[F.col(f"_r.{c}").alias(c) for c in _RESULT])
 
 
 def guard_summary(rows: DataFrame) -> DataFrame:

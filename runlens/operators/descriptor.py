@@ -20,16 +20,16 @@ _DEPS = f"struct<dependency: array<{_DEP}>>"
 _PLUGIN = f"struct<groupId:string, artifactId:string, version:string, dependencies:{_DEPS}>"
 _PLUGINS = f"struct<plugin: array<{_PLUGIN}>>"
 _BUILD = f"struct<plugins:{_PLUGINS}, pluginManagement: struct<plugins:{_PLUGINS}>>"
-POM_SCHEMA = (
-    "struct<modules: struct<module: array<string>>, "
-    f"dependencies:{_DEPS}, dependencyManagement: struct<dependencies:{_DEPS}>, build:{_BUILD}, "
-    f"reporting: struct<plugins:{_PLUGINS}>, "
-    f"profiles: struct<profile: array<struct<id:string, dependencies:{_DEPS}, "
-    f"dependencyManagement: struct<dependencies:{_DEPS}>, build:{_BUILD}>>>, "
-    "_corrupt_record: string>")
+_SECTIONS = (f"dependencies:{_DEPS}, dependencyManagement: struct<dependencies:{_DEPS}>, build:{_BUILD}, "
+             f"reporting: struct<plugins:{_PLUGINS}>")
+POM_SCHEMA = ("struct<modules: struct<module: array<string>>, " + _SECTIONS +
+              ", profiles: struct<profile: array<struct<id:string, " + _SECTIONS + ">>>, _corrupt_record: string>")
 
-# Section precedence used when one coordinate appears in several places.
-WHERE_ORDER = ["direct", "managed", "plugin", "profile", "profile_managed", "profile_plugin"]
+# Elements that tell where a dependency or plugin stands; contents of a configuration are no descriptor parts.
+_OUTLINE = ("dependencies", "dependency", "dependencyManagement", "build", "plugins", "plugin", "pluginManagement", "reporting",
+            "profiles", "profile", "configuration")
+_TAG_RE = r"</?(?:[\w.-]+:)?(?:" + "|".join(_OUTLINE) + r")(?:\s[^>]*)?/?>"
+_NO_TAGS_RE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 
 
 def parse_pom(pom) -> Column:
@@ -44,75 +44,91 @@ def _txt(raw: Column) -> Column:
     return F.when(raw != "", py_strip(raw))
 
 
+def _outline(pom: Column, element: str) -> Column:
+    """Path of the parent of every ``element``, in document order: the outline tags folded over a path."""
+    tags = F.regexp_extract_all(F.regexp_replace(pom, _NO_TAGS_RE, ""), F.lit(_TAG_RE), F.lit(0))
+
+    def step(state: Column, tag: Column) -> Column:
+        name = F.regexp_extract(tag, r"^</?(?:[\w.-]+:)?(\w+)", 1)
+        closes = tag.startswith("</")
+        path = (F.when(closes, F.regexp_replace(state["path"], "/[^/]*$", "")).when(tag.endswith("/>"), state["path"])
+                .otherwise(F.concat(state["path"], F.lit("/"), name)))
+        found = F.when(~closes & (name == element), F.concat(state["found"], F.array(state["path"]))).otherwise(state["found"])
+        return F.struct(path.alias("path"), found.alias("found"))
+
+    start = F.struct(F.lit("").alias("path"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(tags, start, step, lambda s: s["found"])
+
+
 def with_parsed(descriptors: DataFrame, pom_col: str = "pom") -> DataFrame:
-    """Parse once per row; keeps the other columns, adds ``_p`` and flags."""
+    """Parse once per row; keeps the other columns, adds ``_p``, the outlines and flags."""
     from runlens.operators._plan import evaluate_once
-    d = descriptors.withColumn("_p", parse_pom(pom_col))
-    d = d.withColumn("parsed", F.col("_p._corrupt_record").isNull() & F.col(pom_col).isNotNull())
-    d = d.withColumn("has_namespace", F.col(pom_col).rlike("<project[^>]*\\sxmlns\\s*="))
+    pom = F.col(pom_col)
+    d = descriptors.withColumns({
+        "_p": parse_pom(pom_col), "_deps": _outline(pom, "dependency"), "_plugins": _outline(pom, "plugin"),
+        "has_namespace": pom.rlike("<project[^>]*\\sxmlns\\s*=")})
+    d = d.withColumn("parsed", F.col("_p._corrupt_record").isNull() & pom.isNotNull())
     return evaluate_once(d.drop(pom_col))
 
 
-_TAGGED_DEP = "array<struct<group_id:string, artifact_id:string, version:string, scope:string, where_found:string>>"
-_TAGGED_PLUGIN = "array<struct<group_id:string, artifact_id:string, version:string, where_found:string>>"
+_PROFILE = "/profiles/profile"
+# Where a dependency or plugin may stand (path of its parent) and how that place is called.
+DEPENDENCY_PLACES = {"/dependencies": "direct", "/dependencyManagement/dependencies": "managed",
+                     "/build/plugins/plugin/dependencies": "plugin",
+                     "/build/pluginManagement/plugins/plugin/dependencies": "plugin",
+                     "/reporting/plugins/plugin/dependencies": "plugin"}
+PLUGIN_PLACES = {"/build/plugins": "build", "/build/pluginManagement/plugins": "managed", "/reporting/plugins": "reporting"}
 
 
-def _nz(arr: Column, ddl: str) -> Column:
-    """NULL array (absent section) -> empty array, so ``concat`` keeps the other sections."""
-    return F.coalesce(arr, F.array().cast(ddl))
+def _elements(node: Column, path: str) -> Column:
+    """The parsed elements at a path below ``node`` (one array, in document order)."""
+    steps = [s for s in path.split("/") if s]
+    for i, step in enumerate(steps):
+        if step == "plugin":
+            rest = "/" + "/".join(steps[i + 1:])
+            return F.flatten(F.transform(node["plugin"], lambda p: F.coalesce(_elements(p, rest), F.array())))
+        node = node[step]
+    return node["plugin" if steps[-1] == "plugins" else "dependency"]
 
 
-def _tag(arr: Column, where: str) -> Column:
-    return _nz(F.transform(arr, lambda d: F.struct(
-        _txt(d["groupId"]).alias("group_id"), _txt(d["artifactId"]).alias("artifact_id"),
-        _txt(d["version"]).alias("version"), _txt(d["scope"]).alias("scope"),
-        F.lit(where).alias("where_found"))), _TAGGED_DEP)
+def _in_order(parsed: DataFrame, keys: list[str], outline: str, places: dict[str, str], pos: str, columns: dict[str, str]) -> DataFrame:
+    """One row per element of the outline: its document position, text fields and place."""
+    p = F.col("_p")
+    at, called = {}, {}
+    for path, where in places.items():
+        at[path], called[path] = _elements(p, path), where
+        at[_PROFILE + path] = F.flatten(F.transform(p["profiles"]["profile"], _section_of(path)))
+        called[_PROFILE + path] = _IN_PROFILE.get(where, f"profile_{where}")
+    found = F.col(outline)
+    place = F.lit(None).cast("string")
+    element = F.lit(None)
+    rows = parsed.select(*keys, "_p", outline, F.posexplode(found).alias(pos, "_path")).withColumn(
+        "_nth", F.size(F.filter(F.slice(F.col(outline), 1, F.col(pos) + 1), lambda x: x == F.col("_path"))))
+    for path in at:
+        here = F.col("_path") == path
+        place = F.when(here, F.lit(called[path])).otherwise(place)
+        element = F.when(here, F.try_element_at(at[path], F.col("_nth"))).otherwise(element)
+    picked = rows.select(*keys, pos, element.alias("_e"), place.alias("where_found")).where("_e is not null")
+    return picked.select(*keys, pos, *[_txt(F.col("_e")[n]).alias(c) for c, n in columns.items()], "where_found")
 
 
-def _plugin_deps(plugins: Column, where: str) -> Column:
-    return _nz(F.flatten(F.transform(plugins, lambda p: _tag(p["dependencies"]["dependency"], where))), _TAGGED_DEP)
+_IN_PROFILE = {"direct": "profile", "build": "profile"}
+
+
+def _section_of(path: str):
+    return lambda q: F.coalesce(_elements(q, path), F.array())
 
 
 def dependencies(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """one row per ``dependency`` element: direct, managed, plugin-level and in profiles."""
-    p = F.col("_p")
-    b = p["build"]
-    profiles = p["profiles"]["profile"]
-    prof_direct = _nz(F.flatten(F.transform(profiles, lambda q: _tag(q["dependencies"]["dependency"], "profile"))),
-                      _TAGGED_DEP)
-    prof_managed = _nz(F.flatten(F.transform(
-        profiles, lambda q: _tag(q["dependencyManagement"]["dependencies"]["dependency"], "profile_managed"))),
-        _TAGGED_DEP)
-    prof_plugin = _nz(F.flatten(F.transform(
-        profiles, lambda q: F.concat(_plugin_deps(q["build"]["plugins"]["plugin"], "profile_plugin"),
-                                     _plugin_deps(q["build"]["pluginManagement"]["plugins"]["plugin"],
-                                                  "profile_plugin")))), _TAGGED_DEP)
-    all_deps = F.concat(
-        _tag(p["dependencies"]["dependency"], "direct"),
-        _tag(p["dependencyManagement"]["dependencies"]["dependency"], "managed"),
-        _plugin_deps(b["plugins"]["plugin"], "plugin"),
-        _plugin_deps(b["pluginManagement"]["plugins"]["plugin"], "plugin"),
-        prof_direct, prof_managed, prof_plugin)
-    return parsed.select(*keys, F.posexplode(all_deps).alias("dep_pos", "d")).select(*keys, "dep_pos", "d.*")
-
-
-def _tag_plugins(arr: Column, where: str) -> Column:
-    return _nz(F.transform(arr, lambda d: F.struct(
-        _txt(d["groupId"]).alias("group_id"), _txt(d["artifactId"]).alias("artifact_id"),
-        _txt(d["version"]).alias("version"), F.lit(where).alias("where_found"))), _TAGGED_PLUGIN)
+    """one row per ``dependency`` element in document order (``dep_pos``): direct, managed, of plugins, in profiles."""
+    return _in_order(parsed, keys, "_deps", DEPENDENCY_PLACES, "dep_pos",
+                     {"group_id": "groupId", "artifact_id": "artifactId", "version": "version", "scope": "scope"})
 
 
 def plugins(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """F16: one row per ``plugin`` element: build, pluginManagement, reporting, profiles."""
-    p = F.col("_p")
-    all_p = F.concat(
-        _tag_plugins(p["build"]["plugins"]["plugin"], "build"),
-        _tag_plugins(p["build"]["pluginManagement"]["plugins"]["plugin"], "managed"),
-        _tag_plugins(p["reporting"]["plugins"]["plugin"], "reporting"),
-        _nz(F.flatten(F.transform(p["profiles"]["profile"],
-                                  lambda q: _tag_plugins(q["build"]["plugins"]["plugin"], "profile"))),
-            _TAGGED_PLUGIN))
-    return parsed.select(*keys, F.posexplode(all_p).alias("plugin_pos", "d")).select(*keys, "plugin_pos", "d.*")
+    """F16: one row per ``plugin`` element in document order (``plugin_pos``): build, pluginManagement, reporting, profiles."""
+    return _in_order(parsed, keys, "_plugins", PLUGIN_PLACES, "plugin_pos",
+                     {"group_id": "groupId", "artifact_id": "artifactId", "version": "version"})
 
 
 def modules(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,21 +163,19 @@ def module_pom_paths(descriptors: DataFrame, listing: DataFrame, key: str = "rep
     return root.unionByName(found)
 
 
-def policy_report(deps: DataFrame, policy: DataFrame, keys: list[str]) -> DataFrame:
+def policy_report(elements: DataFrame, policy: DataFrame, keys: list[str], pos: str = "dep_pos") -> DataFrame:
     """J7 + J8: per descriptor and policy coordinate found, the first match and whether it needs a change.
 
-    A match needs both ``groupId`` and ``artifactId`` text (an element without
-    ``groupId`` never matches).  The first match is taken by section
-    precedence (direct, managed, plugin, profile…) then position.  The policy
-    table is joined on the coordinate; Spark broadcasts it when its measured
-    size is small and shuffles otherwise.
+    ``elements`` are the rows of ``dependencies`` or, with ``pos="plugin_pos"``, of ``plugins``.  A match
+    needs both ``groupId`` and ``artifactId`` text (an element without ``groupId`` never matches); the first
+    in document order counts.  A policy that repeats a coordinate has its greatest target.  The policy
+    table is joined on the coordinate; Spark broadcasts it when its measured size is small and shuffles
+    otherwise.
     """
-    rank = F.array_position(F.array(*[F.lit(w) for w in WHERE_ORDER]), F.col("where_found"))
-    m = deps.filter(F.col("group_id").isNotNull() & F.col("artifact_id").isNotNull()).join(
-        policy, ["group_id", "artifact_id"])
+    targets = policy.groupBy("group_id", "artifact_id").agg(F.max("target_version").alias("target_version"))
+    m = elements.filter(F.col("group_id").isNotNull() & F.col("artifact_id").isNotNull()).join(targets, ["group_id", "artifact_id"])
     first = m.groupBy(*keys, "group_id", "artifact_id").agg(
-        F.min_by(F.struct("version", "where_found"), F.struct(rank, F.col("dep_pos"))).alias("_f"),
-        F.first("target_version").alias("target_version"))
+        F.min_by(F.struct("version", "where_found"), F.col(pos)).alias("_f"), F.max("target_version").alias("target_version"))
     return first.select(*keys, "group_id", "artifact_id", F.col("_f.version").alias("current_version"),
                         F.col("_f.where_found").alias("where_found"), "target_version",
                         (~F.col("_f.version").eqNullSafe(F.col("target_version"))).alias("needs_change"))

@@ -18,15 +18,11 @@ EXCLUDED_EXTS = [".class", ".jar", ".war", ".ear", ".tmp"]  # compared lower-cas
 # ---------------------------------------------------------------------------
 
 SECTION_MARK = "diff --git "
-HEADER_PATH_RE = "^diff --git a/(.*?) b/([^\\n]*)"
-
-
-def path_extension(path) -> Column:
-    """``os.path.splitext(path)[1]``: from the last dot of the base name, unless
-    the base name is only dots before it (leading dots never start an extension)."""
-    c = F.col(path) if isinstance(path, str) else path
-    base = F.regexp_extract(c, "[^/]*$", 0)
-    return F.regexp_extract(base, "^.*[^.].*(\\.[^.]*)$", 1)
+# The section's own lines name the file: where it was renamed or copied to, its new or (deleted) its old
+# side; a section without them (mode change, empty file) names it twice in its first line.
+_NAMED = r'(?m)^(?:rename to |copy to |\+\+\+ b/|\+\+\+ (?="b/))([^\t\n]*)'
+_DELETED = r'(?m)^--- (?:a/|(?="a/))([^\t\n]*)'
+_TWICE = r'^diff --git (?:a/(.*) b/\1|"a/(.*)" "b/\2")$'
 
 
 def _excluded_re() -> str:
@@ -56,11 +52,36 @@ def _bodies(diff: Column) -> Column:
     back on the others.  Measured 4-5x faster than a look-around split.
     """
     parts = F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\n" + SECTION_MARK, -1)
-    return F.transform(F.slice(parts, 2, 1 << 30), lambda b: F.concat(F.lit(SECTION_MARK), b))
+    return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda b: F.concat(F.lit(SECTION_MARK), b))
+
+
+def _unquoted(path: Column) -> Column:
+    """A path as git writes it: quoted with backslash escapes (octal bytes among them) or plain; leading side removed."""
+    inner = F.regexp_extract(path, r'(?s)^"(?:[ab]/)?(.*)"$', 1)
+    pieces = F.regexp_extract_all(inner, F.lit(r"(?s)\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+
+    def raw(x: Column) -> Column:
+        plain = F.when(x == r"\t", "\t").when(x == r"\n", "\n").when(x == r"\r", "\r").when(
+            x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
+        return F.when(x.rlike(r"^\\[0-7]{3}$"), F.unhex(F.lpad(F.conv(F.substring(x, 2, 3), 8, 16), 2, "0"))).otherwise(
+            F.encode(plain, "UTF-8"))
+
+    joined = F.aggregate(F.transform(pieces, raw), F.lit(b""), lambda acc, x: F.concat(acc, x))
+    return F.when(path.startswith('"'), joined.cast("string")).otherwise(path)
 
 
 def _path(section: Column) -> Column:
-    return F.regexp_extract(section, HEADER_PATH_RE, 2)
+    """the file of a section (its new name)."""
+    from runlens.operators._plan import let
+
+    def named(head: Column) -> Column:
+        first = F.substring_index(head, "\n", 1)
+        found = F.coalesce(*[F.nullif(c, F.lit("")) for c in (
+            F.regexp_extract(head, _NAMED, 1), F.regexp_extract(head, _DELETED, 1), F.regexp_extract(first, _TWICE, 1),
+            F.concat(F.lit('"'), F.nullif(F.regexp_extract(first, _TWICE, 2), F.lit("")), F.lit('"')))], F.lit(""))
+        return let(found, _unquoted)
+
+    return let(F.substring_index(section, "\n@@", 1), named)
 
 
 def changed_files(patches: DataFrame, diff_col: str = "diff") -> DataFrame:
@@ -80,9 +101,13 @@ def filtered_patch(diff) -> Column:
     Kept sections are joined with the line breaks the split removed; a final
     break is added when the patch's own last section was dropped.
     """
+    from runlens.operators._plan import let
     c = F.col(diff) if isinstance(diff, str) else diff
-    bodies = _bodies(c)
-    kept = F.filter(bodies, lambda s: ~is_excluded(_path(s)))
-    last_dropped = is_excluded(_path(F.try_element_at(bodies, F.lit(-1))))
-    return F.when(F.size(kept) == 0, F.lit("")).otherwise(
-        F.concat(F.array_join(kept, "\n"), F.when(last_dropped, F.lit("\n")).otherwise(F.lit(""))))
+    judged = F.transform(_bodies(c), lambda s: F.struct(s.alias("body"), is_excluded(_path(s)).alias("out")))
+
+    def joined(sections: Column) -> Column:
+        last_out = F.try_element_at(sections, F.lit(-1))["out"]
+        return let(F.filter(sections, lambda s: ~s["out"]), lambda kept: F.when(F.size(kept) == 0, F.lit("")).otherwise(
+            F.concat(F.array_join(F.transform(kept, lambda s: s["body"]), "\n"), F.when(last_out, "\n").otherwise(""))))
+
+    return let(judged, joined)

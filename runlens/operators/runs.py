@@ -1,5 +1,5 @@
-"""Run-level operators: funnel (A1), status counts (A2), semi/anti joins for
-manifest filtering and resume (J1, J4, U1), first-N (L1), summary projection (P6).
+"""Run-level operators: funnel (A1), status counts (A2), the semi join for
+manifest filtering (J1), first-N (L1), summary projection (P6).
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def with_results(manifest: DataFrame, results: DataFrame, key: str = "repo_name"
                  result_key: str | None = None) -> DataFrame:
     """Keep manifest items that have a result (left semi join).
 
-    The result-key side is deduplicated names only; Spark broadcasts it when
+    Only the key column of the results is read; Spark broadcasts it when
     its measured size is under ``autoBroadcastJoinThreshold`` and otherwise
     runs a shuffled semi join, so no unchecked broadcast is forced here.
     """
@@ -51,16 +51,6 @@ def with_results(manifest: DataFrame, results: DataFrame, key: str = "repo_name"
     return manifest.join(keys, key, "left_semi")
 
 
-def pending(todo: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Items not already stored (left anti join on the key)."""
-    return todo.join(stored.select(key), key, "left_anti")
-
-
-def resume_union(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Stored ∪ freshly computed results (bag union by column name)."""
-    return stored.unionByName(fresh, allowMissingColumns=True)
-
-
 def first_n(df: DataFrame, n: int, order_col: str = "ordinal") -> DataFrame:
     """L1: first ``n`` items in manifest order when n > 0, else all (TakeOrderedAndProject)."""
     if n is None or n <= 0:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import maven as M
+from runlens.session import materialize
 
 
 def status_trace(steps: DataFrame, run_col: str = "run_id") -> DataFrame:
@@ -31,15 +32,12 @@ def trace_points(trace: DataFrame, run_col: str = "run_id") -> DataFrame:
     one partial row per task.  The rank is the number of present statuses
     with a lower code, ``bit_count(mask & ((1 << code) - 1))``.
     """
-    from runlens.session import checkpoint_dir
-    checkpoint_dir(trace.sparkSession)
-    # The trace feeds both the mask aggregate and the join: materialize the
-    # small (run, step, status) rows once in the shared checkpoint folder
-    # instead of parsing the logs twice.
-    trace = trace.checkpoint(eager=True)
-    masks = trace.groupBy(run_col).agg(
+    # The trace feeds both the mask aggregate and the join: the small (run, step, status) rows are
+    # written once to the shared folder (a job at the time of the call) instead of parsing the logs twice.
+    trace = materialize(trace, "trace")
+    masks = trace.groupBy(F.col(run_col).alias("_run")).agg(
         F.bit_or(F.expr("shiftleft(1, status_code)")).alias("_mask"))
-    j = trace.join(masks, run_col)
+    j = trace.join(masks, F.col(run_col).eqNullSafe(F.col("_run")))
     y = F.expr("bit_count(_mask & (shiftleft(1, status_code) - 1))")
     label = F.concat(F.col("status_name"), F.lit(" ("), F.col("status_code").cast("string"), F.lit(")"))
     return j.select(run_col, "step", y.cast("int").alias("y"), "status_code", label.alias("label"))

@@ -1,8 +1,9 @@
 """User functions per row with error capture (X1) and bounded retries.
 
 The reference runs one Python function per job and turns an exception into a
-FAIL result.  ``guarded_map`` does that inside ``mapInPandas``: Arrow batches
-in, one output row per input row, ``status``/``error`` columns added.  Use it
+FAIL result.  ``guarded_map`` does that inside ``mapInArrow``: the function gets plain
+Python values (``None`` for NULL, exact integers), kept columns pass through
+untouched, one output row per input row, ``status``/``error`` columns added.  Use it
 only for work that is Python by nature; everything expressible with Spark
 functions belongs in the other operators.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -32,26 +33,27 @@ def guarded_map(df: DataFrame, fn: Callable[[dict], dict], out_schema: StructTyp
     in_fields = {f.name: f for f in df.schema.fields}
     schema = StructType([in_fields[k] for k in keep] + list(out_schema.fields)
                         + [StructField("status", StringType()), StructField("error", StringType())])
-    out_names = [f.name for f in out_schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                res, err = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        fields = list(to_arrow_schema(out_schema))
+        for batch in batches:
+            results, errors = [], []
+            for rec in batch.to_pylist():
                 for _ in range(attempts):
                     try:
-                        res, err = fn(rec), None
+                        res = fn(rec) or {}
+                        # Converted here, so that a value of the wrong type is this row's failure.
+                        values, err = [pa.array([res.get(f.name)], type=f.type)[0].as_py() for f in fields], None
                         break
                     except Exception as e:  # noqa: BLE001 - the point is to capture any failure
-                        err = str(e)
-                out = {k: rec[k] for k in keep}
-                for n in out_names:
-                    out[n] = None if err is not None or res is None else res.get(n)
-                out["status"] = "FAIL" if err is not None else "SUCCESS"
-                out["error"] = err
-                rows.append(out)
-            yield pd.DataFrame(rows, columns=schema.names)
+                        values, err = [None] * len(fields), str(e)
+                results.append(values)
+                errors.append(err)
+            columns = [batch.column(k) for k in keep]
+            columns += [pa.array([r[i] for r in results], type=f.type) for i, f in enumerate(fields)]
+            columns += [pa.array(["SUCCESS" if e is None else "FAIL" for e in errors], type=pa.string()), pa.array(errors, type=pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ship_package(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

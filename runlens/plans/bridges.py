@@ -11,30 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators._plan import ensure_parallelism
+from runlens.session import materialize
 
 
 _TABLES: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the task slots when it arrives as too few splits.
+    """A driver table, copied once per application into one file per task slot.
 
-    The DataFrame (a lazy plan; no data is cached) is reused within one
-    application, so the file is listed and its footer read once, not at every
-    reference inside a query.
+    A driver table is a single Parquet row group, which only one task can read.  The copy in the shared
+    checkpoint folder has a row group per slot, so the bridges' row-local work spreads without a shuffle
+    in any query.  The first use of a table runs this copy.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        key = (spark.sparkContext.applicationId, path)
-    except Exception:  # noqa: BLE001 - no SparkContext (Connect): no reuse
-        key = None
-    if key is not None and key in _TABLES:
-        return _TABLES[key]
-    df = ensure_parallelism(spark.read.parquet(path), cache_key=path)
-    if key is not None:
-        _TABLES[key] = df
-    return df
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        slots = spark.sparkContext.defaultParallelism
+        _TABLES[key] = materialize(spark.read.parquet(path).repartition(slots), f"table-{name}")
+    return _TABLES[key]
 
 
 def _s(c) -> F.Column:

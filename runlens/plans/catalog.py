@@ -29,6 +29,11 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _ORACLES[name]
+
+
 def _load_all() -> None:
     # Import for side effects (registration); order defines listing order.
     from runlens.plans import (  # noqa: F401

@@ -146,7 +146,7 @@ t AS (SELECT run_id, j AS step, {_MK_CODE} AS c FROM q WHERE kind = 2 AND has_mv
 SELECT run_id, step, c AS status_code, {_NAME} AS status_name FROM t""")
 def q_status_trace(spark, sf_dir):
     """Q3 over B3 logs."""
-    return trace.status_trace(agentlog.parse_agent_logs(b3_agent_logs(spark, sf_dir)))
+    return trace.status_trace(agentlog.parse_agent_logs(b3_agent_logs(spark, sf_dir), fields=("execution_logs",)))
 
 
 @register("trace_points", oracle=_TRACE_SQL + f"""

@@ -31,6 +31,50 @@ def b7_source_files(spark, sf_dir):
                     content.alias("content"))
 
 
+def _files_written(spark, sf_dir):
+    """B7 as real files, sixteen documents to a file ``_d{n}.py`` (n = doc_id div 16) of repository ``r{n % 50}``,
+    with an empty ``__init__.py`` beside each and a hidden copy that no corpus holds."""
+    import uuid
+
+    from runlens.session import checkpoint_dir, ship_package
+    from runlens.sources.tree import open_root
+    ship_package(spark)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/runlens-io/tree-{uuid.uuid4().hex[:12]}"
+
+    def write(batches):
+        import pyarrow as pa
+        system, base = open_root(root)
+        for batch in batches:
+            for n, text in zip(batch.column("n").to_pylist(), batch.column("text").to_pylist()):
+                for rel, data in ((f"pkg{n}/_d{n}.py", text), (f"pkg{n}/__init__.py", ""), (f".hidden/h{n}.py", text)):
+                    folder, _, name = f"{base}/r{n % 50}/{rel}".rpartition("/")
+                    system.create_dir(folder, recursive=True)
+                    with system.open_output_stream(f"{folder}/{name}") as f:
+                        f.write(data.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["files"])
+
+    d = B.table(spark, sf_dir, "documents")
+    rows = d.groupBy(F.expr("doc_id div 16").alias("n")).agg(F.max("text").alias("text"))
+    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
+@register("source_tree", oracle="""
+WITH f AS (SELECT doc_id // 16 AS n, max(text) AS text FROM documents GROUP BY doc_id // 16)
+SELECT 'r' || CAST(n % 50 AS VARCHAR) AS repo, 'pkg' || CAST(n AS VARCHAR) || '/_d' || CAST(n AS VARCHAR) || '.py' AS rel_path,
+       md5(text) AS content_md5, CAST(strlen(text) AS BIGINT) AS content_bytes FROM f
+UNION ALL
+SELECT 'r' || CAST(n % 50 AS VARCHAR), 'pkg' || CAST(n AS VARCHAR) || '/__init__.py', md5(''), CAST(0 AS BIGINT) FROM f""")
+def q_source_tree(spark, sf_dir):
+    """A tree written to the shared folder and scanned: names with ``_`` and empty files stay, hidden paths go.
+
+    Writes its files at the time of the call.
+    """
+    from runlens.sources import files as S
+    tree = S.scan_source_tree(spark, _files_written(spark, sf_dir), extensions=CO.DEFAULT_EXTENSIONS)
+    return tree.select("repo", "rel_path", F.md5("content").alias("content_md5"), F.octet_length("content").cast("bigint").alias("content_bytes"))
+
+
 _KEPT_SQL = """
   SELECT source AS repo, '/repos/' || source || '/src/main/d' || CAST(doc_id AS VARCHAR) ||
            ['.java', '.py', '.JAVA', '.txt', '.sql'][doc_id % 5 + 1] AS path, text
@@ -65,17 +109,17 @@ FROM ({_PIECES_SQL}) GROUP BY repo""")
 def q_corpus_written(spark, sf_dir):
     """A7 sink round trip: corpora written per repository as ordered part files, read back and measured.
 
-    Each part file is read whole; its length and header count are summed per
+    The part files are read as lines; lengths and header lines are summed per
     repository (partial aggregation), minus the one trailing line break the
-    text writer adds after the last piece.
+    text writer adds after the last piece.  Writes at the time of the call.
     """
     import uuid
     from runlens.session import checkpoint_dir
     out = f"{checkpoint_dir(spark).rstrip('/')}/runlens-io/corpus-{uuid.uuid4().hex[:12]}"
     CO.write_corpus(CO.corpus_pieces(b7_source_files(spark, sf_dir)), out)
-    back = spark.read.text(out, wholetext=True)
-    per_file = back.select(F.col("repo"), F.length("value").alias("n"),
-                           (F.size(F.split("value", "\\n--- File: ", -1)) - 1).alias("h"))
-    agg = per_file.groupBy("repo").agg(F.sum("h").alias("n_files"), F.sum("n").alias("chars"))
+    # Read as lines, which split a large part file: a line break more than each line's length.
+    lines = spark.read.option("lineSep", "\n").text(out)
+    agg = lines.groupBy("repo").agg(F.sum(F.col("value").rlike("^--- File: ").cast("bigint")).alias("n_files"),
+                                    F.sum(F.length("value") + 1).alias("chars"))
     return agg.select("repo", F.col("n_files").cast("bigint").alias("n_files"),
                       (F.col("chars") - 1).cast("bigint").alias("total_chars"))

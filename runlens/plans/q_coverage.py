@@ -6,11 +6,14 @@ and report level; METHOD counters (missed = l_linenumber % 2, covered = 1) at
 method level and (missed = l_suppkey % 3, covered = l_quantity) at package
 level.  DOCTYPE with an external DTD when (k + ln) % 3 = 0; cut short
 (malformed) when (k + ln) % 17 = 0; written outside ``target/site/jacoco*``
-(not discovered) when l_partkey % 7 = 0.
+(not discovered) when l_partkey % 7 = 0.  A byte that is no UTF-8 when (k + ln) % 31 = 0; a counter
+beyond 64 bits when (k + ln) % 37 = 0.  Reports are bytes, as files are.
 
 Guard inputs from orders: result directory unless k % 19 = 0; stored guard
-result when k % 23 = 0; no patch when k % 29 = 0; pre-coverage by k % 6:
-0 -> 0.0, 1 -> missing row, 2 -> NaN, else 40 + k % 50.
+row when k % 23 = 0, with a result unless k % 2 = 0 (a stored FAIL), also for runs without result
+directory, and stored twice when k % 46 = 23; no patch when k % 29 = 0; a patch that does not apply when
+k % 31 = 0; pre-coverage by k % 6: 0 -> 0.0, 1 -> missing row, 2 -> NaN, else 40 + k % 50, after an older
+row of the same key.
 """
 
 from __future__ import annotations
@@ -42,9 +45,11 @@ def b4_reports(spark, sf_dir):
     site = F.when(pk % 7 == 0, F.lit("/target/site/coverage/jacoco.xml")).when(
         pk % 2 == 0, F.lit("/target/site/jacoco-aggregate/jacoco.xml")).otherwise(F.lit("/target/site/jacoco/jacoco.xml"))
     path = F.concat(F.lit("r_"), s(k), F.lit("/m"), s(ln), F.lit("_"), s(pk), site)
-    base = li.select(k.alias("run_id"), path.alias("path"), ((k + ln) % 17 == 0).alias("_cut"),
+    base = li.select(k.alias("run_id"), path.alias("path"), ((k + ln) % 17 == 0).alias("_cut"), ((k + ln) % 31 == 0).alias("_bad"),
                      _xml_expr(k, ln, q, pk, sk, doctype, counter).alias("_x"))
-    return base.select("run_id", "path", xml.alias("xml"))
+    raw = F.encode(xml, "UTF-8")
+    broken = F.concat(F.encode(F.substring(F.col("_x"), 1, 60), "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.expr("substring(_x, 61)"), "UTF-8"))
+    return base.select("run_id", "path", F.when(F.col("_bad"), broken).otherwise(raw).alias("xml"))
 
 
 def _xml_expr(k, ln, q, pk, sk, doctype, counter):
@@ -57,6 +62,7 @@ def _xml_expr(k, ln, q, pk, sk, doctype, counter):
         F.lit('<method name="run" desc="()V" line="1">'), counter("INSTRUCTION", F.lit(3), F.lit(4)),
         counter("LINE", ln, q), counter("METHOD", ln % 2, F.lit(1)), F.lit("</method>"),
         counter("LINE", ln, q), F.lit("</class>"), counter("METHOD", sk % 3, q), F.lit("</package>"),
+        F.when((k + ln) % 37 == 0, counter("LINE", F.lit("9223372036854775807"), F.lit(1))).otherwise(F.lit("")),
         counter("LINE", ln, q), F.lit("</report>"))
 
 
@@ -67,7 +73,8 @@ def coverage_after(spark, sf_dir):
 
 _REPORTS_SQL = """
   SELECT l_orderkey AS k, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS q, l_partkey AS pk, l_suppkey AS sk,
-         (l_orderkey + l_linenumber) % 17 <> 0 AS valid, l_partkey % 7 <> 0 AS found
+         (l_orderkey + l_linenumber) % 17 <> 0 AND (l_orderkey + l_linenumber) % 31 <> 0
+           AND (l_orderkey + l_linenumber) % 37 <> 0 AS valid, l_partkey % 7 <> 0 AS found
   FROM lineitem"""
 _PER_RUN_SQL = f"""
   SELECT k AS run_id, SUM(3 * ln) AS lm, SUM(3 * q) AS lc, SUM(ln % 2 + sk % 3) AS mm, SUM(1 + q) AS mc
@@ -102,34 +109,39 @@ def q_coverage_repo(spark, sf_dir):
 def guard_inputs(spark, sf_dir):
     v = verdicts(spark, sf_dir)
     k = F.col("run_id")
-    manifest = v.select("run_id", "repo", "has_result", "test_success", (k % 29 != 0).alias("has_patch"))
-    results_dirs = v.filter(k % 19 != 0).select("run_id")
+    manifest = v.select("run_id", "repo", "has_result", "test_success", (k % 29 != 0).alias("has_patch"),
+                        F.when(k % 31 == 0, F.concat(F.lit("patch does not apply: "), k.cast("string"))).alias("patch_error"))
+    results_dirs = B.b1_runs(spark, sf_dir).where(k % 19 != 0).select("run_id")
     from runlens.operators import runs
     candidates = runs.with_results(manifest, results_dirs, key="run_id")
-    stored = (candidates.filter(k % 23 == 0)
-              .select("run_id", "repo", F.lit(50.0).alias("cov_before"),
-                      (F.lit(45.0) + (k % 10).cast("double")).alias("cov_after")))
-    change, passed = C.coverage_change(F.col("cov_before"), F.col("cov_after"))
-    stored = stored.select("*", change.alias("cov_percent_change"), passed.alias("cov_guard_pass"))
     o = B.table(spark, sf_dir, "orders")
     ok = F.col("o_orderkey")
     repo = F.concat(F.lit("own"), (F.col("o_custkey") % 97).cast("string"), F.lit("/r_"), ok.cast("string"))
+    before, after = F.lit(50.0), F.lit(45.0) + (ok % 10).cast("double")
+    change, passed = C.coverage_change(before, after)
+    has = ok % 2 != 0
+    stored = (o.where(ok % 23 == 0).select(
+        ok.alias("run_id"), repo.alias("repo"), F.when(has, "SUCCESS").otherwise("FAIL").alias("status"),
+        F.when(~has, "gone wrong").alias("error"), F.when(has, before).alias("cov_before"), F.when(has, after).alias("cov_after"),
+        F.when(has, change).alias("cov_percent_change"), F.when(has, passed).alias("cov_guard_pass"),
+        F.explode(F.sequence(F.lit(0), (ok % 46 == 23).cast("int"))).alias("_copy")).drop("_copy"))
     pct = (F.when(ok % 6 == 0, F.lit(0.0)).when(ok % 6 == 2, F.lit(float("nan")))
            .otherwise((F.lit(40) + ok % 50).cast("double")))
-    # The CSV holds directory-style keys; recover them (F3) before the lookup.
-    pre_csv = o.filter(ok % 6 != 1).select(T.safe_key(repo).alias("repo_dir"), pct.alias("percent_before"))
-    pre_cov = pre_csv.select(T.recover_key("repo_dir").alias("repo"), "percent_before")
+    # The CSV holds directory-style keys, an older row in front of the one that counts; recover them (F3) before the lookup.
+    rows = F.array(F.struct(F.lit(0).alias("nth"), F.lit(99.0).alias("percent_before")), F.struct(F.lit(1).alias("nth"), pct.alias("percent_before")))
+    pre_csv = o.filter(ok % 6 != 1).select(T.safe_key(repo).alias("repo_dir"), F.inline(rows))
+    pre_cov = pre_csv.select(T.recover_key("repo_dir").alias("repo"), "nth", "percent_before")
     return candidates, stored, coverage_after(spark, sf_dir), pre_cov
 
 
 def guard(spark, sf_dir):
-    return C.guard_rows(*guard_inputs(spark, sf_dir))
+    return C.guard_rows(*guard_inputs(spark, sf_dir), pre_order="nth")
 
 
 _GUARD_SQL = f"""
 WITH r AS ({_RUNS_SQL}),
 v AS (SELECT k, repo, has_result, {_TEST_OK_SQL} AS test_success, k % 29 <> 0 AS has_patch,
-             k % 23 = 0 AS stored FROM r WHERE k % 19 <> 0),
+             k % 23 = 0 AND k % 2 <> 0 AS stored, k % 31 = 0 AS bad_patch FROM r WHERE k % 19 <> 0),
 a AS ({_PER_RUN_SQL}),
 pre AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN 0.0 WHEN o_orderkey % 6 = 2 THEN 'NaN'::DOUBLE
                                      ELSE CAST(40 + o_orderkey % 50 AS DOUBLE) END AS before
@@ -138,12 +150,13 @@ j AS (SELECT v.*, CASE WHEN a.run_id IS NOT NULL THEN CASE WHEN lm + lc > 0 THEN
              pre.before, pre.k IS NOT NULL AS known
       FROM v LEFT JOIN a ON a.run_id = v.k LEFT JOIN pre ON pre.k = v.k),
 s AS (SELECT *, CASE WHEN stored THEN 'SKIP' WHEN NOT has_result THEN 'FAIL'
-                     WHEN test_success IS NOT TRUE THEN 'SKIP' WHEN NOT has_patch THEN 'FAIL'
+                     WHEN test_success IS NOT TRUE THEN 'SKIP' WHEN NOT has_patch OR bad_patch THEN 'FAIL'
                      WHEN after IS NULL THEN 'FAIL' WHEN NOT known THEN 'FAIL' WHEN before = 0 THEN 'FAIL'
                      ELSE 'SUCCESS' END AS status FROM j),
 g AS (SELECT k AS run_id, repo, status,
              CASE WHEN stored THEN NULL WHEN NOT has_result THEN '{C.ERR_EMPTY_RESULT.replace("'", "''")}'
                   WHEN test_success IS NOT TRUE THEN NULL WHEN NOT has_patch THEN NULL
+                  WHEN bad_patch THEN '{C.ERR_PATCH_PREFIX}patch does not apply: ' || CAST(k AS VARCHAR)
                   WHEN after IS NULL THEN '{C.ERR_NO_COVERAGE}' WHEN NOT known THEN '''' || repo || ''''
                   WHEN before = 0 THEN '{C.ERR_ZERO_BEFORE}' END AS error,
              CAST(CASE WHEN stored THEN 50.0 WHEN status = 'SUCCESS' THEN before END AS DOUBLE) AS cov_before,
@@ -183,3 +196,45 @@ def q_guard_status_counts(spark, sf_dir):
     """A2 over guard rows."""
     from runlens.operators import runs
     return runs.result_stats(guard(spark, sf_dir))
+
+
+@register("guard_written", oracle=_GUARD_SQL + """,
+p AS (SELECT *, CASE WHEN cov_before IS NOT NULL THEN NOT isnan(cov_percent_change) AND cov_percent_change > -0.05 END
+         AS pass FROM c)
+SELECT run_id, repo, status, error, pass AS cov_guard_pass, (SELECT CAST(COUNT_IF(status = 'FAIL') AS BIGINT) FROM p) AS job_fails FROM p""")
+def q_guard_written(spark, sf_dir):
+    """K3: guard rows and summary stored and read back.  Writes at the time of the call."""
+    out = _report_folder(spark)
+    _write(guard(spark, sf_dir), out)
+    fails = spark.read.schema("job_fails bigint").json(f"{out}/summary")
+    return (spark.read.parquet(f"{out}/repo_results").select("run_id", "repo", "status", "error", "cov_guard_pass")
+            .withColumn("job_fails", fails.scalar()))
+
+
+def _report_folder(spark) -> str:
+    import uuid
+
+    from runlens.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/runlens-io/guard-{uuid.uuid4().hex[:12]}"
+
+
+def _write(rows, out: str) -> None:
+    from runlens.sources import files as S
+    S.write_guard_report(rows, C.guard_summary(rows), out)
+
+
+@register("guard_resume", oracle=_GUARD_SQL + """
+SELECT run_id, repo, CASE WHEN cov_before IS NOT NULL AND cov_percent_change IS NOT NULL THEN 'SKIP' ELSE status END AS status, error,
+       CAST(cov_before AS DOUBLE) AS cov_before, CAST(cov_after AS DOUBLE) AS cov_after
+FROM c""")
+def q_guard_resume(spark, sf_dir):
+    """K3 -> S5 -> guard again: rows with a result come back as SKIP with it, all others are done again.
+
+    Writes at the time of the call.
+    """
+    from runlens.sources import files as S
+    candidates, stored, after, pre_cov = guard_inputs(spark, sf_dir)
+    out = _report_folder(spark)
+    _write(C.guard_rows(candidates, stored, after, pre_cov, pre_order="nth"), out)
+    again = C.guard_rows(candidates, S.read_stored_results(spark, f"{out}/repo_results"), after, pre_cov, pre_order="nth")
+    return again.select("run_id", "repo", "status", "error", "cov_before", "cov_after")

@@ -6,7 +6,9 @@ modules ``mod{i}`` (padded with spaces); direct dependency ``org.Brand{b}:t``
 (version s, left out when k % 4 = 0; scope test when s is even, else compile)
 except when k % 10 = 5; a ``junit`` dependency; a managed copy (version s+1)
 when k % 5 = 0; a surefire plugin (no groupId when k % 6 = 0) with a
-plugin-level dependency ``t-engine``.  Cut short (malformed) when k % 11 = 0.
+plugin-level dependency ``t-engine``.  The managed section stands before the direct one unless k % 3 = 0.
+A profile when k % 9 = 4 (in front of all sections when k is even, else behind them) with the coordinate
+(version 9s), a managed jar plugin and a reporting plugin.  Cut short (malformed) when k % 11 = 0.
 Module POM files exist for ``mod{i}`` when (k + i) % 2 = 0.
 """
 
@@ -47,11 +49,19 @@ def b5_descriptors(spark, sf_dir):
         F.lit("<artifactId>maven-surefire-plugin</artifactId><version>3."), (s % 5).cast("string"),
         F.lit("</version><dependencies><dependency><groupId>org."), b, F.lit("</groupId><artifactId>"), t,
         F.lit("-engine</artifactId></dependency></dependencies></plugin></plugins></build>"))
+    profile = F.when(k % 9 == 4, F.concat(
+        F.lit("<profiles><!-- <dependency> --><profile><id>x</id><dependencies><dependency>"), coord, F.lit("<version>9"), ss,
+        F.lit("</version></dependency></dependencies><build><pluginManagement><plugins><plugin><groupId>org.apache.maven.plugins</groupId>"
+              "<artifactId>maven-jar-plugin</artifactId><version>2."), (s % 4).cast("string"),
+        F.lit("</version></plugin></plugins></pluginManagement></build><reporting><plugins><plugin><groupId>org.r</groupId>"
+              "<artifactId>site</artifactId></plugin></plugins></reporting></profile></profiles>"))).otherwise(F.lit(""))
     pom = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<project'), F.when(k % 7 != 0, F.lit(NS)).otherwise(F.lit("")),
         F.lit(">\n  <modelVersion>4.0.0</modelVersion><groupId>org.part</groupId><artifactId>p"), ks,
-        F.lit("</artifactId><version>1.0</version>\n  "), modules, managed,
-        F.lit("<dependencies>"), direct, junit, F.lit("</dependencies>\n  "), plugin,
+        F.lit("</artifactId><version>1.0</version>\n  "), modules, F.when(k % 2 == 0, profile).otherwise(F.lit("")),
+        F.when(k % 3 != 0, managed).otherwise(F.lit("")),
+        F.lit("<dependencies>"), direct, junit, F.lit("</dependencies>\n  "), F.when(k % 3 == 0, managed).otherwise(F.lit("")),
+        plugin, F.when(k % 2 == 1, profile).otherwise(F.lit("")),
         F.when(k % 11 != 0, F.lit("\n</project>\n")).otherwise(F.lit("\n")))
     return p.select(k.alias("part_id"), F.concat(F.lit("p"), ks, F.lit("/pom.xml")).alias("path"), pom.alias("pom"))
 
@@ -90,7 +100,8 @@ SELECT k AS part_id, 'org.' || b AS group_id, t AS artifact_id, CASE WHEN k % 4
        CASE WHEN s % 2 = 0 THEN 'test' ELSE 'compile' END AS scope, 'direct' AS where_found FROM p WHERE parsed AND k % 10 <> 5
 UNION ALL SELECT k, 'junit', 'junit', '4.' || CAST(k % 13 AS VARCHAR), NULL, 'direct' FROM p WHERE parsed
 UNION ALL SELECT k, 'org.' || b, t, CAST(s + 1 AS VARCHAR), NULL, 'managed' FROM p WHERE parsed AND k % 5 = 0
-UNION ALL SELECT k, 'org.' || b, t || '-engine', NULL, NULL, 'plugin' FROM p WHERE parsed""")
+UNION ALL SELECT k, 'org.' || b, t || '-engine', NULL, NULL, 'plugin' FROM p WHERE parsed
+UNION ALL SELECT k, 'org.' || b, t, '9' || CAST(s AS VARCHAR), NULL, 'profile' FROM p WHERE parsed AND k % 9 = 4""")
 def q_pom_dependencies(spark, sf_dir):
     """every dependency element of every descriptor, with the section it sits in."""
     parsed = D.with_parsed(b5_descriptors(spark, sf_dir))
@@ -101,7 +112,9 @@ def q_pom_dependencies(spark, sf_dir):
 WITH p AS ({_PART_SQL})
 SELECT k AS part_id, CASE WHEN k % 6 <> 0 THEN 'org.apache.maven.plugins' END AS group_id,
        'maven-surefire-plugin' AS artifact_id, '3.' || CAST(s % 5 AS VARCHAR) AS version, 'build' AS where_found
-FROM p WHERE parsed""")
+FROM p WHERE parsed
+UNION ALL SELECT k, 'org.apache.maven.plugins', 'maven-jar-plugin', '2.' || CAST(s % 4 AS VARCHAR), 'profile_managed' FROM p WHERE parsed AND k % 9 = 4
+UNION ALL SELECT k, 'org.r', 'site', NULL, 'profile_reporting' FROM p WHERE parsed AND k % 9 = 4""")
 def q_pom_plugins(spark, sf_dir):
     """F16: plugin elements (a plugin without groupId keeps a NULL group and never matches a lookup)."""
     parsed = D.with_parsed(b5_descriptors(spark, sf_dir))
@@ -146,11 +159,12 @@ def q_xml_valid(spark, sf_dir):
 WITH p AS ({_PART_SQL}),
 pol AS (SELECT DISTINCT 'org.Brand' || CAST(bn AS VARCHAR) AS group_id, t AS artifact_id,
                CAST((bn * 7 + length(t)) % 50 AS VARCHAR) AS target_version FROM p),
-f AS (SELECT k, 'org.' || b AS group_id, t AS artifact_id,
-             CASE WHEN k % 10 <> 5 THEN CASE WHEN k % 4 <> 0 THEN CAST(s AS VARCHAR) END
-                  ELSE CAST(s + 1 AS VARCHAR) END AS current_version,
-             CASE WHEN k % 10 <> 5 THEN 'direct' ELSE 'managed' END AS where_found
-      FROM p WHERE parsed)
+o AS (SELECT *, CASE WHEN k % 9 = 4 AND k % 2 = 0 THEN 'profile'
+                  WHEN k % 5 = 0 AND (k % 3 <> 0 OR k % 10 = 5) THEN 'managed'
+                  WHEN k % 10 <> 5 THEN 'direct' END AS w FROM p WHERE parsed),
+f AS (SELECT k, 'org.' || b AS group_id, t AS artifact_id, w AS where_found,
+             CASE w WHEN 'profile' THEN '9' || CAST(s AS VARCHAR) WHEN 'managed' THEN CAST(s + 1 AS VARCHAR)
+                    ELSE CASE WHEN k % 4 <> 0 THEN CAST(s AS VARCHAR) END END AS current_version FROM o)
 SELECT k AS part_id, f.group_id, f.artifact_id, current_version, where_found, target_version,
        current_version IS DISTINCT FROM target_version AS needs_change
 FROM f JOIN pol ON f.group_id = pol.group_id AND f.artifact_id = pol.artifact_id""")
@@ -159,3 +173,27 @@ def q_policy_report(spark, sf_dir):
     parsed = D.with_parsed(b5_descriptors(spark, sf_dir))
     deps = D.dependencies(parsed, ["part_id"])
     return D.policy_report(deps, b5_policy(spark, sf_dir), ["part_id"])
+
+
+@register("plugin_lookup", oracle=f"""
+WITH p AS ({_PART_SQL}),
+pol AS (SELECT * FROM (VALUES (0, 'org.apache.maven.plugins', 'maven-surefire-plugin', '3.2'),
+                              (1, 'org.apache.maven.plugins', 'maven-jar-plugin', '2.1'), (2, 'org.r', 'site', '1')) v(r, g, a, t)
+        JOIN region ON r_regionkey = r),
+f AS (SELECT k, 'org.apache.maven.plugins' AS g, 'maven-surefire-plugin' AS a, '3.' || CAST(s % 5 AS VARCHAR) AS v, 'build' AS w
+      FROM p WHERE parsed AND k % 6 <> 0
+      UNION ALL SELECT k, 'org.apache.maven.plugins', 'maven-jar-plugin', '2.' || CAST(s % 4 AS VARCHAR), 'profile_managed'
+      FROM p WHERE parsed AND k % 9 = 4
+      UNION ALL SELECT k, 'org.r', 'site', NULL, 'profile_reporting' FROM p WHERE parsed AND k % 9 = 4)
+SELECT k AS part_id, f.g AS group_id, f.a AS artifact_id, v AS current_version, w AS where_found, pol.t AS target_version,
+       v IS DISTINCT FROM pol.t AS needs_change
+FROM f JOIN pol ON f.g = pol.g AND f.a = pol.a""")
+def q_plugin_lookup(spark, sf_dir):
+    """J7/J8 for plugins: the first plugin with a coordinate of the policy (targets keyed by region)."""
+    targets = F.create_map(*[F.lit(x) for k, v in {
+        0: ("org.apache.maven.plugins", "maven-surefire-plugin", "3.2"), 1: ("org.apache.maven.plugins", "maven-jar-plugin", "2.1"),
+        2: ("org.r", "site", "1")}.items() for x in (k, ":".join(v))])
+    policy = (B.table(spark, sf_dir, "region").select(F.split(targets[F.col("r_regionkey")], ":").alias("t")).where("t is not null")
+              .select(*[F.col("t")[i].alias(c) for i, c in enumerate(("group_id", "artifact_id", "target_version"))]))
+    parsed = D.with_parsed(b5_descriptors(spark, sf_dir))
+    return D.policy_report(D.plugins(parsed, ["part_id"]), policy, ["part_id"], pos="plugin_pos")

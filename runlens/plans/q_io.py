@@ -12,11 +12,11 @@ import json
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from runlens.operators import udf as U
+from runlens.operators import runs, udf as U
 from runlens.plans import bridges as B
-from runlens.plans.catalog import register
+from runlens.plans.catalog import oracle_of, register
 from runlens.plans.q_builds import verdicts
 from runlens.session import checkpoint_dir
 from runlens.sources import files as S
@@ -131,21 +131,76 @@ def q_run_records(spark, sf_dir):
                        "build_log", F.lit("build_log" in fields).alias("summary_has_log"))
 
 
+@register("run_records_two", oracle="""
+SELECT o_orderkey AS run_id, 'exp' || CAST(o_orderkey % 3 AS VARCHAR) AS experiment,
+       CASE WHEN o_orderkey % 3 = 1 THEN 'second' ELSE 'first' END AS written
+FROM orders WHERE o_orderkey % 3 <> 1 OR o_orderkey % 2 = 0""")
+def q_run_records_two(spark, sf_dir):
+    """K1 twice: a second write of one experiment replaces it and keeps the others.  Writes at the time of the call."""
+    k = F.col("run_id")
+    all_runs = B.b1_runs(spark, sf_dir).select("run_id", F.concat(F.lit("exp"), (k % 3).cast("string")).alias("experiment"))
+    out = _scratch(spark, "runs-two")
+
+    def records(df, written):
+        return df.withColumn("migration_result", F.struct(F.lit(written).alias("output"), F.lit("").alias("stdout"),
+                                                          F.lit("").alias("diff"), F.lit("").alias("build_log")))
+
+    S.write_run_records(records(all_runs, "first"), out)
+    S.write_run_records(records(all_runs.where((k % 3 == 1) & (k % 2 == 0)), "second"), out)
+    return S.read_stored_results(spark, out).select("run_id", "experiment", F.col("migration_result.output").alias("written"))
+
+
+@register("run_artifacts", oracle="""
+SELECT o_orderkey AS run_id, 'exp' || CAST(o_orderkey % 2 AS VARCHAR) AS experiment,
+       'own' || CAST(o_custkey % 97 AS VARCHAR) || '/r_' || CAST(o_orderkey AS VARCHAR) AS repo,
+       o_orderkey % 13 <> 0 AS has_result_file, o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 AS empty_result,
+       CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'result.yaml'
+            WHEN o_orderkey % 5 = 0 THEN 'stdout.log' END AS broken,
+       CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END AS run_success,
+       CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0
+            THEN CAST(o_custkey AS BIGINT) END AS tests_run
+FROM orders""")
+def q_run_artifacts(spark, sf_dir):
+    """S2/S3 over artefact rows: complete, without patch, empty, without result file, malformed YAML, a log that is not UTF-8."""
+    o = B.table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    good = F.concat(F.lit("run_success: "), F.when(k % 2 == 0, "true").otherwise("false"),
+                    F.lit("\nerror: null\nbuild_result:\n  build_success: true\n  build_time: 1.5\n  test_results:\n    tests_run: "),
+                    c.cast("string"), F.lit("\n"))
+    yaml = (F.when(k % 13 == 0, F.lit(None)).when(k % 11 == 0, F.lit("")).when(k % 7 == 0, F.concat(F.lit("a: [1, "), c.cast("string")))
+            .otherwise(good))
+    wide = o.select(
+        F.concat(F.lit("exp"), (k % 2).cast("string")).alias("experiment"),
+        F.concat(F.lit("own"), (c % 97).cast("string"), F.lit("_r_"), k.cast("string")).alias("repo_dir"),
+        F.encode(yaml, "UTF-8").alias("result_yaml"), F.encode(F.lit("log"), "UTF-8").alias("build_log"),
+        F.when(k % 5 == 0, F.unhex(F.lit("FF41"))).otherwise(F.encode(F.lit("out"), "UTF-8")).alias("stdout_log"),
+        F.when(k % 3 != 0, F.encode(F.lit("diff"), "UTF-8")).alias("diff_patch"))
+    got = S.run_artifacts(wide)
+    return got.select(F.regexp_extract("repo", "_([0-9]+)$", 1).cast("bigint").alias("run_id"), "experiment", "repo", "has_result_file",
+                      "empty_result", F.when(~F.col("empty_result"), F.split("problem", ":")[0]).alias("broken"), "run_success",
+                      F.col("migration_result.build_result.test_results.tests_run").alias("tests_run"))
+
+
 @register("pre_coverage_csv", oracle="""
 SELECT 'own' || CAST(o_custkey % 97 AS VARCHAR) || '/r_' || CAST(o_orderkey AS VARCHAR) AS repo,
        CASE WHEN o_orderkey % 6 = 0 THEN 0.0 WHEN o_orderkey % 6 = 2 THEN 'NaN'::DOUBLE
             ELSE CAST(40 + o_orderkey % 50 AS DOUBLE) END AS percent_before
 FROM orders WHERE o_orderkey % 6 <> 1""")
 def q_pre_coverage_csv(spark, sf_dir):
-    """Pre-coverage CSV with directory-style keys and blank cells, read back (blank -> NaN)."""
+    """Pre-coverage CSV read by column name: other columns around it, blank and NA cells, repeated keys (the last row counts)."""
     o = B.table(spark, sf_dir, "orders")
     ok = F.col("o_orderkey")
     repo_dir = F.concat(F.lit("own"), (F.col("o_custkey") % 97).cast("string"), F.lit("_r_"), ok.cast("string"))
-    pct = (F.when(ok % 6 == 0, F.lit("0.0")).when(ok % 6 == 2, F.lit(""))
+    pct = (F.when(ok % 6 == 0, F.lit("0.0")).when(ok % 12 == 2, F.lit("")).when(ok % 6 == 2, F.lit("NA"))
            .otherwise((F.lit(40) + ok % 50).cast("double").cast("string")))
+    rows = o.filter(ok % 6 != 1).select(
+        ok.alias("idx"), pct.alias("percent_before"), F.lit("n/a").alias("note"), repo_dir.alias("repo"))
+    # Two rows of a key stand one after the other in one part file, the wrong one first.
+    row = F.struct("idx", "percent_before", "note", "repo")
+    wrong = F.struct("idx", F.lit("77.0").alias("percent_before"), "note", "repo")
+    both = rows.select(F.inline(F.when(F.col("idx") % 4 == 0, F.array(wrong, row)).otherwise(F.array(row))))
     out = _scratch(spark, "precov")
-    (o.filter(ok % 6 != 1).select(repo_dir.alias("repo"), pct.alias("percent_before"))
-      .write.mode("overwrite").option("header", True).option("emptyValue", "").csv(out))
+    both.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(out)
     return S.read_pre_coverage(spark, out)
 
 
@@ -161,16 +216,68 @@ def q_progress(spark, sf_dir):
 
 def _ratio(rec: dict) -> dict:
     k = json.loads(rec["props"])["k"]
-    return {"ratio": rec["value"] / (k % 7)}
+    if k % 11 == 3:
+        return {"ratio": "no number"}                   # a result of the wrong type is a failure of its row
+    return {"ratio": rec["value"] / (k % 7), "big": rec["big"]}
 
 
-@register("guarded_map", oracle="""
-SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 7 <> 0
-                      THEN value / (CAST(json_extract(props, '$.k') AS BIGINT) % 7) END AS ratio,
-       CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 7 <> 0 THEN 'SUCCESS' ELSE 'FAIL' END AS status,
-       CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 7 = 0 THEN 'float division by zero' END AS error
-FROM events""")
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
+@register("guarded_map", oracle=f"""
+WITH e AS (SELECT event_id, value, {_K} AS k,
+                  CASE WHEN event_id % 3 <> 0 THEN 9007199254740993 + event_id END AS big FROM events)
+SELECT event_id, big AS kept, CASE WHEN k % 11 <> 3 AND k % 7 <> 0 THEN value / (k % 7) END AS ratio,
+       CASE WHEN k % 11 <> 3 AND k % 7 <> 0 THEN big END AS big,
+       CASE WHEN k % 11 <> 3 AND k % 7 <> 0 THEN 'SUCCESS' ELSE 'FAIL' END AS status,
+       CASE WHEN k % 11 = 3 THEN 'wrong type' WHEN k % 7 = 0 THEN 'float division by zero' END AS error
+FROM e""")
 def q_guarded_map(spark, sf_dir):
-    """A Python function per row; exceptions become FAIL rows with the error text."""
-    ev = B.table(spark, sf_dir, "events").select("event_id", "value", "props")
-    return U.guarded_map(ev, _ratio, StructType([StructField("ratio", DoubleType())]), keep=["event_id"])
+    """A Python function per row; exceptions and results of the wrong type become FAIL rows; integers beyond 2^53 beside NULLs stay exact."""
+    big = F.when(F.col("event_id") % 3 != 0, F.lit(9007199254740993) + F.col("event_id"))
+    ev = B.table(spark, sf_dir, "events").select("event_id", "value", "props", big.alias("big"), big.alias("kept"))
+    got = U.guarded_map(ev, _ratio, StructType([StructField("ratio", DoubleType()), StructField("big", LongType())]), keep=["event_id", "kept"])
+    return got.withColumn("error", F.when(F.col("error").contains("no number") | F.col("error").contains("convert"), "wrong type").otherwise(F.col("error")))
+
+
+@register("guarded_map_retry", oracle="""
+SELECT event_id, CAST(CASE WHEN event_id % 5 < 3 THEN event_id % 5 + 1 END AS BIGINT) AS tries,
+       CASE WHEN event_id % 5 < 3 THEN 'SUCCESS' ELSE 'FAIL' END AS status, CASE WHEN event_id % 5 >= 3 THEN 'try 3' END AS error
+FROM events""")
+def q_guarded_map_retry(spark, sf_dir):
+    """Up to three tries per row."""
+    ev = B.table(spark, sf_dir, "events").select("event_id")
+    return U.guarded_map(ev, _retried(), StructType([StructField("tries", LongType())]), keep=["event_id"], attempts=3)
+
+
+def _retried():
+    """A function with its own count of tries, fresh for every call of the query."""
+    tries: dict[int, int] = {}
+
+    def fn(rec: dict) -> dict:
+        n = tries[rec["event_id"]] = tries.get(rec["event_id"], 0) % 3 + 1
+        if n <= rec["event_id"] % 5:
+            raise RuntimeError(f"try {n}")
+        tries.pop(rec["event_id"])
+        return {"tries": n}
+    return fn
+
+
+@register("funnel_written", oracle=oracle_of("funnel"))
+def q_funnel_written(spark, sf_dir):
+    """K2: the funnel stored as JSON and read back.  Writes at the time of the call."""
+    out = _scratch(spark, "funnel")
+    S.write_funnel(runs.funnel(verdicts(spark, sf_dir)), out)
+    return spark.read.schema("stage string, started bigint, succeeded bigint").json(out)
+
+
+@register("nested_written", oracle="""
+SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 11 <> 0 THEN NOT (o_orderkey % 7 IN (0, 1, 2)) END AS build_success FROM orders""")
+def q_nested_written(spark, sf_dir):
+    """K4: nested job results stored as JSON records and read back.  Writes at the time of the call."""
+    v = verdicts(spark, sf_dir)
+    out = _scratch(spark, "nested")
+    nested = F.when(F.col("has_result"), F.struct(F.struct("build_success", "test_success").alias("build_result")))
+    S.write_nested_results(v.select("run_id", nested.alias("migration_result")), out)
+    schema = "run_id bigint, migration_result struct<build_result: struct<build_success: boolean, test_success: boolean>>"
+    return spark.read.schema(schema).json(out).select("run_id", F.col("migration_result.build_result.build_success").alias("build_success"))

@@ -7,9 +7,11 @@ in settings that are unset, so a cluster's own values always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every runlens job relies on (UTC so timestamps match the oracle,
 # AQE so shuffle partition counts and skewed joins are re-planned at runtime).
@@ -46,24 +48,33 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and registered; on a cluster the configured shared folder is used.
+    Only on a local master (tests) an unset folder is replaced by a fresh scratch folder; anywhere
+    else executors would write to their own disks, so an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
-        sc = None
-    if not configured and sc is not None:
-        configured = sc.getCheckpointDir()
+    sc = spark.sparkContext
+    configured = configured or sc.getCheckpointDir()
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if sc is not None and not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
 
 
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to a new folder under the shared checkpoint folder and read it back.
+
+    Each row is computed once, whatever reads it afterwards, and a lost executor costs a re-read.
+    This runs a job at the time of the call.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/runlens-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,10 +1,10 @@
 """File sources (S1-S7) and sinks (K1-K5) for run artefacts.
 
-Small semi-structured files (YAML manifests, ``result.yaml``) are read with
-``binaryFile`` and parsed in Arrow batches; logs, patches, reports and source
-trees are read as one row per file (``binaryFile``/``wholetext``) or one row
-per line (``text``); everything after the scan is DataFrame work.  Outputs are
-Parquet/JSON written by Spark executors; nothing goes through the driver.
+Folder scans (``runlens.sources.tree``) give one row per file or per line; no file
+is left out for its name or because it is empty.  Small semi-structured files (YAML
+manifests, ``result.yaml``) are parsed in Arrow batches; everything after the scan is
+DataFrame work over (path, content) rows.  Outputs are Parquet/JSON written by Spark
+executors; nothing goes through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql.types import (BooleanType, DoubleType, LongType, StringType, St
                                TimestampType)
 
 from runlens.functions import text as T
-from runlens.session import ship_package
+from runlens.operators.runs import summary_projection
+from runlens.session import materialize, ship_package
+from runlens.sources.tree import children, list_tree, open_root, read_tree, read_tree_lines
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -80,9 +82,13 @@ def read_manifests(spark: SparkSession, path: str, glob: str = "*.yaml") -> Data
     Each file is one ``binaryFile`` row; ``mapInPandas`` parses a batch of
     files per Arrow batch.  Undeclared fields are dropped by the fixed schema.
     """
-    ship_package(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInPandas(_manifest_rows, MANIFEST_SCHEMA)
+    files = read_tree(list_tree(spark, path).where(F.regexp_extract("rel", "[^/]*$", 0).rlike(_glob_re(glob))), path)
+    return files.select("path", "content").mapInPandas(_manifest_rows, MANIFEST_SCHEMA)
+
+
+def _glob_re(glob: str) -> str:
+    import fnmatch
+    return fnmatch.translate(glob).replace("(?s:", "(?:").replace("\\Z", "$").replace("\\z", "$")
 
 
 def with_tier(manifest: DataFrame) -> DataFrame:
@@ -116,88 +122,138 @@ _BUILD = StructType([
                                             ("tests_run", "failures", "errors", "skipped")])),
     StructField("build_time", DoubleType())])
 RESULT_SCHEMA = StructType([StructField("run_success", BooleanType()), StructField("error", StringType()),
-                            StructField("build_result", _BUILD), StructField("empty", BooleanType())])
+                            StructField("build_result", _BUILD), StructField("empty", BooleanType()),
+                            StructField("problem", StringType())])
+_COUNTERS = ("tests_run", "failures", "errors", "skipped")
 
 
-def _parse_results(texts: pd.Series) -> pd.DataFrame:
+def _flag(v):
+    if v is not None and not isinstance(v, bool):
+        raise ValueError(f"not a boolean: {v!r}")
+    return v
+
+
+def _parse_result(text) -> dict:
     import yaml
-    out = []
-    for t in texts:
-        d = None if t is None else yaml.load(t, Loader=_yaml_loader())
+    out = {"run_success": None, "error": None, "build_result": None, "empty": True, "problem": None}
+    try:
+        d = None if text is None else yaml.load(bytes(text).decode("utf-8"), Loader=_yaml_loader())
+        if d is None:
+            return out
         if not isinstance(d, dict):
-            out.append({"run_success": None, "error": None, "build_result": None, "empty": True})
-            continue
+            raise ValueError("not a mapping")
         br = d.get("build_result")
         if isinstance(br, dict):
             tr = br.get("test_results")
-            br = {"build_success": br.get("build_success"), "test_success": br.get("test_success"),
-                  "test_results": None if not isinstance(tr, dict) else {k: _as_long(tr.get(k)) for k in
-                                                                         ("tests_run", "failures", "errors", "skipped")},
+            br = {"build_success": _flag(br.get("build_success")), "test_success": _flag(br.get("test_success")),
+                  "test_results": None if not isinstance(tr, dict) else {k: _as_long(tr.get(k)) for k in _COUNTERS},
                   "build_time": None if br.get("build_time") is None else float(br.get("build_time"))}
         else:
             br = None
-        out.append({"run_success": d.get("run_success"), "error": d.get("error"), "build_result": br, "empty": False})
-    return pd.DataFrame(out)
+        error = d.get("error")
+        return {"run_success": _flag(d.get("run_success")), "error": None if error is None else str(error),
+                "build_result": br, "empty": False, "problem": None}
+    except (yaml.YAMLError, ValueError, TypeError, OverflowError) as e:     # this document only, not the scan
+        return {**out, "empty": False, "problem": f"result.yaml: {str(e).splitlines()[0]}"}
+
+
+def _parse_results(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parse_result(t) for t in texts], columns=RESULT_SCHEMA.names)
 
 
-parse_result_yaml = F.pandas_udf(_parse_results, RESULT_SCHEMA)
-parse_result_yaml.__doc__ = "result.yaml text -> struct (empty file -> empty = true, other fields NULL)."
+ARTIFACT_COLUMNS = ("result_yaml", "build_log", "stdout_log", "diff_patch")
 
 
-def scan_run_artifacts(spark: SparkSession, job_results_dir: str, compat: bool = False) -> DataFrame:
-    """One row per repository directory with its artefacts (absent -> NULL).
+def scan_run_artifacts(spark: SparkSession, job_results_dir: str | list[str], compat: bool = False) -> DataFrame:
+    """One row per repository folder of one or several ``job_results`` folders; see ``run_artifacts``.
 
-    ``job_results_dir`` holds one folder per repository (``owner_name``).  Key from the directory name (F3), artefact from the file name, then a
-    ``groupBy(repo).pivot(artefact, fixed list)``: a repository has at most
-    four files, so no group can grow.  ``result.yaml`` is parsed in Arrow
-    batches.  ``test_results`` are read from inside ``build_result``, where the
-    writer puts them; ``compat=True`` reproduces the reference's reload, which
-    looks at the top level and so always gets NULL counters.
+    The folders are dealt out to tasks; a task reads the (at most four) named files of a folder, so the
+    bytes reach their row without a shuffle.  A root that does not exist is an error.
     """
-    # DataFrame file sources skip zero-length files, but an empty result.yaml is
-    # how a run without result is stored, so the artefacts are listed and read
-    # with wholeTextFiles (empty files included) and turned into a DataFrame at once.
     ship_package(spark)
-    pattern = f"{job_results_dir.rstrip('/')}/*/{{{','.join(ARTIFACTS)}}}"
-    n = max(spark.sparkContext.defaultParallelism, 1)
-    rdd = spark.sparkContext.wholeTextFiles(pattern, minPartitions=n)
-    try:
-        empty = rdd.isEmpty()          # a one-element probe; a glob matching nothing raises here
-    except Exception:  # noqa: BLE001 - missing root or no artefact at all: an empty scan, not an error
-        empty = True
-    files = spark.createDataFrame([] if empty else rdd, "path string, text string")
-    parts = files.select(
-        F.regexp_extract("path", "([^/]+)/([^/]+)$", 1).alias("repo_dir"),
-        F.regexp_extract("path", "([^/]+)$", 1).alias("artifact"), "text")
-    wide = parts.groupBy("repo_dir").pivot("artifact", ARTIFACTS).agg(F.first("text"))
-    res = wide.withColumn("_r", parse_result_yaml(F.col("`result.yaml`")))
-    complete = F.col("`build.log`").isNotNull() & F.col("`stdout.log`").isNotNull() & \
-        F.col("`diff.patch`").isNotNull() & F.col("`result.yaml`").isNotNull()
+    roots = [job_results_dir] if isinstance(job_results_dir, str) else list(job_results_dir)
+    dirs = [(r.rstrip("/"), name) for r in roots for name, folder, _ in children(r) if folder]
+    todo = spark.createDataFrame(dirs, "root string, repo_dir string")
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for root, repo in zip(batch.column("root").to_pylist(), batch.column("repo_dir").to_pylist()):
+                system, base = open_root(root)
+                found = []
+                for name in ARTIFACTS:
+                    try:
+                        with system.open_input_stream(f"{base}/{repo}/{name}") as f:
+                            found.append(f.readall())
+                    except FileNotFoundError:
+                        found.append(None)
+                if any(x is not None for x in found):
+                    experiment = root.rstrip("/").rpartition("/")[0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([experiment], type=pa.string()), pa.array([repo], type=pa.string()),
+                         *(pa.array([x], type=pa.binary()) for x in found)], names=["experiment", "repo_dir", *ARTIFACT_COLUMNS])
+
+    slots = max(spark.sparkContext.defaultParallelism, 1)
+    wide = todo.repartition(slots).mapInArrow(
+        run, "experiment string, repo_dir string, " + ", ".join(f"{c} binary" for c in ARTIFACT_COLUMNS))
+    return run_artifacts(wide, compat)
+
+
+def run_artifacts(wide: DataFrame, compat: bool = False) -> DataFrame:
+    """S2/S3 over rows (experiment, repo_dir, result_yaml, build_log, stdout_log, diff_patch: binary).
+
+    Key from the folder name (F3).  ``result.yaml`` is parsed in Arrow batches; one that cannot be read,
+    or a log that is not UTF-8, fails its own row: ``problem`` says why and ``migration_result`` is NULL.
+    ``test_results`` are read from inside ``build_result``, where the writer puts them; ``compat=True``
+    reproduces the reference's reload, which looks at the top level and so always gets NULL counters.
+    """
+    from runlens.operators._plan import evaluate_once
+    ship_package(wide.sparkSession)
+    # Made here, not at import, so that workers can import this module without a session.
+    parse = F.pandas_udf(_parse_results, RESULT_SCHEMA)
+    texts = {c: F.col(c).cast("string") for c in ARTIFACT_COLUMNS[1:]}
+    res = evaluate_once(wide.withColumn("_r", parse("result_yaml")))
+    bad = F.coalesce(*[F.when(~F.is_valid_utf8(t), F.lit(f"{n}: not UTF-8")) for n, t in
+                       zip(ARTIFACTS[1:], texts.values())])
+    problem = F.coalesce(F.col("_r.problem"), bad)
+    complete = F.col("result_yaml").isNotNull()
+    for c in ARTIFACT_COLUMNS[1:]:
+        complete = complete & F.col(c).isNotNull()
     tr = F.lit(None).cast(_BUILD["test_results"].dataType) if compat else F.col("_r.build_result.test_results")
-    mr = F.when(complete & ~F.col("_r.empty") & F.col("_r.build_result").isNotNull(), F.struct(
+    mr = F.when(complete & problem.isNull() & F.col("_r.build_result").isNotNull(), F.struct(
         F.struct(F.col("_r.build_result.build_success").alias("build_success"),
                  F.col("_r.build_result.test_success").alias("test_success"),
                  tr.alias("test_results"),
                  F.col("_r.build_result.build_time").alias("build_time")).alias("build_result"),
-        F.lit("").alias("output"), F.col("`stdout.log`").alias("stdout"), F.col("`diff.patch`").alias("diff"),
-        F.col("`build.log`").alias("build_log")))
+        F.lit("").alias("output"), texts["stdout_log"].alias("stdout"), texts["diff_patch"].alias("diff"),
+        texts["build_log"].alias("build_log")))
     return res.select(
-        "repo_dir", T.recover_key("repo_dir").alias("repo"),
-        F.col("`result.yaml`").isNotNull().alias("has_result_file"),
-        F.coalesce(F.col("_r.empty"), F.lit(True)).alias("empty_result"),
-        F.col("_r.run_success").alias("run_success"), F.col("_r.error").alias("error"),
+        "experiment", "repo_dir", T.recover_key("repo_dir").alias("repo"),
+        F.col("result_yaml").isNotNull().alias("has_result_file"), F.col("_r.empty").alias("empty_result"),
+        problem.alias("problem"), F.col("_r.run_success").alias("run_success"), F.col("_r.error").alias("error"),
         mr.alias("migration_result"))
 
 
-PRE_COV_SCHEMA = "repo string, percent_before double"
+# Texts that the reference's CSV reader takes for a missing number.
+CSV_MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+               "NaN", "None", "n/a", "nan", "null")
 
 
 def read_pre_coverage(spark: SparkSession, path: str) -> DataFrame:
-    """Pre-migration coverage CSV (directory-style keys recovered with F3; blank -> NaN)."""
-    raw = spark.read.schema("repo string, percent_before string").option("header", True).csv(path)
-    pct = F.when(F.trim("percent_before") == "", F.lit(float("nan"))).otherwise(
-        F.col("percent_before").try_cast("double"))
-    return raw.select(T.recover_key("repo").alias("repo"), F.coalesce(pct, F.lit(float("nan"))).alias("percent_before"))
+    """Pre-migration coverage CSV: one row per repository, by the file's own header.
+
+    Columns ``repo`` (directory-style keys, recovered with F3) and ``percent_before`` may stand in any
+    order among others; a missing one is an error.  Missing numbers are NaN, other text that is no number
+    is an error.  A repeated repository has its last row in file order.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    if absent := {"repo", "percent_before"} - set(raw.columns):
+        raise ValueError(f"{path} has no column {', '.join(sorted(absent))}")
+    text = F.trim("percent_before")
+    pct = F.when(text.isNull() | text.isin(*CSV_MISSING), F.lit(float("nan"))).otherwise(text.cast("double"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = raw.select(T.recover_key("repo").alias("repo"), pct.alias("percent_before"), place.alias("_place"))
+    return rows.groupBy("repo").agg(F.max_by("percent_before", "_place").alias("percent_before"))
 
 
 def read_stored_results(spark: SparkSession, path: str) -> DataFrame:
@@ -206,68 +262,62 @@ def read_stored_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_coverage_reports(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``jacoco.xml`` under ``**/target/site/jacoco*/`` as (path, xml)."""
+    """Every ``jacoco.xml`` under ``**/target/site/jacoco*/`` as (path, xml: binary)."""
     from runlens.operators.coverage import REPORT_PATH_RE
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "jacoco.xml")
-             .option("recursiveFileLookup", "true").load(root))
-    return files.filter(F.col("path").rlike(REPORT_PATH_RE)).select(
-        "path", F.col("content").cast("string").alias("xml"))
+    files = list_tree(spark, root).where(F.concat(F.lit("/"), "rel").rlike(REPORT_PATH_RE))
+    return read_tree(files, root).select("path", F.col("content").alias("xml"))
 
 
 def scan_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
     """Files under ``root/<repo>/...`` as (repo, rel_path, path, content).
 
-    With ``extensions`` (e.g. the corpus defaults) the file-name glob is given to
-    the scan, so files of other types are never opened; the exact rule (P2) is
-    still applied by ``corpus_pieces``.
+    With ``extensions`` (e.g. the corpus defaults) the corpus rule (P2: no hidden parts, allowed
+    extension) is applied to the listing, so other files are never opened.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if extensions:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(sorted(set(extensions))) + "}")
-    files = reader.load(root)
-    base = root.rstrip("/")
-    rel = F.regexp_extract("path", "^(?:file:)?" + _re_escape(base) + "/(.*)$", 1)
-    return files.select(F.regexp_extract(rel, "^([^/]+)/", 1).alias("repo"),
-                        F.regexp_extract(rel, "^[^/]+/(.*)$", 1).alias("rel_path"), "path", "content")
+    from runlens.operators.corpus import code_file_filter
+    rel_path = F.regexp_extract("rel", "^[^/]+/(.*)$", 1)
+    files = list_tree(spark, root).where(F.col("rel").contains("/"))
+    if extensions is not None:
+        files = files.where(code_file_filter(rel_path, extensions))
+    return read_tree(files, root).select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("repo"), rel_path.alias("rel_path"), "path", "content")
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def _log_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(experiment, repo_dir, pos, line): the two folders above ``job_results`` logs, or above the file, name the run."""
+    files = list_tree(spark, root).where(F.regexp_extract("rel", "[^/]*$", 0) == name)
+    lines = read_tree_lines(files, root)
+    folders = F.regexp_replace(F.regexp_replace("rel", "/?[^/]*$", ""), "(^|/)job_results/", "$1")
+    return lines.select(F.regexp_replace(folders, "/?[^/]*$", "").alias("experiment"),
+                        F.regexp_extract(folders, "[^/]*$", 0).alias("repo_dir"), "pos", "line")
 
 
 def read_build_log_lines(spark: SparkSession, root: str, name: str = "build.log") -> DataFrame:
-    """Build logs as lines (run_dir, line): a huge log is split across tasks by the text reader."""
-    df = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", "true").text(root)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("repo_dir"),
-                     F.col("value").alias("line"))
+    """Build logs as lines (experiment, repo_dir, line): a huge log is split across tasks."""
+    return _log_lines(spark, root, name).drop("pos")
 
 
 def read_agent_log_lines(spark: SparkSession, root: str, name: str = "stdout.log") -> DataFrame:
-    """Agent logs as lines (repo_dir, pos, line) for ``parse_agent_log_lines``.
+    """Agent logs as lines (experiment, repo_dir, run_id, pos, line) for ``parse_agent_log_lines``.
 
-    ``pos`` orders the lines of a file: the start of the file split a line
-    was read from, then the row order inside that split
-    (``monotonically_increasing_id`` grows within a partition).  A large log is
-    read by many tasks.
+    ``run_id`` is the folder below ``root`` (experiment and repository), so one repository in two
+    experiments is two runs; ``pos`` is the line's byte offset, fixed however the file is split.
     """
-    df = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", "true").text(root)
-    return df.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("repo_dir"),
-                     F.struct(F.col("_metadata.file_block_start").alias("block"),
-                              F.monotonically_increasing_id().alias("row")).alias("pos"),
-                     F.col("value").alias("line"))
+    lines = _log_lines(spark, root, name)
+    return lines.select("experiment", "repo_dir", F.concat_ws("/", F.nullif("experiment", F.lit("")), "repo_dir").alias("run_id"), "pos", "line")
 
 
 # ---------------------------------------------------------------- sinks
 def write_run_records(runs: DataFrame, out: str, partition_col: str = "experiment") -> None:
     """K1: store run records: ANSI codes removed from stdout (F5), patch ends in '\\n' (F9),
-    build log kept in its own column and dropped from the summary struct (P6)."""
+    build log kept in its own column and dropped from the summary struct (P6).
+
+    Replaces the experiments that ``runs`` holds and leaves the others that are stored as they are.
+    """
     mr = F.col("migration_result")
     fixed = runs.withColumn("migration_result", F.when(mr.isNotNull(), mr.withField(
         "stdout", T.strip_ansi(mr["stdout"])).withField("diff", T.ensure_trailing_newline(mr["diff"]))))
-    (fixed.withColumn("build_log", F.col("migration_result.build_log"))
-          .withColumn("migration_result", F.col("migration_result").dropFields("build_log"))
-          .write.mode("overwrite").partitionBy(partition_col).parquet(out))
+    stored = summary_projection(fixed.withColumn("build_log", F.col("migration_result.build_log")))
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(out)
 
 
 def write_funnel(funnel: DataFrame, out: str) -> None:
@@ -276,7 +326,11 @@ def write_funnel(funnel: DataFrame, out: str) -> None:
 
 
 def write_guard_report(rows: DataFrame, summary: DataFrame, out: str) -> None:
-    """K3: per-repo guard rows (Parquet) and the one-row summary (JSON)."""
+    """K3: per-repo guard rows (Parquet) and the one-row summary (JSON), replacing an earlier report.
+
+    The rows may come from the report that they replace: they are written aside first.
+    """
+    rows, summary = materialize(rows, "guard-rows"), materialize(summary, "guard-summary")
     rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/repo_results")
     summary.coalesce(1).write.mode("overwrite").json(f"{out.rstrip('/')}/summary")
 

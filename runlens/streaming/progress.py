@@ -23,11 +23,15 @@ from runlens.session import checkpoint_dir
 def progress_counts(spark: SparkSession, source_dir: str, schema: StructType | str, status_col: str,
                     out_dir: str | None = None, glob: str | None = None, checkpoint: str | None = None,
                     file_format: str = "parquet") -> DataFrame:
-    """Run the progress stream once over everything available (``availableNow``) and return the counts."""
+    """Run the progress stream once over everything available (``availableNow``) and return the counts.
+
+    The counts are kept beside the checkpoint unless ``out_dir`` says where, so a restart with the same
+    checkpoint goes on from them, also when no file has arrived since.  A source that never had a file
+    gives no rows.  Runs the stream at the time of the call.
+    """
     base = checkpoint_dir(spark).rstrip("/")
-    run = uuid.uuid4().hex[:12]
-    out_dir = out_dir or f"{base}/runlens-progress/{run}/counts"
-    checkpoint = checkpoint or f"{base}/runlens-progress/{run}/checkpoint"
+    checkpoint = checkpoint or f"{base}/runlens-progress/{uuid.uuid4().hex[:12]}/checkpoint"
+    out_dir = out_dir or f"{checkpoint.rstrip('/')}-counts"
     reader = spark.readStream.format(file_format).schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -40,4 +44,6 @@ def progress_counts(spark: SparkSession, source_dir: str, schema: StructType | s
     q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    # The stream's own schema; a folder that no batch has written yet is made, so that it reads as empty.
+    spark.createDataFrame([], counts.schema).write.mode("append").parquet(out_dir)
+    return spark.read.schema(counts.schema).parquet(out_dir)

@@ -1,6 +1,5 @@
-"""Agent-log parser: golden sample, edge cases, and random logs against a plain-Python restatement."""
+"""Agent-log parser: an own sample, edge cases, and random logs written from their expected sections."""
 import random
-import re
 
 import pytest
 
@@ -14,48 +13,38 @@ def parse(spark, logs):
     return sorted(agentlog.parse_agent_logs(df).collect(), key=lambda r: (r.run_id, r.step_pos))
 
 
+# A run that never reads a file: it lists tools, is interrupted, and reports a number.
 SAMPLE = "\n".join([
-    "",
-    "╭────────── New run ──────────╮",
-    "│                              │",
-    "│ Move the build to JDK 21.    │",
-    "│                              │",
-    "╰─ LiteLLMModel - vendor/model-x ─────────╯",
-    f"{BAR} Step 1 {BAR}",
-    " ─ Executing parsed code: ────────── ",
-    "  x = read_file('pom.xml')",
-    "  print(x)",
-    " ──────────────────────────────── ",
-    "Warning to user: the interpreter refused an import",
-    "and says why on a second line",
-    "[Step 0: Duration 12.50 seconds| Input tokens: 3,120 | Output tokens: 95]",
-    f"{BAR} Step 2 {BAR}",
-    " ─ Executing parsed code: ────────── ",
-    "  print(list_dir('.'))",
-    " ──────────────────────────────── ",
+    "console opened",
+    "=== New run #42 ===",
+    "│ Count the modules that still need work │",
+    "╰─ LiteLLMModel - lab/tester ╯",
+    f"{BAR} Step 4 {BAR}",
     "Execution logs:",
-    "['pom.xml', 'src']",
+    "found 3 modules",
     "",
-    "Out: None",
-    "[Step 1: Duration 1.25 seconds| Input tokens: 6,001 | Output tokens: 140]",
-    "   ",
+    "two of them are old",
+    "[Step 9: Duration 0.75 seconds| Input tokens: 12 | Output tokens: 1,024]",
+    f"{BAR} Step 5 {BAR}",
+    "nothing was written here",
+    f"{BAR} Step 6 {BAR}",
+    "Warning to user: interrupted",
+    "─ Executing parsed code: ─",
+    "count = 2",
+    "────",
+    "Out:   2  ",
 ])
 
 
-def test_golden_sample(spark):
-    s1, s2 = parse(spark, [SAMPLE])
-    assert s1.run_header == "╭────────── New run ──────────╮"
-    assert s1.description == "Move the build to JDK 21."
-    assert s1.model_info == "LiteLLMModel - vendor/model-x ─────────╯"
-    assert (s1.header_step, s1.step_pos, s2.header_step, s2.step_pos) == (1, 0, 2, 1)
-    # The real border starts with a space, so it stays in the code (and code runs to the next marker).
-    assert s1.code == "x = read_file('pom.xml')\n  print(x)\n ────────────────────────────────"
-    assert s1.warnings == "Warning to user: the interpreter refused an import\nand says why on a second line"
-    assert s1.execution_logs is None and s1.out is None and s1.raw_text is None
-    assert (s1.meta.step_number, s1.meta.duration, s1.meta.input_tokens, s1.meta.output_tokens) == (0, 12.5, 3120, 95)
-    assert s2.execution_logs == "['pom.xml', 'src']"
-    assert s2.out == "None"
-    assert (s2.meta.step_number, s2.meta.duration, s2.meta.input_tokens, s2.meta.output_tokens) == (1, 1.25, 6001, 140)
+def test_own_sample(spark):
+    logs, plain, last = parse(spark, [SAMPLE])
+    assert {(r.run_header, r.description, r.model_info) for r in (logs, plain, last)} == {
+        ("=== New run #42 ===", "console opened", "LiteLLMModel - lab/tester ╯")}
+    assert [r.header_step for r in (logs, plain, last)] == [4, 5, 6]
+    assert logs.execution_logs == "found 3 modules\n\ntwo of them are old"
+    assert tuple(logs.meta) == (9, 0.75, 12, 1024) and logs.raw_text is None
+    assert plain.raw_text == "nothing was written here" and tuple(plain.meta) == (5, 0.0, 0, 0)
+    assert (last.warnings, last.code, last.out) == ("Warning to user: interrupted", "count = 2", "2")
 
 
 def test_no_delimiter_no_steps(spark):
@@ -105,111 +94,82 @@ def test_trace_positions_and_ranks(spark):
 
 
 # --------------------------------------------------------------------------
-# Plain-Python restatement of the parsing rules (our own wording of SURVEY §2.12.13),
-# used as an independent oracle on random logs.
-_DELIM = re.compile(r"^(━+.*Step\s+(\d+).*)$", re.M)
-_META = re.compile(r"\[Step\s+(\d+): Duration ([\d\.]+) seconds\| Input tokens: ([\d,]+) \| Output tokens: ([\d,]+)\]")
-
-
-def _is_border(line):
-    body = line.strip()
-    return line.startswith("─") and bool(body) and set(body) <= {"─", " "}
-
-
-def _classify(line, in_code):
-    """Event of one line given whether the current section is code:
-    (new_section or None, keep_line, out_value, meta_tuple); 'same' keeps the section."""
-    if "─ Executing parsed code:" in line:
-        return "code", False, None, None
-    if in_code and _is_border(line):
-        return None, False, None, None
-    if line.startswith("Warning to user:"):
-        return "warnings", True, None, None
-    if line.startswith("Execution logs:"):
-        return "logs", False, None, None
-    if line.startswith("Out:"):
-        return None, False, line[4:].strip(), None
-    if re.match(r"\[Step\s+\d+:", line):
-        m = _META.search(line)
-        meta = None if not m else (int(m.group(1)), float(m.group(2)), int(m.group(3).replace(",", "")),
-                                   int(m.group(4).replace(",", "")))
-        return "same", False, None, meta
-    return "same", True, None, None
-
-
-def _restated_step(text, number):
-    lines = text.splitlines()
-    section, outs, metas = None, [], []
-    kept = {"code": [], "warnings": [], "logs": []}
-    for line in lines:
-        new, keep, out, meta = _classify(line, section == "code")
-        if new != "same":
-            section = new
-        if out is not None:
-            outs.append(out)
-        if meta is not None:
-            metas.append(meta)
-        if keep and section in kept:
-            kept[section].append(line)
-    out = outs[-1] if outs else None
-    sections = [("\n".join(v).strip() if v else None) for v in (kept["code"], kept["warnings"], kept["logs"])]
-    if any(kept.values()) or out:
-        raw = None
-    else:
-        raw = ("\n".join(lines[1:]) if len(lines) > 1 else text).strip()
-    return (number, *sections, out, raw, metas[-1] if metas else (number, 0.0, 0, 0))
-
-
-def _restated(log):
-    found = list(_DELIM.finditer(log))
-    steps = []
-    for i, m in enumerate(found):
-        end = found[i + 1].start() if i + 1 < len(found) else len(log)
-        steps.append(_restated_step(log[m.start():end], int(m.group(2))))
-    return steps
-
-
-_PIECES = [
-    lambda r: f"{BAR} Step {r.randint(1, 30)} {BAR}",
-    lambda r: f"━━ Step {r.randint(1, 9)} and Step {r.randint(10, 99)} ━━",
-    lambda r: " ─ Executing parsed code: ─────",
-    lambda r: "─ Executing parsed code: ─",
-    lambda r: " " + "─" * r.randint(1, 20) + " ",
-    lambda r: "─" * r.randint(1, 20),
-    lambda r: "─ ─ ─  ",
-    lambda r: "─\t─",
-    lambda r: "Warning to user: " + r.choice(["careful", "", "x y"]),
-    lambda r: "Execution logs:",
-    lambda r: "Out: " + r.choice(["None", "", "  42  ", "[1, 2]"]),
-    lambda r: "Out:",
-    lambda r: f"[Step {r.randint(0, 9)}: Duration {r.randint(0, 9)}.{r.randint(0, 99)} seconds| "
-              f"Input tokens: {r.randint(0, 9)},{r.randint(100, 999)} | Output tokens: {r.randint(0, 999)}]",
-    lambda r: "[Step 3: broken meta",
-    lambda r: "",
-    lambda r: "   ",
-    lambda r: r.choice(["plain text", "  indented", "BUILD SUCCESS", "Scanning for projects", "a ─ b"]),
-]
+# Random logs written from the expected answer: a step is a list of blocks, and every block says what it
+# adds to which section, so no parser is needed to know the result.
+def _words(r, n=3):
+    return [r.choice(["alpha", "  beta gamma", "BUILD SUCCESS", "", "x = [1, 2]", "a ─ b"]) for _ in range(r.randint(1, n))]
+
+
+def _code_block(r):
+    body = _words(r)
+    closed = r.random() < 0.5
+    return [" " + agentlog.CODE_MARKER + "──", *body, *(["─" * r.randint(1, 9), "outside any section"] if closed else [])], {"code": body}
+
+
+def _warning_block(r):
+    body = [agentlog.WARN_PREFIX + " mind this", *_words(r)]
+    return body, {"warnings": body}
+
+
+def _logs_block(r):
+    body = _words(r)
+    return [agentlog.LOGS_PREFIX, *body], {"logs": body}
+
+
+def _out_block(r):
+    value = r.choice(["None", "42", "[1, 2]"])
+    return [f"{agentlog.OUT_PREFIX}  {value} ", *r.choice([[], ["behind the output"]])], {"out": value}
+
+
+def _meta_block(r):
+    n, i, o = r.randint(0, 9), r.randint(1, 9), r.randint(0, 999)
+    return [f"[Step {n}: Duration {i}.5 seconds| Input tokens: {i},{o:03d} | Output tokens: {o}]"], {"meta": (n, i + 0.5, i * 1000 + o, o)}
+
+
+def _written_step(r):
+    """(lines of a step, expected row)."""
+    number = r.randint(1, 60)
+    lines, added = [f"{BAR} Step {number} {BAR}"], {"code": [], "warnings": [], "logs": []}
+    out, meta = None, (number, 0.0, 0, 0)
+    free = _words(r) if r.random() < 0.4 else []
+    lines += free
+    for _ in range(r.randint(0, 5)):
+        block, says = r.choice([_code_block, _warning_block, _logs_block, _out_block, _meta_block])(r)
+        lines += block
+        for name, value in says.items():
+            if name in added:
+                added[name] += value
+            elif name == "out":
+                out = value
+            else:
+                meta = value
+    sections = {k: "\n".join(v).strip() if v else None for k, v in added.items()}
+    raw = None
+    if out is None and not any(added.values()):
+        raw = "\n".join(lines[1:]).strip() if len(lines) > 1 else lines[0]
+    return lines, (number, sections["code"], sections["warnings"], sections["logs"], out, raw, meta)
+
+
+def _written_log(r):
+    """(log, expected steps).  A meta line never stands alone in an unstructured step of the sample."""
+    steps = [_written_step(r) for _ in range(r.randint(0, 6))]
+    lines = [r.choice(["header", "New run", "│ describe │"]), *(x for s, _ in steps for x in s)]
+    return "\n".join(lines) + "\n", [want for _, want in steps]
 
 
 def _random_log(r):
-    lines = [r.choice(["header", "New run", "│ describe │", ""])]
-    for _ in range(r.randint(0, 25)):
-        lines.append(r.choice(_PIECES)(r))
-    sep = "\r\n" if r.random() < 0.15 else "\n"
-    return sep.join(lines) + r.choice(["", "\n", "\n  "])
+    return _written_log(r)[0]
 
 
-def test_random_logs_match_restatement(spark):
+def test_random_logs_give_what_they_were_written_from(spark):
     r = random.Random(7)
-    logs = [_random_log(r) for _ in range(300)]
-    got = parse(spark, logs)
-    want = [(i, n, s) for i, log in enumerate(logs) for n, s in enumerate(_restated(log))]
-    assert len(got) == len(want)
+    written = [_written_log(r) for _ in range(300)]
+    got = parse(spark, [log for log, _ in written])
+    want = [(i, n, s) for i, (_, steps) in enumerate(written) for n, s in enumerate(steps)]
+    assert len(got) == len(want) > 300
     for row, (i, n, s) in zip(got, want):
-        assert (row.run_id, row.step_pos) == (i, n)
-        mine = (row.header_step, row.code, row.warnings, row.execution_logs, row.out, row.raw_text,
-                (row.meta.step_number, row.meta.duration, row.meta.input_tokens, row.meta.output_tokens))
-        assert mine == s, (logs[i], n)
+        mine = (row.header_step, row.code, row.warnings, row.execution_logs, row.out, row.raw_text, tuple(row.meta))
+        assert (row.run_id, row.step_pos, mine) == (i, n, s), written[i][0]
 
 
 def test_line_form_matches_in_row_form(spark):

@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from runlens.operators import corpus as CO
 
-PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
+PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
 
 def plan(df):
@@ -15,16 +15,15 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", ["funnel", "build_verdict", "agent_steps", "status_trace", "maven_status",
-                                  "pom_dependencies", "policy_report", "changed_files", "corpus_layout"])
+                                  "pom_dependencies", "policy_report", "changed_files", "filtered_patch"])
 def test_no_python_in_builtin_queries(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert not any(n in p for n in PY_NODES), p
 
 
 def test_agent_log_parsing_is_map_only(spark):
-    # Only the input-spreading round robin may appear; the parse itself needs no keyed shuffle.
     p = plan(E.queries()["agent_steps"](spark, SF_SMALL))
-    assert not any(k in p for k in ("hashpartitioning", "rangepartitioning", "SinglePartition")), p
+    assert "Exchange" not in p, p
 
 
 def test_filters_reach_the_scan(spark):
@@ -48,10 +47,45 @@ def test_corpus_layout_skewed_repo_matches_brute_force(spark):
     assert got == want
 
 
-def test_ensure_parallelism_only_spreads_narrow_inputs(spark):
-    from runlens.operators._plan import ensure_parallelism
-    wide = spark.range(100).repartition(8)
-    assert ensure_parallelism(wide, min_partitions=4) is wide
-    narrow = spark.range(100).coalesce(1)
-    spread = ensure_parallelism(narrow, min_partitions=4)
-    assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
+def test_running_sum_keeps_null_and_repeated_keys(spark):
+    from runlens.operators._plan import running_sum
+    rows = [(None, 1, 5), (None, None, 7), ("a", 1, 2), ("a", 1, 2), ("a", 2, None), ("b", 1, 9)] + [("c", i, 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, v long").repartition(3)
+    got = sorted(((r.g, r.o, r.v, r.s) for r in running_sum(df, ["g"], ["o"], "v", "s", inclusive=True, n_ranges=7).collect()), key=repr)
+    want = [(None, None, 7, 7), (None, 1, 5, 12), ("a", 1, 2, 2), ("a", 1, 2, 4), ("a", 2, None, 4), ("b", 1, 9, 9)]
+    assert got == sorted(want + [("c", i, 1, i + 1) for i in range(500)], key=repr)
+
+
+def test_agent_log_lines_move_once(spark):
+    """The logs are read and ranged once; the plan over the numbered lines has one group per step and the header join."""
+    from runlens.operators import agentlog
+    from runlens.plans.q_agentlog import b3_agent_log_lines
+    p = plan(agentlog.parse_agent_log_lines(b3_agent_log_lines(spark, SF_SMALL)))
+    assert p.count("hashpartitioning") <= 4 and "rangepartitioning" not in p and "Window" not in p
+
+
+def test_status_trace_builds_only_what_it_needs(spark):
+    p = E.queries()["status_trace"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    for gone in ("raw_text", "input_tokens", "warnings", "_meta#", "_code", "Duration"):
+        assert gone not in p
+
+
+def test_trace_points_keep_null_runs(spark):
+    from runlens.operators import trace
+    t = spark.createDataFrame([(None, 0, 3, "SUCCESS"), (None, 1, 1, "COMPILE_ERROR")], "run_id long, step int, status_code int, status_name string")
+    assert sorted((r.step, r.y) for r in trace.trace_points(t).collect()) == [(0, 1), (1, 0)]
+
+
+def test_checkpoint_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from runlens.session import checkpoint_dir
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None),
+                                          sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(fake("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(fake("local-cluster[2,1,1024]"))
+    assert checkpoint_dir(fake("local[4]"))

@@ -57,6 +57,46 @@ def test_guard_cascade_and_summary(spark):
     assert (s.passed, s.total, s.cov_guard_pass_rate, s.job_fails) == (1, 2, 0.5, 5)
 
 
+def test_guard_resume_repeated_keys_and_patch_errors(spark):
+    cands = spark.createDataFrame([(i, f"o/{i}", True, True, True, "no way" if i == 3 else None) for i in range(1, 6)],
+                                  "run_id long, repo string, has_result boolean, test_success boolean, has_patch boolean, patch_error string")
+    ddl = "run_id long, repo string, status string, error string, cov_before double, cov_after double, cov_percent_change double, cov_guard_pass boolean"
+    stored = spark.createDataFrame([(1, "o/1", "SUCCESS", None, 50.0, 60.0, 0.2, True), (1, "o/1", "SUCCESS", None, 50.0, 60.0, 0.2, True),
+                                    (2, "o/2", "FAIL", "x", None, None, None, None), (9, "o/9", "SUCCESS", None, 1.0, 1.0, 0.0, True)], ddl)
+    after = spark.createDataFrame([(i, 40.0) for i in range(1, 6)], "run_id long, line_percent double")
+    pre = spark.createDataFrame([(f"o/{i}", 80.0 if n == 0 else 40.0, n) for i in range(1, 5) for n in (1, 0)], "repo string, percent_before double, n int")
+    rows = [(r.run_id, r.status, r.error, r.cov_before) for r in C.guard_rows(cands, stored, after, pre, pre_order="n").orderBy("run_id").collect()]
+    assert rows == [(1, "SKIP", None, 50.0), (2, "SUCCESS", None, 40.0), (3, "FAIL", "Failed applying patch: no way", None),
+                    (4, "SUCCESS", None, 40.0), (5, "FAIL", "'o/5'", None)]
+
+
+def test_strip_is_linear_and_like_python(spark):
+    import time
+    s = " \t\x1c\u2003 a" + " " * 1_000_000 + "b\u00a0\x85\n"
+    t = time.time()
+    assert one(spark, T.py_strip(F.col("v")), s) == s.strip()
+    framed = "╰──" + " ─" * 500_000 + "x─"
+    assert one(spark, T.py_strip_chars(F.col("v"), "╰─"), framed) == framed.strip("╰─")
+    assert time.time() - t < 20
+    spaces = "".join(chr(i) for i in range(0x3100) if chr(i).isspace())
+    assert one(spark, T.py_strip(F.col("v")), spaces + "x" + spaces) == "x"
+    assert one(spark, T.line_view(F.col("v"), 1, -2), "a\nb") is None
+
+
+@pytest.mark.parametrize("section,path", [
+    ("diff --git a/x.java b/x.java\nindex 1..2\n--- a/x.java\n+++ b/x.java\n@@ -1 +1 @@\n+++ b/other", "x.java"),
+    ("diff --git a/d b/e.txt b/d b/e.txt\nold mode 1\nnew mode 2", "d b/e.txt"),
+    ("diff --git a/old.txt b/new.txt\nsimilarity index 90%\nrename from old.txt\nrename to new.txt", "new.txt"),
+    ("diff --git a/gone.jar b/gone.jar\ndeleted file mode 1\n--- a/gone.jar\n+++ /dev/null\n@@ -1 +0,0 @@", "gone.jar"),
+    ('diff --git "a/t\\303\\274r \\"q\\".java" "b/t\\303\\274r \\"q\\".java"\n--- "a/t\\303\\274r \\"q\\".java"\n+++ "b/t\\303\\274r \\"q\\".java"\n@@ -1 +1 @@',
+     'tür "q".java'),
+    ('diff --git "a/tab\\there.txt" "b/tab\\there.txt"\nnew file mode 1', "tab\there.txt"),
+])
+def test_patch_paths(spark, section, path):
+    df = spark.createDataFrame([(1, section)], "id long, diff string")
+    assert [r.file for r in P.changed_files(df).collect()] == [path]
+
+
 # 2.12.6 every "Tests run" line is summed; NULL when none
 def test_test_counters_sum_all_matches(spark):
     log = "Tests run: 3, Failures: 1, Errors: 0, Skipped: 0\nTests run: 3, Failures: 1, Errors: 0, Skipped: 0\n"
@@ -178,6 +218,10 @@ def test_coverage_counters(spark):
     assert r[2].valid is False and r[2].line_missed is None
     assert r[3].valid is False
     assert (r[4].valid, r[4].line_missed) == (True, 0)
+    bad = spark.createDataFrame([(1, bytearray(good[:60].encode() + b"\xff" + good[60:].encode())), (2, bytearray(good.replace('"20"', '"9' + "0" * 30 + '"').encode())),
+                                 (3, bytearray(good.encode())), (4, None)], "id long, xml binary")
+    r = {x.id: x for x in C.report_counters(bad).collect()}
+    assert [r[i].valid for i in (1, 2, 3, 4)] == [False, False, True, False] and r[3].line_missed == 14
 
 
 def test_xml_check_message(spark):

@@ -102,7 +102,12 @@ def test_source_tree_and_corpus_sink(spark):
     _write(root, "repoA/src/C.JAVA", "upper ext")
     _write(root, "repoA/src/bad.py", b"\xff\xfe", mode="wb")
     files = S.scan_source_tree(spark, root, extensions=CO.DEFAULT_EXTENSIONS)
-    assert files.count() == 3          # hidden paths are not listed; C.JAVA is never read
+    assert files.count() == 3          # hidden paths and C.JAVA are never read
+    assert S.scan_source_tree(spark, root).count() == 6
+    _write(root, "repoB/_int/__init__.py", "")
+    _write(root, "repoB/_util.py", "x")
+    assert sorted(r.rel_path for r in S.scan_source_tree(spark, root, CO.DEFAULT_EXTENSIONS).where("repo = 'repoB'").collect()) == [
+        "_int/__init__.py", "_util.py"]
     pieces = CO.corpus_pieces(files)
     lay = sorted(CO.corpus_layout(pieces).collect(), key=lambda r: r.offset)
     assert [os.path.basename(r.path) for r in lay] == ["A.py", "B.java"]
@@ -157,27 +162,114 @@ def test_report_sinks(spark):
     assert spark.read.json(out + "/nested").collect()[0].r.status == "SUCCESS"
 
 
-def test_agent_log_lines_from_files(spark):
+def test_agent_log_lines_from_files(spark, monkeypatch):
     from runlens.operators import agentlog
+    from runlens.sources import tree
     root = tempfile.mkdtemp(prefix="runlens-logs-")
     bar = "━" * 10
     log = "\n".join(["╭── New run ──╮", "│ task │"] +
                     [f"{bar} Step {i} {bar}\nExecution logs:\n" + "x" * 50 + f"\nOut: {i}" for i in range(1, 300)])
     _write(root, "own_a/stdout.log", log + "\n")
     # Small splits force one log over several tasks.
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    try:
-        lines = S.read_agent_log_lines(spark, root)
-        got = agentlog.parse_agent_log_lines(lines.withColumnRenamed("repo_dir", "run_id"), n_ranges=4)
-        rows = sorted((r.step_pos, r.out, r.execution_logs) for r in got.collect())
-        assert lines.rdd.getNumPartitions() > 1
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(S, "read_tree_lines", lambda files, root: tree.read_tree_lines(files, root, 4096))
+    got = agentlog.parse_agent_log_lines(S.read_agent_log_lines(spark, root), n_ranges=4)
+    rows = sorted((r.step_pos, r.out, r.execution_logs) for r in got.collect())
     assert rows == [(i - 1, str(i), "x" * 50) for i in range(1, 300)]
 
 
-def test_run_artifact_scan_empty_root(spark):
+def test_run_artifact_scan_roots(spark):
+    import pytest
     root = tempfile.mkdtemp(prefix="runlens-empty-")
     df = S.scan_run_artifacts(spark, root)
     assert df.count() == 0 and "migration_result" in df.columns
-    assert S.scan_run_artifacts(spark, root + "/missing").count() == 0
+    with pytest.raises(FileNotFoundError):
+        S.scan_run_artifacts(spark, root + "/missing")
+
+
+def test_one_bad_result_fails_its_own_run(spark):
+    root = tempfile.mkdtemp(prefix="runlens-bad-")
+    roots = []
+    for exp, text in (("a", "run_success: true\nbuild_result: {build_success: true}\n"), ("b", "run_success: [oops")):
+        jr = os.path.join(root, exp, "job_results")
+        roots.append(jr)
+        for name, data in (("result.yaml", text), ("build.log", ""), ("stdout.log", "s"), ("diff.patch", "")):
+            _write(jr, f"_own_r/{name}", data)
+    _write(roots[0], "own_bytes/result.yaml", "run_success: true\nbuild_result: {build_success: true}\n")
+    for name in ("build.log", "stdout.log", "diff.patch"):
+        _write(roots[0], f"own_bytes/{name}", b"\xff", mode="wb")
+    _write(roots[0], "own_type/result.yaml", "run_success: 7\n")
+    _write(roots[0], "own_nothing/other.txt", "x")
+    rows = {(os.path.basename(r.experiment), r.repo_dir): r for r in S.scan_run_artifacts(spark, roots).collect()}
+    assert set(rows) == {("a", "_own_r"), ("b", "_own_r"), ("a", "own_bytes"), ("a", "own_type")}
+    assert rows["a", "_own_r"].problem is None and rows["a", "_own_r"].migration_result.build_log == ""
+    for key, start in ((("b", "_own_r"), "result.yaml: "), (("a", "own_bytes"), "build.log: "), (("a", "own_type"), "result.yaml: ")):
+        assert rows[key].problem.startswith(start) and rows[key].migration_result is None
+
+
+def test_one_repository_in_two_experiments_is_two_runs(spark):
+    from runlens.operators import agentlog
+    root = tempfile.mkdtemp(prefix="runlens-two-")
+    bar = "━" * 10
+    for exp in ("a", "b"):
+        _write(root, f"{exp}/job_results/own_r/stdout.log", f"New run {exp}\n{bar} Step 1 {bar}\nOut: {exp}1\n{bar} Step 2 {bar}\nOut: {exp}2")
+    _write(root, "_c/job_results/_own/stdout.log", f"{bar} Step 5 {bar}\r\nOut: c\r\n")
+    _write(root, "_c/job_results/empty/stdout.log", "")
+    got = agentlog.parse_agent_log_lines(S.read_agent_log_lines(spark, root), n_ranges=3).collect()
+    assert sorted((r.run_id, r.step_pos, r.out, r.run_header) for r in got) == [
+        ("_c/_own", 0, "c", None), ("a/own_r", 0, "a1", "New run a"), ("a/own_r", 1, "a2", "New run a"),
+        ("b/own_r", 0, "b1", "New run b"), ("b/own_r", 1, "b2", "New run b")]
+
+
+def test_line_splits_keep_every_line_once(spark):
+    from runlens.sources.tree import list_tree, read_tree_lines
+    root = tempfile.mkdtemp(prefix="runlens-splits-")
+    lines = ["", "a", "é" * 40, "", "x" * 3, "last"]
+    for name, end in (("with.txt", "\n"), ("without.txt", "")):
+        _write(root, name, "\n".join(lines) + end)
+    _write(root, "_empty.txt", "")
+    for size in (1, 2, 7, 50, 10_000):
+        got = {}
+        for r in read_tree_lines(list_tree(spark, root), root, split_bytes=size).collect():
+            got.setdefault(r.rel, []).append((r.pos, r.line))
+        assert set(got) == {"with.txt", "without.txt"}
+        for rows in got.values():
+            assert [x for _, x in sorted(rows)] == lines
+
+
+def test_run_records_of_other_experiments_stay(spark):
+    out = tempfile.mkdtemp(prefix="runlens-k1-two-") + "/runs"
+    ddl = "experiment string, repo string, migration_result struct<stdout:string, diff:string, build_log:string>"
+    for rows in ([("a", "r1"), ("a", "r2"), ("b", "r1")], [("a", "r3")]):
+        S.write_run_records(spark.createDataFrame([(e, r, ("", "", "")) for e, r in rows], ddl), out)
+    assert sorted((r.experiment, r.repo) for r in S.read_stored_results(spark, out).collect()) == [("a", "r3"), ("b", "r1")]
+
+
+def test_pre_coverage_by_name(spark):
+    import pytest
+    root = tempfile.mkdtemp(prefix="runlens-csv2-")
+    p = _write(root, "cov.csv", "idx,percent_before,repo\n0,1,own_a\n1,,own_b\n2,N/A,own_c\n3,2.5,own_a\n")
+    got = {r.repo: r.percent_before for r in S.read_pre_coverage(spark, p).collect()}
+    assert got["own/a"] == 2.5 and got["own/b"] != got["own/b"] and got["own/c"] != got["own/c"]
+    with pytest.raises(ValueError, match="percent_before"):
+        S.read_pre_coverage(spark, _write(root, "no.csv", "repo,x\nown_a,1\n"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        S.read_pre_coverage(spark, _write(root, "text.csv", "repo,percent_before\nown_a,much\n")).collect()
+
+
+def test_progress_restart_without_new_files(spark):
+    src, ck = tempfile.mkdtemp(prefix="runlens-stream-"), tempfile.mkdtemp(prefix="runlens-stream-ck-") + "/cp"
+    run = lambda: {r.status: r.finished for r in progress_counts(spark, src, "status string", "status", checkpoint=ck).collect()}
+    assert run() == {}
+    spark.createDataFrame([("SUCCESS",), ("FAIL",)], "status string").write.mode("append").parquet(src)
+    assert run() == {"SUCCESS": 1, "FAIL": 1}
+    assert run() == {"SUCCESS": 1, "FAIL": 1}
+
+
+def test_guard_report_may_replace_the_one_it_read(spark):
+    out = tempfile.mkdtemp(prefix="runlens-k3-")
+    ddl = "run_id long, repo string, status string, error string, cov_before double, cov_after double, cov_percent_change double, cov_guard_pass boolean"
+    rows = spark.createDataFrame([(1, "a/b", "SUCCESS", None, 1.0, 1.0, 0.0, True), (2, "a/c", "FAIL", "x", None, None, None, None)], ddl)
+    S.write_guard_report(rows, C.guard_summary(rows), out)
+    back = S.read_stored_results(spark, out + "/repo_results")
+    S.write_guard_report(back, C.guard_summary(back), out)
+    assert S.read_stored_results(spark, out + "/repo_results").count() == 2

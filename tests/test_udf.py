@@ -34,3 +34,17 @@ def test_guarded_map_retries(spark):
     rows = {r.id: r for r in guarded_map(df, _flaky_factory(), OUT, keep=["id"], attempts=3).collect()}
     assert all(rows[i].status == "SUCCESS" for i in (0, 1, 2, 4, 5))
     assert rows[3].status == "FAIL" and rows[3].error == "always broken"
+
+
+def test_guarded_map_keeps_integers_and_takes_no_wrong_type(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(1, big, None), (2, None, "x"), (3, big, "bad")], "id long, n long, s string")
+
+    def fn(rec):
+        assert rec["n"] is None or isinstance(rec["n"], int)
+        return {"y": rec["n"] if rec["s"] != "bad" else "not a number"}
+
+    rows = {r.id: r for r in guarded_map(df, fn, OUT, keep=["id", "n", "s"]).collect()}
+    assert (rows[1].n, rows[1].y, rows[1].s, rows[1].status) == (big, big, None, "SUCCESS")
+    assert (rows[2].n, rows[2].y, rows[2].status) == (None, None, "SUCCESS")
+    assert rows[3].status == "FAIL" and rows[3].error and rows[3].y is None
