@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm._common import prepare, rows_batch, text_slices
@@ -166,26 +166,30 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """Train on at most ``train_docs`` labelled, not held-out documents of each language, chosen by a hash of doc_id.
+    """Train on at most ``train_docs`` labelled, not held-out documents of each language.
 
-    The choice reads doc_id and lang only; the window is limited per language before the shuffle.
-    None if no document has both text and language.
+    A first pass counts the labelled documents of each language; a second takes those whose hashed
+    doc_id falls below the language's rate, so nothing is shuffled by language.  None if no document
+    has both text and language.
     """
     prepare(docs.sparkSession)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-              .withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= train_docs)
-              .select("doc_id").limit(train_docs * MAX_LANGUAGES + 1).collect())
-    if len(chosen) > train_docs * MAX_LANGUAGES:
+    usable = docs.select("doc_id", "text", "lang").where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
+    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not chosen:
+    if not counts:
         return None
-    ids = docs.sparkSession.createDataFrame([(d,) for d in sorted({r.doc_id for r in chosen})], "doc_id long")
-    sample = (docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-              .join(F.broadcast(ids), "doc_id")            # at most train_docs * MAX_LANGUAGES ids
-              .select("doc_id", "lang", _around("text").alias("text")).collect())
-    sample = sorted({(r.doc_id, r.lang, r.text) for r in sample if _LETTER.search(r.text)})
-    return train([t for _, _, t in sample], [lang for _, lang, _ in sample]) if sample else None
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 1.2 * train_docs / r["count"]) * (1 << 30)))])
+    sample = (usable.where(place < rate[F.col("lang")]).select("lang", _around("text").alias("text"), place.alias("place"))
+              .limit(2 * train_docs * len(counts)).collect())
+    chosen: dict[str, list[str]] = {}
+    for r in sorted(sample, key=lambda r: (r.place, r.lang, r.text)):
+        if _LETTER.search(r.text) and len(chosen.setdefault(r.lang, [])) < train_docs:
+            chosen[r.lang].append(r.text)
+    pairs = [(t, lang) for lang in sorted(chosen) for t in chosen[lang]]
+    return train([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
 
 
 def _around(text: str) -> Column:
@@ -223,20 +227,25 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-#: A text is identified if one language holds at least this share of the probability.
-MIN_SCORE = 0.5
+#: A text is identified if its best language has at least this many times the share that guessing would give it.
+STANDS_OUT = 1.2
 
 
-def keep_identified(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
+def least_score(model: Model | None) -> float:
+    return STANDS_OUT / len(model.languages) if model is not None and len(model.languages) > 1 else 0.0
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` (all columns) whose language was identified.
 
-    Rejected are texts without any letter (or without text) and texts for which no language
-    reaches ``min_score``.
+    Rejected are texts without any letter (or without text) and texts for which no language stands
+    out from guessing.
     """
+    least = least_score(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, limit=1 << 20):
             languages, scores = predict_batch(model, part.column("text").to_pylist())
-            yield part.filter(pa.array([x != "und" and s >= min_score for x, s in zip(languages, scores)]))
+            yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(languages, scores)]))
 
     return docs.mapInArrow(run, docs.schema)
