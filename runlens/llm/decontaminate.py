@@ -40,7 +40,7 @@ from runlens.llm.token_shards import WaveletMatrix
 _END, _GAP, _FIRST = 0, 1, 2
 _SAMPLE = 8
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 32 << 20       # text of the benchmark items that are searched in one pass
+BLOCK_BYTES = 2 << 20        # text of the benchmark items that are searched in one pass (their windows take about 25 times this)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _BYTE = np.arange(256, dtype=np.uint8)
@@ -184,7 +184,7 @@ class Phrases:
         self.near[(keys >> np.uint64(48)).astype(np.int64)] = True
         self.items = [sorted(x) for x in owners.values()]
         self.sizes = np.array([len(k) for k in owners], dtype=np.int64)
-        self.codes = np.zeros((len(owners), window), dtype=np.int64)
+        self.codes = np.zeros((len(owners), window), dtype=np.int32)
         for i, key in enumerate(owners):
             self.codes[i, :len(key)] = [code[w.encode("utf-8", "surrogatepass")] for w in key]
 

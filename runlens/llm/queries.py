@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm._common import table, written
+from runlens.llm.oracles import ORACLES  # noqa: F401 - read by the driver's entry
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
-ORACLES: dict[str, str] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -113,12 +113,3 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, "assistant", text)], turns.schema)
     return C.read_back(written(C.format_conversations(turns.union(more)), "formatted"))
-
-
-def _oracles() -> dict[str, str]:
-    from runlens.llm import urlfilter
-
-    return {"op5_url_filter": urlfilter.ORACLE}
-
-
-ORACLES.update(_oracles())
