@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runlens.session import checkpoint_dir, ship_package
 
@@ -49,6 +50,40 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of an id filter; its table has at most a 64th as many rows, whatever the number of ids.
+FILTER_BITS = 1 << 24
+
+
+class IdFilter:
+    """A bitmap over hashed ids that sorts rows into "surely not among them" and "perhaps", without a shuffle.
+
+    The bitmap is a table of at most FILTER_BITS / 64 words, so its broadcast is bounded however many
+    ids there are; with very many ids it only lets more rows pass as "perhaps".
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        place = self._place(F.col(column))
+        self._words = (ids.where(F.col(column).isNotNull()).select(F.shiftright(place, 6).alias("_word"), self._bit(place).alias("_bit"))
+                       .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+    @staticmethod
+    def _place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    @staticmethod
+    def _bit(place: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """(rows whose id is surely not among the ids, or null; the other rows)."""
+        place = self._place(F.col(column))
+        marked = (df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.shiftright(place, 6).alias("_word"),
+                            F.when(F.col(column).isNotNull(), self._bit(place)).alias("_bit"))
+                  .join(F.broadcast(self._words), "_word", "left"))
+        inside = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+        return marked.where(~inside).select("_row.*"), marked.where(inside).select("_row.*")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
                 limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into row slices holding about ``limit`` bytes of text (one row at least)."""

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm._common import prepare, text_slices, written
+from runlens.llm._common import IdFilter, prepare, text_slices, written
 from runlens.llm._components import components
 from runlens.llm._slices import slice_keys
 
@@ -331,8 +331,9 @@ def links(docs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     members = classes.join(groups, "node").select(F.col("component").alias("grp"), "node", "digest", "n")
     members = written(members, "members")
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    texts = (docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-             .join(members.join(blocks, "grp"), "node").select("grp", "blocks", "node", "digest", "text"))
+    # Only texts that may be a member's are shuffled.
+    _, perhaps = IdFilter(members, "node").split(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node")
+    texts = (perhaps.join(members.join(blocks, "grp").hint("merge"), "node").select("grp", "blocks", "node", "digest", "text"))
     sets = texts.mapInArrow(_full_sets(rule.words), "grp long, blocks int, node long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     paired = (sets.withColumn("own", own)
@@ -371,7 +372,10 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     marked = written(near_duplicates(docs, rule), "near-duplicates")
     gone = marked.where("not kept").select("doc_id").distinct()
     again = marked.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(gone.union(again), "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    special = written(gone.withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True))), "not-kept")
+    plain, perhaps = IdFilter(special, "doc_id").split(docs, "doc_id")
+    kept = plain.union(perhaps.join(special.hint("merge"), "doc_id", "left_anti").select(docs.columns))
+    if special.where("again").isEmpty():
+        return kept
+    once = perhaps.join(special.where("again").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(once.select(docs.columns))
