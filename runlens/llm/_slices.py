@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -75,8 +75,8 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     _, first, inverse = np.unique(slice_keys(data, starts, ends), return_index=True, return_inverse=True)
     sizes, model = ends - starts, first[inverse]
     same = np.array_equal(sizes, sizes[model])
-    for i in range(0, len(starts) if same else 0, 1 << 18):
-        part = slice(i, i + (1 << 18))
+    for i in range(0, len(starts) if same else 0, 1 << 16):
+        part = slice(i, i + (1 << 16))
         if int(sizes[part].max()) > _BLOCK:
             same = all(np.array_equal(data[s:s + n], data[m:m + n]) for s, n, m in
                        zip(starts[part].tolist(), sizes[part].tolist(), starts[model[part]].tolist()))
@@ -96,3 +96,102 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
             first_seen.append(i)
         numbers.append(seen[content])
     return np.array(first_seen, dtype=np.int64), np.array(numbers, dtype=np.int64)
+
+
+class SliceTable:
+    """Values (integer sequences) of slices seen before, looked up for many slices at once.
+
+    An open-addressing table in arrays: a slice's key leads to an entry, whose bytes are compared with
+    the slice's.  When the table is full it starts over, so its memory is bounded by SLOTS / 2 entries and
+    BYTES of slices and values each (plus what one batch adds).
+    """
+
+    SLOTS = 1 << 21
+    BYTES = 48 << 20
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = np.dtype(dtype)
+        self.clear()
+
+    def clear(self) -> None:
+        self._slot_entry = np.full(self.SLOTS, -1, dtype=np.int32)
+        self._slot_key = np.zeros(self.SLOTS, dtype=np.uint64)
+        self._n = self._blob_n = self._pool_n = 0
+        self._blob, self._pool = np.empty(1 << 16, dtype=np.uint8), np.empty(1 << 16, dtype=self.dtype)
+        # Per entry: start and size of its slice, start and size of its value.
+        self._entry = np.empty((1 << 14, 4), dtype=np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> np.uint64(43)).astype(np.int64)                 # 21 bits
+        out = self._slot_entry[slot]
+        open_ = np.flatnonzero((out >= 0) & (self._slot_key[slot] != keys))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & (self.SLOTS - 1)
+            entry = self._slot_entry[slot]
+            out[open_] = entry
+            more = (entry >= 0) & (self._slot_key[slot] != keys[open_])
+            open_, slot = open_[more], slot[more]
+        return out
+
+    def _same(self, entry: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Is the entry's slice the given one, byte by byte?"""
+        same = self._entry[entry, 1] == sizes
+        for i in range(0, len(entry), 1 << 16):
+            part = np.flatnonzero(same[i:i + (1 << 16)]) + i
+            if not len(part):
+                continue
+            size = sizes[part]
+            differs = data[ragged(starts[part], size)] != self._blob[ragged(self._entry[entry[part], 0].astype(np.int64), size)]
+            if differs.any():
+                same[part[np.unique(np.searchsorted(np.cumsum(size), np.flatnonzero(differs), side="right"))]] = False
+        return same
+
+    def _add(self, keys: np.ndarray, slices: list[bytes], values: list[bytes]) -> np.ndarray:
+        """New entries; keys that are taken by other bytes get an entry that no key leads to."""
+        blob, pool = np.frombuffer(b"".join(slices), dtype=np.uint8), np.frombuffer(b"".join(values), dtype=self.dtype)
+        self._blob, self._blob_n = _grown(self._blob, self._blob_n, blob)
+        self._pool, self._pool_n = _grown(self._pool, self._pool_n, pool)
+        sizes = np.fromiter(map(len, slices), dtype=np.int64, count=len(slices))
+        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.dtype.itemsize
+        new = np.stack((self._blob_n - len(blob) + np.cumsum(sizes) - sizes, sizes,
+                        self._pool_n - len(pool) + np.cumsum(lengths) - lengths, lengths), axis=1).astype(np.int32)
+        entries = np.arange(self._n, self._n + len(new))
+        self._entry, self._n = _grown(self._entry, self._n, new)
+        todo = np.flatnonzero(self._find(keys) < 0)
+        slot = (keys[todo] >> np.uint64(43)).astype(np.int64)
+        while len(todo):
+            free = self._slot_entry[slot] < 0
+            self._slot_entry[slot[free]] = entries[todo[free]]          # of several for one slot the last stays
+            placed = self._slot_entry[slot] == entries[todo]
+            self._slot_key[slot[placed]] = keys[todo[placed]]
+            todo, slot = todo[~placed], (slot[~placed] + 1) & (self.SLOTS - 1)
+        return entries
+
+    def values(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """(values of all slices one after another, size of each); ``make`` gives the values of new distinct slices."""
+        if not len(starts):
+            return np.empty(0, dtype=self.dtype), np.empty(0, dtype=np.int64)
+        keys, sizes = slice_keys(data, starts, ends), ends - starts
+        entry = self._find(keys).astype(np.int64)
+        known = np.flatnonzero(entry >= 0)
+        entry[known[~self._same(entry[known], data, starts[known], sizes[known])]] = -1
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            model, number = distinct(data, starts[missing], ends[missing])
+            model = missing[model]
+            if self._n and (self._n + len(model) > self.SLOTS // 2 or max(self._blob_n, self._pool.itemsize * self._pool_n) > self.BYTES):
+                self.clear()
+                return self.values(data, starts, ends, make)
+            raw = data.tobytes()
+            slices = list(map(raw.__getitem__, map(slice, starts[model].tolist(), ends[model].tolist())))
+            entry[missing] = self._add(keys[model], slices, make(slices))[number]
+        lengths = self._entry[entry, 3].astype(np.int64)
+        return self._pool[ragged(self._entry[entry, 2].astype(np.int64), lengths)], lengths
+
+
+def _grown(held: np.ndarray, n: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    if n + len(more) > len(held):
+        held = np.concatenate((held[:n], np.empty((max(n, len(more)) + len(more), *held.shape[1:]), dtype=held.dtype)))
+    held[n:n + len(more)] = more
+    return held, n + len(more)

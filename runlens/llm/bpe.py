@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from runlens.llm._common import rows_batch, text_slices
-from runlens.llm._slices import distinct, ragged
+from runlens.llm._slices import SliceTable
 
 # Classes of a code point in its context.
 _LETTER, _NUMBER, _OTHER, _SHORT, _LONG, _LEAD, _LAST, _BLANK, _RESET = range(9)
 # States: what the match in front of the code point is.
 _START, _IN_L, _IN_N, _IN_O, _IN_S, _AFTER_SPACE, _ONE_MORE, _TWO_MORE = range(8)
 _SCAN_BLOCK = 64
-_GENERATION = 200_000  # slices in each of the cache's two generations
 _SHORT_SLICE = 96      # bytes; longer slices are merged one by one with a heap
+_MERGE_CELLS = 1 << 18  # bytes (with filling) that are merged in one pass
 _NO_PAIR = np.iinfo(np.int32).max
 
 
@@ -173,8 +173,7 @@ class ByteBpe:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._table = SliceTable(np.dtype(np.int32))
 
     @cached_property
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, int]:
@@ -215,9 +214,23 @@ class ByteBpe:
         return out
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """``merge`` for many short slices (int32 ids): one row each, every pass merges the best pair of all rows."""
-        if not pieces:
-            return []
+        """``merge`` for many short slices (int32 ids), slices of like length together, in bounded batches."""
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        out: list[bytes] = [b""] * len(pieces)
+        at = 0
+        while at < len(order):
+            # As many as fit if all were as long as the longest of them: lengths ascend.
+            end = min(len(order), at + _MERGE_CELLS // max(1, len(pieces[order[at]])))
+            while end - at > 1 and (end - at) * len(pieces[order[end - 1]]) > _MERGE_CELLS:
+                end = at + max(1, min(end - at - 1, _MERGE_CELLS // len(pieces[order[end - 1]])))
+            some = order[at:end]
+            for i, ids in zip(some, self._merge_rows([pieces[i] for i in some])):
+                out[i] = ids
+            at += len(some)
+        return out
+
+    def _merge_rows(self, pieces: list[bytes]) -> list[bytes]:
+        """One row per slice; every pass merges the best pair of all rows."""
         n = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         width = int(n.max(initial=1))
         column = np.arange(width)
@@ -291,24 +304,10 @@ class ByteBpe:
             i = nxt[i]
         return tuple(out)
 
-    def _known(self, slices: list[bytes]) -> list[bytes]:
-        """int32 ids of distinct slices.  A slice seen again moves to the young generation; a full one becomes the old."""
-        young = self._young
-        parts = list(map(young.get, slices))
-        if None in parts:
-            short = []
-            for x in [x for x, ids in zip(slices, parts) if ids is None]:
-                if (ids := self._old.get(x)) is not None:
-                    young[x] = ids
-                elif len(x) <= _SHORT_SLICE:
-                    short.append(x)
-                else:
-                    young[x] = np.array(self.merge(x), dtype=np.int32).tobytes()
-            young.update(zip(short, self.merge_many(short)))
-            parts = list(map(young.__getitem__, slices))
-            if len(young) > _GENERATION:
-                self._old, self._young = young, {}
-        return parts
+    def _merged(self, slices: list[bytes]) -> list[bytes]:
+        """int32 ids of slices."""
+        short = iter(self.merge_many([x for x in slices if len(x) <= _SHORT_SLICE]))
+        return [next(short) if len(x) <= _SHORT_SLICE else np.array(self.merge(x), dtype=np.int32).tobytes() for x in slices]
 
     def encode(self, texts: list[str], offsets: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """(ids of all texts, tokens of each text, code point offset in its text of the slice of each token)."""
@@ -329,12 +328,7 @@ class ByteBpe:
                 width[1:] += points >= limit
             at = np.cumsum(width)
             begin, end = at[starts], at[ends]
-        model, number = distinct(data, begin, end)
-        parts = self._known(list(map(joined.__getitem__, map(slice, begin[model].tolist(), end[model].tolist()))))
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) >> 2
-        pool = np.frombuffer(b"".join(parts), dtype=np.int32)
-        each = sizes[number]
-        ids = pool[ragged((np.cumsum(sizes) - sizes)[number], each)]
+        ids, each = self._table.values(data, begin, end, self._merged)
         counts = np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
         return ids, counts, np.repeat(starts - first[owner], each) if offsets else None
 
@@ -357,7 +351,7 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for part in text_slices(batches, limit=2 << 20):
+        for part in text_slices(batches, limit=1 << 20):
             ids, counts, places = codec.encode([t or "" for t in part.column("text").to_pylist()], offsets)
             cut = pa.array(np.concatenate(([0], np.cumsum(counts))), type=pa.int32())
             columns = [part.column("doc_id").cast(pa.int64()), pa.array(counts),
@@ -396,7 +390,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         decimal = [str(i) for i in range(len(codec.tokens))]
-        for part in text_slices(batches, limit=2 << 20):
+        for part in text_slices(batches, limit=1 << 20):
             ids, counts, _ = codec.encode([t or "" for t in part.column("text").to_pylist()], False)
             cut = np.concatenate(([0], np.cumsum(counts)))
             said, back = [], []

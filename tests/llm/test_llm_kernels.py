@@ -342,3 +342,30 @@ def test_templates_outside_the_language_are_refused(bad):
 
 def test_templates_cannot_leave_their_data():
     assert chat.Template("{{ turns.__class__ }}{{ a.__init__ }}").render([])[0] == ""
+
+
+# ------------------------------------------------------------------ slice table
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_slice_table_gives_each_slice_its_value(monkeypatch, collide):
+    from runlens.llm import _slices
+    if collide:                                     # every key the same: the bytes decide
+        monkeypatch.setattr(_slices, "slice_keys", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    rng = random.Random(8)
+    table, made = _slices.SliceTable(np.int32), []
+
+    def make(slices):
+        made.extend(slices)
+        return [np.array(list(x) * 2, dtype=np.int32).tobytes() for x in slices]
+
+    for small in (False, True):                     # a table that starts over with every batch
+        monkeypatch.setattr(_slices.SliceTable, "BYTES", 10 if small else 1 << 20)
+        for _ in range(20):
+            words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))).encode() for _ in range(50)]
+            data = np.frombuffer(b"".join(words), dtype=np.uint8)
+            ends = np.cumsum([len(w) for w in words])
+            ids, sizes = table.values(data, ends - [len(w) for w in words], ends, make)
+            assert ids.tolist() == [b for w in words for b in list(w) * 2] and sizes.tolist() == [2 * len(w) for w in words]
+        if not small and not collide:
+            assert len(made) == len(set(made)) <= 30
+    assert table.values(data, ends[:0], ends[:0], make)[0].tolist() == []
