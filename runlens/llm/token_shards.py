@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm._common import prepare, text_slices, written
-from runlens.llm._slices import distinct, ragged
+from runlens.llm._slices import SliceTable
 
 _MAGIC = b"WMX1"
 _NULL_ID = np.iinfo(np.int64).min
@@ -182,8 +182,6 @@ def open_image(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
 
 # ------------------------------------------------------------------ encoding
 
-_GENERATION = 400_000
-_ENCODE_BYTES = 8 << 20      # text that is cut into slices at once; each distinct slice is looked up once
 _GAP, _LETTER, _NUMBER, _OTHER = range(4)
 
 
@@ -250,8 +248,7 @@ class WordTokenizer:
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self._ends[i] = token.endswith("</w>")
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        self._table = SliceTable(self.dtype)
 
     def _library(self, slices: list[bytes]) -> Iterator[bytes]:
         """Ids of distinct slices: a thousand joined by blanks per call, cut at the ids that end a word."""
@@ -269,22 +266,6 @@ class WordTokenizer:
                     own = self.tokenizer.encode_batch_fast([w], add_special_tokens=False)[0].ids
                     yield np.array(own, dtype=self.dtype).tobytes()
 
-    def _known(self, slices: list[bytes]) -> list[bytes]:
-        young = self._young
-        parts = list(map(young.get, slices))
-        if None in parts:
-            missing = []
-            for x in [x for x, ids in zip(slices, parts) if ids is None]:
-                if (ids := self._old.get(x)) is not None:
-                    young[x] = ids
-                else:
-                    missing.append(x)
-            young.update(zip(missing, self._library(missing)))
-            parts = list(map(young.__getitem__, slices))
-            if len(young) > _GENERATION:
-                self._old, self._young = young, {}
-        return parts
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -300,13 +281,8 @@ class WordTokenizer:
             data = _latin()[0][np.frombuffer(b"\n".join(latin), dtype=np.uint8)]
             first = np.cumsum([0] + [len(x) + 1 for x in latin])
             starts, ends = _latin_slices(data)
-            model, number = distinct(data, starts, ends) if len(starts) else (starts, starts)
-            raw = data.tobytes()
-            parts = self._known(list(map(raw.__getitem__, map(slice, starts[model].tolist(), ends[model].tolist()))))
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.dtype.itemsize
-            pool = np.frombuffer(b"".join(parts), dtype=self.dtype)
-            ids = pool[ragged((np.cumsum(sizes) - sizes)[number], sizes[number])]
-            done = np.concatenate(([0], np.cumsum(sizes[number])))
+            ids, sizes = self._table.values(data, starts, ends, lambda slices: list(self._library(slices)))
+            done = np.concatenate(([0], np.cumsum(sizes)))
             cut = done[np.searchsorted(starts, first)].tolist()
             for i, a, b in zip(which, cut, cut[1:]):
                 out[i] = ids[a:b]
@@ -338,7 +314,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = 1) -> DataFram
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         tail = b"" if end_id is None else np.array([end_id], dtype=tok.dtype).tobytes()
-        for part in text_slices(batches, limit=_ENCODE_BYTES):
+        for part in text_slices(batches, limit=1 << 20):
             raw = [x.tobytes() + tail for x in tok.encode([t or "" for t in part.column("text").to_pylist()])]
             keys = part.column("doc_id").cast(pa.int64())
             at = np.searchsorted(cuts, np.array([_NULL_ID if k is None else k for k in keys.to_pylist()],
