@@ -93,6 +93,7 @@ def _elements(node: Column, path: str) -> Column:
 
 def _in_order(parsed: DataFrame, keys: list[str], outline: str, places: dict[str, str], pos: str, columns: dict[str, str]) -> DataFrame:
     """One row per element of the outline: its document position, text fields and place."""
+    from runlens.operators._plan import evaluate_once
     p = F.col("_p")
     at, called = {}, {}
     for path, where in places.items():
@@ -108,7 +109,7 @@ def _in_order(parsed: DataFrame, keys: list[str], outline: str, places: dict[str
         here = F.col("_path") == path
         place = F.when(here, F.lit(called[path])).otherwise(place)
         element = F.when(here, F.try_element_at(at[path], F.col("_nth"))).otherwise(element)
-    picked = rows.select(*keys, pos, element.alias("_e"), place.alias("where_found")).where("_e is not null")
+    picked = evaluate_once(rows.select(*keys, pos, element.alias("_e"), place.alias("where_found"))).where("_e is not null")
     return picked.select(*keys, pos, *[_txt(F.col("_e")[n]).alias(c) for c, n in columns.items()], "where_found")
 
 
