@@ -33,12 +33,18 @@ MAX_RANGES = 20_000
 
 
 def ranges_for(df: DataFrame, n_ranges: int | None = None) -> int:
-    """Number of ranges: as given, else by the plan's estimated bytes, the shuffle partitions at least."""
+    """Number of ranges: as given, else by the bytes of the tables read, the shuffle partitions at least.
+
+    Leaves without a known size (rows handed over by the driver count as the largest number there is)
+    are left out, and so are estimates above the leaves, which multiply at joins.
+    """
     if n_ranges:
         return n_ranges
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(MAX_RANGES, -(-size // RANGE_BYTES)))
+    return max(least, min(MAX_RANGES, -(-known // RANGE_BYTES)))
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, out_col: str,

@@ -89,3 +89,13 @@ def test_checkpoint_folder_must_be_shared():
     with pytest.raises(RuntimeError):
         checkpoint_dir(fake("local-cluster[2,1,1024]"))
     assert checkpoint_dir(fake("local[4]"))
+
+
+def test_ranges_follow_the_tables_read(spark):
+    from runlens.operators import _plan as P
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    table = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select(F.col("l_linenumber").alias("k"), F.col("l_returnflag").alias("v"))
+    for df in (rows, table.union(rows), table.join(table, "k").join(rows, "k")):
+        assert P.ranges_for(df) == least
+    assert P.ranges_for(table, 3) == 3
