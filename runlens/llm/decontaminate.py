@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard (about 4 MB of text) is a sequence of word codes: words of the
+A shard (about 2 MB of text) is a sequence of word codes: words of the
 benchmark vocabulary have codes, runs of other words are one separator, a
 document ends with a sentinel.  Its index is the Burrows-Wheeler transform of
 that sequence in a wavelet matrix, the symbol counts, and every eighth suffix
@@ -39,7 +39,8 @@ from runlens.llm.token_shards import WaveletMatrix
 
 _END, _GAP, _FIRST = 0, 1, 2
 _SAMPLE = 8
-SHARD_WORDS = 1 << 20
+SHARD_BYTES = 2 << 20        # text of the documents of a shard
+SHARD_WORDS = 1 << 20        # a shard has no more words: a longer document is indexed in pieces
 BLOCK_BYTES = 2 << 20        # text of the benchmark items that are searched in one pass (their windows take about 25 times this)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -350,7 +351,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         block = blocks[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in text_slices(batches):
+            for part in text_slices(batches, limit=SHARD_BYTES):
                 hits = Hits(part.column("text").to_pylist(), block.value)
                 n_words, n_hit = hits.counts()
                 items = hits.items()
@@ -376,7 +377,7 @@ def _add_hits(rows: DataFrame, block: Broadcast) -> DataFrame:
                            F.expr("cast(array() as array<bigint>)").alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SHARD_BYTES):
             hits = Hits(part.column("text").to_pylist(), block.value)
             spans: list[list[dict]] = [x or [] for x in part.column("hits").to_pylist()]
             doc = np.searchsorted(hits.word, hits.place, side="right") - 1
@@ -407,7 +408,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
 
 def _remover(block: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SHARD_BYTES):
             texts = part.column("text").to_pylist()
             changed: set[int] = set()
             todo = list(range(len(texts)))
