@@ -14,7 +14,6 @@ from runlens.session import checkpoint_dir, ship_package
 #: Text taken from an Arrow batch at a time, so that a task's Python memory does not follow the batch size.
 SLICE_BYTES = 4 << 20
 
-
 #: Rows in an Arrow batch sent to Python; Spark's default of 10,000 whole texts is a lot of memory for one task.
 BATCH_ROWS = 2000
 
@@ -68,7 +67,7 @@ class IdFilter:
 
     @staticmethod
     def _place(c: Column) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+        return F.pmod(F.xxhash64(c.cast("string")), F.lit(FILTER_BITS))      # ids of any integer type hash alike
 
     @staticmethod
     def _bit(place: Column) -> Column:
