@@ -21,8 +21,9 @@ are known.
 The default template marks turns with ``### Role:`` and ``</turn>``; the filter ``escape`` makes
 roles and texts free of these marks, reversibly.
 
-Conversations may be of any length: turns are sorted by Spark, rendered in a stream and cut into
-pieces of about PIECE code points at turn ends, so no conversation is held whole.
+Conversations may be of any length: a template that loops over the turns is rendered turn by turn, by as
+many tasks as the turns fill, and cut into pieces of about PIECE code points at turn ends, so no
+conversation is held whole.
 
 Defined cases: null text and null role are empty; turns are ordered by turn (null first), ties by
 role and text; rows that repeat are turns like any other; rows with null conv_id form one
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm._common import prepare
+from runlens.operators._plan import running_sum
 
 PIECE = 1 << 18
 
@@ -490,6 +492,19 @@ class Template:
         if out.size:
             yield out.cut()
 
+    def by_turn(self) -> TurnRenderer | None:
+        """The template as text before the loop over ``turns``, one turn, and text behind it; None for other shapes."""
+        nodes = self.tree[1]
+        loops = [i for i, n in enumerate(nodes) if n[0] == "for" and n[2] == ("name", "turns")]
+        if len(loops) != 1:
+            return None
+        i = loops[0]
+        before, after = ("block", nodes[:i]), ("block", nodes[i + 1:])
+        if _plain(before) is None or _plain(after) is None or _mentions((before, after, nodes[i][3]), ("name", "turns")):
+            return None
+        return TurnRenderer(_plain(before), nodes[i][1], _statement(nodes[i][3]), _plain(after),
+                            bool(after[1]) or _mentions(nodes[i][3], ("value", "last")))
+
     def render(self, turns: Iterable[dict]) -> tuple[str, list[tuple[int, int]]]:
         text, spans, size = [], [], 0
         for t, s in self.pieces(turns):
@@ -499,6 +514,26 @@ class Template:
         return "".join(text), spans
 
 
+def _mentions(tree: tuple, node: tuple) -> bool:
+    return tree == node or any(_mentions(x, node) for x in tree if isinstance(x, tuple))
+
+
+class TurnRenderer:
+    """Renders one turn by itself, given its number and whether it is the last."""
+
+    def __init__(self, before, name: str, body, after, needs_last: bool):
+        self._before, self._name, self._body, self._after, self.needs_last = before, name, body, after, needs_last
+
+    def __call__(self, out: Output, turn: dict, index: int, last: bool) -> None:
+        scope: dict = {}
+        self._before(scope, out if index == 0 else Output())
+        own = dict(scope, **{self._name: turn, "loop": {"index0": index, "first": index == 0, "last": last}})
+        for _ in self._body(own, out):
+            pass
+        if last:
+            self._after(scope, out)
+
+
 @lru_cache(maxsize=16)
 def template(source: str) -> Template:
     return Template(source)
@@ -532,14 +567,58 @@ def _conversations(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Ite
 
 
 def format_conversations(turns: DataFrame, source: str = DEFAULT) -> DataFrame:
-    """conv_id, piece, formatted, loss (spans inside the piece) of every conversation.
+    """conv_id, piece, formatted, loss (spans inside the piece) of every conversation; pieces in order make the text.
 
-    ``turns`` has conv_id, turn, role, text.  Rows are put in order by Spark (its sort spills), and
-    a task streams them, so that a conversation of any length needs one piece of memory.
+    ``turns`` has conv_id, turn, role, text.  A template that is one loop over the turns, with fixed text
+    around it, is rendered turn by turn: turns get their number by a running count over ranges of
+    (conv_id, turn), so a conversation with a third of all rows is rendered by many tasks (the count
+    runs at the time of the call).  Any other template needs the conversation as a stream: a task then
+    reads it in order, a piece at a time.
     """
     prepare(turns.sparkSession)
-    template(source)                                        # a bad template fails here, not in a task
+    renderer = template(source).by_turn()                   # a bad template fails here, not in a task
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    ddl = "conv_id long, piece long, formatted string, loss array<struct<start: bigint, end: bigint>>"
+    if renderer is None:
+        return (rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+                .mapInArrow(_streamed(source), ddl))
+    numbered = running_sum(rows.withColumn("_one", F.lit(1).cast("long")), ["conv_id"], ["turn", "role", "text"], "_one", "index")
+    if renderer.needs_last:
+        size = numbered.groupBy(F.col("conv_id").alias("_of")).agg(F.count("*").alias("_turns"))
+        numbered = numbered.join(size, F.col("conv_id").eqNullSafe(F.col("_of"))).withColumn("last", F.col("index") == F.col("_turns") - 1)
+    else:
+        numbered = numbered.withColumn("last", F.lit(False))
+    return numbered.select("conv_id", "index", "role", "text", "last").mapInArrow(_turn_by_turn(source), ddl)
+
+
+def _turn_by_turn(source: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        render = template(source).by_turn()
+        out, at, nxt, held = Output(), None, None, []
+
+        def close() -> None:
+            text, spans = out.cut()
+            held.append((*at, text, [{"start": a, "end": b} for a, b in spans]))
+
+        for batch in batches:
+            for conv, index, role, text, last in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "index", "role", "text", "last"))):
+                if at is not None and (nxt != (conv, index) or out.size >= PIECE):
+                    close()
+                    at = None
+                at = at or (conv, index)
+                nxt = (conv, index + 1)
+                render(out, {"role": role or "", "text": text or ""}, index, last)
+            if held:
+                yield _batch(held)
+                held.clear()
+        if at is not None:
+            close()
+            yield _batch(held)
+
+    return run
+
 
+def _streamed(source: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = template(source)
         held: list[tuple] = []
@@ -552,9 +631,7 @@ def format_conversations(turns: DataFrame, source: str = DEFAULT) -> DataFrame:
         if held:
             yield _batch(held)
 
-    return (turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-            .mapInArrow(run, "conv_id long, piece long, formatted string, loss array<struct<start: bigint, end: bigint>>"))
+    return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

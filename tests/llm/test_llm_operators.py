@@ -263,6 +263,8 @@ def test_one_of_each_group_stays(spark):
     kept = N.keep_one(odd_docs(spark).union(odd_docs(spark).withColumn("doc_id", F.col("doc_id") + 100)), N.Rule())
     assert kept.columns == odd_docs(spark).columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, 8, 102, 103, 104]
+    small = spark.createDataFrame([(1, "a b c"), (2, "A b c"), (3, "d")], "doc_id int, text string")      # another integer type
+    assert sorted(r.doc_id for r in N.keep_one(small).collect()) == [1, 3]
     assert N.keep_one(empty(odd_docs(spark))).count() == 0
 
 
@@ -428,6 +430,26 @@ def test_chat_format_edges(spark, monkeypatch):
         chat.format_conversations(df, "{{ open('x') }}")
 
 
+@pytest.mark.parametrize("source", [
+    "<{% set a = 'x' %}{% for m in turns %}{{ loop.index0 }}{{ a }}{% if loop.first %}^{% endif %}{% generation %}{{ m.text }}{% endgeneration %}"
+    "{{ ',' if not loop.last else '.' }}{% endfor %}>", chat.DEFAULT, "{% for m in turns %}{{ m.role }}{% endfor %}|{% for m in turns %}{{ m.text }}{% endfor %}",
+    "{% if true %}{% for m in turns %}[{{ m.text }}]{% endfor %}{% endif %}"])
+def test_turns_rendered_by_many_tasks_make_the_same_text(spark, monkeypatch, source):
+    import runlens.operators._plan as plan
+    monkeypatch.setattr(plan, "ranges_for", lambda df, n=None: 9)
+    monkeypatch.setattr(chat, "PIECE", 40)
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t} é") for c, n in ((1, 120), (2, 1), (None, 3), (3, 2)) for t in range(n)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    pieces = {}
+    for r in sorted(chat.format_conversations(df, source).collect(), key=lambda r: (str(r.conv_id), r.piece)):
+        text, loss = pieces.get(r.conv_id, ("", []))
+        pieces[r.conv_id] = (text + r.formatted, loss + [(x.start + len(text), x.end + len(text)) for x in r.loss])
+    # A second loop over the turns of a stream finds none left.
+    for conv, (text, loss) in pieces.items():
+        own = [{"role": r, "text": x} for c, _, r, x in turns if c == conv]
+        assert (text, loss) == chat.template(source).render(iter(own))
+
+
 # ------------------------------------------------------------------ registration
 
 def test_queries_are_registered():
