@@ -62,11 +62,11 @@ def _event(line: Column) -> Column:
 
 
 def _is_border(line: Column) -> Column:
-    return line.rlike(f"(?U)^{BORDER_CHAR}[{BORDER_CHAR} ]*{PY_SPACE}*$")
+    return line.startswith(BORDER_CHAR) & line.rlike(f"(?U)^{BORDER_CHAR}[{BORDER_CHAR} ]*{PY_SPACE}*$")
 
 
 def _is_meta(line: Column) -> Column:
-    return line.rlike(f"(?U){META_START_RE}")
+    return line.startswith("[Step") & line.rlike(f"(?U){META_START_RE}")
 
 
 def _joined(arr: Column) -> Column:
