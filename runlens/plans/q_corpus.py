@@ -32,8 +32,8 @@ def b7_source_files(spark, sf_dir):
 
 
 def _files_written(spark, sf_dir):
-    """B7 as real files, sixteen documents to a file ``_d{n}.py`` (n = doc_id div 16) of repository ``r{n % 50}``,
-    with an empty ``__init__.py`` beside each and a hidden copy that no corpus holds."""
+    """Every document as a file ``_d{doc_id}.py``, sixteen to a folder ``pkg{n}`` (n = doc_id div 16) of repository
+    ``r{n % 50}``, with an empty ``__init__.py`` in each folder and beside it a hidden copy that no corpus holds."""
     import uuid
 
     from runlens.session import checkpoint_dir, ship_package
@@ -45,8 +45,13 @@ def _files_written(spark, sf_dir):
         import pyarrow as pa
         system, base = open_root(root)
         for batch in batches:
-            for n, text in zip(batch.column("n").to_pylist(), batch.column("text").to_pylist()):
-                for rel, data in ((f"pkg{n}/_d{n}.py", text), (f"pkg{n}/__init__.py", ""), (f".hidden/h{n}.py", text)):
+            folders = set()
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                n, files = i // 16, [(f"pkg{i // 16}/_d{i}.py", text)]
+                if n not in folders:
+                    files += [(f"pkg{n}/__init__.py", ""), (f".hidden/h{n}.py", text)]
+                    folders.add(n)
+                for rel, data in files:
                     folder, _, name = f"{base}/r{n % 50}/{rel}".rpartition("/")
                     system.create_dir(folder, recursive=True)
                     with system.open_output_stream(f"{folder}/{name}") as f:
@@ -54,8 +59,7 @@ def _files_written(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["files"])
 
     d = B.table(spark, sf_dir, "documents")
-    rows = d.groupBy(F.expr("doc_id div 16").alias("n")).agg(F.max("text").alias("text"))
-    rows.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    d.select("doc_id", "text").mapInArrow(write, "files long").agg(F.sum("files")).collect()
     return root
 
 
@@ -68,10 +72,14 @@ SELECT 'r' || CAST(n % 50 AS VARCHAR), 'pkg' || CAST(n AS VARCHAR) || '/__init__
 def q_source_tree(spark, sf_dir):
     """A tree written to the shared folder and scanned: names with ``_`` and empty files stay, hidden paths go.
 
-    Writes its files at the time of the call.
+    Every document is written and scanned as a file of its own.  The SQL twin has one row per folder for them, the
+    largest text under the folder's number, so the scanned files are brought to that form after the scan.  Writes its
+    files at the time of the call.
     """
     from runlens.sources import files as S
     tree = S.scan_source_tree(spark, _files_written(spark, sf_dir), extensions=CO.DEFAULT_EXTENSIONS)
+    named = F.regexp_replace("rel_path", "^pkg(\\d+)/_d\\d+\\.py$", "pkg$1/_d$1.py")
+    tree = tree.groupBy("repo", named.alias("rel_path")).agg(F.max("content").alias("content"))
     return tree.select("repo", "rel_path", F.md5("content").alias("content_md5"), F.octet_length("content").cast("bigint").alias("content_bytes"))
 
 

@@ -273,3 +273,14 @@ def test_guard_report_may_replace_the_one_it_read(spark):
     back = S.read_stored_results(spark, out + "/repo_results")
     S.write_guard_report(back, C.guard_summary(back), out)
     assert S.read_stored_results(spark, out + "/repo_results").count() == 2
+
+
+def test_source_tree_query_scans_every_document(spark):
+    from conftest import SF_SMALL
+    from runlens.plans.q_corpus import _files_written
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
+    tree = S.scan_source_tree(spark, _files_written(spark, SF_SMALL), CO.DEFAULT_EXTENSIONS).collect()
+    got = {(r.repo, r.rel_path): bytes(r.content) for r in tree}
+    want = {(f"r{d.doc_id // 16 % 50}", f"pkg{d.doc_id // 16}/_d{d.doc_id}.py"): d.text.encode() for d in docs}
+    want |= {(f"r{d.doc_id // 16 % 50}", f"pkg{d.doc_id // 16}/__init__.py"): b"" for d in docs}
+    assert got == want and len(tree) == len(got)
