@@ -10,7 +10,7 @@ inner product into smallest Euclidean distance.
    next, leaves are visited in the order in which they come up.  How many leaves
    are visited is calibrated: the number is widened on sample queries until
    their exact neighbours are found at RECALL, and for each query it is widened
-   further until the visited leaves hold enough rows.
+   further until the visited leaves hold enough ids.
 3. Leaves are packed into cells of about CELL_ROWS rows; a leaf that holds more
    rows (a hot one) is spread over several cells.  Rows move once to their cell,
    a query moves to each cell that has a visited leaf, and the matrix product
@@ -188,7 +188,7 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> tuple[Tree, int]
     rate = min(1.0, 1.1 * sample / rows)
     chosen = (vectors.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(rate * (1 << 30))))
               .limit(sample + sample // 5).toArrow())
-    order = np.argsort(chosen.column("vec_id").to_numpy(), kind="stable")
+    _, order = np.unique(chosen.column("vec_id").to_numpy(), return_index=True)     # copies are no neighbours of their own
     at, x = _matrix(chosen.column("embedding").combine_chunks().take(pa.array(order)), dim)
     if not len(x):                                          # a few odd rows and none of them in the sample
         x = np.zeros((1, dim))
@@ -222,6 +222,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():     # one row per leaf
         held[r.leaf] = r.n
     first_cell, cells = _cells(held)
+    ids_held = np.zeros(tree.leaves, dtype=np.int64)        # an id counts in one leaf, wherever its rows are
+    for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        ids_held[r.leaf] = r.n
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows to their cell (probe null), queries to every cell with a visited leaf (probe: those leaves)."""
@@ -234,13 +237,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 out_cell, out_row, out_probe = [], [], []
                 for r in asked[i:i + 64].tolist():
                     wanted: dict[int, list[int]] = {}
-                    seen = rows = 0
+                    seen = found_ids = 0
                     for leaf_no in shared.value.visit(np.array(batch.column("x")[r].as_py())):
                         seen += 1
-                        rows += int(held[leaf_no])
+                        found_ids += int(ids_held[leaf_no])
                         for c in range(int(first_cell[leaf_no]), int(first_cell[leaf_no] + cells[leaf_no])):
                             wanted.setdefault(c, []).append(leaf_no)
-                        if seen >= shared.value.visits and rows > k:
+                        if seen >= shared.value.visits and found_ids > k:
                             break
                     for c, probe in wanted.items():
                         out_cell.append(c)
@@ -279,7 +282,7 @@ def _rows(cell: np.ndarray, ids: np.ndarray, x: pa.Array, probe: list, leaf: np.
 
 
 def _search(k: int, dim: int):
-    """The best k rows of a cell for each query sent to it (rows of a cell come first)."""
+    """The best k ids of a cell for each query sent to it (rows of a cell come first, those of an id together)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts = None, []
@@ -318,14 +321,25 @@ def _best(queries: np.ndarray, q: np.ndarray, probes: list[list[int]], ids: np.n
         asked[i, own[(own >= 0) & (own < asked.shape[1] - 1)]] = True
     score = q @ x.T
     score[~asked[:, leaf - low] | (ids[None, :] == queries[:, None])] = -np.inf
+    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    repeats = len(begin) < len(ids)
+    nth = np.cumsum(np.append(False, ids[1:] != ids[:-1]))
+    best = np.maximum.reduceat(score, begin, axis=1) if repeats else score       # an id's best row counts
     out_q, out_id, out_score = [], [], []
     for i in range(len(queries)):
-        own = np.flatnonzero(score[i] > -np.inf)
+        own = np.flatnonzero(best[i] > -np.inf)
+        least = -np.inf
         if len(own) > k:
-            least = np.partition(score[i, own], len(own) - k)[len(own) - k]
-            own = own[score[i, own] >= least - 1e-9 * max(1.0, abs(least))]
+            least = np.partition(best[i, own], len(own) - k)[len(own) - k]
+            least -= 1e-9 * max(1.0, abs(least))
+            own = own[best[i, own] >= least]
+        if repeats:
+            own = np.flatnonzero((score[i] >= least) & (score[i] > -np.inf))
         exact = (x[own] * q[i]).sum(axis=1)
-        order = np.lexsort((ids[own], -exact))[:k]
+        order = np.lexsort((ids[own], -exact))
+        if repeats:
+            order = order[np.sort(np.unique(nth[own][order], return_index=True)[1])]
+        order = order[:k]
         out_q.append(np.full(len(order), queries[i]))
         out_id.append(ids[own][order])
         out_score.append(exact[order])

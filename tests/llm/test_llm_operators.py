@@ -364,6 +364,27 @@ def test_a_hot_vector_is_spread_over_cells(spark, monkeypatch):
         assert [v for _, v in sorted(got[q])] == best
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 40])
+def test_copies_of_a_vector_take_one_place(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(ann, "CELL_ROWS", cell_rows)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 4))
+    x[7] *= 9                                                    # a best neighbour of many, in 30 copies
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * 2 + [(7, x[7].tolist())] * 28 + [(8, (x[8] * (1 + j / 40)).tolist()) for j in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 20, 40):
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(v, x[q])))
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert [v for _, v, _ in sorted(got[q])] == want
+        assert all(abs(s - best[v]) < 1e-12 for _, v, s in got[q])
+
+
 # ------------------------------------------------------------------ 5: URL filter
 
 def test_url_filter_equals_its_sql(spark):
