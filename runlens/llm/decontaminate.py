@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm._common import SLICE_BYTES, prepare, rows_batch, text_slices
+from runlens.llm._common import SLICE_BYTES, prepare, rows_batch, text_slices, written
 from runlens.llm._slices import ragged, slice_keys
 from runlens.llm.token_shards import WaveletMatrix
 
@@ -296,20 +296,24 @@ class Hits:
             out[d].update(self.phrases.items[w])
         return [sorted(x) for x in out]
 
-    def spans(self) -> list[list[tuple[int, int]]]:
-        """Merged removal spans of each text as byte offsets in its UTF-8 form."""
+    def runs(self) -> list[list[tuple[int, int, int, int]]]:
+        """Merged removal spans of each text: first and end word, first and end byte in its UTF-8 form."""
         covered = np.concatenate(([False], self._covered(), [False])).astype(np.int8)
         turn = np.diff(covered)
         lo, hi = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        out: list[list[tuple[int, int]]] = [[] for _ in self.raw]
+        out: list[list[tuple[int, int, int, int]]] = [[] for _ in self.raw]
         for a, b in zip(lo.tolist(), hi.tolist()):
             while a < b:                                        # a covered run may touch the next text's
                 d = int(np.searchsorted(self.word, a, side="right")) - 1
-                stop = min(b, int(self.word[d + 1]))
-                out[d].append((int(self.starts[a] - self.byte[d]), int(self.ends[stop - 1] - self.byte[d])))
+                stop, word, byte = min(b, int(self.word[d + 1])), int(self.word[d]), int(self.byte[d])
+                out[d].append((a - word, stop - word, int(self.starts[a]) - byte, int(self.ends[stop - 1]) - byte))
                 a = stop
         return out
 
+    def spans(self) -> list[list[tuple[int, int]]]:
+        """Merged removal spans of each text as byte offsets in its UTF-8 form."""
+        return [[(a, b) for _, _, a, b in runs] for runs in self.runs()]
+
 
 def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
@@ -400,10 +404,78 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) ->
     What joins around a cut is searched again until nothing is found, so no window is left.  Rows
     without hits stay as they are; a row that had hits and has no word left goes.  ``n_chars`` follows
     the text if the table has it.
+
+    One block of the benchmark does all this in a single pass.  With more, every block searches the
+    same texts, the union of their spans is cut once, and the changed rows are passed again until no
+    block hits; each pass is written.
     """
-    for block in benchmark_blocks(benchmark, window):
-        docs = docs.mapInArrow(_remover(block), docs.schema)
-    return docs
+    blocks = benchmark_blocks(benchmark, window)
+    if len(blocks) == 1:
+        return docs.mapInArrow(_remover(blocks[0]), docs.schema)
+    marked = T.StructType([*docs.schema.fields, T.StructField(_RUNS, T.ArrayType(T.StructType(
+        [T.StructField(n, T.LongType()) for n in ("s", "e", "a", "b")])))])
+    flagged = T.StructType([*docs.schema.fields, T.StructField(_CHANGED, T.BooleanType())])
+    done, todo = None, docs
+    while True:
+        rows = todo.withColumn(_RUNS, F.lit(None).cast(marked[_RUNS].dataType))
+        for block in blocks:
+            rows = rows.mapInArrow(_marker(block), marked)
+        rows = written(rows.mapInArrow(_cut_marked, flagged), "cut-passages")
+        clean = rows.where(~F.col(_CHANGED)).drop(_CHANGED)
+        done = clean if done is None else done.unionByName(clean)
+        todo = rows.where(_CHANGED).drop(_CHANGED)
+        if todo.isEmpty():
+            return done
+
+
+_RUNS, _CHANGED = "_passage_runs", "_passage_cut"
+
+
+def _marker(block: Broadcast):
+    """Append one block's merged spans to the rows' spans; the texts stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, limit=SHARD_BYTES):
+            found = Hits(part.column("text").to_pylist(), block.value).runs()
+            at = part.schema.get_field_index(_RUNS)
+            runs = [(x or []) + [dict(zip("seab", r)) for r in new] for x, new in zip(part.column(at).to_pylist(), found)]
+            yield part.set_column(at, part.schema.field(at), pa.array(runs, type=part.schema.field(at).type))
+
+    return run
+
+
+def _cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the union of each row's spans (spans that touch by words are one) and tell which rows changed."""
+    for part in text_slices(batches, limit=SHARD_BYTES):
+        texts = part.column("text").to_pylist()
+        runs = part.column(_RUNS).to_pylist()
+        changed = {i for i, r in enumerate(runs) if r}
+        for i in changed:
+            merged: list[list[int]] = []
+            upto = -1
+            for r in sorted(runs[i], key=lambda r: (r["s"], r["e"])):
+                if merged and r["s"] <= upto:
+                    merged[-1][1] = max(merged[-1][1], r["b"])
+                else:
+                    merged.append([r["a"], r["b"]])
+                upto = max(upto, r["e"])
+            texts[i] = _cut(texts[i].encode("utf-8", "surrogatepass"), merged)
+        part = part.drop_columns([_RUNS]).append_column(_CHANGED, pa.array([i in changed for i in range(len(texts))]))
+        yield _with_texts(part, texts, changed)
+
+
+def _with_texts(part: pa.RecordBatch, texts: list[str | None], changed: set[int]) -> pa.RecordBatch:
+    """``part`` with its changed texts and their ``n_chars``; a changed row without a word left goes."""
+    if not changed:
+        return part
+    names = part.schema.names
+    part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(texts, type=part.schema.field("text").type))
+    if "n_chars" in names:
+        sizes = part.column("n_chars").to_pylist()
+        for i in changed:
+            sizes[i] = len(texts[i])
+        field = part.schema.field("n_chars")
+        part = part.set_column(names.index("n_chars"), field, pa.array(sizes, type=field.type))
+    return part.filter(pa.array([i not in changed or bool(words_of(t)) for i, t in enumerate(texts)]))
 
 
 def _remover(block: Broadcast):
@@ -419,16 +491,6 @@ def _remover(block: Broadcast):
                     texts[i] = _cut(raw, spans)
                 todo = [i for i, _, _ in cut]
                 changed.update(todo)
-            if changed:
-                names = part.schema.names
-                part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(texts, type=part.schema.field("text").type))
-                if "n_chars" in names:
-                    sizes = part.column("n_chars").to_pylist()
-                    for i in changed:
-                        sizes[i] = len(texts[i])
-                    field = part.schema.field("n_chars")
-                    part = part.set_column(names.index("n_chars"), field, pa.array(sizes, type=field.type))
-                part = part.filter(pa.array([i not in changed or bool(words_of(t)) for i, t in enumerate(texts)]))
-            yield part
+            yield _with_texts(part, texts, changed)
 
     return run

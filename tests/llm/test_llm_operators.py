@@ -210,6 +210,30 @@ def test_cutting_searches_what_joins(spark):
     assert got == {1: ["z", "y"], 2: ["a", "b", "d", "c"]}
 
 
+def test_cutting_by_blocks_is_cutting_at_once(spark, monkeypatch):
+    w = [f"w{i}" for i in range(1, 30)]
+    items = [(1, " ".join(w[:15])), (2, " ".join(w[9:22])), (3, "a b c d e f g h i j"), (4, " ".join(w[22:24] * 5)), (5, " ".join(f"q{i}" for i in range(10)))]
+    inner = f"a b c {items[4][1]} d e f g h i j"                 # joins to item 3 when item 5 is cut
+    rows = [(1, " ".join(["x", *w[:22], "y"])), (2, f"x, {inner} - y"), (3, inner), (4, None), (5, "a b c"), (5, "a b c"),
+            (6, f"{' '.join(w[:15])}; {items[2][1]}. {items[4][1]} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long")).repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def got():
+        return keyed(D.remove_passages(docs, bench, 10).collect(), "doc_id", "text", "n_chars")
+
+    want = got()
+    assert dict((i, t) for i, t, _ in want) == {1: "x  y", 2: "x,  - y", 4: None, 5: "a b c", 6: " end"}
+    monkeypatch.setattr(D, "BLOCK_BYTES", 30)
+    assert len(D.benchmark_blocks(bench, 10)) > 5
+    assert got() == want
+    full, table = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
+    parts = D.remove_passages(full, table, 10).collect()
+    monkeypatch.setattr(D, "BLOCK_BYTES", 2 << 20)
+    assert keyed(parts, *full.columns) == keyed(D.remove_passages(full, table, 10).collect(), *full.columns)
+
+
 # ------------------------------------------------------------------ 10: near duplicates
 
 def _sets(pairs, words):
