@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm._common import prepare, rows_batch, text_slices
@@ -32,12 +32,14 @@ WINDOW = 256
 DIM = 8
 FILTERS = 16
 WIDTHS = (2, 3, 4)
-#: Bounds of the training sample: documents per language, windows per document, languages.
+#: Bounds of the training sample: documents per language, windows per document.  With more than FULL_LANGUAGES
+#: languages each has an equal part of TRAIN_DOCS * FULL_LANGUAGES documents, one at least.
 TRAIN_DOCS = 1000
 TRAIN_WINDOWS = 4
-MAX_LANGUAGES = 64
+FULL_LANGUAGES = 64
 EPOCHS = 4
 _BATCH = 64
+_CELLS = 1 << 22            # probabilities (windows x languages) held at a time
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,6 +96,7 @@ def windows_of(data: bytes) -> np.ndarray:
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """Fit the network on labelled texts: a few windows of each, some cut short so that short texts are known too."""
     languages = sorted(set(labels))
+    number = {name: i for i, name in enumerate(languages)}
     rng = np.random.default_rng(seed)
     x, y = [], []
     for text, label in zip(texts, labels):
@@ -102,7 +105,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             size = WINDOW if k % 2 == 0 else int(rng.integers(12, WINDOW))
             start = int(rng.integers(0, max(1, len(data) - size + 1)))
             x.append(windows_of(data[start:start + size])[0])
-            y.append(languages.index(label))
+            y.append(number[label])
             if len(data) <= 12:
                 break
     xs, ys = np.array(x, dtype=np.uint8), np.array(y)
@@ -166,24 +169,37 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
-    """Train on at most ``train_docs`` labelled, not held-out documents of each language.
+    """Train on at most ``train_docs`` labelled, not held-out documents of each language found.
 
     A first pass counts the labelled documents of each language; a second takes those whose hashed
-    doc_id falls below the language's rate, so nothing is shuffled by language.  None if no document
-    has both text and language.
+    doc_id falls below the language's rate, so nothing is shuffled by language.  With more than
+    FULL_LANGUAGES languages each has fewer documents, and only the sampled rows are cut to that
+    number by a shuffle.  None if no document has both text and language.
     """
     prepare(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = usable.groupBy("lang").count().collect()                       # one row per language
     if not counts:
         return None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 1.2 * train_docs / r["count"]) * (1 << 30)))])
-    sample = (usable.where(place < rate[F.col("lang")]).select("lang", _around("text").alias("text"), place.alias("place"))
-              .limit(2 * train_docs * len(counts)).collect())
+    if len(counts) <= FULL_LANGUAGES:
+        rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 1.2 * train_docs / r["count"]) * (1 << 30)))])
+        sample = (usable.where(place < rate[F.col("lang")]).select("lang", _around("text").alias("text"), place.alias("place"))
+                  .limit(2 * train_docs * len(counts)).collect())
+    else:
+        stretches = (usable.select("lang", _around("text").alias("text"), place.alias("place"))
+                     .where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")))
+        counts = stretches.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()
+        if not counts:
+            return None
+        train_docs = max(1, train_docs * FULL_LANGUAGES // len(counts))
+        wanted = max(1.2 * train_docs, train_docs + 20)
+        rates = docs.sparkSession.createDataFrame(                          # one document of each language at least
+            [(r.lang, max(r.least + 1, int(min(1.0, wanted / r.n) * (1 << 30)))) for r in counts], "lang string, rate long")
+        sample = (stretches.join(F.broadcast(rates), "lang").where("place < rate")
+                  .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
+                  .where(F.col("nth") <= train_docs).collect())
     chosen: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r.place, r.lang, r.text)):
         if _LETTER.search(r.text) and len(chosen.setdefault(r.lang, [])) < train_docs:
@@ -200,18 +216,39 @@ def _around(text: str) -> Column:
 _PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def _most_likely(model: Model, data: list[bytes]) -> Iterator[tuple[int, float]]:
+    """(language, mean probability) of each text; at most about _CELLS probabilities are held at a time."""
+    most = max(16, _CELLS // len(model.languages) // 16 * 16)
+    at = 0
+    while at < len(data):
+        end, held = at, 0
+        while end < len(data) and (end == at or held + max(1, -(-len(data[end]) // WINDOW)) <= most):
+            held += max(1, -(-len(data[end]) // WINDOW))
+            end += 1
+        if held > most:                                                     # one long text
+            total = np.zeros(len(model.languages))
+            for a in range(0, len(data[at]), most * WINDOW):
+                part = data[at][a:a + most * WINDOW]
+                weight = np.minimum(WINDOW, len(part) - WINDOW * np.arange(-(-len(part) // WINDOW)))
+                total += weight @ model.probabilities(windows_of(part))
+            mean = total[None] / len(data[at])
+        else:
+            parts = [windows_of(d) for d in data[at:end]]
+            probabilities = model.probabilities(np.concatenate(parts))
+            weight = np.concatenate([np.minimum(WINDOW, len(d) - WINDOW * np.arange(len(p))) for d, p in zip(data[at:end], parts)])
+            first = np.cumsum([0] + [len(p) for p in parts[:-1]])
+            mean = np.add.reduceat(probabilities * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
+        best = mean.argmax(axis=1)
+        yield from zip(best.tolist(), mean[np.arange(len(best)), best].tolist())
+        at = end
+
+
 def predict_batch(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     known = [bool(t) and _LETTER.search(t) is not None for t in texts]
     data = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known) if k]
     if model is None or not data:
         return ["und"] * len(texts), [0.0] * len(texts)
-    parts = [windows_of(d) for d in data]
-    probabilities = model.probabilities(np.concatenate(parts))
-    weight = np.concatenate([np.minimum(WINDOW, len(d) - WINDOW * np.arange(len(p))) for d, p in zip(data, parts)])
-    first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    mean = np.add.reduceat(probabilities * weight[:, None], first) / np.add.reduceat(weight, first)[:, None]
-    best = mean.argmax(axis=1)
-    found = iter(zip([model.languages[i] for i in best], np.minimum(1.0, mean[np.arange(len(best)), best]).tolist()))
+    found = ((model.languages[i], min(1.0, p)) for i, p in _most_likely(model, data))
     pairs = [next(found) if k else ("und", 0.0) for k in known]
     return [p[0] for p in pairs], [p[1] for p in pairs]
 

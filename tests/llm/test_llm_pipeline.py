@@ -112,3 +112,25 @@ def test_stages_on_odd_rows(spark, stages):
         assert got == [-1, 4][:n]
     empty_model = C.identify_language(spark, docs.where("1 = 0"), SF_SMALL)
     assert empty_model.count() == 0
+
+
+def test_any_number_of_languages_is_learned(spark, stages):
+    n = 150
+    letters = [chr(0x4E00 + i) for i in range(n)]
+    rows = [(i, letters[i % n] * 40, f"l{i % n:03}") for i in range(30 * n)] + [(30 * n + i, "1 2 3", "digits") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows} - {"digits"})
+    assert {r.lang_pred for r in langid.predict(docs, model).collect()} <= {*model.languages, "und"}
+    assert langid.keep_identified(docs, model).count() > 0
+    few = langid.fit(docs.withColumn("doc_id", F.col("doc_id") % 3), train_docs=1)                         # less than one document for each: one is taken
+    assert few.languages == model.languages
+
+
+def test_predictions_in_parts_are_the_same(stages, monkeypatch):
+    model = langid.fit(stages[0], train_docs=40)
+    texts = [r.text for r in stages[0].limit(40).collect()] + ["word and more " * 3000, None, "a"]
+    names, scores = langid.predict_batch(model, texts)
+    monkeypatch.setattr(langid, "_CELLS", 1)
+    parts, close = langid.predict_batch(model, texts)
+    assert parts == names and all(abs(a - b) < 1e-9 for a, b in zip(scores, close))
