@@ -58,5 +58,57 @@ SELECT d.doc_id, coalesce(size, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 FROM d JOIN low ON low.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op5_url_filter": urlfilter.ORACLE, "op8_chat_format": CHAT,
+#: The table of the reflected CRC-32 polynomial, and the checksum of a list of bytes by it.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tab FROM range(256) t(b))"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_NEXT = "((k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT)"
+
+SHARDING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+keys AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT::UHUGEINT AS k FROM documents),
+walk AS (SELECT doc_id, {_NEXT} AS k, 0::BIGINT AS shard FROM keys
+         UNION ALL
+         SELECT doc_id, {_NEXT}, onto
+         FROM (SELECT doc_id, k, floor((shard + 1) * (2147483648::DOUBLE / ((k >> 33::UHUGEINT)::DOUBLE + 1)))::BIGINT AS onto FROM walk)
+         WHERE onto < 25),
+ends AS (SELECT doc_id, max(shard) FILTER (shard < 24) AS shard, max(shard) AS grown FROM walk GROUP BY doc_id),
+sums AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents, crc)
+SELECT sums.doc_id, size, text_crc32, 'key' AS law, ends.shard::INT AS shard,
+       row_number() OVER (PARTITION BY ends.shard ORDER BY k, size, text_crc32) - 1 AS slot, grown::INT AS grown_shard
+FROM sums JOIN ends ON sums.doc_id IS NOT DISTINCT FROM ends.doc_id JOIN keys ON sums.doc_id IS NOT DISTINCT FROM keys.doc_id
+"""
+
+_LN_RATIO = "ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE))"
+
+RESAMPLING = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_words(_BENCHMARK_WORD)} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_words(_BENCHMARK_WORD)}) AS word FROM benchmark),
+bucket AS (SELECT word, {_crc32("word")} % 10000 AS b FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT b, count(*) AS s FROM dw JOIN bucket USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN bucket USING (word) GROUP BY b),
+gain AS (SELECT b, floor(1000 * {_LN_RATIO})::BIGINT AS gain
+         FROM s LEFT JOIN t USING (b), (SELECT count(*) AS all_s FROM dw), (SELECT count(*) AS all_t FROM bw)),
+sums AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS g FROM dw JOIN bucket USING (word) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN sums ON sums.r = d.r),
+final AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+                  count(*) FILTER (n_features >= 20) OVER () AS eligible FROM final)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_features >= 20 AND place <= eligible * 10 // 100 THEN place END AS rank
+FROM placed
+"""
+
+ORACLES = {"op11_sharding": SHARDING, "op13_resampling": RESAMPLING,
+           "op1_decontamination": DECONTAMINATION, "op5_url_filter": urlfilter.ORACLE, "op8_chat_format": CHAT,
            "op10_near_duplicates": NEAR_DUPLICATES}

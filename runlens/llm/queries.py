@@ -113,3 +113,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.createDataFrame([(conv_id, 0, "user", text), (conv_id, 1, "assistant", text)], turns.schema)
     return C.read_back(written(C.format_conversations(turns.union(more)), "formatted"))
+
+
+@_query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by jump consistent hashing, and where each would be with one shard more."""
+    from runlens.llm import sharding as S
+
+    return S.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=24)
+
+
+@_query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the distribution of the benchmark's words."""
+    from runlens.llm import resample as R
+
+    return (R.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), R.Rule())
+            .select("doc_id", "n_features", "weight", "score", "rank"))
