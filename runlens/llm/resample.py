@@ -1,4 +1,4 @@
-"""Importance resampling towards a target distribution, with segment deduplication, in DataFrame functions only.
+"""Importance resampling towards a target distribution, with segment deduplication.
 
 Features are the runs of 1 to ``words`` consecutive words of a text, hashed into buckets.  Texts are cut
 at line feeds into lines; the features of every *distinct* line are counted once, and a line's counts are
@@ -22,16 +22,21 @@ are not read, so that their names cannot clash.  Documents are read from files (
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm._common import written
+from runlens.llm._common import prepare, text_slices, written
 from runlens.llm._number import numbered
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of a word as they are, A-Z in lower case, any other byte a blank.
+_WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+_CACHED, _CACHED_BYTES = 1 << 18, 64       # features whose buckets a worker remembers, and their longest
 
 
 @dataclass(frozen=True)
@@ -45,42 +50,45 @@ class Rule:
     seed: str = "2024"
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+class Buckets(dict):
+    """Bucket of a feature (bytes), remembered for short features."""
 
+    def __init__(self, n: int):
+        self.n = n
 
-def _bucket(feature: Column, rule: Rule) -> Column:
-    return (F.crc32(feature) % rule.buckets).cast("int")
+    def __missing__(self, feature: bytes) -> int:
+        bucket = zlib.crc32(feature) % self.n
+        if len(feature) <= _CACHED_BYTES:
+            if len(self) >= _CACHED:
+                self.clear()
+            self[feature] = bucket
+        return bucket
 
 
-def _span(first: Column | int, last: Column) -> Column:
-    """first..last, none if last < first."""
-    first = F.lit(first) if isinstance(first, int) else first
-    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+def words_of(text: str) -> list[bytes]:
+    """Words of a text: runs of digits, letters a-z (A-Z in lower case) and anything beyond ASCII."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
 
 
-def line_buckets(words: Column, rule: Rule) -> Column:
-    """Buckets of the runs inside one line, repeats included."""
-    single = F.transform(words, lambda w: _bucket(w, rule))
-    if rule.words == 1:
-        return single
-    runs = F.flatten(F.transform(_span(2, F.least(F.lit(rule.words), F.size(words))), lambda k: F.transform(
-        _span(1, F.size(words) - k + 1), lambda i: _bucket(F.array_join(F.slice(words, i, k), " "), rule))))
-    return F.concat(single, runs)
+def runs_inside(words: list[bytes], longest: int) -> list[bytes]:
+    """All runs of 1 to ``longest`` consecutive words of one line."""
+    out = list(words)
+    for k in range(2, longest + 1):
+        out += map(b" ".join, zip(*(words[i:] for i in range(k))))
+    return out
 
 
-def crossing_buckets(lines: Column, rule: Rule) -> Column:
-    """Buckets of the runs of one text that cross a line end; ``lines`` is an array of word arrays."""
-    def of(both: Column) -> Column:
-        words, line = both["words"], both["line"]
-        at = lambda i: F.element_at(line, i)
-        return F.flatten(F.transform(_span(1, F.size(words) - 1), lambda i: F.transform(
-            F.filter(_span(2, F.least(F.lit(rule.words), F.size(words) - i + 1)), lambda k: at(i) != at(i + k - 1)),
-            lambda k: _bucket(F.array_join(F.slice(words, i, k), " "), rule))))
-
-    line_of = F.flatten(F.transform(lines, lambda w, n: F.array_repeat(n, F.size(w))))
-    joined = F.array(F.struct(F.flatten(lines).alias("words"), line_of.alias("line")))
-    return F.flatten(F.transform(joined, of))
+def runs_across(lines: list[list[bytes]], longest: int) -> list[bytes]:
+    """The runs of 2 to ``longest`` words of a text that cross a line end."""
+    words = [w for line in lines for w in line]
+    out, at = [], 0
+    for line in lines[:-1]:
+        if line:
+            at += len(line)
+            # Runs that begin in this line: the others that cross this end began, and were counted, in an earlier one.
+            for start in range(max(at - len(line), at - longest + 1), at):
+                out += (b" ".join(words[start:end]) for end in range(at + 1, min(start + longest, len(words)) + 1))
+    return out
 
 
 def _lines(text: Column) -> Column:
@@ -92,25 +100,49 @@ def _key(line: Column) -> Column:
     return F.unhex(F.substring(F.sha2(line, 256), 1, 32))
 
 
+def _lists(lists: list[list[int]]) -> pa.Array:
+    cut = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(cut, type=pa.int32()), pa.array([x for own in lists for x in own], type=pa.int32()))
+
+
 def distinct_lines(texts: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """line_key, times (occurrences in all texts), n_words and buckets of every distinct line that holds a word; written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket_of = Buckets(rule.buckets)
+        for part in text_slices(batches, "line", 1 << 20):
+            words = [words_of(line) for line in part.column("line").to_pylist()]
+            features = words if rule.words == 1 else [runs_inside(w, rule.words) for w in words]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("line_key"), part.column("times"), pa.array(list(map(len, words)), type=pa.int64()),
+                 _lists([list(map(bucket_of.__getitem__, own)) for own in features])],
+                names=["line_key", "times", "n_words", "buckets"])
+
     lines = (texts.select(F.explode(_lines(F.col("text"))).alias("line")).where(F.col("line") != "")
              .groupBy("line").agg(F.count("*").alias("times")))
-    cut = lines.select(_key(F.col("line")).alias("line_key"), "times", words_of(F.col("line")).alias("words"))
-    return written(cut.select("line_key", "times", F.size("words").cast("long").alias("n_words"), line_buckets(F.col("words"), rule).alias("buckets"))
-                   .where("n_words > 0"), "distinct-lines")
+    return written(lines.select(_key(F.col("line")).alias("line_key"), "times", "line")
+                   .mapInArrow(run, "line_key binary, times long, n_words long, buckets array<int>").where("n_words > 0"), "distinct-lines")
 
 
 def _crossing(texts: DataFrame, rule: Rule) -> DataFrame:
-    """``texts`` with the array ``crossing``."""
-    return texts.withColumn("crossing", crossing_buckets(F.transform(_lines(F.col("text")), words_of), rule))
+    """doc_id, row_key and the buckets of the runs that cross a line end, for every text that has any."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket_of = Buckets(rule.buckets)
+        for part in text_slices(batches, limit=1 << 20):
+            found = [[bucket_of[f] for f in runs_across(list(map(words_of, (text or "").split("\n"))), rule.words)]
+                     for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), _lists(found)],
+                                             names=["doc_id", "row_key", "crossing"])
+
+    return (texts.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, crossing array<int>")
+            .where(F.size("crossing") > 0))
 
 
 def bucket_counts(texts: DataFrame, lines: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """bucket, n: features of all texts by bucket, from their distinct lines and, added to them, the runs across lines."""
     counts = lines.select("times", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("times").alias("n"))
     if rule.words > 1:
-        across = _crossing(texts, rule).select(F.explode("crossing").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+        keyed = texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row_key"), "text")
+        across = _crossing(keyed, rule).select(F.explode("crossing").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
         counts = counts.unionByName(across).groupBy("bucket").agg(F.sum("n").alias("n"))
     return counts
 
@@ -137,19 +169,20 @@ def _gain_sum(buckets: Column, gains: list[int]) -> Column:
 
 def weights(docs: DataFrame, target: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_words, n_features and weight of every document against the texts of ``target``.  Runs jobs."""
-    texts, wanted = docs.select("doc_id", "text"), target.select("text")
+    prepare(docs.sparkSession)
+    texts, wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), target.select("text")
     lines, wanted_lines = distinct_lines(texts, rule), distinct_lines(wanted, rule)
     gains = bucket_gains(bucket_counts(texts, lines, rule), bucket_counts(wanted, wanted_lines, rule), rule)
     known = lines.select("line_key", "n_words", F.size("buckets").cast("long").alias("n_features"), _gain_sum(F.col("buckets"), gains).alias("gain"))
     rows = texts.withColumn("row_key", F.monotonically_increasing_id())      # rows may repeat a doc_id
-    held = F.filter(_lines(F.col("text")), lambda line: line != "")
-    parts = (rows.select("doc_id", "row_key", F.explode_outer(F.transform(held, _key)).alias("line_key"))
+    keys = F.transform(F.filter(_lines(F.col("text")), lambda line: line != ""), _key)
+    none = F.array(F.unhex(F.lpad(F.hex("row_key"), 16, "0")))               # 8 bytes: meets no line, and no two texts share it
+    parts = (rows.select("doc_id", "row_key", F.explode(F.when(F.size(keys) > 0, keys).otherwise(none)).alias("line_key"))
              .join(known, "line_key", "left").select("doc_id", "row_key", "n_words", "n_features", "gain"))
     if rule.words > 1:
-        across = _crossing(rows, rule).select(
+        parts = parts.unionByName(_crossing(rows, rule).select(
             "doc_id", "row_key", F.lit(0).cast("long").alias("n_words"), F.size("crossing").cast("long").alias("n_features"),
-            _gain_sum(F.col("crossing"), gains).alias("gain"))
-        parts = parts.unionByName(across.where("n_features > 0"))
+            _gain_sum(F.col("crossing"), gains).alias("gain")))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     sums = parts.groupBy("row_key", "doc_id").agg(total("n_words"), total("n_features"), total("gain"))
     floored = F.when(F.col("n_features") > 0, F.expr("(gain - pmod(gain, n_features)) div n_features")).otherwise(0)
