@@ -130,3 +130,11 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (R.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), R.Rule())
             .select("doc_id", "n_features", "weight", "score", "rank"))
+
+
+@_query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE tokens of every document aligned with those of a piece model."""
+    from runlens.llm import align as A
+
+    return A.alignment_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
