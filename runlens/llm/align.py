@@ -179,6 +179,9 @@ class TokensB:
         first = np.cumsum([0, *map(len, raw)])
         blank = data == 0x20
         start = blank & ~np.concatenate(([False], blank[:-1]))
+        for i, t in enumerate(texts):
+            if _BLANK in t:                                      # the model takes it for a blank: one slice
+                start[first[i]:first[i + 1]] = False
         start[first[:-1]] = True
         starts = np.flatnonzero(start)
         ids, sizes = self._table.values(data, starts, np.append(starts[1:], len(data)), self._library)
@@ -197,26 +200,32 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = _tokens(TokensA, a_path), _tokens(TokensB, b_path)
         self.size = [np.array(list(map(len, t.tokens)), dtype=np.int64) for t in (self.a, self.b)]
+        self.table = [np.array(t.tokens, dtype=object) for t in (self.a, self.b)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids by A, number of each text, ids by B, number of each text); none where the bytes differ from blank + text."""
-        some = [i for i, t in enumerate(texts) if t]
-        out = []
-        for tokens, own in ((self.a, [" " + texts[i] for i in some]), (self.b, [texts[i] for i in some])):
-            ids, counts = tokens.encode_all(own)
-            out.append([np.split(ids, np.cumsum(counts)[:-1]) if some else [], tokens.tokens])
-        good = []
-        for i, *both in zip(some, *(x[0] for x in out)):
-            whole = b" " + texts[i].encode()
-            good.append(all(b"".join(map(t.__getitem__, ids.tolist())) == whole for ids, t in zip(both, (out[0][1], out[1][1]))))
+        """(ids by A, number of each text, ids by B, number of each text); none where the bytes differ from blank + text (those with U+2581 do)."""
+        some = [i for i, t in enumerate(texts) if t and _BLANK not in t]
+        whole = [b" " + texts[i].encode() for i in some]
+        encoded = [self.a.encode_all([" " + texts[i] for i in some]), self.b.encode_all([texts[i] for i in some])]
+        good = np.ones(len(some), dtype=bool)
+        for (ids, counts), table, size in zip(encoded, self.table, self.size):
+            good &= self._spelled(table[ids], counts, np.concatenate(([0], np.cumsum(size[ids]))), whole)
         result = []
-        for lists, _ in out:
+        for ids, counts in encoded:
             number = np.zeros(len(texts), dtype=np.int64)
-            kept = [ids for ids, g in zip(lists, good) if g]
-            number[[i for i, g in zip(some, good) if g]] = list(map(len, kept))
-            result += [np.concatenate([*kept, np.empty(0, dtype=np.int32)]).astype(np.int32), number]
+            number[some] = np.where(good, counts, 0)
+            result += [ids if good.all() else ids[np.repeat(good, counts)], number]
         return tuple(result)
 
+    @staticmethod
+    def _spelled(tokens: np.ndarray, counts: np.ndarray, ends: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Do the tokens of each text spell it?  All texts are compared at once, and one by one only if that fails."""
+        cut = np.concatenate(([0], np.cumsum(counts)))
+        spelled, at = b"".join(tokens.tolist()), ends[cut].tolist()
+        if np.array_equal(np.diff(at), list(map(len, texts))) and spelled == b"".join(texts):
+            return np.ones(len(texts), dtype=bool)
+        return np.array([spelled[a:b] == t for a, b, t in zip(at, at[1:], texts)], dtype=bool)
+
     def groups(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the last token of A and of B in every group, for texts one after another."""
         return common_ends(np.cumsum(self.size[0][a_ids]), np.cumsum(self.size[1][b_ids]))
