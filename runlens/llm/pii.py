@@ -13,7 +13,9 @@ imaginary wrong ones), an instance that is no seed is as certain as its patterns
 make it (noisy or).  Trust thus passes from seeds to the words around them, to
 unseen identifiers beside the same words, to the keys of those, and on.
 Identifiers introduced by a pattern of high confidence and enough support are
-further spans of kind ``id``.
+further spans of kind ``id``.  Shorter tokens (6 to 9 characters, three digits or
+more) take no part in learning, but are spans too where such a pattern introduces
+them.  Words of context are looked for within 60 code points of a token.
 
 Texts are read once and only candidate rows (never texts) are shuffled; scores
 are summed before each exchange.
@@ -47,13 +49,15 @@ _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")       # a run of digits is tried once, at its start
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]+")
 _KEY = re.compile(r"[A-Za-z_]+[\"']?[=:][\"']?$")
 _BEFORE = re.compile(r"(\S+)\s+(\S+)\s*$|(\S+)\s*$")
 _BEHIND = re.compile(r"[\"']?\s*(\S+)")
+#: Least lengths of a token that teaches and of one that a trusted pattern may introduce, and least digits of both.
+LEARNING, SHORT, DIGITS = 10, 6, 3
 _CONTEXT = 60           # code points on either side in which context words are looked for
 
 
@@ -65,6 +69,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(part: str) -> bool:
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base entities, sorted."""
     out: list[tuple[int, int, int]] = []
@@ -79,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             last = nxt = m.end()
         at = text.find("@", nxt)
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m.group().split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := m.group().replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -91,7 +100,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def other_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside the base entities."""
+    """Tokens outside the base entities that may be identifiers, the short ones too."""
     out: list[tuple[int, int]] = []
     taken = iter([*sorted((s, e) for s, _, e in base), (len(text) + 1, len(text) + 1)])
     s, e = next(taken)
@@ -106,7 +115,7 @@ def other_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             upto += 1
         while e <= start:
             s, e = next(taken)
-        if upto <= s and upto - start >= 10 and sum(map(len, _NUMBER.findall(text, start, upto))) >= 3:
+        if upto <= s and upto - start >= SHORT and sum(map(len, _NUMBER.findall(text, start, upto))) >= DIGITS:
             out.append((start, upto))
     return out
 
@@ -134,9 +143,9 @@ def _instance(kind: str, value: str) -> int:
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
 _CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()),
-                        ("patterns", pa.list_(pa.string()))])
+                        ("teaches", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 _DDL = ("row long, base array<struct<start: bigint, kind: string, end: bigint>>, "
-        "candidates array<struct<start: bigint, end: bigint, instance: bigint, seed: boolean, patterns: array<string>>>")
+        "candidates array<struct<start: bigint, end: bigint, instance: bigint, seed: boolean, teaches: boolean, patterns: array<string>>>")
 
 
 def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -147,19 +156,19 @@ def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
     fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33      # fixed once the rows are written, which happens at once
         for part in text_slices(batches, "the_text"):
             numbers, bases, found = [], [], []
             for text in part.column("the_text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                here = [(s, e, _instance(KINDS[k], text[s:e]), True, patterns(text, s, e)) for s, k, e in base]
+                here = [(s, e, _instance(KINDS[k], text[s:e]), True, True, patterns(text, s, e)) for s, k, e in base]
                 if _DIGIT.search(text):
-                    here += [(s, e, _instance(FOUND, text[s:e]), False, patterns(text, s, e)) for s, e in other_tokens(text, base)]
+                    here += [(s, e, _instance(FOUND, text[s:e]), False, e - s >= LEARNING, patterns(text, s, e)) for s, e in other_tokens(text, base)]
                 numbers.append(row)
                 row += 1
                 bases.append([{"start": s, "kind": KINDS[k], "end": e} for s, k, e in base])
-                found.append([dict(zip(("start", "end", "instance", "seed", "patterns"), x)) for x in here])
+                found.append([dict(zip(("start", "end", "instance", "seed", "teaches", "patterns"), x)) for x in here])
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[1:], pa.array(numbers, type=pa.int64()), pa.array(bases, type=pa.list_(_SPAN)),
                  pa.array(found, type=pa.list_(_CANDIDATE))],
@@ -170,7 +179,7 @@ def candidates(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 def trusted_patterns(found: DataFrame) -> DataFrame:
     """pattern, confidence, support of the patterns that the graph ends up trusting."""
-    edges = written(found.select(F.explode("candidates").alias("c")).select("c.instance", "c.seed", F.explode("c.patterns").alias("pattern"))
+    edges = written(found.select(F.explode("candidates").alias("c")).where("c.teaches").select("c.instance", "c.seed", F.explode("c.patterns").alias("pattern"))
                     .distinct(), "pii-edges")
     score = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
     for last in [False] * (ROUNDS - 1) + [True]:
