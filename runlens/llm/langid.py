@@ -40,7 +40,14 @@ FULL_LANGUAGES = 64
 EPOCHS = 4
 _BATCH = 64
 _CELLS = 1 << 22            # probabilities (windows x languages) held at a time
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+#: Labels that a model can learn, the most frequent ones (the softmax has one row for each).
+MAX_LANGUAGES = 4096
+
+
+def has_letter(text: str) -> bool:
+    """Does a text hold a code point of category L?"""
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 @dataclass
@@ -171,39 +178,33 @@ def held_out(doc_id: Column | str) -> Column:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """Train on at most ``train_docs`` labelled, not held-out documents of each language found.
 
-    A first pass counts the labelled documents of each language; a second takes those whose hashed
-    doc_id falls below the language's rate, so nothing is shuffled by language.  With more than
-    FULL_LANGUAGES languages each has fewer documents, and only the sampled rows are cut to that
-    number by a shuffle.  None if no document has both text and language.
+    A first pass counts the labelled documents with letters of each language; a second takes those whose
+    hash of (doc_id, text) falls below the language's rate, and at least the one with the least hash.
+    Rows that repeat count once in the sample; ties of the hash go to the lesser text.  Only sampled
+    rows are shuffled by language.  With more than FULL_LANGUAGES languages each has fewer documents,
+    beyond MAX_LANGUAGES the rarer ones are not learned.  None if no document has both text and language.
     """
     prepare(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    counts = usable.groupBy("lang").count().collect()                       # one row per language
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    stretches = usable.select("lang", _around("text").alias("text"), place.alias("place")).where(F.col("text").rlike(r"\p{L}"))
+    counts = (stretches.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least"))
+              .orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect())
     if not counts:
         return None
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    if len(counts) <= FULL_LANGUAGES:
-        rate = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 1.2 * train_docs / r["count"]) * (1 << 30)))])
-        sample = (usable.where(place < rate[F.col("lang")]).select("lang", _around("text").alias("text"), place.alias("place"))
-                  .limit(2 * train_docs * len(counts)).collect())
-    else:
-        stretches = (usable.select("lang", _around("text").alias("text"), place.alias("place"))
-                     .where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")))
-        counts = stretches.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()
-        if not counts:
-            return None
-        train_docs = max(1, train_docs * FULL_LANGUAGES // len(counts))
-        wanted = max(1.2 * train_docs, train_docs + 20)
-        rates = docs.sparkSession.createDataFrame(                          # one document of each language at least
-            [(r.lang, max(r.least + 1, int(min(1.0, wanted / r.n) * (1 << 30)))) for r in counts], "lang string, rate long")
-        sample = (stretches.join(F.broadcast(rates), "lang").where("place < rate")
-                  .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
-                  .where(F.col("nth") <= train_docs).collect())
+    train_docs = max(1, min(train_docs, train_docs * FULL_LANGUAGES // len(counts)))
+    wanted = max(1.2 * train_docs, train_docs + 20)
+    rates = docs.sparkSession.createDataFrame(
+        [(r.lang, max(r.least + 1, int(min(1.0, wanted / r.n) * (1 << 30)))) for r in counts], "lang string, rate long")
+    sample = (stretches.join(F.broadcast(rates), "lang").where("place < rate")          # MAX_LANGUAGES rows at most
+              .select("lang", "text", "place").distinct()
+              .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
+              .where(F.col("nth") <= train_docs).collect())
     chosen: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r.place, r.lang, r.text)):
-        if _LETTER.search(r.text) and len(chosen.setdefault(r.lang, [])) < train_docs:
-            chosen[r.lang].append(r.text)
+        if has_letter(r.text):
+            chosen.setdefault(r.lang, []).append(r.text)
     pairs = [(t, lang) for lang in sorted(chosen) for t in chosen[lang]]
     return train([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
 
@@ -244,7 +245,7 @@ def _most_likely(model: Model, data: list[bytes]) -> Iterator[tuple[int, float]]
 
 
 def predict_batch(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    known = [bool(t) and _LETTER.search(t) is not None for t in texts]
+    known = [bool(t) and has_letter(t) for t in texts]
     data = [t.encode("utf-8", "surrogatepass") for t, k in zip(texts, known) if k]
     if model is None or not data:
         return ["und"] * len(texts), [0.0] * len(texts)
