@@ -1,7 +1,13 @@
-"""Distinct byte slices of a buffer by vectorised hashing."""
+"""Distinct byte slices of a buffer by vectorised hashing.
+
+``slice_keys`` is a polynomial modulo 2^64: fast, but different slices can be made to have one key.  It only
+*finds* slices that may be equal; ``distinct`` and ``SliceTable`` compare bytes, and ``word_keys`` gives each
+distinct slice a keyed digest.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -172,6 +178,10 @@ class SliceTable:
         """(values of all slices one after another, size of each); ``make`` gives the values of new distinct slices."""
         if not len(starts):
             return np.empty(0, dtype=self.dtype), np.empty(0, dtype=np.int64)
+        most = self.SLOTS // 4                                          # so that the new slices of one turn always find slots
+        if len(starts) > most:
+            parts = [self.values(data, starts[i:i + most], ends[i:i + most], make) for i in range(0, len(starts), most)]
+            return np.concatenate([v for v, _ in parts]), np.concatenate([n for _, n in parts])
         keys, sizes = slice_keys(data, starts, ends), ends - starts
         entry = self._find(keys).astype(np.int64)
         known = np.flatnonzero(entry >= 0)
@@ -183,13 +193,27 @@ class SliceTable:
             if self._n and (self._n + len(model) > self.SLOTS // 2 or max(self._blob_n, self._pool.itemsize * self._pool_n) > self.BYTES):
                 self.clear()
                 return self.values(data, starts, ends, make)
-            raw = data.tobytes()
-            slices = list(map(raw.__getitem__, map(slice, starts[model].tolist(), ends[model].tolist())))
+            base = int(starts[model].min())
+            raw = data[base:int(ends[model].max())].tobytes()
+            slices = list(map(raw.__getitem__, map(slice, (starts[model] - base).tolist(), (ends[model] - base).tolist())))
             entry[missing] = self._add(keys[model], slices, make(slices))[number]
         lengths = self._entry[entry, 3].astype(np.int64)
         return self._pool[ragged(self._entry[entry, 2].astype(np.int64), lengths)], lengths
 
 
+@lru_cache(maxsize=1)
+def _digests() -> SliceTable:
+    return SliceTable(np.dtype(np.uint64))
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digest (keyed BLAKE2b) of each slice, computed once per distinct slice."""
+    def make(slices: list[bytes]) -> list[bytes]:
+        return [hashlib.blake2b(x, digest_size=8, key=b"word").digest() for x in slices]
+
+    return _digests().values(data, starts, ends, make)[0]
+
+
 def _grown(held: np.ndarray, n: int, more: np.ndarray) -> tuple[np.ndarray, int]:
     if n + len(more) > len(held):
         held = np.concatenate((held[:n], np.empty((max(n, len(more)) + len(more), *held.shape[1:]), dtype=held.dtype)))

@@ -177,10 +177,10 @@ class Phrases:
         self.size = np.array([len(w) for w in vocabulary], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
         keys = slice_keys(self.blob, self.start, self.start + self.size) if vocabulary else np.empty(0, dtype=np.uint64)
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("two benchmark words with one key")
-        self.order = np.argsort(keys)
+        self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        #: Most words with one key; more than one only in texts that are made so.
+        self.same_key = int(np.unique(keys, return_counts=True)[1].max(initial=0))
         self.near = np.zeros(1 << 16, dtype=bool)
         self.near[(keys >> np.uint64(48)).astype(np.int64)] = True
         self.items = [sorted(x) for x in owners.values()]
@@ -196,9 +196,15 @@ class Phrases:
             return out
         keys = slice_keys(data, starts, ends)
         maybe = np.flatnonzero(self.near[(keys >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == keys[maybe]
-        maybe, word = maybe[hit], self.order[at[hit]]
+        first = np.searchsorted(self.keys, keys[maybe])
+        for nth in range(self.same_key):
+            at = np.minimum(first + nth, len(self.keys) - 1)
+            hit = self.keys[at] == keys[maybe]
+            self._confirm(out, data, starts, ends, maybe[hit], self.order[at[hit]])
+        return out
+
+    def _confirm(self, out: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, maybe: np.ndarray, word: np.ndarray) -> None:
+        """Give the slices ``maybe`` the codes of the words that they equal byte by byte."""
         right = self.size[word] == (ends - starts)[maybe]
         maybe, word = maybe[right], word[right]
         for i in range(0, len(maybe), 1 << 17):
@@ -207,7 +213,6 @@ class Phrases:
             differs = data[ragged(starts[m], size)] != self.blob[ragged(self.start[w], size)]
             same = np.add.reduceat(differs, np.cumsum(size) - size) == 0
             out[m[same]] = w[same] + _FIRST
-        return out
 
 
 def _word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

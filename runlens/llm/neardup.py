@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm._common import IdFilter, prepare, text_slices, written
 from runlens.llm._components import components
-from runlens.llm._slices import slice_keys
+from runlens.llm._slices import word_keys
 
 SAMPLES = 256
 SKETCH_BITS = 1024
@@ -96,7 +96,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     inside[1:-1] = _IN_WORD[data]
     turn = np.diff(inside)
     starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    keys = slice_keys(data, starts, ends) if len(starts) else np.empty(0, dtype=np.uint64)
+    keys = word_keys(data, starts, ends)
     cut = np.searchsorted(starts, first).tolist()
     rolled = np.zeros(max(0, len(keys) - words + 1), dtype=np.uint64)
     for j in range(words):
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` (all columns) with one document of each group: the one with the smallest doc_id.
 
-    Rows that repeat a kept doc_id are reduced to one; rows without doc_id stay.
+    Rows that repeat a kept doc_id are reduced to the one with the least text (null first); rows without doc_id stay.
     """
     marked = written(near_duplicates(docs, rule), "near-duplicates")
     gone = marked.where("not kept").select("doc_id").distinct()
@@ -377,5 +377,7 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     kept = plain.union(perhaps.join(special.hint("merge"), "doc_id", "left_anti").select(docs.columns))
     if special.where("again").isEmpty():
         return kept
-    once = perhaps.join(special.where("again").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(once.select(docs.columns))
+    once = perhaps.join(special.where("again").hint("merge"), "doc_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = once.groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias("_row"))
+    return kept.union(least.select("_row.*"))

@@ -22,6 +22,7 @@ by length and ids, and a document longer than a shard makes a shard of its own.
 
 from __future__ import annotations
 
+import re
 import struct
 import unicodedata
 import zlib
@@ -231,7 +232,7 @@ class WordTokenizer:
     The library's own pre-tokeniser drops blanks and encodes each slice alone, so the ids of a text
     are the ids of its slices in order.  Texts of code points below U+0100 (lower-casing and
     normalisation act on them character by character) are cut here and each *distinct* slice goes
-    through the library once; any other text goes through the library whole.
+    through the library once; any other text, and one that holds a control string, goes through the library whole.
     """
 
     def __init__(self, path: str):
@@ -241,7 +242,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # control strings inside a text are ordinary text
+        # The library finds the file's control strings inside a text; such texts go through it whole.
+        found = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self._control = re.compile("|".join(map(re.escape, found)), re.IGNORECASE) if found else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(vocabulary.values()).bit_length())
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
@@ -272,9 +275,11 @@ class WordTokenizer:
         latin, which = [], []
         for i, text in enumerate(texts):
             try:
+                if self._control and self._control.search(text):
+                    raise ValueError("control string")
                 latin.append(text.encode("latin-1"))
                 which.append(i)
-            except UnicodeEncodeError:
+            except ValueError:                          # UnicodeEncodeError is one
                 ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
                 out[i] = np.array(ids, dtype=self.dtype)
         if latin:

@@ -242,6 +242,49 @@ def test_base_spans_equal_the_plain_patterns():
             assert pii.base_spans(text) == _plain_spans(text), text
 
 
+def test_long_runs_of_digits_are_linear():
+    import time
+    text = "7" * 1_000_000 + " " + "1." * 200_000
+    began = time.perf_counter()
+    assert not [x for x in pii.base_spans(text) if x[1] == 1 and x[0] < 1_000_000]
+    assert time.perf_counter() - began < 3
+    assert pii.base_spans("10.0.0.256 1.2.3.4.5.6.7.8 0300.1.1.1 0001.1.1.1")[:3] == [(11, 1, 18), (19, 1, 26), (38, 1, 48)]
+
+
+def _thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_made_to_share_a_polynomial():
+    """Different words with one slice key: the benchmark keeps both, shingles tell them apart."""
+    from runlens.llm._slices import slice_keys
+    a, b = _thue_morse(10)
+    data = np.frombuffer(f"{a} {b}".encode(), dtype=np.uint8)
+    keys = slice_keys(data, np.array([0, 1025]), np.array([1024, 2049]))
+    assert keys[0] == keys[1]
+    items = [(1, f"{a} one two"), (2, f"{b} one two"), (3, "plain words here")]
+    phrases = D.Phrases(items, 3)
+    texts = [f"x {a} one two y", f"{b} one two", f"{a} two", "plain words here"]
+    found = D.Hits(texts, phrases)
+    assert found.found.tolist() and {tuple(phrases.items[w]) for w in found.found.tolist()} == {(1,), (2,), (3,)}
+    sets = N.shingle_sets([f"u v {a}", f"u v {b}", f"u v {a}"], 3)
+    assert np.array_equal(sets[0], sets[2]) and not np.intersect1d(sets[0], sets[1]).size
+
+
+def test_slice_table_with_more_slices_than_slots(monkeypatch):
+    from runlens.llm._slices import SliceTable
+    monkeypatch.setattr(SliceTable, "BYTES", 1 << 16)
+    words = [f"w{i}".encode() for i in range(700_000)]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum(list(map(len, words)))
+    values, sizes = SliceTable(np.dtype(np.int32)).values(
+        data, np.concatenate(([0], ends[:-1])), ends, lambda some: [np.array([int(x[1:])], dtype=np.int32).tobytes() for x in some])
+    assert values.tolist() == list(range(700_000)) and set(sizes.tolist()) == {1}
+
+
 def test_patterns_and_tokens_around_identifiers():
     text = 'call of password=bea36800c98e14 then token = "1beb58b8af68" me a@b.cd 12'
     tokens = pii.other_tokens(text, pii.base_spans(text))

@@ -101,7 +101,6 @@ def test_word_piece_counts(spark, rows):
 def _shard_rows(pairs):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     at = 0
     for d, t in pairs:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
@@ -118,6 +117,10 @@ def test_token_shards(spark, docs, rows, monkeypatch):
         shards = T.write_shards(docs, WORDS)
         assert shards.count() >= len(rows) // docs_in_part // 2
         assert keyed(T.read_documents(shards).collect(), *names) == sorted(want, key=repr)
+    control = [(1, "hello <|endoftext|> world"), (2, "<|ENDOFTEXT|> x <|startoftext|>é"), (3, "漢 <|endoftext|>")]
+    marked = T.write_shards(spark.createDataFrame(control, "doc_id long, text string"), WORDS)
+    assert keyed(T.read_documents(marked).collect(), *names) == sorted(_shard_rows(control), key=repr)
+    assert next(_shard_rows(control))[2] == 4                    # three ids and the end
     odd = T.write_shards(odd_docs(spark), WORDS)
     by_id = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
     assert keyed(T.read_documents(odd).collect(), *names) == sorted(_shard_rows(by_id), key=repr)
@@ -145,12 +148,32 @@ def test_language_edges(spark, docs):
     kept = langid.keep_identified(odd_docs(spark), model)
     assert kept.columns == odd_docs(spark).columns
     assert keyed(kept.collect(), "doc_id") == sorted(((r.doc_id,) for r in got if r.score >= max(1.2 / 4, 0.01)), key=repr)
+    signs = spark.createDataFrame([(1, "² ½"), (2, "① Ⅷ"), (3, "٣ 12"), (4, "ª é")], "doc_id long, text string")
+    assert {r.doc_id for r in langid.predict(signs, model).collect() if r.lang_pred == "und"} == {1, 2, 3}
     nothing = docs.withColumn("lang", F.lit(None).cast("string"))
     assert langid.fit(nothing) is None and langid.fit(empty(docs)) is None
     assert {r.lang_pred for r in langid.predict(docs.limit(3), None).collect()} == {"und"}
     assert langid.predict(empty(docs), model).count() == 0
 
 
+def test_language_under_one_doc_id(spark):
+    """A language whose rows share a doc_id is sampled by their texts; rows that repeat count once."""
+    texts = [(8, f"le chat numéro {i} dort dans la maison", "fr") for i in range(300)] + [(8, "copie de la page", "fr")] * 300
+    texts += [(9 + i, f"the cat number {i} sleeps in the house", "en") for i in range(0, 900) if zlib.crc32(str(9 + i).encode()) % 4 != 2]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert zlib.crc32(b"8") % 4 != 2
+    model = langid.fit(docs, train_docs=50)
+    assert model.languages == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.limit(301), model).collect()}
+    assert got[8] == "fr"
+
+
+def test_language_labels_without_bound(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    labelled = docs.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("lang")))
+    assert len(langid.fit(labelled, 20).languages) == 3
+
+
 def test_language_learns_from_no_held_out_document(spark, docs):
     """Wrong labels on every held-out document change nothing."""
     wrong = docs.withColumn("lang", F.when(langid.held_out("doc_id"), F.lit("xx")).otherwise(F.col("lang")))
@@ -325,7 +348,58 @@ def test_bootstrapping_reaches_unseen_identifiers(spark):
     assert red[0] == "please write to [EMAIL] today" and red[38] == "zz0 qq0 password=[ID] yy0" and red[46] == texts[46]
 
 
+def test_short_identifiers_behind_a_trusted_key(spark):
+    """Short tokens teach nothing, but a trusted key introduces them; elsewhere they stay."""
+    texts = [f"account={100000 + i}@mail.example.com ok" for i in range(30)]
+    texts += [f"please take account=ab{i:02}c{1000 + i}d00f today" for i in range(8)]
+    texts += ["please take account=12345678 today", "passport account=C0123456 x", "number 12345678 stays", "account=1234 is too short"]
+    texts += [f"write to k{i}@mail.example.com account=zz{i:02}y{3000 + i}d77a" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert red[38] == "please take account=[ID] today" and red[39] == "passport account=[ID] x"
+    assert red[40] == texts[40] and red[41] == texts[41]
+
+
+def _graph(texts):
+    """The scoring in plain Python: pattern -> (confidence, support) after the last round."""
+    edges, seeds = set(), set()
+    for t in texts:
+        base = pii.base_spans(t)
+        for s, k, e in base:
+            seeds.add((k, t[s:e]))
+            edges |= {((k, t[s:e]), p) for p in pii.patterns(t, s, e)}
+        for s, e in pii.other_tokens(t, base):
+            if e - s >= pii.LEARNING:
+                edges |= {(("id", t[s:e]), p) for p in pii.patterns(t, s, e)}
+    score = {i: float(i in seeds) for i, _ in edges}
+    for _ in range(pii.ROUNDS):
+        by = {}
+        for i, p in edges:
+            by.setdefault(p, []).append(score.get(i, 0.0))
+        trust = {p: (sum(x) / (len(x) + pii.SHRINK), len(x)) for p, x in by.items()}
+        doubt = {}
+        for i, p in edges:
+            doubt[i] = doubt.get(i, 1.0) * (1 - trust[p][0])
+        score = {i: 1.0 if i in seeds else 1 - d for i, d in doubt.items()}
+    return {p: x for p, x in trust.items() if x[0] >= pii.CONFIDENCE and x[1] >= pii.SUPPORT}
+
+
+def test_graph_equals_plain_python(spark, docs, rows):
+    found = pii.candidates(docs, ["doc_id"])
+    want = _graph([t or "" for _, t in rows])
+    assert all(abs(c - pii.CONFIDENCE) > 1e-6 for c, _ in want.values())
+    got = {r.pattern: (r.confidence, r.support) for r in pii.trusted_patterns(found).collect()}
+    assert set(got) == set(want) and all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in want)
+    spans = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    for d, t in rows:
+        base = pii.base_spans(t or "")
+        more = [f"id:{s}:{e}" for s, e in pii.other_tokens(t or "", base) if set(pii.patterns(t, s, e)) & set(want)]
+        assert sorted(x for x in spans[d].split(",") if x.startswith("id:")) == sorted(more)
+
+
 def test_personal_data_edges(spark):
+    long_part = spark.createDataFrame([(1, "x 1.2.3." + "9" * 5000 + " y"), (2, "1.2.3." + "0" * 5000 + "7")], "doc_id long, text string")
+    assert {r.doc_id: r.n_ip for r in pii.personal_data(long_part).collect()} == {1: 0, 2: 1}
     docs = odd_docs(spark)
     got = pii.personal_data(docs).collect()
     assert sorted((r.doc_id or -1, r.spans) for r in got if r.spans) == [(1, "phone:5:22,email:26:46")] and len(got) == len(ODD)
@@ -437,9 +511,9 @@ def test_url_filter_edges(spark):
         "entry string, listed_on string, added boolean").withColumn("listed_on", F.col("listed_on").cast("date")).withColumn("host", F.lit("x"))
     got = keyed(U.judge(captures, listings).collect(), "page_id", "blocked", "n_active", "entry")
     assert got == sorted([(1, True, 2, "a.b.example.com")] * 2 + [
-        (2, False, 0, None), (3, True, 1, "b.example.com"), (4, False, 0, None), (5, False, 0, None), (6, False, 0, None), (7, False, 0, None),
+        (2, True, 1, "b.example.com"), (3, True, 1, "b.example.com"), (4, False, 0, None), (5, False, 0, None), (6, False, 0, None), (7, False, 0, None),
         (8, False, 0, None), (9, True, 1, "localhost"), (10, False, 0, None), (11, True, 1, "b.example.com"), (None, True, 1, "b.example.com")], key=repr)
-    assert U.filter_captures(captures, listings).count() == 7
+    assert U.filter_captures(captures, listings).count() == 6
     assert not any(r.blocked for r in U.judge(captures, empty(listings)).collect()) and U.judge(empty(captures), listings).count() == 0
 
 
