@@ -1,35 +1,32 @@
-"""Maven descriptors (POM files) as rows: F13-F16, J6-J8, Q7.
-
-One permissive ``from_xml`` parse per POM (JVM, no Python) yields modules,
-dependencies and plugins of every section the reference's ``.//dependency``
-and ``.//plugin`` searches reach.  A malformed POM gives NULL sections, never
-a failed job.  Namespaces: the default Maven namespace and none are read
-alike (``has_namespace`` tells them apart; the reference needs the default
-namespace to be declared).
+"""Maven descriptors (POM files) as rows: F13-F16, J6-J8.
+
+A permissive ``from_xml`` parse per POM (JVM, no Python) says whether it is well formed and gives its modules.
+Dependencies and plugins are found wherever they stand, like the reference's ``.//dependency`` and ``.//plugin``:
+one pass over the tags (in Arrow batches; a fold with Spark's ``aggregate`` copies its state at every step, which
+is quadratic in a long BOM) carries the path and the texts of the open elements, so an element's values, place and
+document position come from the same scan.  A malformed POM gives no rows, never a failed job.  Namespaces: the default Maven namespace and none are read alike
+(``has_namespace`` tells them apart; the reference needs the default namespace to be declared).
 """
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import py_strip
+from runlens.session import ship_package
 
-_DEP = "struct<groupId:string, artifactId:string, version:string, scope:string>"
-_DEPS = f"struct<dependency: array<{_DEP}>>"
-_PLUGIN = f"struct<groupId:string, artifactId:string, version:string, dependencies:{_DEPS}>"
-_PLUGINS = f"struct<plugin: array<{_PLUGIN}>>"
-_BUILD = f"struct<plugins:{_PLUGINS}, pluginManagement: struct<plugins:{_PLUGINS}>>"
-_SECTIONS = (f"dependencies:{_DEPS}, dependencyManagement: struct<dependencies:{_DEPS}>, build:{_BUILD}, "
-             f"reporting: struct<plugins:{_PLUGINS}>")
-POM_SCHEMA = ("struct<modules: struct<module: array<string>>, " + _SECTIONS +
-              ", profiles: struct<profile: array<struct<id:string, " + _SECTIONS + ">>>, _corrupt_record: string>")
+POM_SCHEMA = "struct<modules: struct<module: array<string>>, _corrupt_record: string>"
 
-# Elements that tell where a dependency or plugin stands; contents of a configuration are no descriptor parts.
-_OUTLINE = ("dependencies", "dependency", "dependencyManagement", "build", "plugins", "plugin", "pluginManagement", "reporting",
-            "profiles", "profile", "configuration")
-_TAG_RE = r"</?(?:[\w.-]+:)?(?:" + "|".join(_OUTLINE) + r")(?:\s[^>]*)?/?>"
-_NO_TAGS_RE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+#: Parts without elements (CDATA is text), and tags with the text behind them.
+_EVENT = re.compile(r"""<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>(?P<more>[^<]*)|<\?.*?\?>|<![^>]*>
+    |<(?P<closes>/?)(?:[\w.-]+:)?(?P<name>[\w.-]+)(?:\s(?:[^>"'/]|"[^"]*"|'[^']*'|/(?!>))*+)?(?P<empty>/?)>(?P<text>[^<]*)""", re.S | re.X)
+_ROWS = 4096        # elements in an Arrow batch
 
 
 def parse_pom(pom) -> Column:
@@ -44,92 +41,102 @@ def _txt(raw: Column) -> Column:
     return F.when(raw != "", py_strip(raw))
 
 
-def _outline(pom: Column, element: str) -> Column:
-    """Path of the parent of every ``element``, in document order: the outline tags folded over a path."""
-    tags = F.regexp_extract_all(F.regexp_replace(pom, _NO_TAGS_RE, ""), F.lit(_TAG_RE), F.lit(0))
-
-    def step(state: Column, tag: Column) -> Column:
-        name = F.regexp_extract(tag, r"^</?(?:[\w.-]+:)?(\w+)", 1)
-        closes = tag.startswith("</")
-        path = (F.when(closes, F.regexp_replace(state["path"], "/[^/]*$", "")).when(tag.endswith("/>"), state["path"])
-                .otherwise(F.concat(state["path"], F.lit("/"), name)))
-        found = F.when(~closes & (name == element), F.concat(state["found"], F.array(state["path"]))).otherwise(state["found"])
-        return F.struct(path.alias("path"), found.alias("found"))
+def elements(pom: str, element: str, fields: tuple[str, ...]) -> list[tuple[str, dict[str, str]]]:
+    """(path of the parent below the root, first text of each child among ``fields``) of every ``element`` in document order.
 
-    start = F.struct(F.lit("").alias("path"), F.array().cast("array<string>").alias("found"))
-    return F.aggregate(tags, start, step, lambda s: s["found"])
+    One pass over the tags of a well-formed descriptor: the open tags are the path, the open elements a stack, so an
+    element inside another (a plugin's configuration may list plugins) keeps its own texts.
+    """
+    path: list[str] = []
+    inside: list[tuple[int, dict[str, str]]] = []       # depth of the children, texts
+    found, told = [], None
+    for m in _EVENT.finditer(pom):
+        name = m["name"]
+        if name is None:
+            if m["cdata"] is None:
+                told = None                             # text behind a comment is no text of the element
+            elif told:
+                told[0][told[1]] += m["cdata"] + html.unescape(m["more"])
+            continue
+        told = None
+        if m["closes"]:
+            if path:
+                path.pop()
+            if inside and inside[-1][0] > len(path):
+                inside.pop()
+            continue
+        if inside and inside[-1][0] == len(path) and name in fields and name not in inside[-1][1]:
+            told = (inside[-1][1], name)
+            told[0][name] = "" if m["empty"] else html.unescape(m["text"])
+        if name == element:
+            found.append(("/" + "/".join(path[1:]), {}))
+            if not m["empty"]:
+                inside.append((len(path) + 1, found[-1][1]))
+        if not m["empty"]:
+            path.append(name)
+    return found
 
 
 def with_parsed(descriptors: DataFrame, pom_col: str = "pom") -> DataFrame:
-    """Parse once per row; keeps the other columns, adds ``_p``, the outlines and flags."""
+    """Parse once per row; keeps the other columns, adds ``_p``, ``_pom`` (the text) and flags."""
     from runlens.operators._plan import evaluate_once
     pom = F.col(pom_col)
-    d = descriptors.withColumns({
-        "_p": parse_pom(pom_col), "_deps": _outline(pom, "dependency"), "_plugins": _outline(pom, "plugin"),
-        "has_namespace": pom.rlike("<project[^>]*\\sxmlns\\s*=")})
+    d = descriptors.withColumns({"_p": parse_pom(pom_col), "_pom": pom, "has_namespace": pom.rlike("<project[^>]*\\sxmlns\\s*=")})
     d = d.withColumn("parsed", F.col("_p._corrupt_record").isNull() & pom.isNotNull())
     return evaluate_once(d.drop(pom_col))
 
 
 _PROFILE = "/profiles/profile"
-# Where a dependency or plugin may stand (path of its parent) and how that place is called.
+# How the usual places of a dependency or plugin (path of its parent) are called; any other place is "other".
 DEPENDENCY_PLACES = {"/dependencies": "direct", "/dependencyManagement/dependencies": "managed",
                      "/build/plugins/plugin/dependencies": "plugin",
                      "/build/pluginManagement/plugins/plugin/dependencies": "plugin",
                      "/reporting/plugins/plugin/dependencies": "plugin"}
 PLUGIN_PLACES = {"/build/plugins": "build", "/build/pluginManagement/plugins": "managed", "/reporting/plugins": "reporting"}
-
-
-def _elements(node: Column, path: str) -> Column:
-    """The parsed elements at a path below ``node`` (one array, in document order)."""
-    steps = [s for s in path.split("/") if s]
-    for i, step in enumerate(steps):
-        if step == "plugin":
-            rest = "/" + "/".join(steps[i + 1:])
-            return F.flatten(F.transform(node["plugin"], lambda p: F.coalesce(_elements(p, rest), F.array())))
-        node = node[step]
-    return node["plugin" if steps[-1] == "plugins" else "dependency"]
-
-
-def _in_order(parsed: DataFrame, keys: list[str], outline: str, places: dict[str, str], pos: str, columns: dict[str, str]) -> DataFrame:
-    """One row per element of the outline: its document position, text fields and place."""
-    from runlens.operators._plan import evaluate_once
-    p = F.col("_p")
-    at, called = {}, {}
-    for path, where in places.items():
-        at[path], called[path] = _elements(p, path), where
-        at[_PROFILE + path] = F.flatten(F.transform(p["profiles"]["profile"], _section_of(path)))
-        called[_PROFILE + path] = _IN_PROFILE.get(where, f"profile_{where}")
-    found = F.col(outline)
-    place = F.lit(None).cast("string")
-    element = F.lit(None)
-    rows = parsed.select(*keys, "_p", outline, F.posexplode(found).alias(pos, "_path")).withColumn(
-        "_nth", F.size(F.filter(F.slice(F.col(outline), 1, F.col(pos) + 1), lambda x: x == F.col("_path"))))
-    for path in at:
-        here = F.col("_path") == path
-        place = F.when(here, F.lit(called[path])).otherwise(place)
-        element = F.when(here, F.try_element_at(at[path], F.col("_nth"))).otherwise(element)
-    picked = evaluate_once(rows.select(*keys, pos, element.alias("_e"), place.alias("where_found"))).where("_e is not null")
-    return picked.select(*keys, pos, *[_txt(F.col("_e")[n]).alias(c) for c, n in columns.items()], "where_found")
-
-
 _IN_PROFILE = {"direct": "profile", "build": "profile"}
 
 
-def _section_of(path: str):
-    return lambda q: F.coalesce(_elements(q, path), F.array())
+def _rows(parsed: DataFrame, keys: list[str], element: str, places: dict[str, str], pos: str, columns: dict[str, str]) -> DataFrame:
+    """One row per element: its document position, text fields and place."""
+    called = {**places, **{_PROFILE + path: _IN_PROFILE.get(where, f"profile_{where}") for path, where in places.items()}}
+    names = F.create_map(*[F.lit(x) for pair in called.items() for x in pair])
+    fields = tuple(columns.values())
+    ship_package(parsed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for i, pom in enumerate(batch.column("_pom").to_pylist()):
+                held += [(i, n, path, *map(texts.get, fields)) for n, (path, texts) in enumerate(elements(pom, element, fields))]
+                if len(held) >= _ROWS:
+                    yield rows(batch, held)
+                    held = []
+            yield rows(batch, held)
+
+    def rows(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        which, place, *texts = [list(c) for c in zip(*held)] or [[] for _ in range(3 + len(fields))]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(f"_k{k}").take(pa.array(which, type=pa.int64())) for k in range(len(keys))), pa.array(place, type=pa.int32()),
+             *(pa.array(c, type=pa.string()) for c in texts)], names=[*(f"_k{k}" for k in range(len(keys))), "_pos", "_path", *fields])
+
+    schema = ", ".join([*(f"_k{k} {parsed.schema[c].dataType.simpleString()}" for k, c in enumerate(keys)), "_pos int, _path string",
+                        *(f"{f} string" for f in fields)])
+    found = parsed.where("parsed").select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)], "_pom").mapInArrow(run, schema)
+    return found.select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(keys)], F.col("_pos").alias(pos),
+                        *[_txt(F.col(n)).alias(c) for c, n in columns.items()],
+                        F.coalesce(F.element_at(names, F.col("_path")), F.lit("other")).alias("where_found"))
 
 
 def dependencies(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """one row per ``dependency`` element in document order (``dep_pos``): direct, managed, of plugins, in profiles."""
-    return _in_order(parsed, keys, "_deps", DEPENDENCY_PLACES, "dep_pos",
-                     {"group_id": "groupId", "artifact_id": "artifactId", "version": "version", "scope": "scope"})
+    """one row per ``dependency`` element in document order (``dep_pos``): direct, managed, of plugins, in profiles, other."""
+    return _rows(parsed, keys, "dependency", DEPENDENCY_PLACES, "dep_pos",
+                 {"group_id": "groupId", "artifact_id": "artifactId", "version": "version", "scope": "scope"})
 
 
 def plugins(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """F16: one row per ``plugin`` element in document order (``plugin_pos``): build, pluginManagement, reporting, profiles."""
-    return _in_order(parsed, keys, "_plugins", PLUGIN_PLACES, "plugin_pos",
-                     {"group_id": "groupId", "artifact_id": "artifactId", "version": "version"})
+    """F16: one row per ``plugin`` element in document order (``plugin_pos``): build, pluginManagement, reporting, profiles, other."""
+    return _rows(parsed, keys, "plugin", PLUGIN_PLACES, "plugin_pos",
+                 {"group_id": "groupId", "artifact_id": "artifactId", "version": "version"})
 
 
 def modules(parsed: DataFrame, keys: list[str]) -> DataFrame:

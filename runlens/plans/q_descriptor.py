@@ -6,7 +6,8 @@ modules ``mod{i}`` (padded with spaces); direct dependency ``org.Brand{b}:t``
 (version s, left out when k % 4 = 0; scope test when s is even, else compile)
 except when k % 10 = 5; a ``junit`` dependency; a managed copy (version s+1)
 when k % 5 = 0; a surefire plugin (no groupId when k % 6 = 0) with a
-plugin-level dependency ``t-engine``.  The managed section stands before the direct one unless k % 3 = 0.
+plugin-level dependency ``t-engine`` and, when k % 10 = 7, another below an execution.  When k % 8 = 3 a second
+section of dependencies follows the build.  The managed section stands before the direct one unless k % 3 = 0.
 A profile when k % 9 = 4 (in front of all sections when k is even, else behind them) with the coordinate
 (version 9s), a managed jar plugin and a reporting plugin.  Cut short (malformed) when k % 11 = 0.
 Module POM files exist for ``mod{i}`` when (k + i) % 2 = 0.
@@ -48,7 +49,14 @@ def b5_descriptors(spark, sf_dir):
         F.when(k % 6 != 0, F.lit("<groupId>org.apache.maven.plugins</groupId>")).otherwise(F.lit("")),
         F.lit("<artifactId>maven-surefire-plugin</artifactId><version>3."), (s % 5).cast("string"),
         F.lit("</version><dependencies><dependency><groupId>org."), b, F.lit("</groupId><artifactId>"), t,
-        F.lit("-engine</artifactId></dependency></dependencies></plugin></plugins></build>"))
+        F.lit("-engine</artifactId></dependency></dependencies>"),
+        F.when(k % 10 == 7, F.lit("<executions><execution><configuration><dependency><groupId>in</groupId><version>1</version></dependency>"
+                                  "</configuration></execution></executions>")).otherwise(F.lit("")),
+        F.lit("</plugin></plugins></build>"))
+    late = F.when(k % 8 == 3, F.concat(
+        F.lit("<dependencies><dependency><exclusions><exclusion><groupId>no</groupId></exclusion></exclusions><groupId>late</groupId>"
+              "<artifactId><![CDATA[a&]]>amp;b</artifactId><version>"), (k % 4).cast("string"),
+        F.lit("</version></dependency></dependencies>"))).otherwise(F.lit(""))
     profile = F.when(k % 9 == 4, F.concat(
         F.lit("<profiles><!-- <dependency> --><profile><id>x</id><dependencies><dependency>"), coord, F.lit("<version>9"), ss,
         F.lit("</version></dependency></dependencies><build><pluginManagement><plugins><plugin><groupId>org.apache.maven.plugins</groupId>"
@@ -61,7 +69,7 @@ def b5_descriptors(spark, sf_dir):
         F.lit("</artifactId><version>1.0</version>\n  "), modules, F.when(k % 2 == 0, profile).otherwise(F.lit("")),
         F.when(k % 3 != 0, managed).otherwise(F.lit("")),
         F.lit("<dependencies>"), direct, junit, F.lit("</dependencies>\n  "), F.when(k % 3 == 0, managed).otherwise(F.lit("")),
-        plugin, F.when(k % 2 == 1, profile).otherwise(F.lit("")),
+        plugin, late, F.when(k % 2 == 1, profile).otherwise(F.lit("")),
         F.when(k % 11 != 0, F.lit("\n</project>\n")).otherwise(F.lit("\n")))
     return p.select(k.alias("part_id"), F.concat(F.lit("p"), ks, F.lit("/pom.xml")).alias("path"), pom.alias("pom"))
 
@@ -95,30 +103,35 @@ _PART_SQL = """
 
 
 @register("pom_dependencies", oracle=f"""
-WITH p AS ({_PART_SQL})
-SELECT k AS part_id, 'org.' || b AS group_id, t AS artifact_id, CASE WHEN k % 4 <> 0 THEN CAST(s AS VARCHAR) END AS version,
+WITH p AS ({_PART_SQL}),
+e AS (
+SELECT k, 3 AS nth, 'org.' || b AS group_id, t AS artifact_id, CASE WHEN k % 4 <> 0 THEN CAST(s AS VARCHAR) END AS version,
        CASE WHEN s % 2 = 0 THEN 'test' ELSE 'compile' END AS scope, 'direct' AS where_found FROM p WHERE parsed AND k % 10 <> 5
-UNION ALL SELECT k, 'junit', 'junit', '4.' || CAST(k % 13 AS VARCHAR), NULL, 'direct' FROM p WHERE parsed
-UNION ALL SELECT k, 'org.' || b, t, CAST(s + 1 AS VARCHAR), NULL, 'managed' FROM p WHERE parsed AND k % 5 = 0
-UNION ALL SELECT k, 'org.' || b, t || '-engine', NULL, NULL, 'plugin' FROM p WHERE parsed
-UNION ALL SELECT k, 'org.' || b, t, '9' || CAST(s AS VARCHAR), NULL, 'profile' FROM p WHERE parsed AND k % 9 = 4""")
+UNION ALL SELECT k, 4, 'junit', 'junit', '4.' || CAST(k % 13 AS VARCHAR), NULL, 'direct' FROM p WHERE parsed
+UNION ALL SELECT k, CASE WHEN k % 3 = 0 THEN 5 ELSE 2 END, 'org.' || b, t, CAST(s + 1 AS VARCHAR), NULL, 'managed' FROM p WHERE parsed AND k % 5 = 0
+UNION ALL SELECT k, 6, 'org.' || b, t || '-engine', NULL, NULL, 'plugin' FROM p WHERE parsed
+UNION ALL SELECT k, 7, 'in', NULL, '1', NULL, 'other' FROM p WHERE parsed AND k % 10 = 7
+UNION ALL SELECT k, 8, 'late', 'a&amp;b', CAST(k % 4 AS VARCHAR), NULL, 'direct' FROM p WHERE parsed AND k % 8 = 3
+UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 1 ELSE 9 END, 'org.' || b, t, '9' || CAST(s AS VARCHAR), NULL, 'profile' FROM p WHERE parsed AND k % 9 = 4)
+SELECT k AS part_id, CAST(row_number() OVER (PARTITION BY k ORDER BY nth) - 1 AS INTEGER) AS dep_pos,
+       group_id, artifact_id, version, scope, where_found FROM e""")
 def q_pom_dependencies(spark, sf_dir):
     """every dependency element of every descriptor, with the section it sits in."""
     parsed = D.with_parsed(b5_descriptors(spark, sf_dir))
-    return D.dependencies(parsed, ["part_id"]).drop("dep_pos")
+    return D.dependencies(parsed, ["part_id"])
 
 
 @register("pom_plugins", oracle=f"""
 WITH p AS ({_PART_SQL})
-SELECT k AS part_id, CASE WHEN k % 6 <> 0 THEN 'org.apache.maven.plugins' END AS group_id,
-       'maven-surefire-plugin' AS artifact_id, '3.' || CAST(s % 5 AS VARCHAR) AS version, 'build' AS where_found
+SELECT k AS part_id, CAST(CASE WHEN k % 9 = 4 AND k % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) AS plugin_pos,
+       CASE WHEN k % 6 <> 0 THEN 'org.apache.maven.plugins' END AS group_id, 'maven-surefire-plugin' AS artifact_id, '3.' || CAST(s % 5 AS VARCHAR) AS version, 'build' AS where_found
 FROM p WHERE parsed
-UNION ALL SELECT k, 'org.apache.maven.plugins', 'maven-jar-plugin', '2.' || CAST(s % 4 AS VARCHAR), 'profile_managed' FROM p WHERE parsed AND k % 9 = 4
-UNION ALL SELECT k, 'org.r', 'site', NULL, 'profile_reporting' FROM p WHERE parsed AND k % 9 = 4""")
+UNION ALL SELECT k, CAST(k % 2 AS INTEGER), 'org.apache.maven.plugins', 'maven-jar-plugin', '2.' || CAST(s % 4 AS VARCHAR), 'profile_managed' FROM p WHERE parsed AND k % 9 = 4
+UNION ALL SELECT k, CAST(k % 2 + 1 AS INTEGER), 'org.r', 'site', NULL, 'profile_reporting' FROM p WHERE parsed AND k % 9 = 4""")
 def q_pom_plugins(spark, sf_dir):
     """F16: plugin elements (a plugin without groupId keeps a NULL group and never matches a lookup)."""
     parsed = D.with_parsed(b5_descriptors(spark, sf_dir))
-    return D.plugins(parsed, ["part_id"]).drop("plugin_pos")
+    return D.plugins(parsed, ["part_id"])
 
 
 @register("pom_modules", oracle=f"""

@@ -15,7 +15,7 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", ["funnel", "build_verdict", "agent_steps", "status_trace", "maven_status",
-                                  "pom_dependencies", "policy_report", "changed_files", "filtered_patch"])
+                                  "pom_modules", "multi_module", "changed_files", "filtered_patch"])
 def test_no_python_in_builtin_queries(spark, name):
     p = plan(E.queries()[name](spark, SF_SMALL))
     assert not any(n in p for n in PY_NODES), p
@@ -26,6 +26,13 @@ def test_agent_log_parsing_is_map_only(spark):
     assert "Exchange" not in p, p
 
 
+def test_descriptor_elements_are_map_only(spark):
+    p = plan(E.queries()["pom_dependencies"](spark, SF_SMALL))
+    assert "Exchange" not in p and p.count("MapInArrow") == 1, p
+    p = plan(E.queries()["multi_module"](spark, SF_SMALL))
+    assert "regexp_extract_all" not in p and "aggregate(" not in p, p
+
+
 def test_filters_reach_the_scan(spark):
     p = plan(E.queries()["first_n"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in p

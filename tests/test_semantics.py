@@ -255,6 +255,25 @@ def test_descriptor_dependencies_aligned(spark):
     assert [(r.group_id, r.current_version, r.where_found, r.needs_change) for r in rep] == [("g", None, "direct", True)]
 
 
+def test_descriptor_elements_anywhere(spark):
+    """Repeated sections, odd places, nested plugins, children of children, comments and CDATA."""
+    assert [(p, t) for p, t in D.elements("<p><a><x><v>1</v><x><v>2</v></x><v>3</v></x></a></p>", "x", ("v",))] == [("/a", {"v": "1"}), ("/a/x", {"v": "2"})]
+    pom = """<project xmlns="http://maven.apache.org/POM/4.0.0" note="a>b"><!-- <dependency><groupId>no</groupId></dependency> -->
+      <dependencies><dependency><exclusions><exclusion><groupId>no</groupId></exclusion></exclusions><groupId> A </groupId></dependency></dependencies>
+      <dependencies><dependency><groupId>B</groupId><groupId>C</groupId><version>x<!-- y -->z</version></dependency><dependency/></dependencies>
+      <build><plugins><plugin><executions><execution><dependency><groupId><![CDATA[E<]]>&amp;F</groupId></dependency></execution></executions>
+        <configuration><plugins><plugin><artifactId>inner</artifactId></plugin></plugins></configuration><artifactId>outer</artifactId>
+      </plugin></plugins></build></project>"""
+    many = "<project><dependencies>" + "".join(f"<dependency><version>{i}</version></dependency>" for i in range(9000)) + "</dependencies></project>"
+    parsed = D.with_parsed(spark.createDataFrame([(1, pom), (2, "<project><dependencies><dependency></project>"), (3, None), (4, many)], "id long, pom string"))
+    deps = D.dependencies(parsed, ["id"])
+    assert [tuple(r)[1:4] + (r.version, r.where_found) for r in deps.where("id < 4").orderBy("dep_pos").collect()] == [
+        (0, "A", None, None, "direct"), (1, "B", None, "x", "direct"), (2, None, None, None, "direct"), (3, "E<&F", None, None, "other")]
+    assert [r.version for r in deps.where("id = 4").orderBy("dep_pos").collect()] == [str(i) for i in range(9000)]
+    assert [(r.plugin_pos, r.artifact_id, r.where_found) for r in D.plugins(parsed, ["id"]).orderBy("plugin_pos").collect()] == [
+        (0, "outer", "build"), (1, "inner", "other")]
+
+
 def test_line_edit_functions(spark):
     s = "l1\nl2\nl3"
     assert one(spark, T.line_view(F.col("v"), 2, -1), s) == "l2\nl3"
