@@ -81,7 +81,8 @@ def _path(section: Column) -> Column:
             F.concat(F.lit('"'), F.nullif(F.regexp_extract(first, _TWICE, 2), F.lit("")), F.lit('"')))], F.lit(""))
         return let(found, _unquoted)
 
-    return let(F.substring_index(section, "\n@@", 1), named)
+    # A carriage return in front of a line end belongs to the line end (git quotes one that is part of a name).
+    return let(F.regexp_replace(F.substring_index(section, "\n@@", 1), "\r(\n|\\z)", "$1"), named)
 
 
 def changed_files(patches: DataFrame, diff_col: str = "diff") -> DataFrame:

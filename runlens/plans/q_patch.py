@@ -4,7 +4,7 @@ Bridge B6: one patch per lineitem row (k, ln, pk, sk) with three file sections:
 ``src/main/java/A{pk}.java``; by pk % 4: ``target/classes/A{pk}.class``,
 ``lib/S{sk}.JAR``, ``module/target/gen/B{sk}.txt``, ``pom{pk}.xml``; by sk % 3:
 ``docs/.hidden{sk}.tmp``, ``notes/readme{sk}.md``, ``build/out{sk}.war.bak``.
-Empty patch when (k + ln) % 9 = 0.
+Empty patch when (k + ln) % 9 = 0, line ends CRLF when (k + ln) % 9 = 4.
 """
 
 from __future__ import annotations
@@ -48,7 +48,8 @@ def b6_patches(spark, sf_dir):
     li = B.table(spark, sf_dir, "lineitem")
     k, ln, pk, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     body = F.concat(*[_section(f, k, ln) for f in _files(pk, sk)])
-    diff = F.when((k + ln) % 9 == 0, F.lit("")).otherwise(body)
+    diff = (F.when((k + ln) % 9 == 0, F.lit("")).when((k + ln) % 9 == 4, F.replace(body, F.lit("\n"), F.lit("\r\n")))
+            .otherwise(body))
     return li.select(k.alias("run_id"), ln.alias("line_no"), pk.alias("part_id"), diff.alias("diff"))
 
 
@@ -75,7 +76,9 @@ def _sec_sql(f):
 
 @register("filtered_patch", oracle=f"""
 SELECT l_orderkey AS run_id, l_linenumber AS line_no, l_partkey AS part_id,
-       CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN '' ELSE
+       CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN '' WHEN (l_orderkey + l_linenumber) % 9 = 4 THEN
+         replace({_sec_sql(_F1)} || CASE WHEN pk % 4 = 3 THEN {_sec_sql(_F2)} ELSE '' END
+         || CASE WHEN sk % 3 <> 0 THEN {_sec_sql(_F3)} ELSE '' END, chr(10), chr(13) || chr(10)) ELSE
          {_sec_sql(_F1)} || CASE WHEN pk % 4 = 3 THEN {_sec_sql(_F2)} ELSE '' END
          || CASE WHEN sk % 3 <> 0 THEN {_sec_sql(_F3)} ELSE '' END END AS kept_patch
 FROM (SELECT *, l_orderkey AS k, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk FROM lineitem)""")

@@ -20,7 +20,7 @@ from pyspark.sql.types import (BooleanType, DoubleType, LongType, StringType, St
 from runlens.functions import text as T
 from runlens.operators.runs import summary_projection
 from runlens.session import materialize, ship_package
-from runlens.sources.tree import children, list_tree, open_root, read_tree, read_tree_lines
+from runlens.sources.tree import child_folders, list_tree, open_root, read_tree, read_tree_lines
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's for right results.
@@ -72,8 +72,10 @@ def _manifest_rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     it.get("license"),
                     None if feats is None else {k: _as_long(feats.get(k)) for k in _FEATURES.names},
                     None if tc is None else {k: _as_long(tc.get(k)) for k in _TEST_COUNT.names},
-                    None if cd is None else pd.to_datetime(cd, utc=True).tz_localize(None)))
-        yield pd.DataFrame(rows, columns=cols)
+                    None if cd is None else pd.to_datetime(cd, utc=True)))
+        out = pd.DataFrame(rows, columns=cols)
+        # With its zone: Spark takes a time without one for a time of the session's zone.
+        yield out.assign(commit_date=pd.to_datetime(out["commit_date"], utc=True))
 
 
 def read_manifests(spark: SparkSession, path: str, glob: str = "*.yaml") -> DataFrame:
@@ -82,15 +84,10 @@ def read_manifests(spark: SparkSession, path: str, glob: str = "*.yaml") -> Data
     Each file is one ``binaryFile`` row; ``mapInPandas`` parses a batch of
     files per Arrow batch.  Undeclared fields are dropped by the fixed schema.
     """
-    files = read_tree(list_tree(spark, path).where(F.regexp_extract("rel", "[^/]*$", 0).rlike(_glob_re(glob))), path)
+    files = read_tree(list_tree(spark, path, f"**/{glob}"), path)
     return files.select("path", "content").mapInPandas(_manifest_rows, MANIFEST_SCHEMA)
 
 
-def _glob_re(glob: str) -> str:
-    import fnmatch
-    return fnmatch.translate(glob).replace("(?s:", "(?:").replace("\\Z", "$").replace("\\z", "$")
-
-
 def with_tier(manifest: DataFrame) -> DataFrame:
     """Tier name from the manifest file (``<tier>_dataset.yaml``) or its ``tier=<name>`` folder."""
     by_name = F.regexp_extract("source_file", "([a-z]+)_dataset\\.yaml$", 1)
@@ -167,13 +164,12 @@ ARTIFACT_COLUMNS = ("result_yaml", "build_log", "stdout_log", "diff_patch")
 def scan_run_artifacts(spark: SparkSession, job_results_dir: str | list[str], compat: bool = False) -> DataFrame:
     """One row per repository folder of one or several ``job_results`` folders; see ``run_artifacts``.
 
-    The folders are dealt out to tasks; a task reads the (at most four) named files of a folder, so the
-    bytes reach their row without a shuffle.  A root that does not exist is an error.
+    Tasks list the folders, which are then dealt out; a task reads the (at most four) named files of a folder,
+    so the bytes reach their row without a shuffle.  A root that does not exist is an error.
     """
     ship_package(spark)
     roots = [job_results_dir] if isinstance(job_results_dir, str) else list(job_results_dir)
-    dirs = [(r.rstrip("/"), name) for r in roots for name, folder, _ in children(r) if folder]
-    todo = spark.createDataFrame(dirs, "root string, repo_dir string")
+    todo = child_folders(spark, roots).withColumnRenamed("name", "repo_dir")
 
     def run(batches):
         import pyarrow as pa
@@ -187,14 +183,12 @@ def scan_run_artifacts(spark: SparkSession, job_results_dir: str | list[str], co
                             found.append(f.readall())
                     except FileNotFoundError:
                         found.append(None)
-                if any(x is not None for x in found):
-                    experiment = root.rstrip("/").rpartition("/")[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([experiment], type=pa.string()), pa.array([repo], type=pa.string()),
-                         *(pa.array([x], type=pa.binary()) for x in found)], names=["experiment", "repo_dir", *ARTIFACT_COLUMNS])
-
-    slots = max(spark.sparkContext.defaultParallelism, 1)
-    wide = todo.repartition(slots).mapInArrow(
+                experiment = root.rstrip("/").rpartition("/")[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([experiment], type=pa.string()), pa.array([repo], type=pa.string()),
+                     *(pa.array([x], type=pa.binary()) for x in found)], names=["experiment", "repo_dir", *ARTIFACT_COLUMNS])
+
+    wide = todo.mapInArrow(
         run, "experiment string, repo_dir string, " + ", ".join(f"{c} binary" for c in ARTIFACT_COLUMNS))
     return run_artifacts(wide, compat)
 
@@ -204,8 +198,10 @@ def run_artifacts(wide: DataFrame, compat: bool = False) -> DataFrame:
 
     Key from the folder name (F3).  ``result.yaml`` is parsed in Arrow batches; one that cannot be read,
     or a log that is not UTF-8, fails its own row: ``problem`` says why and ``migration_result`` is NULL.
-    ``test_results`` are read from inside ``build_result``, where the writer puts them; ``compat=True``
-    reproduces the reference's reload, which looks at the top level and so always gets NULL counters.
+    ``test_results`` are read from inside ``build_result``, where the writer puts them.  Every artefact counts
+    by itself: ``build_result``, ``build_log``, ``stdout`` and ``diff`` are there when their own file is there and
+    can be read, and ``migration_result`` needs a build result only.  ``compat=True`` reproduces the reference's
+    reload, which wants all four files and looks for counters at the top level, so that they are always NULL.
     """
     from runlens.operators._plan import evaluate_once
     ship_package(wide.sparkSession)
@@ -217,8 +213,12 @@ def run_artifacts(wide: DataFrame, compat: bool = False) -> DataFrame:
                        zip(ARTIFACTS[1:], texts.values())])
     problem = F.coalesce(F.col("_r.problem"), bad)
     complete = F.col("result_yaml").isNotNull()
-    for c in ARTIFACT_COLUMNS[1:]:
+    for c in ARTIFACT_COLUMNS[1:] if compat else ():
         complete = complete & F.col(c).isNotNull()
+    build = F.struct(F.col("_r.build_result.build_success").alias("build_success"), F.col("_r.build_result.test_success").alias("test_success"),
+                     F.col("_r.build_result.test_results").alias("test_results"), F.col("_r.build_result.build_time").alias("build_time"))
+    parts = {"build_result": F.when(F.col("_r.problem").isNull() & F.col("_r.build_result").isNotNull(), build),
+             **{n: F.when(F.is_valid_utf8(texts[c]), texts[c]) for n, c in zip(("build_log", "stdout", "diff"), ARTIFACT_COLUMNS[1:])}}
     tr = F.lit(None).cast(_BUILD["test_results"].dataType) if compat else F.col("_r.build_result.test_results")
     mr = F.when(complete & problem.isNull() & F.col("_r.build_result").isNotNull(), F.struct(
         F.struct(F.col("_r.build_result.build_success").alias("build_success"),
@@ -231,7 +231,7 @@ def run_artifacts(wide: DataFrame, compat: bool = False) -> DataFrame:
         "experiment", "repo_dir", T.recover_key("repo_dir").alias("repo"),
         F.col("result_yaml").isNotNull().alias("has_result_file"), F.col("_r.empty").alias("empty_result"),
         problem.alias("problem"), F.col("_r.run_success").alias("run_success"), F.col("_r.error").alias("error"),
-        mr.alias("migration_result"))
+        mr.alias("migration_result"), *[c.alias(n) for n, c in parts.items()])
 
 
 # Texts that the reference's CSV reader takes for a missing number.
@@ -263,8 +263,7 @@ def read_stored_results(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_coverage_reports(spark: SparkSession, root: str) -> DataFrame:
     """Every ``jacoco.xml`` under ``**/target/site/jacoco*/`` as (path, xml: binary)."""
-    from runlens.operators.coverage import REPORT_PATH_RE
-    files = list_tree(spark, root).where(F.concat(F.lit("/"), "rel").rlike(REPORT_PATH_RE))
+    files = list_tree(spark, root, "**/target/site/jacoco*/jacoco.xml")
     return read_tree(files, root).select("path", F.col("content").alias("xml"))
 
 
@@ -284,7 +283,7 @@ def scan_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFra
 
 def _log_lines(spark: SparkSession, root: str, name: str) -> DataFrame:
     """(experiment, repo_dir, pos, line): the two folders above ``job_results`` logs, or above the file, name the run."""
-    files = list_tree(spark, root).where(F.regexp_extract("rel", "[^/]*$", 0) == name)
+    files = list_tree(spark, root, f"**/{name}")
     lines = read_tree_lines(files, root)
     folders = F.regexp_replace(F.regexp_replace("rel", "/?[^/]*$", ""), "(^|/)job_results/", "$1")
     return lines.select(F.regexp_replace(folders, "/?[^/]*$", "").alias("experiment"),

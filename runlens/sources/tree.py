@@ -1,25 +1,28 @@
 """Folder trees as DataFrames: every file counts, whatever its name or size.
 
 Spark's file index hides names that start with ``_`` or ``.`` and its readers skip empty files, but
-``__init__.py`` and an empty ``result.yaml`` are data here.  The driver lists only the children of the
-root; tasks list the rest, and a second step deals the files out evenly before they are opened, so one
-folder with most of the files is no hot task.  Paths may be local or any URI that ``pyarrow.fs`` opens
+``__init__.py`` and an empty ``result.yaml`` are data here.  Tasks list the folders in rounds, and a second
+step deals the files out evenly before they are opened, so one folder with most of the files is no hot task.  Paths may be local or any URI that ``pyarrow.fs`` opens
 (``file:``, ``hdfs:``, ``s3:``, ``gs:``, ``abfss:``).
 """
 
 from __future__ import annotations
 
+import fnmatch
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.session import ship_package
+from runlens.session import materialize, ship_package
 
 BATCH_BYTES = 32 << 20
 SPLIT_BYTES = 64 << 20
+TASK_ENTRIES = 10_000       # entries of folders that a task lists before it leaves the rest to the next round
+LISTING_ROWS = 4096         # rows of a listing in an Arrow batch
 
 
 def open_root(root: str):
@@ -33,37 +36,119 @@ def open_root(root: str):
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
-def children(root: str) -> list[tuple[str, bool, int]]:
-    """(name, is a folder, size) of the direct children; a root that does not exist is an error."""
+def _exists(root: str) -> None:
     from pyarrow import fs
 
     system, base = open_root(root)
-    return [(i.base_name, i.type == fs.FileType.Directory, i.size or 0) for i in system.get_file_info(fs.FileSelector(base))]
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(root)
 
 
 def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """rel (path below the root) and size of every file under ``root``."""
+class PathPattern:
+    """A path pattern cut into its levels: ``*`` and ``?`` inside a name, ``**`` for any number of folders."""
+
+    def __init__(self, pattern: str):
+        self.parts = [p if p == "**" else re.compile(fnmatch.translate(p)) for p in pattern.split("/")]
+
+    def _behind(self, names: list[str]) -> set[int]:
+        """Parts that may come next behind these names."""
+        at = self._open({0})
+        for name in names:
+            at = self._open({i if self.parts[i] == "**" else i + 1 for i in at
+                             if i < len(self.parts) and (self.parts[i] == "**" or self.parts[i].match(name))})
+        return at
+
+    def _open(self, at: set[int]) -> set[int]:
+        for i in range(len(self.parts)):
+            if i in at and self.parts[i] == "**":
+                at.add(i + 1)
+        return at
+
+    def is_file(self, rel: str) -> bool:
+        return len(self.parts) in self._behind(rel.split("/"))
+
+    def may_hold(self, rel: str) -> bool:
+        """Can a file below this folder match?"""
+        return any(i < len(self.parts) for i in self._behind(rel.split("/")))
+
+
+def _listing(rows: list[tuple[str, int, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))],
+                                      names=["rel", "size", "todo"])
+
+
+def list_tree(spark: SparkSession, root: str, pattern: str = "**") -> DataFrame:
+    """rel (path below the root) and size of every file under ``root`` whose path matches.
+
+    A table of folders is worked off in rounds: a task opens its folders and goes on with what it finds in
+    them until it has seen ``TASK_ENTRIES`` entries; the folders that are left are dealt out in the next round.
+    Folders that cannot hold a match are never opened.  The driver sees no listing, and a root that does not
+    exist is an error.  Runs a job per round.
+    """
     ship_package(spark)
-    top = spark.createDataFrame(children(root), "name string, folder boolean, size long")
+    _exists(root)
+    wanted = PathPattern(pattern if pattern != "**" else "**/*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, base = open_root(root)
+        seen, out, queue = 0, [], []
+        for batch in batches:
+            queue += reversed(batch.column("rel").to_pylist())
+        while queue:
+            folder = queue.pop()
+            if seen >= TASK_ENTRIES:
+                out.append((folder, 0, True))
+            else:
+                for i in system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                    seen += 1
+                    rel = f"{folder}/{i.base_name}" if folder else i.base_name
+                    if i.type == fs.FileType.Directory:
+                        if wanted.may_hold(rel):
+                            queue.append(rel)
+                    elif wanted.is_file(rel):
+                        out.append((rel, i.size or 0, False))
+            if len(out) >= LISTING_ROWS:
+                yield _listing(out)
+                out = []
+        yield _listing(out)
+
+    frontier, found = spark.createDataFrame([("",)], "rel string"), None
+    while True:
+        listed = materialize(frontier.mapInArrow(run, "rel string, size long, todo boolean"), "listing")
+        files = listed.where("not todo").select("rel", "size")
+        found = files if found is None else found.union(files)
+        frontier = listed.where("todo").select("rel")
+        if frontier.isEmpty():
+            return found
+        frontier = _spread(frontier)
+
+
+def child_folders(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """root and name of the direct child folders of each root, listed in tasks and dealt out evenly."""
+    ship_package(spark)
+    for root in roots:
+        _exists(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for name, folder, size in zip(*(batch.column(c).to_pylist() for c in ("name", "folder", "size"))):
-                found = [(name, size)]
-                if folder:
-                    infos = system.get_file_info(fs.FileSelector(f"{base}/{name}", recursive=True))
-                    found = [(i.path[len(base):].lstrip("/"), i.size or 0) for i in infos if i.type == fs.FileType.File]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], type=pa.string()),
-                                                  pa.array([f[1] for f in found], type=pa.int64())], names=["rel", "size"])
-
-    return _spread(top).mapInArrow(run, "rel string, size long")
+            for root in batch.column("root").to_pylist():
+                system, base = open_root(root)
+                names = [i.base_name for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+                for a in range(0, len(names), LISTING_ROWS):
+                    some = names[a:a + LISTING_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([root] * len(some), type=pa.string()), pa.array(some, type=pa.string())],
+                                                     names=["root", "name"])
+
+    given = spark.createDataFrame([(r.rstrip("/"),) for r in roots], "root string")
+    return _spread(_spread(given).mapInArrow(run, "root string, name string"))
 
 
 def read_tree(files: DataFrame, root: str) -> DataFrame:

@@ -51,9 +51,12 @@ def test_run_artifact_scan(spark):
     assert r1.migration_result.build_result.test_results.tests_run == 4
     assert r1.migration_result.diff == "diff --git a/x b/x\n" and r1.migration_result.output == ""
     assert rows["own/repo2"].empty_result is True and rows["own/repo2"].migration_result is None
-    assert rows["own/repo3"].migration_result is None     # an artefact is missing
+    r3 = rows["own/repo3"]                                # no patch, no logs: the build result stays
+    assert r3.migration_result.build_result.build_success is True and r3.migration_result.diff is None and r3.stdout is None
+    assert r1.stdout == "agent said hi\n" and r1.build_result.build_time == 3.5 and r1.build_log == "[INFO] BUILD FAILURE\n"
     compat = {r.repo: r for r in S.scan_run_artifacts(spark, jr, compat=True).collect()}
     assert compat["own/repo1"].migration_result.build_result.test_results is None
+    assert compat["own/repo3"].migration_result is None   # the reference's reload wants all four
     # Build logs read as lines feed the line-form verdict.
     lines = S.read_build_log_lines(spark, jr).select("repo_dir", F.lit("compile").alias("kind"), "line")
     v = buildlog.attach_verdict(spark.createDataFrame([("own_repo1",)], "repo_dir string"),
@@ -200,7 +203,9 @@ def test_one_bad_result_fails_its_own_run(spark):
     _write(roots[0], "own_type/result.yaml", "run_success: 7\n")
     _write(roots[0], "own_nothing/other.txt", "x")
     rows = {(os.path.basename(r.experiment), r.repo_dir): r for r in S.scan_run_artifacts(spark, roots).collect()}
-    assert set(rows) == {("a", "_own_r"), ("b", "_own_r"), ("a", "own_bytes"), ("a", "own_type")}
+    assert set(rows) == {("a", "_own_r"), ("b", "_own_r"), ("a", "own_bytes"), ("a", "own_type"), ("a", "own_nothing")}
+    assert not rows["a", "own_nothing"].has_result_file and rows["a", "own_nothing"].migration_result is None
+    assert rows["a", "own_bytes"].build_result.build_success is True and rows["a", "own_bytes"].stdout is None
     assert rows["a", "_own_r"].problem is None and rows["a", "_own_r"].migration_result.build_log == ""
     for key, start in ((("b", "_own_r"), "result.yaml: "), (("a", "own_bytes"), "build.log: "), (("a", "own_type"), "result.yaml: ")):
         assert rows[key].problem.startswith(start) and rows[key].migration_result is None
@@ -284,3 +289,42 @@ def test_source_tree_query_scans_every_document(spark):
     want = {(f"r{d.doc_id // 16 % 50}", f"pkg{d.doc_id // 16}/_d{d.doc_id}.py"): d.text.encode() for d in docs}
     want |= {(f"r{d.doc_id // 16 % 50}", f"pkg{d.doc_id // 16}/__init__.py"): b"" for d in docs}
     assert got == want and len(tree) == len(got)
+
+
+def test_tree_is_listed_in_rounds(spark, monkeypatch):
+    """More entries than a task lists: the rest goes to the next round; folders that cannot match are not opened."""
+    from runlens.sources import tree
+    root = tempfile.mkdtemp(prefix="runlens-rounds-")
+    want = set()
+    for i in range(40):
+        for rel in (f"r{i}/target/site/jacoco/jacoco.xml", f"r{i}/m/target/site/jacoco-aggregate/jacoco.xml", f"r{i}/target/site/other/jacoco.xml",
+                    f"r{i}/_a/.b/empty.txt"):
+            _write(root, rel, "" if rel.endswith("txt") else "x")
+            want.add(rel)
+    for entries in (1, 7, 10_000):
+        monkeypatch.setattr(tree, "TASK_ENTRIES", entries)
+        assert {r.rel for r in tree.list_tree(spark, root).collect()} == want
+        got = {r.rel for r in tree.list_tree(spark, root, "**/target/site/jacoco*/jacoco.xml").collect()}
+        assert got == {w for w in want if "/jacoco" in w.removesuffix("/jacoco.xml")}
+    p = tree.PathPattern("r*/target/site/*.xml")
+    assert p.may_hold("r1") and p.may_hold("r1/target") and not p.may_hold("x") and not p.may_hold("r1/src") and not p.may_hold("r1/target/site/a")
+    assert p.is_file("r1/target/site/a.xml") and not p.is_file("r1/a.xml")
+    closed = os.path.join(root, "r0", "_a")
+    os.chmod(closed, 0)                                          # a branch that cannot match
+    try:
+        assert tree.list_tree(spark, root, "*/target/site/*/jacoco.xml").count() == 80
+    finally:
+        os.chmod(closed, 0o700)
+
+
+def test_commit_date_in_another_zone(spark):
+    root = tempfile.mkdtemp(prefix="runlens-zone-")
+    _write(root, "full_dataset.yaml", "- repo_name: a/b\n  commit_date: '2024-01-02T12:00:00+00:00'\n- repo_name: c/d\n- repo_name: e/f\n"
+                                      "  commit_date: 2024-07-02T12:00:00+02:00\n")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = S.read_manifests(spark, root).orderBy("ordinal").select(F.unix_timestamp("commit_date").alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.t for r in got] == [1704196800, None, 1719914400]
