@@ -99,3 +99,35 @@ def b1_test_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.lit("[INFO] BUILD SUCCESS"))))
     return li.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line_no"),
                      F.col("l_partkey").alias("part_id"), text.alias("log"))
+
+
+def files_written(files, name: str) -> str:
+    """Write rows (rel, content) as files below a fresh folder in the shared checkpoint folder, in tasks; its path.
+
+    A task that is run again writes the same files once more.  Runs a job.
+    """
+    import uuid
+
+    from runlens.session import checkpoint_dir, ship_package
+    from runlens.sources.tree import open_root
+    spark = files.sparkSession
+    ship_package(spark)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/runlens-io/{name}-{uuid.uuid4().hex[:12]}"
+    open_root(root)[0].create_dir(open_root(root)[1], recursive=True)
+
+    def write(batches):
+        import pyarrow as pa
+        system, base = open_root(root)
+        made = set()
+        for batch in batches:
+            for rel, content in zip(batch.column("rel").to_pylist(), batch.column("content").to_pylist()):
+                folder = f"{base}/{rel}".rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{base}/{rel}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["files"])
+
+    files.select("rel", F.col("content").cast("binary")).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return root

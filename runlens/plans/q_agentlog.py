@@ -190,3 +190,16 @@ def q_experiment_data(spark, sf_dir):
 
 
 register("agent_steps_lines", oracle=_AGENT_STEPS_SQL)(q_agent_steps_lines)
+
+
+@register("agent_steps_files", oracle=_AGENT_STEPS_SQL)
+def q_agent_steps_files(spark, sf_dir):
+    """X3 over log files: every log is written as ``stdout.log`` of its own run folder in one of two experiments, the folders
+    are listed and the files read as lines; same answer as ``agent_steps``.  Writes its files at the time of the call."""
+    from runlens.sources import files as S
+    run = F.col("run_id")
+    rel = F.concat(F.lit("exp"), (run % 2).cast("string"), F.lit("/job_results/own_r"), run.cast("string"), F.lit("/stdout.log"))
+    root = B.files_written(b3_agent_logs(spark, sf_dir).select(rel.alias("rel"), F.col("log").alias("content")), "agent-logs")
+    steps = agentlog.parse_agent_log_lines(S.read_agent_log_lines(spark, root))
+    return steps.select(F.regexp_extract("run_id", "own_r([0-9]+)$", 1).cast("bigint").alias("run_id"), "step_pos", "header_step", "run_header",
+                        "description", "model_info", "code", "warnings", "execution_logs", "out", "raw_text", "meta.*")

@@ -83,6 +83,18 @@ def q_source_tree(spark, sf_dir):
     return tree.select("repo", "rel_path", F.md5("content").alias("content_md5"), F.octet_length("content").cast("bigint").alias("content_bytes"))
 
 
+@register("source_tree_files", oracle="""
+SELECT 'r' || CAST(doc_id // 16 % 50 AS VARCHAR) AS repo, 'pkg' || CAST(doc_id // 16 AS VARCHAR) || '/_d' || CAST(doc_id AS VARCHAR) || '.py' AS rel_path,
+       md5(text) AS content_md5, CAST(strlen(text) AS BIGINT) AS content_bytes FROM documents
+UNION ALL
+SELECT DISTINCT 'r' || CAST(doc_id // 16 % 50 AS VARCHAR), 'pkg' || CAST(doc_id // 16 AS VARCHAR) || '/__init__.py', md5(''), CAST(0 AS BIGINT) FROM documents""")
+def q_source_tree_files(spark, sf_dir):
+    """Every scanned file of the tree of ``source_tree``, one row each.  Writes its files at the time of the call."""
+    from runlens.sources import files as S
+    tree = S.scan_source_tree(spark, _files_written(spark, sf_dir), extensions=CO.DEFAULT_EXTENSIONS)
+    return tree.select("repo", "rel_path", F.md5("content").alias("content_md5"), F.octet_length("content").cast("bigint").alias("content_bytes"))
+
+
 _KEPT_SQL = """
   SELECT source AS repo, '/repos/' || source || '/src/main/d' || CAST(doc_id AS VARCHAR) ||
            ['.java', '.py', '.JAVA', '.txt', '.sql'][doc_id % 5 + 1] AS path, text

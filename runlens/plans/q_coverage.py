@@ -94,6 +94,33 @@ def q_coverage_report(spark, sf_dir):
     return r.select("run_id", "valid", "line_missed", "line_covered", "method_missed", "method_covered")
 
 
+@register("coverage_files", oracle="""
+SELECT s_suppkey AS run_id, CAST(i AS INTEGER) AS module, (s_suppkey + i) % 17 <> 0 AS valid,
+       CAST(CASE WHEN (s_suppkey + i) % 17 <> 0 THEN i + 2 END AS BIGINT) AS line_missed,
+       CAST(CASE WHEN (s_suppkey + i) % 17 <> 0 THEN s_suppkey + 3 END AS BIGINT) AS line_covered,
+       CAST(CASE WHEN (s_suppkey + i) % 17 <> 0 THEN 1 END AS BIGINT) AS method_missed,
+       CAST(CASE WHEN (s_suppkey + i) % 17 <> 0 THEN i END AS BIGINT) AS method_covered
+FROM supplier, range(2) t(i)""")
+def q_coverage_files(spark, sf_dir):
+    """S6 from files: per supplier a workspace with reports of two modules, one outside the searched places and a report that
+    is cut short here and there; written, discovered while listing, read and counted.  Writes its files at the time of the call."""
+    from runlens.sources import files as S
+    s, i = F.col("s_suppkey"), F.col("i")
+    site = F.element_at(F.array(*map(F.lit, ("site/jacoco", "site/jacoco-aggregate", "site/coverage", "classes/jacoco"))), i + 1)
+    rel = F.concat(F.lit("r_"), s.cast("string"), F.lit("/m"), i.cast("string"), F.lit("/target/"), site, F.lit("/jacoco.xml"))
+    xml = F.concat(F.lit('<!DOCTYPE report PUBLIC "-//JACOCO//DTD Report 1.1//EN" "report.dtd"><report name="r"><counter type="LINE" missed="'),
+                   i.cast("string"), F.lit('" covered="'), s.cast("string"),
+                   F.lit('"/><package name="p"><counter type="METHOD" missed="1" covered="'), i.cast("string"),
+                   F.lit('"/><counter type="LINE" missed="2" covered="3"/></package>'),
+                   F.when((s + i) % 17 != 0, F.lit("</report>")).otherwise(F.lit("")))
+    files = B.table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    root = B.files_written(files.select(rel.alias("rel"), xml.alias("content")), "coverage")
+    r = C.report_counters(S.scan_coverage_reports(spark, root))
+    return r.select(F.regexp_extract("path", "/r_([0-9]+)/", 1).cast("bigint").alias("run_id"),
+                    F.regexp_extract("path", "/m([0-9]+)/", 1).cast("int").alias("module"),
+                    "valid", "line_missed", "line_covered", "method_missed", "method_covered")
+
+
 @register("coverage_repo", oracle=f"""
 WITH p AS ({_PER_RUN_SQL})
 SELECT run_id, 'LINE' AS counter_type, CAST(lm AS BIGINT) AS missed, CAST(lc AS BIGINT) AS covered,

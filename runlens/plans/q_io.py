@@ -52,18 +52,24 @@ def _manifest_yaml(spark, sf_dir):
         F.col("c_mktsegment"), F.lit("\n  extra_field: ignored\n  repo_features:\n    number_of_lines_of_code: "),
         (ck * 7).cast("string"), F.lit("\n    number_of_modules: "), (ck % 4 + 1).cast("string"),
         F.lit("\n  test_count:\n    tests_run: "), (ck % 50).cast("string"), F.lit("\n    tests_skipped: "),
-        (ck % 3).cast("string"), F.lit("\n"))
+        (ck % 3).cast("string"), F.lit("\n"),
+        # 1,700,000,000 + 3,601 ck seconds after 1970, written two hours ahead of UTC; as text and as a YAML time.
+        F.when(ck % 7 != 0, F.concat(F.lit("  commit_date: "), F.when(ck % 2 == 0, F.lit("'")).otherwise(F.lit("")),
+                                     F.date_format(F.expr("timestampadd(SECOND, c_custkey * 3601, TIMESTAMP_NTZ'2023-11-15 00:13:20')"), "yyyy-MM-dd'T'HH:mm:ss"),
+                                     F.lit("+02:00"), F.when(ck % 2 == 0, F.lit("'")).otherwise(F.lit("")), F.lit("\n"))).otherwise(F.lit("")))
     tiers = F.array(
         F.lit("full"), F.when(ck % 5 == 0, F.lit("medium")), F.when(ck % 15 == 0, F.lit("mini")),
         F.when(ck % 500 == 7, F.lit("tiny")))
     rows = c.select("*", commit.alias("_commit"), F.explode(tiers).alias("tier")).filter(F.col("tier").isNotNull())
     rows = rows.withColumn("_commit", F.when(F.col("tier") == "tiny", F.lit("tinyhead")).otherwise(F.col("_commit")))
-    return rows.select(item.alias("value"), "tier")
+    return rows.select(item.alias("value"), "tier", (ck / 1000).cast("int").alias("part"), ck.alias("ck"))
 
 
 def _manifest_roundtrip(spark, sf_dir):
     out = _scratch(spark, "manifest")
-    _manifest_yaml(spark, sf_dir).write.mode("overwrite").partitionBy("tier").text(out)
+    # One manifest per tier and thousand of customers, in the order of the keys.
+    (_manifest_yaml(spark, sf_dir).repartition("tier", "part").sortWithinPartitions("tier", "part", "ck").drop("ck")
+     .write.mode("overwrite").partitionBy("tier", "part").text(out))
     return S.with_tier(S.read_manifests(spark, out, glob="*.txt"))
 
 
@@ -79,7 +85,9 @@ t AS (SELECT 'full' AS tier, * FROM c
 @register("manifest_scan", oracle=_MANIFEST_SQL + """
 SELECT tier, repo_name, commit, license, CAST(ck * 7 AS BIGINT) AS lines_of_code,
        CAST(ck % 4 + 1 AS BIGINT) AS modules, CAST(ck % 50 AS BIGINT) AS tests_run,
-       CAST(ck % 3 AS BIGINT) AS tests_skipped, CAST(NULL AS BIGINT) AS tests_failed FROM t""")
+       CAST(ck % 3 AS BIGINT) AS tests_skipped, CAST(NULL AS BIGINT) AS tests_failed,
+       row_number() OVER (PARTITION BY tier, ck // 1000 ORDER BY ck) - 1 AS ordinal,
+       CASE WHEN ck % 7 <> 0 THEN 1700000000 + ck * 3601 END AS commit_epoch FROM t""")
 def q_manifest_scan(spark, sf_dir):
     """YAML manifests (written by Spark per tier) read back into typed rows; extra fields dropped."""
     m = _manifest_roundtrip(spark, sf_dir)
@@ -88,7 +96,7 @@ def q_manifest_scan(spark, sf_dir):
                     F.col("repo_features.number_of_modules").alias("modules"),
                     F.col("test_count.tests_run").alias("tests_run"),
                     F.col("test_count.tests_skipped").alias("tests_skipped"),
-                    F.col("test_count.tests_failed").alias("tests_failed"))
+                    F.col("test_count.tests_failed").alias("tests_failed"), "ordinal", F.unix_timestamp("commit_date").alias("commit_epoch"))
 
 
 @register("tier_report", oracle=_MANIFEST_SQL + """
@@ -157,8 +165,10 @@ SELECT o_orderkey AS run_id, 'exp' || CAST(o_orderkey % 2 AS VARCHAR) AS experim
        CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 'result.yaml'
             WHEN o_orderkey % 5 = 0 THEN 'stdout.log' END AS broken,
        CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END AS run_success,
-       CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0
-            THEN CAST(o_custkey AS BIGINT) END AS tests_run
+       CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0
+            THEN CAST(o_custkey AS BIGINT) END AS tests_run,
+       CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 THEN CAST(o_custkey AS BIGINT) END AS own_tests_run,
+       CASE WHEN o_orderkey % 5 <> 0 THEN 'out' END AS stdout, CASE WHEN o_orderkey % 3 <> 0 THEN 'diff' END AS diff
 FROM orders""")
 def q_run_artifacts(spark, sf_dir):
     """S2/S3 over artefact rows: complete, without patch, empty, without result file, malformed YAML, a log that is not UTF-8."""
@@ -178,7 +188,41 @@ def q_run_artifacts(spark, sf_dir):
     got = S.run_artifacts(wide)
     return got.select(F.regexp_extract("repo", "_([0-9]+)$", 1).cast("bigint").alias("run_id"), "experiment", "repo", "has_result_file",
                       "empty_result", F.when(~F.col("empty_result"), F.split("problem", ":")[0]).alias("broken"), "run_success",
-                      F.col("migration_result.build_result.test_results.tests_run").alias("tests_run"))
+                      F.col("migration_result.build_result.test_results.tests_run").alias("tests_run"),
+                      F.col("build_result.test_results.tests_run").alias("own_tests_run"), "stdout", "diff")
+
+
+@register("artifact_folders", oracle="""
+SELECT c_custkey AS run_id, 'exp' || CAST(c_custkey % 2 AS VARCHAR) AS experiment,
+       '_own' || CAST(c_nationkey AS VARCHAR) || '/r_' || CAST(c_custkey AS VARCHAR) AS repo,
+       c_custkey % 13 <> 0 AS has_result_file, c_custkey % 13 <> 0 AND c_custkey % 11 = 0 AS empty_file,
+       CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 11 <> 0 THEN CAST(c_custkey AS BIGINT) END AS tests_run,
+       CASE WHEN c_custkey % 13 <> 0 THEN CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END END AS stdout,
+       CASE WHEN c_custkey % 13 <> 0 AND c_custkey % 3 <> 0 THEN 'diff ' || c_name END AS diff
+FROM customer""")
+def q_artifact_folders(spark, sf_dir):
+    """S2/S3 from folders: two experiments with one folder per customer are written, listed in tasks and read; files are
+    missing or empty here and there, some folders hold none of the four.  Writes its files at the time of the call."""
+    c = B.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    yaml = F.when(k % 11 == 0, F.lit("")).otherwise(F.concat(
+        F.lit("run_success: true\nbuild_result:\n  build_success: true\n  test_results:\n    tests_run: "), k.cast("string"), F.lit("\n")))
+    stdout = F.when(k % 5 == 0, F.lit("")).otherwise(F.col("c_name"))
+    none = F.lit(None).cast("string")
+    named = {"result.yaml": yaml, "build.log": F.lit("log"), "stdout.log": stdout,
+             "diff.patch": F.when(k % 3 != 0, F.concat(F.lit("diff "), F.col("c_name")))}
+    parts = F.array(F.struct(F.lit("note.txt").alias("name"), F.when(k % 13 == 0, F.lit("x")).otherwise(none).alias("content")),
+                    *[F.struct(F.lit(n).alias("name"), F.when(k % 13 != 0, v).otherwise(none).alias("content")) for n, v in named.items()])
+    folder = F.concat(F.lit("exp"), (k % 2).cast("string"), F.lit("/job_results/_own"), F.col("c_nationkey").cast("string"), F.lit("_r_"), k.cast("string"))
+    files = c.select(folder.alias("folder"), F.inline(parts)).where("content is not null")
+    root = B.files_written(files.select(F.concat_ws("/", "folder", "name").alias("rel"), "content"), "artifacts")
+    got = S.scan_run_artifacts(spark, [f"{root}/exp{i}/job_results" for i in (0, 1)])
+    # The folder's name begins with "_": the first one is the slash of the recovered key.
+    repo = F.regexp_replace("repo_dir", "^(_[^_]*)_", "$1/")
+    return got.select(F.regexp_extract("repo_dir", "_([0-9]+)$", 1).cast("bigint").alias("run_id"),
+                      F.regexp_extract("experiment", "[^/]*$", 0).alias("experiment"), repo.alias("repo"), "has_result_file",
+                      (F.col("has_result_file") & F.col("empty_result")).alias("empty_file"),
+                      F.col("build_result.test_results.tests_run").alias("tests_run"), "stdout", "diff")
 
 
 @register("pre_coverage_csv", oracle="""
