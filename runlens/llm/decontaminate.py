@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runlens.llm._common import SLICE_BYTES, prepare, rows_batch, text_slices, written
 from runlens.llm._slices import ragged, slice_keys
@@ -41,6 +40,7 @@ _END, _GAP, _FIRST = 0, 1, 2
 _SAMPLE = 8
 SHARD_BYTES = 2 << 20        # text of the documents of a shard
 SHARD_WORDS = 1 << 20        # a shard has no more words: a longer document is indexed in pieces
+GROUP_BYTES = 16 << 20       # text that a task searches for one block after another, if there are several
 BLOCK_BYTES = 2 << 20        # text of the benchmark items that are searched in one pass (their windows take about 25 times this)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -329,17 +329,40 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int) -> list[Broadcast]:
-    """The benchmark's windows in blocks of at most about BLOCK_BYTES of text, each broadcast by itself."""
+    """The benchmark's windows in blocks of at most about BLOCK_BYTES of text, each broadcast by itself.
+
+    Rows that repeat count once.  The driver holds one block at a time.
+    """
     spark = benchmark.sparkSession
     prepare(spark)
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
+    if blocks > 1:
+        items = written(items, "benchmark-items")
     return [spark.sparkContext.broadcast(Phrases(
         [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()], window))
         for b in range(blocks)]
 
 
+def _searched(texts: list[str | None], blocks: list[Broadcast]) -> Iterator[tuple[int, Hits]]:
+    """(number of the first text, hits) of every shard of the texts under every block; one block is in memory at a time."""
+    shards, start, held = [], 0, 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        if held and held + size > SHARD_BYTES:
+            shards.append((start, i))
+            start, held = i, 0
+        held += size + 1
+    shards.append((start, len(texts)))
+    for block in blocks:
+        phrases = block.value
+        for a, b in shards:
+            yield a, Hits(texts[a:b], phrases)
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)          # loaded again for the next texts
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
                     ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
@@ -351,121 +374,86 @@ def digest(items: list[int]) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    One block of the benchmark needs a single pass without shuffle.  More blocks pass the texts from
-    one search to the next, and each adds its hit words and items.
+    One pass without shuffle, whatever the number of blocks: a task searches its texts for one block after another.
     """
     blocks = benchmark_blocks(benchmark, window)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    if len(blocks) == 1:
-        block = blocks[0]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in text_slices(batches, limit=SHARD_BYTES):
-                hits = Hits(part.column("text").to_pylist(), block.value)
-                n_words, n_hit = hits.counts()
-                items = hits.items()
-                yield rows_batch({"doc_id": part.column("doc_id").to_pylist(), "n_words": n_words, "n_hit": n_hit,
-                                  "n_items": [len(x) for x in items], "items_sha256": [digest(x) for x in items],
-                                  "contaminated": n_hit > 0}, _FOUND)
-
-        return rows.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-    for block in blocks:
-        rows = _add_hits(rows, block)
-    spread = "aggregate(hits, struct(-1L as upto, 0L as n), (s, x) -> struct(greatest(s.upto, x.e) as upto, s.n + greatest(0L, x.e - greatest(s.upto, x.s)) as n), s -> s.n)"
-    return (rows.withColumn("hits", F.expr("array_sort(hits)")).withColumn("items", F.array_distinct("items"))
-            .select("doc_id", "n_words", F.expr(spread).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                    F.sha2(F.expr("array_join(array_sort(transform(items, x -> cast(x as string))), ',')"), 256).alias("items_sha256"),
-                    (F.size("hits") > 0).alias("contaminated")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, limit=SHARD_BYTES if len(blocks) == 1 else GROUP_BYTES):
+            n_words, n_hit, items = _counted(part.column("text").to_pylist(), blocks)
+            yield rows_batch({"doc_id": part.column("doc_id").to_pylist(), "n_words": n_words, "n_hit": n_hit,
+                              "n_items": [len(x) for x in items], "items_sha256": [digest(x) for x in items],
+                              "contaminated": n_hit > 0}, _FOUND)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
-def _add_hits(rows: DataFrame, block: Broadcast) -> DataFrame:
-    """Append one block's hit word spans and items to rows that may carry those of other blocks."""
-    if "hits" not in rows.columns:
-        rows = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"),
-                           F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("hits"),
-                           F.expr("cast(array() as array<bigint>)").alias("items"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=SHARD_BYTES):
-            hits = Hits(part.column("text").to_pylist(), block.value)
-            spans: list[list[dict]] = [x or [] for x in part.column("hits").to_pylist()]
-            doc = np.searchsorted(hits.word, hits.place, side="right") - 1
-            start = hits.place - hits.word[doc]
-            for d, s, e in zip(doc.tolist(), start.tolist(), (start + block.value.sizes[hits.found]).tolist()):
-                spans[d].append({"s": s, "e": e})
-            items = [(a or []) + b for a, b in zip(part.column("items").to_pylist(), hits.items())]
-            values = {"doc_id": part.column("doc_id"), "text": part.column("text"), "n_words": hits.counts()[0],
-                      "hits": spans, "items": items}
-            yield pa.RecordBatch.from_arrays(
-                [v if isinstance(v, pa.Array) else pa.array(v, type=part.schema.field(n).type) for n, v in values.items()],
-                names=list(values))
-
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields))
+def _counted(texts: list[str | None], blocks: list[Broadcast]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Words, hit words and items with occurring windows of each text."""
+    if len(blocks) == 1:
+        hits = Hits(texts, blocks[0].value)
+        return *hits.counts(), hits.items()
+    n_words = np.zeros(len(texts), dtype=np.int64)
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[int]] = [set() for _ in texts]
+    for first, hits in _searched(texts, blocks):
+        n_words[first:first + len(hits.raw)] = hits.counts()[0]
+        for i, (runs, own) in enumerate(zip(hits.runs(), hits.items()), first):
+            spans[i] += [(s, e) for s, e, _, _ in runs]
+            items[i].update(own)
+    return n_words, np.array([_length(x) for x in spans], dtype=np.int64), [sorted(x) for x in items]
+
+
+def _length(spans: list[tuple[int, int]]) -> int:
+    """Words in the union of spans."""
+    total, upto = 0, 0
+    for s, e in sorted(spans):
+        total += max(0, e - max(s, upto))
+        upto = max(upto, e)
+    return total
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` (all columns) without the merged spans of benchmark windows.
 
-    What joins around a cut is searched again until nothing is found, so no window is left.  Rows
-    without hits stay as they are; a row that had hits and has no word left goes.  ``n_chars`` follows
-    the text if the table has it.
-
-    One block of the benchmark does all this in a single pass.  With more, every block searches the
-    same texts, the union of their spans is cut once, and the changed rows are passed again until no
-    block hits; each pass is written.
+    All blocks of the benchmark search the same texts and the union of their spans is cut once; what joins
+    around a cut is searched again until no block hits, so no window is left.  Rows without hits stay as they
+    are; a row that had hits and has no word left goes.  ``n_chars`` follows the text if the table has it.
+    One pass without shuffle, whatever the number of blocks.
     """
     blocks = benchmark_blocks(benchmark, window)
-    if len(blocks) == 1:
-        return docs.mapInArrow(_remover(blocks[0]), docs.schema)
-    marked = T.StructType([*docs.schema.fields, T.StructField(_RUNS, T.ArrayType(T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("s", "e", "a", "b")])))])
-    flagged = T.StructType([*docs.schema.fields, T.StructField(_CHANGED, T.BooleanType())])
-    done, todo = None, docs
-    while True:
-        rows = todo.withColumn(_RUNS, F.lit(None).cast(marked[_RUNS].dataType))
-        for block in blocks:
-            rows = rows.mapInArrow(_marker(block), marked)
-        rows = written(rows.mapInArrow(_cut_marked, flagged), "cut-passages")
-        clean = rows.where(~F.col(_CHANGED)).drop(_CHANGED)
-        done = clean if done is None else done.unionByName(clean)
-        todo = rows.where(_CHANGED).drop(_CHANGED)
-        if todo.isEmpty():
-            return done
-
-
-_RUNS, _CHANGED = "_passage_runs", "_passage_cut"
-
-
-def _marker(block: Broadcast):
-    """Append one block's merged spans to the rows' spans; the texts stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=SHARD_BYTES):
-            found = Hits(part.column("text").to_pylist(), block.value).runs()
-            at = part.schema.get_field_index(_RUNS)
-            runs = [(x or []) + [dict(zip("seab", r)) for r in new] for x, new in zip(part.column(at).to_pylist(), found)]
-            yield part.set_column(at, part.schema.field(at), pa.array(runs, type=part.schema.field(at).type))
+        for part in text_slices(batches, limit=SHARD_BYTES if len(blocks) == 1 else GROUP_BYTES):
+            texts = part.column("text").to_pylist()
+            changed: set[int] = set()
+            todo = list(range(len(texts)))
+            while todo:
+                runs: list[list[tuple[int, int, int, int]]] = [[] for _ in todo]
+                for first, hits in _searched([texts[i] for i in todo], blocks):
+                    for n, found in enumerate(hits.runs(), first):
+                        runs[n] += found
+                todo = [i for i, found in zip(todo, runs) if found]
+                for i, found in zip(todo, filter(None, runs)):
+                    texts[i] = _cut(texts[i].encode("utf-8", "surrogatepass"), _union(found))
+                changed.update(todo)
+            yield _with_texts(part, texts, changed)
 
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
-def _cut_marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the union of each row's spans (spans that touch by words are one) and tell which rows changed."""
-    for part in text_slices(batches, limit=SHARD_BYTES):
-        texts = part.column("text").to_pylist()
-        runs = part.column(_RUNS).to_pylist()
-        changed = {i for i, r in enumerate(runs) if r}
-        for i in changed:
-            merged: list[list[int]] = []
-            upto = -1
-            for r in sorted(runs[i], key=lambda r: (r["s"], r["e"])):
-                if merged and r["s"] <= upto:
-                    merged[-1][1] = max(merged[-1][1], r["b"])
-                else:
-                    merged.append([r["a"], r["b"]])
-                upto = max(upto, r["e"])
-            texts[i] = _cut(texts[i].encode("utf-8", "surrogatepass"), merged)
-        part = part.drop_columns([_RUNS]).append_column(_CHANGED, pa.array([i in changed for i in range(len(texts))]))
-        yield _with_texts(part, texts, changed)
+def _union(runs: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """Byte spans of the union of removal spans; spans that touch by words are one."""
+    merged: list[list[int]] = []
+    upto = -1
+    for s, e, a, b in sorted(runs):
+        if merged and s <= upto:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+        upto = max(upto, e)
+    return merged
 
 
 def _with_texts(part: pa.RecordBatch, texts: list[str | None], changed: set[int]) -> pa.RecordBatch:
@@ -481,21 +469,3 @@ def _with_texts(part: pa.RecordBatch, texts: list[str | None], changed: set[int]
         field = part.schema.field("n_chars")
         part = part.set_column(names.index("n_chars"), field, pa.array(sizes, type=field.type))
     return part.filter(pa.array([i not in changed or bool(words_of(t)) for i, t in enumerate(texts)]))
-
-
-def _remover(block: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=SHARD_BYTES):
-            texts = part.column("text").to_pylist()
-            changed: set[int] = set()
-            todo = list(range(len(texts)))
-            while todo:
-                hits = Hits([texts[i] for i in todo], block.value)
-                cut = [(i, raw, spans) for i, raw, spans in zip(todo, hits.raw, hits.spans()) if spans]
-                for i, raw, spans in cut:
-                    texts[i] = _cut(raw, spans)
-                todo = [i for i, _, _ in cut]
-                changed.update(todo)
-            yield _with_texts(part, texts, changed)
-
-    return run

@@ -156,6 +156,16 @@ def test_language_edges(spark, docs):
     assert langid.predict(empty(docs), model).count() == 0
 
 
+def test_decontamination_plan(spark, docs, monkeypatch):
+    """One Python operator and no exchange, whatever the number of blocks."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 500)
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    assert len(D.benchmark_blocks(bench.union(bench), 10)) == len(D.benchmark_blocks(bench, 10)) > 5
+    for df in (D.contamination(docs, bench), D.remove_passages(docs, bench)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_language_under_one_doc_id(spark):
     """A language whose rows share a doc_id is sampled by their texts; rows that repeat count once."""
     texts = [(8, f"le chat numéro {i} dort dans la maison", "fr") for i in range(300)] + [(8, "copie de la page", "fr")] * 300
