@@ -47,6 +47,15 @@ def ranges_for(df: DataFrame, n_ranges: int | None = None) -> int:
     return max(least, min(MAX_RANGES, -(-known // RANGE_BYTES)))
 
 
+#: Characters of a text that the range exchange looks at; Spark samples its keys to the driver and sends bounds to every task.
+PREFIX = 256
+
+
+def range_keys(df: DataFrame, cols: list[str]) -> list[Column]:
+    """Columns to range by: long texts by their first PREFIX characters, which order like the texts themselves."""
+    return [F.substring(F.col(c), 1, PREFIX) if df.schema[c].dataType.typeName() == "string" else F.col(c) for c in cols]
+
+
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, out_col: str,
                 inclusive: bool = False, n_ranges: int | None = None) -> DataFrame:
     """Running sum of ``value_col`` per group in ``order_cols`` order, safe for hot groups.
@@ -56,7 +65,8 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     written to the shared folder.  Only a range's first group can continue an earlier range, so what is
     still missing is one number per range: it is found from one summary row per range (MAX_RANGES at
     most) and added.  NULL groups and orders are groups and orders like any other, rows that repeat stay
-    apart (their order among themselves is open), a NULL value counts 0.
+    apart (their order among themselves is open), a NULL value counts 0.  Rows whose keys agree up to
+    PREFIX characters of each text share a range.
     Returns ``df`` with ``out_col`` added (exclusive by default).  Runs a job at the time of the call.
     """
     import pyarrow as pa
@@ -84,7 +94,7 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
                 names=[*batch.schema.names, "_sum", "_total", "_rng", "_first"])
 
     ordered = [*group_cols, *order_cols]
-    ranged = df.repartitionByRange(ranges_for(df, n_ranges), *ordered).sortWithinPartitions(*ordered)
+    ranged = df.repartitionByRange(ranges_for(df, n_ranges), *range_keys(df, ordered)).sortWithinPartitions(*ordered)
     schema = StructType([*df.schema.fields, StructField("_sum", LongType()), StructField("_total", LongType()),
                          StructField("_rng", IntegerType()), StructField("_first", BooleanType())])
     summed = materialize(ranged.mapInArrow(run, schema), "running-sum")

@@ -54,6 +54,18 @@ def test_corpus_layout_skewed_repo_matches_brute_force(spark):
     assert got == want
 
 
+def test_running_sum_ranges_by_short_keys(spark, monkeypatch):
+    """No whole text is a range key, and ties of the prefixes keep the order of the texts."""
+    from runlens.operators import _plan
+    monkeypatch.setattr(_plan, "PREFIX", 2)
+    rows = [("g", f"{'ab' if i % 3 else 'aa'}{(i * 37) % 100:03d}", 1) for i in range(100)] + [("g", None, 1)]
+    df = spark.createDataFrame(rows, "g string, o string, v long").repartition(3)
+    got = {r.o: r.s for r in _plan.running_sum(df, ["g"], ["o"], "v", "s", n_ranges=5).collect()}
+    assert got == {o: i for i, o in enumerate([None, *sorted(o for _, o, _ in rows if o)])}
+    p = plan(df.repartitionByRange(5, *_plan.range_keys(df, ["g", "o"])))
+    assert "rangepartitioning(substring" in p or "_w0" in p or "rangepartitioning(_" in p, p
+
+
 def test_running_sum_keeps_null_and_repeated_keys(spark):
     from runlens.operators._plan import running_sum
     rows = [(None, 1, 5), (None, None, 7), ("a", 1, 2), ("a", 1, 2), ("a", 2, None), ("b", 1, 9)] + [("c", i, 1) for i in range(500)]
