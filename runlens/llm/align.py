@@ -39,7 +39,7 @@ from runlens.llm._common import prepare, text_slices, written
 from runlens.llm._slices import SliceTable
 from runlens.llm.bpe import ByteBpe
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 PIECE_WORK = 1 << 16        # ends of A and B in a piece of the merge
 _BLANK = "▁"
 
