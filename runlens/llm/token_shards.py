@@ -22,7 +22,6 @@ by length and ids, and a document longer than a shard makes a shard of its own.
 
 from __future__ import annotations
 
-import re
 import struct
 import unicodedata
 import zlib
@@ -243,8 +242,9 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         # The library finds the file's control strings inside a text; such texts go through it whole.
-        found = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self._control = re.compile("|".join(map(re.escape, found)), re.IGNORECASE) if found else None
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self._control = sorted({t.content for t in added})
+        self._normalized = any(t.normalized for t in added)     # such strings are found in lower-cased text
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bits = max(1, max(vocabulary.values()).bit_length())
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
@@ -275,8 +275,8 @@ class WordTokenizer:
         latin, which = [], []
         for i, text in enumerate(texts):
             try:
-                if self._control and self._control.search(text):
-                    raise ValueError("control string")
+                if any(c in text for c in self._control) or self._normalized:
+                    raise ValueError("for the library")
                 latin.append(text.encode("latin-1"))
                 which.append(i)
             except ValueError:                          # UnicodeEncodeError is one
