@@ -111,14 +111,24 @@ def guard_rows(candidates: DataFrame, stored: DataFrame, coverage_after: DataFra
     so a missing key is a FAIL row, never a dropped row; a key that repeats has its last row by
     ``pre_order`` (its greatest value if no order is named).
     """
+    earlier, after, known = lookups(stored, coverage_after, pre_cov, run_col, repo_col, pre_order)
+    return decided_rows(candidates.join(earlier, run_col, "left").join(after, run_col, "left")
+                        .join(known, F.col(repo_col) == F.col("_key"), "left"), run_col, repo_col)
+
+
+def lookups(stored: DataFrame, coverage_after: DataFrame, pre_cov: DataFrame, run_col: str, repo_col: str,
+            pre_order: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the guard looks up, one row per key: (run, _stored), (run, _after) and (_key: repo, _before, _known)."""
     known = pre_cov.groupBy(F.col(repo_col).alias("_key")).agg(
         (F.max_by("percent_before", pre_order) if pre_order else F.max("percent_before")).alias("_before"), F.lit(True).alias("_known"))
     earlier = stored_results(stored, run_col).select(run_col, F.struct(*_RESULT).alias("_stored"))
-    j = (candidates.join(earlier, run_col, "left")
-         .join(coverage_after.select(run_col, F.col("line_percent").alias("_after")), run_col, "left")
-         .join(known, F.col(repo_col) == F.col("_key"), "left"))
+    return earlier, coverage_after.select(run_col, F.col("line_percent").alias("_after")), known
+
+
+def decided_rows(j: DataFrame, run_col: str, repo_col: str) -> DataFrame:
+    """Guard rows of candidates that carry what was looked up for them (``_stored``, ``_after``, ``_before``, ``_known``)."""
     before, after = F.col("_before"), F.col("_after")
-    patch_error = F.col("patch_error") if "patch_error" in candidates.columns else F.lit(None).cast("string")
+    patch_error = F.col("patch_error") if "patch_error" in j.columns else F.lit(None).cast("string")
     change, passed = coverage_change(before, after)
     none = F.lit(None).cast("string")
     # In the order in which the work is done: the first that applies decides.

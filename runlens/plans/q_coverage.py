@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from runlens.functions import text as T
 from runlens.operators import coverage as C
 from runlens.plans import bridges as B
-from runlens.plans.catalog import register
+from runlens.plans.catalog import oracle_of, register
 from runlens.plans.q_builds import _RUNS_SQL, _TEST_OK_SQL, verdicts
 
 
@@ -265,3 +265,14 @@ def q_guard_resume(spark, sf_dir):
     _write(C.guard_rows(candidates, stored, after, pre_cov, pre_order="nth"), out)
     again = C.guard_rows(candidates, S.read_stored_results(spark, f"{out}/repo_results"), after, pre_cov, pre_order="nth")
     return again.select("run_id", "repo", "status", "error", "cov_before", "cov_after")
+
+
+@register("guard_stored", oracle=oracle_of("guard_rows"))
+def q_guard_stored(spark, sf_dir):
+    """Q2 over inputs stored in buckets of runs: the joins need no shuffle.  Writes its tables at the time of the call."""
+    import uuid
+
+    from runlens.operators import guard_store as G
+    prefix = f"guard_{uuid.uuid4().hex[:12]}"
+    G.store_guard_inputs(*guard_inputs(spark, sf_dir), prefix, _report_folder(spark), pre_order="nth")
+    return G.stored_guard_rows(spark, prefix)

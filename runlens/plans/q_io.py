@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -18,9 +19,9 @@ from runlens.operators import runs, udf as U
 from runlens.plans import bridges as B
 from runlens.plans.catalog import oracle_of, register
 from runlens.plans.q_builds import verdicts
-from runlens.session import checkpoint_dir
+from runlens.session import checkpoint_dir, materialize
 from runlens.sources import files as S
-from runlens.streaming.progress import progress_counts
+from runlens.streaming.progress import latest_counts, progress_counts, progress_latest
 
 
 def _scratch(spark, name: str) -> str:
@@ -40,9 +41,33 @@ def q_experiment_paths(spark, sf_dir):
     return parsed.select("run_id", F.unix_timestamp("run_ts").alias("run_epoch"), "run_name")
 
 
+_EXPERIMENT_SQL = """'data/experiments/' || strftime(date_trunc('month', o_orderdate), '%Y-%m-') || '0' || CAST(1 + o_orderkey % 3 AS VARCHAR)
+  || '/08-30-00-run' || CAST(o_orderkey % 2 AS VARCHAR)"""
+
+
+@register("experiment_window", oracle=f"""
+SELECT o_orderkey AS run_id, {_EXPERIMENT_SQL} AS experiment,
+       CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS run_date, o_totalprice AS cost
+FROM orders WHERE month(o_orderdate) = 3 AND o_orderkey % 2 = 1""")
+def q_experiment_window(spark, sf_dir):
+    """K5 + S5: runs stored by the date of their experiment; those of the experiments that a table of prompts chooses, where Spark
+    opens only the folders of their dates.  Writes its store at the time of the call."""
+    o = B.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    path = F.concat(F.lit("data/experiments/"), F.date_format("o_orderdate", "yyyy-MM-"), F.lit("0"), (k % 3 + 1).cast("string"),
+                    F.lit("/08-30-00-run"), (k % 2).cast("string"))
+    prompt = F.concat(F.month("o_orderdate").cast("string"), F.lit("-"), (k % 2).cast("string"))
+    runs_of = o.select(k.alias("run_id"), path.alias("experiment"), F.col("o_totalprice").alias("cost"))
+    out = _scratch(spark, "experiments")
+    S.write_experiment_runs(runs_of, out)
+    experiments = materialize(o.select(path.alias("experiment"), prompt.alias("prompt")).distinct(), "experiments")
+    chosen = S.experiment_window(S.read_experiment_runs(spark, out), experiments.where("prompt = '3-1'"))
+    return chosen.select("run_id", "experiment", "run_date", "cost")
+
+
 # Manifest bridge over customer: full = all; medium = c % 5 = 0; mini = c % 15 = 0;
 # tiny = c % 500 = 7 with another commit (so tiny shares no row with full).
-def _manifest_yaml(spark, sf_dir):
+def _manifest_yaml(spark, sf_dir, broken=None):
     c = B.table(spark, sf_dir, "customer")
     ck = F.col("c_custkey")
     repo = F.concat(F.lit("own"), F.col("c_nationkey").cast("string"), F.lit("/c"), ck.cast("string"))
@@ -57,6 +82,8 @@ def _manifest_yaml(spark, sf_dir):
         F.when(ck % 7 != 0, F.concat(F.lit("  commit_date: "), F.when(ck % 2 == 0, F.lit("'")).otherwise(F.lit("")),
                                      F.date_format(F.expr("timestampadd(SECOND, c_custkey * 3601, TIMESTAMP_NTZ'2023-11-15 00:13:20')"), "yyyy-MM-dd'T'HH:mm:ss"),
                                      F.lit("+02:00"), F.when(ck % 2 == 0, F.lit("'")).otherwise(F.lit("")), F.lit("\n"))).otherwise(F.lit("")))
+    if broken is not None:
+        item = F.when(broken, F.concat(F.lit("- repo_name: [own, "), ck.cast("string"), F.lit("\n  commit: x\n"))).otherwise(item)
     tiers = F.array(
         F.lit("full"), F.when(ck % 5 == 0, F.lit("medium")), F.when(ck % 15 == 0, F.lit("mini")),
         F.when(ck % 500 == 7, F.lit("tiny")))
@@ -65,12 +92,16 @@ def _manifest_yaml(spark, sf_dir):
     return rows.select(item.alias("value"), "tier", (ck / 1000).cast("int").alias("part"), ck.alias("ck"))
 
 
-def _manifest_roundtrip(spark, sf_dir):
+def _manifests_written(spark, sf_dir, broken=None) -> str:
     out = _scratch(spark, "manifest")
     # One manifest per tier and thousand of customers, in the order of the keys.
-    (_manifest_yaml(spark, sf_dir).repartition("tier", "part").sortWithinPartitions("tier", "part", "ck").drop("ck")
+    (_manifest_yaml(spark, sf_dir, broken).repartition("tier", "part").sortWithinPartitions("tier", "part", "ck").drop("ck")
      .write.mode("overwrite").partitionBy("tier", "part").text(out))
-    return S.with_tier(S.read_manifests(spark, out, glob="*.txt"))
+    return out
+
+
+def _manifest_roundtrip(spark, sf_dir):
+    return S.with_tier(S.read_manifests(spark, _manifests_written(spark, sf_dir), glob="*.txt"))
 
 
 _MANIFEST_SQL = """
@@ -99,6 +130,21 @@ def q_manifest_scan(spark, sf_dir):
                     F.col("test_count.tests_failed").alias("tests_failed"), "ordinal", F.unix_timestamp("commit_date").alias("commit_epoch"))
 
 
+@register("manifest_items", oracle=_MANIFEST_SQL + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY tier, ck // 1000 ORDER BY ck) - 1 AS ordinal, ck % 41 = 0 AS broken FROM t)
+SELECT tier, ck // 1000 AS part, ordinal, broken, CASE WHEN NOT broken THEN repo_name END AS repo_name, CASE WHEN NOT broken THEN commit END AS commit,
+       CAST(CASE WHEN NOT broken THEN ck * 7 END AS BIGINT) AS lines_of_code, CAST(CASE WHEN NOT broken THEN ck % 50 END AS BIGINT) AS tests_run,
+       CASE WHEN NOT broken AND ck % 7 <> 0 THEN 1700000000 + ck * 3601 END AS commit_epoch FROM r""")
+def q_manifest_items(spark, sf_dir):
+    """S1 item by item: manifests read in splits of 64 KB whose cuts fall inside items; an item that is no YAML is one row."""
+    out = _manifests_written(spark, sf_dir, broken=F.col("c_custkey") % 41 == 0)
+    m = S.with_tier(S.read_manifest_items(spark, out, glob="*.txt", split_bytes=64 << 10))
+    return m.select("tier", F.regexp_extract("source_file", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), "ordinal",
+                    F.col("problem").isNotNull().alias("broken"), "repo_name", "commit",
+                    F.col("repo_features.number_of_lines_of_code").alias("lines_of_code"), F.col("test_count.tests_run").alias("tests_run"),
+                    F.unix_timestamp("commit_date").alias("commit_epoch"))
+
+
 @register("tier_report", oracle=_MANIFEST_SQL + """
 SELECT tier, CAST(COUNT(*) AS BIGINT) AS n_rows,
        CAST(COUNT(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM t f WHERE f.tier = 'full'
@@ -258,6 +304,35 @@ def q_progress(spark, sf_dir):
     return progress_counts(spark, sf_dir, _EVENT_SCHEMA, "event_type", glob="events.parquet")
 
 
+def _portions(spark, sf_dir) -> DataFrame:
+    """The last event of every user, from a stream over files that arrive in three portions, with a stop after each."""
+    ev = B.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("status"))
+    source, checkpoint = _scratch(spark, "portions"), _scratch(spark, "portions-state")
+    latest = None
+    for i in range(3):
+        # The events arrive out of order, and the last portion holds a part of the first one again.
+        part = ev.where((F.col("event_id") % 3 == i) | (F.lit(i == 2) & (F.col("event_id") % 6 == 0)))
+        part.write.mode("append").parquet(source)
+        latest = progress_latest(spark, source, ev.schema, "user_id", ["ts", "event_id"], checkpoint=checkpoint)
+    return latest
+
+
+@register("progress_latest", oracle="""
+SELECT user_id, max(event_id) AS event_id, max(event_type) AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY user_id""")
+def q_progress_latest(spark, sf_dir):
+    """ST1 + J4: one row per run with its last result.  Writes files and runs the stream at the time of the call."""
+    return _portions(spark, sf_dir).select("user_id", "event_id", "status")
+
+
+@register("progress_latest_counts", oracle="""
+SELECT event_type AS status, count(*) AS finished
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY event_type""")
+def q_progress_latest_counts(spark, sf_dir):
+    """ST1 + J4: finished runs by their last status, each once.  Writes files and runs the stream at the time of the call."""
+    return latest_counts(_portions(spark, sf_dir), "status")
+
+
 def _ratio(rec: dict) -> dict:
     k = json.loads(rec["props"])["k"]
     if k % 11 == 3:

@@ -56,6 +56,16 @@ def _as_long(v):
         return None
 
 
+def _item_fields(it: dict) -> dict:
+    """The typed fields of one manifest item."""
+    feats, tc, cd = it.get("repo_features") or None, it.get("test_count") or None, it.get("commit_date")
+    return {"repo_name": it.get("repo_name"), "commit": None if it.get("commit") is None else str(it.get("commit")),
+            "license": it.get("license"),
+            "repo_features": None if feats is None else {k: _as_long(feats.get(k)) for k in _FEATURES.names},
+            "test_count": None if tc is None else {k: _as_long(tc.get(k)) for k in _TEST_COUNT.names},
+            "commit_date": None if cd is None else pd.to_datetime(cd, utc=True)}
+
+
 def _manifest_rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
     cols = [f.name for f in MANIFEST_SCHEMA.fields]
@@ -64,15 +74,7 @@ def _manifest_rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(pdf["path"], pdf["content"]):
             items = yaml.load(bytes(content).decode("utf-8"), Loader=_yaml_loader()) or []
             for i, it in enumerate(items):
-                feats = it.get("repo_features") or None
-                tc = it.get("test_count") or None
-                cd = it.get("commit_date")
-                rows.append((
-                    path, i, it.get("repo_name"), None if it.get("commit") is None else str(it.get("commit")),
-                    it.get("license"),
-                    None if feats is None else {k: _as_long(feats.get(k)) for k in _FEATURES.names},
-                    None if tc is None else {k: _as_long(tc.get(k)) for k in _TEST_COUNT.names},
-                    None if cd is None else pd.to_datetime(cd, utc=True)))
+                rows.append({"source_file": path, "ordinal": i, **_item_fields(it)})
         out = pd.DataFrame(rows, columns=cols)
         # With its zone: Spark takes a time without one for a time of the session's zone.
         yield out.assign(commit_date=pd.to_datetime(out["commit_date"], utc=True))
@@ -347,3 +349,115 @@ def parse_experiment_path(path) -> list:
     name = F.regexp_extract(c, EXPERIMENT_PATH_RE, 3)
     ts = F.when(d != "", F.try_to_timestamp(F.concat_ws(" ", d, t), F.lit("yyyy-MM-dd HH-mm-ss")))
     return [ts.alias("run_ts"), F.when(name != "", name).alias("run_name")]
+
+
+#: Where experiments stand whose path has no date.
+NO_DATE = "1970-01-01"
+
+
+def _run_date(path):
+    return F.coalesce(F.try_to_timestamp(F.regexp_extract(path, EXPERIMENT_PATH_RE, 1), F.lit("yyyy-MM-dd")).cast("date"),
+                      F.lit(NO_DATE).cast("date")).alias("run_date")
+
+
+def write_experiment_runs(runs: DataFrame, out: str, path_col: str = "experiment") -> None:
+    """K5/K1: store runs by the date in their experiment's path, and by experiment below it.
+
+    Replaces the experiments that ``runs`` holds and leaves the others.  An experiment with most of the
+    runs is written by many tasks (Spark rebalances by size).  A path without a date stands under NO_DATE,
+    a NULL path is an empty one.
+    """
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+    placed = runs.withColumn(path_col, path).withColumn("run_date", _run_date(path))
+    (placed.hint("rebalance", "run_date", path_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date", path_col).parquet(out))
+
+
+def read_experiment_runs(spark: SparkSession, out: str, path_col: str = "experiment") -> DataFrame:
+    """The runs of a store of ``write_experiment_runs``; conditions on ``run_date`` choose folders."""
+    found = spark.read.parquet(out).schema
+    # A path is text, also where all of them look like numbers.
+    schema = StructType([StructField(f.name, StringType()) if f.name == path_col else f for f in found.fields])
+    back = spark.read.schema(schema).parquet(out)
+    return back.withColumn(path_col, F.coalesce(path_col, F.lit("")))
+
+
+def experiment_window(store: DataFrame, experiments: DataFrame, path_col: str = "experiment") -> DataFrame:
+    """The stored runs of the experiments in a (filtered) table: each run once, however often its experiment is named.
+
+    The dates follow from the paths, so Spark prunes the store's folders by the dates that the filter leaves,
+    when the query runs (dynamic partition pruning, where the table of experiments is small enough for
+    Spark to broadcast it; else the same join reads all folders).
+    """
+    path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+    chosen = experiments.select(path.alias(path_col), _run_date(path))
+    return store.join(chosen, ["run_date", path_col], "left_semi")
+
+
+# ---------------------------------------------------------------- manifests longer than a task
+#: Lines that may stand outside of items; lines that make a file one to be parsed whole: references between
+#: items, line breaks other than the line feed, a byte order mark.
+_OUTSIDE = "^\\s*(#.*)?$"
+_WHOLE = "(^|[\\s\\[{,:-])[&*][^\\s&*]|[\\r\\u0085\\u2028\\u2029\\uFEFF]"
+ITEM_SCHEMA = StructType([*MANIFEST_SCHEMA.fields, StructField("problem", StringType())])
+
+
+def _parsed_items(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of pieces (path, ordinal, text): one item each, or a whole file where ``ordinal`` is missing."""
+    import yaml
+    blank = dict.fromkeys(MANIFEST_SCHEMA.names)
+    for pdf in pdfs:
+        rows = []
+        for path, ordinal, text in zip(pdf["path"], pdf["ordinal"], pdf["text"]):
+            whole = pd.isna(ordinal)
+            try:
+                if "\ufffd" in text:
+                    raise ValueError("not UTF-8")
+                items = yaml.load(text, Loader=_yaml_loader()) or []
+                if not isinstance(items, list):
+                    raise ValueError("not a list")
+            except (yaml.YAMLError, ValueError) as e:
+                rows.append({**blank, "source_file": path, "ordinal": None if whole else int(ordinal), "problem": str(e).splitlines()[0]})
+                continue
+            for i, item in enumerate(items):
+                row = {**blank, "source_file": path, "ordinal": i if whole else int(ordinal), "problem": None}
+                try:
+                    rows.append({**row, **_item_fields(item)})
+                except (AttributeError, TypeError, ValueError, OverflowError) as e:
+                    rows.append({**row, "problem": f"not an item: {str(e).splitlines()[0]}"})
+        out = pd.DataFrame(rows, columns=ITEM_SCHEMA.names, dtype=object)
+        yield out.assign(ordinal=out["ordinal"].astype("Int64"), commit_date=pd.to_datetime(out["commit_date"], utc=True))
+
+
+def read_manifest_items(spark: SparkSession, path: str, glob: str = "*.yaml", split_bytes: int | None = None) -> DataFrame:
+    """S1 for manifests of any length: the rows of ``read_manifests`` and ``problem``, items parsed one by one in many tasks.
+
+    A file is read in splits as lines; an item begins at a line ``- …`` and goes on over the indented lines
+    behind it.  A running count over ranges of (file, position) numbers the items, wherever the splits cut.
+    An item that cannot be parsed, is no mapping, or holds U+FFFD (which also stands for bytes that are not
+    UTF-8) is one row with its ``ordinal`` and ``problem``; the others are not touched.  A file with other lines
+    at its left edge, references between items or unusual line breaks is parsed whole; if that fails, it is
+    one row without ``ordinal``.  Empty files give no rows.  Text in quotes over several lines must be indented,
+    as YAML wants.  One item is one row, so its lines are gathered.  Runs jobs.
+    """
+    from runlens.operators._plan import running_sum
+    from runlens.sources.tree import SPLIT_BYTES
+    ship_package(spark)
+    files = list_tree(spark, path, f"**/{glob}")
+    lines = read_tree_lines(files, path, split_bytes or SPLIT_BYTES)
+    starts, inside = F.col("line").rlike("^-(\\s|$)"), F.col("line").rlike("^[ \\t]")
+    flagged = lines.withColumn("_d", starts.cast("long"))
+    numbered = running_sum(flagged, ["rel"], ["pos"], "_d", "_item", inclusive=True)
+    outside = F.col("line").rlike(_OUTSIDE)
+    head = (F.col("_item") == 0) & (F.col("line") == "---")
+    odd = F.col("line").rlike(_WHOLE) | ~(starts | outside | head | (inside & (F.col("_item") > 0)))
+    whole = materialize(numbered.where(odd).select("rel").distinct(), "whole-manifests")
+    items = (numbered.where("_item > 0").join(whole, "rel", "left_anti").groupBy("rel", "_item")
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_lines")))
+    root = path.rstrip("/")
+    pieces = items.select(F.concat(F.lit(f"{root}/"), "rel").alias("path"), (F.col("_item") - 1).alias("ordinal"),
+                          F.concat(F.array_join("_lines.line", "\n"), F.lit("\n")).alias("text"))
+    texts = read_tree(whole, path).select("path", F.lit(None).cast("long").alias("ordinal"),
+                                          F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+    bad = F.coalesce("text", F.lit("\ufffd")).alias("text")
+    return pieces.unionByName(texts.select("path", "ordinal", bad)).mapInPandas(_parsed_items, ITEM_SCHEMA)

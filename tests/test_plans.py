@@ -118,3 +118,15 @@ def test_ranges_follow_the_tables_read(spark):
     for df in (rows, table.union(rows), table.join(table, "k").join(rows, "k")):
         assert P.ranges_for(df) == least
     assert P.ranges_for(table, 3) == 3
+
+
+def test_stored_guard_needs_no_exchange(spark):
+    p = plan(E.queries()["guard_stored"](spark, SF_SMALL))
+    assert "Exchange" not in p and p.count("SortMergeJoin") == 2 and "Bucketed: true" in p, p
+
+
+def test_window_of_experiments_opens_only_their_dates(spark):
+    df = E.queries()["experiment_window"](spark, SF_SMALL)
+    p = plan(df)
+    assert "dynamicpruning" in p.lower() and "run_date" in p, p
+    assert df.count() > 0

@@ -2,11 +2,12 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import buildlog, corpus as CO, coverage as C
-from runlens.sources import files as S
-from runlens.streaming.progress import progress_counts
+from runlens.sources import files as S, tree as T
+from runlens.streaming.progress import latest_counts, progress_counts, progress_latest
 
 
 def _write(root, rel, data, mode="w"):
@@ -328,3 +329,92 @@ def test_commit_date_in_another_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert [r.t for r in got] == [1704196800, None, 1719914400]
+
+
+def _manifest_folder(files: dict[str, bytes]) -> str:
+    root = tempfile.mkdtemp(prefix="runlens-manifests-")
+    for name, content in files.items():
+        with open(os.path.join(root, name), "wb") as f:
+            f.write(content)
+    return root
+
+
+def _items_of(spark, root, split_bytes):
+    got = S.read_manifest_items(spark, root, split_bytes=split_bytes)
+    return {(os.path.basename(r.source_file), r.ordinal): (r.repo_name, r.commit, r.license, r.test_count and r.test_count.tests_run, r.problem)
+            for r in got.collect()}
+
+
+@pytest.mark.parametrize("split_bytes", [7, 64, 1 << 20])
+def test_manifest_items_equal_the_whole_file(spark, split_bytes):
+    item = "- repo_name: own/r{0}\n  commit: '{0}'\n\n  # note\n  license: |\n    one\n    - two\n  test_count:\n    tests_run: {0}\n"
+    root = _manifest_folder({
+        "plain.yaml": ("# head\n---\n" + "".join(item.format(i) for i in range(30))).encode(),
+        "alias.yaml": b"- repo_name: &n own/a\n  commit: c\n- repo_name: *n\n  commit: d\n",
+        "flow.yaml": b"[{repo_name: x, commit: y},\n {repo_name: z}]\n", "crlf.yaml": b"- repo_name: a\r\n  commit: b\r\n- repo_name: c\r\n",
+        "indented.yaml": b"  - repo_name: i\n  - repo_name: j\n", "bare.yaml": b"-\n  repo_name: k\n- repo_name: l", "empty.yaml": b"", "note.yaml": b"# none\n"})
+    got = _items_of(spark, root, split_bytes)
+    want = {(os.path.basename(r.source_file), r.ordinal): (r.repo_name, r.commit, r.license, r.test_count and r.test_count.tests_run, None)
+            for r in S.read_manifests(spark, root).collect()}
+    assert got == want and len(got) == 30 + 2 + 2 + 2 + 2 + 2
+
+
+def test_manifest_items_that_cannot_be_read(spark):
+    root = _manifest_folder({
+        "m.yaml": b"- repo_name: a\n- repo_name: [b\n  commit: x\n- text\n- repo_name: \xff\n- repo_name: e\n  test_count: 5\n- repo_name: f\n",
+        "whole.yaml": b"repo_name: a\n", "bytes.yaml": b"repo_name: \xff\n"})
+    got = _items_of(spark, root, 16)
+    assert {k: v[0] for k, v in got.items() if v[4] is None} == {("m.yaml", 0): "a", ("m.yaml", 5): "f"}
+    assert {k for k, v in got.items() if v[4]} == {("m.yaml", i) for i in (1, 2, 3, 4)} | {("whole.yaml", None), ("bytes.yaml", None)}
+
+
+def test_one_manifest_fills_many_tasks(spark):
+    root = _manifest_folder({"big.yaml": b"".join(b"- repo_name: own/r%d\n  commit: c\n" % i for i in range(3000))})
+    lines = T.read_tree_lines(T.list_tree(spark, root, "**/*.yaml"), root, 4096)
+    assert lines.select(F.spark_partition_id()).distinct().count() > 1
+    got = _items_of(spark, root, 4096)
+    assert {k[1]: v[0] for k, v in got.items()} == {i: f"own/r{i}" for i in range(3000)}
+
+
+def test_experiment_store(spark):
+    out = tempfile.mkdtemp(prefix="runlens-experiments-") + "/store"
+    rows = [("p/2025-03-04/05-06-07-a", 1), ("p/2025-03-04/09-06-07-b", 2), ("odd", 3), (None, 4), ("p/2025-13-04/05-06-07-c", 5)]
+    S.write_experiment_runs(spark.createDataFrame(rows, "experiment string, run_id long"), out)
+    S.write_experiment_runs(spark.createDataFrame([("p/2025-03-04/09-06-07-b", 6)], "experiment string, run_id long"), out)
+    store = S.read_experiment_runs(spark, out)
+    assert {(r.experiment, r.run_id, str(r.run_date)) for r in store.collect()} == {
+        ("p/2025-03-04/05-06-07-a", 1, "2025-03-04"), ("p/2025-03-04/09-06-07-b", 6, "2025-03-04"), ("odd", 3, S.NO_DATE),
+        ("", 4, S.NO_DATE), ("p/2025-13-04/05-06-07-c", 5, S.NO_DATE)}
+    named = spark.createDataFrame([("odd", 1), ("odd", 2), ("p/2025-03-04/05-06-07-a", 1), (None, 1), ("gone", 1)], "experiment string, n int")
+    assert sorted(r.run_id for r in S.experiment_window(store, named).collect()) == [1, 3, 4]
+
+
+def test_progress_latest_over_restarts(spark):
+    schema = "run string, at int, status string"
+    src, ck = tempfile.mkdtemp(prefix="runlens-latest-"), tempfile.mkdtemp(prefix="runlens-latest-ck-") + "/cp"
+
+    def portion(*rows):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        got = progress_latest(spark, src, schema, "run", ["at"], checkpoint=ck)
+        assert got.columns == ["run", "at", "status"]
+        return {r.run: (r.at, r.status) for r in got.collect()}, {r.status: r.finished for r in latest_counts(got, "status").collect()}
+
+    assert portion() == ({}, {})
+    first = portion(("a", 2, "FAIL"), ("b", 1, "SUCCESS"), (None, 1, "FAIL"))
+    assert first == ({"a": (2, "FAIL"), "b": (1, "SUCCESS"), None: (1, "FAIL")}, {"FAIL": 2, "SUCCESS": 1})
+    assert portion(("a", 1, "SUCCESS"), ("b", 1, "SUCCESS"), ("b", None, "FAIL")) == first      # late, repeated, without a time
+    assert portion() == first
+    assert portion(("a", 3, "SUCCESS"), ("a", 3, "SKIP"))[0]["a"] == (3, "SUCCESS")             # a tie: the greater one
+
+
+def test_progress_latest_runs_a_batch_again(spark):
+    src, ck = tempfile.mkdtemp(prefix="runlens-again-"), tempfile.mkdtemp(prefix="runlens-again-ck-") + "/cp"
+    run = lambda: {r.run: r.status for r in progress_latest(spark, src, "run string, status string", "run", ["status"], checkpoint=ck).collect()}
+    for rows in ([("a", "1"), ("b", "1")], [("a", "2"), ("c", "1")]):
+        spark.createDataFrame(rows, "run string, status string").write.mode("append").parquet(src)
+        before = run()
+    commits = f"{ck}/commits"
+    for name in [n for n in os.listdir(commits) if n.strip(".").startswith("1")]:      # as if the run had failed after its sink had written
+        os.remove(os.path.join(commits, name))
+    assert run() == before == {"a": "2", "b": "1", "c": "1"}
