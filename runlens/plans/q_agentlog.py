@@ -203,3 +203,24 @@ def q_agent_steps_files(spark, sf_dir):
     steps = agentlog.parse_agent_log_lines(S.read_agent_log_lines(spark, root))
     return steps.select(F.regexp_extract("run_id", "own_r([0-9]+)$", 1).cast("bigint").alias("run_id"), "step_pos", "header_step", "run_header",
                         "description", "model_info", "code", "warnings", "execution_logs", "out", "raw_text", "meta.*")
+
+
+_B3_SECTIONS = f"""
+SELECT run_id, j AS step_pos, 'code' AS section, '  ' || p AS line FROM q WHERE kind IN (0, 1)
+UNION ALL SELECT run_id, j, 'code', '{BORDER_SPACED}' FROM q WHERE kind = 0
+UNION ALL SELECT run_id, j, 'warnings', 'Warning to user: ' || p FROM q WHERE kind = 3
+UNION ALL SELECT run_id, j, 'execution_logs', unnest(CASE WHEN has_mvn
+    THEN ['[INFO] Scanning for projects...', '[INFO] ' || {_MARKERS_SQL}[mk + 1], p, ''] ELSE [p, ''] END) FROM q WHERE kind = 2
+UNION ALL SELECT run_id, j, 'out', CASE kind WHEN 2 THEN CAST(j AS VARCHAR) ELSE '' END FROM q WHERE kind IN (2, 4)
+UNION ALL SELECT run_id, j, 'raw_text', unnest([p, 'Out:']) FROM q WHERE kind = 4
+UNION ALL SELECT run_id, j, 'raw_text', '[Step ' || CAST(j AS VARCHAR) || ': Duration ' || CAST(j AS VARCHAR)
+    || '.25 seconds| Input tokens: ' || format('{{:,}}', length(p) * 1000) || ' | Output tokens: ' || CAST(turn AS VARCHAR) || ']'
+  FROM q WHERE kind = 4 AND has_meta"""
+
+
+@register("agent_step_pieces", oracle=_PARAS + _B3_SECTIONS)
+def q_agent_step_pieces(spark, sf_dir):
+    """X3 in pieces: the lines of every section of every step, from its pieces.  Writes its lines at the time of the call."""
+    from runlens.operators.agentpieces import agent_step_pieces
+    pieces = agent_step_pieces(b3_agent_log_lines(spark, sf_dir), piece_chars=4096)
+    return pieces.select("run_id", "step_pos", "section", F.explode(F.split("text", "\n", -1)).alias("line"))

@@ -185,3 +185,48 @@ def test_line_form_matches_in_row_form(spark):
     a = sorted(tuple(x) for x in agentlog.parse_agent_logs(df).select(*cols).collect())
     b = sorted(tuple(x) for x in agentlog.parse_agent_log_lines(lines, n_ranges=8).select(*cols).collect())
     assert a == b
+
+
+def test_line_functions_compose():
+    from runlens.operators.agentpieces import CLOSE, SAME, then
+    apply = lambda fn, kind: kind if fn == SAME else (agentlog.NONE if kind == agentlog.CODE else kind) if fn == CLOSE else fn
+    every = [SAME, CLOSE, *range(5)]
+    for a in every:
+        for b in every:
+            assert all(apply(then(a, b), kind) == apply(b, apply(a, kind)) for kind in range(5))
+            assert all(then(then(a, b), c) == then(a, then(b, c)) for c in every)
+
+
+@pytest.mark.parametrize("n_ranges, piece_chars", [(1, 1 << 20), (9, 40), (40, 1)])
+def test_pieces_joined_are_the_sections(spark, n_ranges, piece_chars):
+    from pyspark.sql import functions as F
+    from runlens.operators.agentpieces import agent_step_pieces
+    r = random.Random(5)
+    logs = [_random_log(r) for _ in range(60)]
+    step = f"{BAR} Step 1 {BAR}"
+    # Ends of logs, borders in and out of code, unusual line breaks, steps with nothing in them.
+    logs += ["", "no step", step, step + "\n", f"{step}\nExecution logs:", f"{step}\nExecution logs:\n", f"{step}\nExecution logs:\n\n",
+             f"{step}\nExecution logs:\n\x0b", f"{step}\nWarning to user: a\x0bb\r\nc\r", f"{step}\n{'─' * 9}\nleft", f"{step}\nOut: 1\nOut:\nrest",
+             f"{step}\n ─ Executing parsed code: ──\nx\n{'─' * 9}\ny\nExecution logs:\n{'─' * 9}\nz\n{step}\n{step}\n\n"]
+    # One step with most of all lines, whose code and logs go on over many ranges.
+    logs.append("\n".join(["head", step, " ─ Executing parsed code: ──", *(f"x{i}" for i in range(700)), "─" * 20, *(f"no {i}" for i in range(300)),
+                           "Execution logs:", *(f"log {i}" for i in range(900)), f"{BAR} Step 2 {BAR}", *(f"free {i}" for i in range(500))]))
+    df = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(logs)], "run_id long, log string")
+    lines = df.select("run_id", F.posexplode(F.split("log", "\n", -1)).alias("pos", "line"))
+    pieces = agent_step_pieces(lines, n_ranges=n_ranges, piece_chars=piece_chars)
+    got = {}
+    for p in sorted(pieces.collect(), key=lambda p: p.piece):
+        got.setdefault((p.run_id, p.step_pos, p.section), []).append(p.text)
+    names = ("code", "warnings", "execution_logs", "out", "raw_text")
+    want = {(s.run_id, s.step_pos, n): s[n] for s in agentlog.parse_agent_logs(df).collect() for n in names if s[n] is not None}
+    assert {k: "\n".join(v).strip() for k, v in got.items()} == want
+    if n_ranges > 1:
+        assert len(got[len(logs) - 1, 0, "execution_logs"]) > 3 and len(got[len(logs) - 1, 1, "raw_text"]) > 1
+
+
+def test_pieces_of_an_empty_table(spark):
+    from runlens.operators.agentpieces import agent_step_pieces
+    none = spark.createDataFrame([], "run_id long, pos int, line string")
+    assert agent_step_pieces(none).collect() == []
+    one = spark.createDataFrame([(1, 0, f"{BAR} Step 1 {BAR}"), (1, 1, None), (1, 2, "x")], "run_id long, pos int, line string")
+    assert [tuple(p)[:3] + (p.text,) for p in agent_step_pieces(one, n_ranges=1).collect()] == [(1, 0, "raw_text", "\nx")]
