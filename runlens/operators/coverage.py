@@ -41,14 +41,20 @@ def report_counters(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
     ``xml_col`` is text or (better, as files have it) binary.  Reports that are malformed, badly encoded
     or hold a counter that is no 64-bit integer get ``valid = false`` and NULL counters: the reference
     skips bad reports and goes on.
+
+    In two stages: a pattern proves most reports regular, and column functions count those; the parser in
+    Python workers is handed the texts of the others only (NULL stands for a regular one).
     """
     ship_package(reports.sparkSession)
+    others = [x for x in reports.columns if x != xml_col]
+    screened = reports.withColumn("_regular", X.regular_report(xml_col))
+    counted = screened.select(*others, "_regular", F.when(F.col("_regular"), X.regular_counters(xml_col)).alias("_sums"),
+                              F.when(~F.col("_regular"), F.col(xml_col)).alias("_doubtful"))
     # The report text is dropped before the one-row generator, so it is not copied again.
-    staged = evaluate_once(reports.withColumn("_c", X.coverage_counters(xml_col)).drop(xml_col))
+    staged = evaluate_once(counted.withColumn("_c", X.coverage_counters("_doubtful")).drop("_doubtful"))
     names = ("line_missed", "line_covered", "method_missed", "method_covered")
-    valid = F.coalesce(F.col("_c.message") == X.WELL_FORMED_MSG, F.lit(False))
-    return staged.select(*[x for x in reports.columns if x != xml_col], valid.alias("valid"),
-                         *[F.col(f"_c.{f}").alias(f) for f in names])
+    valid = F.col("_regular") | F.coalesce(F.col("_c.message") == X.WELL_FORMED_MSG, F.lit(False))
+    return staged.select(*others, valid.alias("valid"), *[F.coalesce(f"_sums.{f}", f"_c.{f}").alias(f) for f in names])
 
 
 def _summary(missed, covered, prefix: str):

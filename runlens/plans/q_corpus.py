@@ -115,6 +115,38 @@ def q_corpus_layout(spark, sf_dir):
     return CO.corpus_layout(CO.corpus_pieces(b7_source_files(spark, sf_dir)))
 
 
+@register("corpus_tree", oracle="""
+WITH f AS (
+  SELECT 'r' || CAST(doc_id // 16 % 50 AS VARCHAR) AS repo,
+         '/repos/r' || CAST(doc_id // 16 % 50 AS VARCHAR) || '/src/d' || CAST(doc_id AS VARCHAR) || '.py' AS path, COALESCE(text, '') AS text
+  FROM documents WHERE doc_id % 19 <> 0),
+p AS (SELECT repo, path, chr(10) || '--- File: ' || path || ' ---' || chr(10) || text AS piece FROM f)
+SELECT repo, path,
+       CAST(COALESCE(SUM(length(piece) + 1) OVER (PARTITION BY repo ORDER BY path
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+       CAST(length(piece) AS BIGINT) AS file_chars, md5(piece) AS file_md5
+FROM p""")
+def q_corpus_tree(spark, sf_dir):
+    """Q5 from files: every document written as a source file, laid out from splits of 16 KB (many texts are longer); pieces brought together per file.
+
+    A byte that is no UTF-8 stands at the end of the file when doc_id % 38 = 0 and at its start when
+    doc_id % 38 = 19.  Offsets of a file's pieces must follow each other: a gap would show in ``offset``,
+    which is each piece's place less the characters before it.  Writes its files at the time of the call.
+    """
+    i, text, bad = F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FF"))
+    content = F.when(i % 38 == 0, F.concat(text, bad)).when(i % 38 == 19, F.concat(bad, text)).otherwise(text)
+    rel = F.format_string("r%d/src/d%d.py", F.expr("doc_id div 16 % 50"), i)
+    root = B.files_written(B.table(spark, sf_dir, "documents").select(rel.alias("rel"), content.alias("content")), "corpus")
+    pieces = CO.corpus_tree_layout(spark, root, shown_root="/repos", split_bytes=16 << 10)
+    files = pieces.groupBy("repo", "path").agg(
+        F.array_sort(F.collect_list(F.struct("start", "offset", "piece_chars", "piece"))).alias("p"))
+    before = F.aggregate("p", F.struct(F.lit(0).cast("bigint").alias("chars"), F.col("p")[0]["offset"].alias("at")),
+                         lambda acc, x: F.struct((acc["chars"] + x["piece_chars"]).alias("chars"),
+                                                 F.when(x["offset"] - acc["chars"] == acc["at"], acc["at"]).alias("at")))
+    return files.select("repo", "path", before["at"].alias("offset"), before["chars"].alias("file_chars"),
+                        F.md5(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("file_md5"))
+
+
 @register("corpus_summary", oracle=f"""
 SELECT repo, CAST(COUNT(*) AS BIGINT) AS n_files, CAST(SUM(length(piece)) + COUNT(*) - 1 AS BIGINT) AS total_chars
 FROM ({_PIECES_SQL}) GROUP BY repo""")

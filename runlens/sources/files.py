@@ -269,8 +269,8 @@ def scan_coverage_reports(spark: SparkSession, root: str) -> DataFrame:
     return read_tree(files, root).select("path", F.col("content").alias("xml"))
 
 
-def scan_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
-    """Files under ``root/<repo>/...`` as (repo, rel_path, path, content).
+def list_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """S7 without contents: files under ``root/<repo>/...`` as (repo, rel_path, rel, size).
 
     With ``extensions`` (e.g. the corpus defaults) the corpus rule (P2: no hidden parts, allowed
     extension) is applied to the listing, so other files are never opened.
@@ -280,7 +280,14 @@ def scan_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFra
     files = list_tree(spark, root).where(F.col("rel").contains("/"))
     if extensions is not None:
         files = files.where(code_file_filter(rel_path, extensions))
-    return read_tree(files, root).select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("repo"), rel_path.alias("rel_path"), "path", "content")
+    return files.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("repo"), rel_path.alias("rel_path"), "rel", "size")
+
+
+def scan_source_tree(spark: SparkSession, root: str, extensions=None) -> DataFrame:
+    """Files under ``root/<repo>/...`` as (repo, rel_path, path, content); ``extensions`` as in ``list_source_tree``."""
+    read = read_tree(list_source_tree(spark, root, extensions), root)
+    return read.select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("repo"), F.regexp_extract("rel", "^[^/]+/(.*)$", 1).alias("rel_path"),
+                       "path", "content")
 
 
 def _log_lines(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -177,6 +177,62 @@ def read_tree(files: DataFrame, root: str) -> DataFrame:
     return _spread(files.select("rel")).mapInArrow(run, "path string, rel string, content binary")
 
 
+def file_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The rows of listed files, each once for every ``split_bytes`` of the file, with ``start``; an empty file has one split."""
+    ends = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(split_bytes).cast("long"))
+    return _spread(files.withColumn("start", F.explode(ends)))
+
+
+def _characters(f, start: int, split_bytes: int) -> bytes:
+    """The bytes of the split at ``start``, both ends moved on to the next UTF-8 character (by three bytes at most)."""
+    f.seek(start)
+    raw = f.read(split_bytes + 3)
+
+    def behind(at: int) -> int:
+        return next((i for i in range(at, min(at + 3, len(raw))) if raw[i] & 0xC0 != 0x80), min(at + 3, len(raw)))
+
+    return raw[behind(0) if start else 0:behind(split_bytes)]
+
+
+def _with_splits(splits: DataFrame, root: str, split_bytes: int, field: str, value: pa.DataType, of) -> DataFrame:
+    if split_bytes < 4:
+        raise ValueError("a split must hold a character")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_root(root)
+        for batch in batches:
+            first, found, held = 0, [], 0
+            for i, (rel, start) in enumerate(zip(batch.column("rel").to_pylist(), batch.column("start").to_pylist())):
+                with system.open_input_file(f"{base}/{rel}") as f:
+                    data = _characters(f, start, split_bytes)
+                try:
+                    found.append(of(data.decode("utf-8")))
+                except UnicodeDecodeError:
+                    found.append(None)
+                held += len(data)
+                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(first, len(found))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, type=value)], names=[*batch.schema.names, field.split()[0]])
+                    first, found, held = i + 1, [], 0
+
+    ship_package(splits.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in splits.schema.fields)
+    return splits.mapInArrow(run, f"{schema}, {field}")
+
+
+def split_chars(splits: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``chars``: the code points of each split (rows of ``file_splits``), NULL where its bytes are not UTF-8.
+
+    Ends of splits are moved to characters, so a file is valid UTF-8 if all its splits are.
+    """
+    return _with_splits(splits, root, split_bytes, "chars long", pa.int64(), len)
+
+
+def split_texts(splits: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``text`` of each split, cut where ``split_chars`` counts; the texts of a file by ``start`` make up the file."""
+    return _with_splits(splits, root, split_bytes, "text string", pa.string(), str)
+
+
 def read_tree_lines(files: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """rel, pos and line of listed text files; ``pos`` is the line's byte offset in its file.
 

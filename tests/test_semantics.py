@@ -294,3 +294,41 @@ def test_line_edit_functions(spark):
                                          ('openjdk version "21.0.1"', 17, False)])
 def test_java_version(spark, txt, jdk, ok):
     assert one(spark, T.java_version_ok(F.col("v"), jdk), txt) is ok
+
+
+_REGULAR = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><!DOCTYPE report PUBLIC "-//JACOCO//DTD Report 1.1//EN" "report.dtd">'
+            '<report name="a &amp; b"><sessioninfo id="é" start="1" dump="2"/><group name="g"><package name="p"><class name="A" sourcefilename="A.java">'
+            '<method name="&lt;init&gt;" desc="()V" line="3"><counter type="LINE" missed="1" covered="2"/></method>'
+            '<counter type="METHOD" missed="3" covered="4"/></class><sourcefile name="A.java"><line nr="1" mi="0" ci="1" mb="0" cb="0"/>'
+            '<counter type="LINE" missed="10" covered="20"/></sourcefile></package></group>\n<counter type="BRANCH" missed="7" covered="7"/></report>\n')
+
+
+def test_regular_reports_are_counted_without_the_parser(spark):
+    """What the screen takes for regular counts as the parser counts it; what it is not sure of goes to the parser."""
+    from runlens.functions import xml as X
+    irregular = {
+        "cut": _REGULAR[:-12], "twice": _REGULAR.replace('type="LINE"', 'type="LINE" type="LINE"', 1),
+        "entity": _REGULAR.replace("&amp;", "&other;"), "markup": _REGULAR.replace("&amp;", "<"), "bare": _REGULAR.replace("&amp;", "&"),
+        "control": _REGULAR.replace("&amp;", "\x01"), "crossed": _REGULAR.replace("</package></group>", "</group></package>"),
+        "tail": _REGULAR + "<a/>", "gap": " " + _REGULAR, "big": _REGULAR.replace('covered="20"', 'covered="12345678901"'),
+        "word": _REGULAR.replace('covered="20"', 'covered="x"'), "order": _REGULAR.replace('missed="10" covered="20"', 'covered="20" missed="10"'),
+        "comment": _REGULAR.replace("<sessioninfo", '<!-- <counter type="LINE" missed="9" covered="9"/> --><sessioninfo'),
+        "other": "<report><thing type='LINE' missed='1' covered='5'/></report>", "empty": "", "root": "<a/>"}
+    rows = [("regular", _REGULAR.encode()), ("plain", b'<report name="r"/>'), ("deep", _REGULAR.replace("</package>", "</package>" + (
+        '<package name="q">' + '<counter type="LINE" missed="1" covered="1"/>' * 50_000 + "</package>") * 4).encode())]
+    rows += [(n, t.encode()) for n, t in irregular.items()] + [("null", None), ("bytes", _REGULAR.encode().replace(b"\xc3\xa9", b"\xc3"))]
+    df = spark.createDataFrame([(n, bytearray(t) if t is not None else None) for n, t in rows], "name string, xml binary")
+    screened = {r.name for r in df.where(X.regular_report("xml")).collect()}
+    assert screened == {"regular", "plain", "deep"}
+    got = {r.name: tuple(r)[1:] for r in C.report_counters(df).collect()}
+    for name, xml in rows:
+        message, *sums = X._count_one(xml)
+        assert got[name] == (message == X.WELL_FORMED_MSG, *sums), name
+    assert got["deep"] == (True, 200_011, 200_022, 3, 4) and got["order"][0] and not got["twice"][0]
+
+
+def test_only_doubtful_reports_reach_the_parser(spark):
+    df = spark.createDataFrame([("a", bytearray(b"<report/>"))], "name string, xml binary")
+    plan = C.report_counters(df)._jdf.queryExecution().executedPlan().toString()
+    asked = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "CASE WHEN NOT _regular" in asked and plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan

@@ -418,3 +418,30 @@ def test_progress_latest_runs_a_batch_again(spark):
     for name in [n for n in os.listdir(commits) if n.strip(".").startswith("1")]:      # as if the run had failed after its sink had written
         os.remove(os.path.join(commits, name))
     assert run() == before == {"a": "2", "b": "1", "c": "1"}
+
+
+@pytest.mark.parametrize("split_bytes", [4, 7, 64 << 10])
+def test_corpus_of_split_files_equals_whole_files(spark, split_bytes):
+    """Splits end at characters, empty files count, a bad byte in any split drops the file, hidden and other files are not read."""
+    root = tempfile.mkdtemp(prefix="runlens-splits-")
+    long = 200_000 if split_bytes > 100 else 50
+    texts = {"hot/a.py": "aé€😀\n" * long, "hot/b.py": "", "hot/sub/c.py": "x\r\ny", "cold/z.java": "日本", "cold/😀.py": "ü"}
+    for rel, text in texts.items():
+        _write(root, rel, text)
+    _write(root, "hot/.git/d.py", "hidden")
+    _write(root, "hot/e.txt", "no code")
+    body = b"good text " * long
+    for name, bad in {"first": b"\xff" + body, "last": body + b"\xe2\x82", "middle": body + b"\xff" + body, "stray": b"\x80" * 9 + body}.items():
+        os.makedirs(f"{root}/cold", exist_ok=True)
+        with open(f"{root}/cold/{name}.py", "wb") as f:
+            f.write(bad)
+    got = CO.corpus_tree_layout(spark, root, shown_root="/w", split_bytes=split_bytes).collect()
+    for repo in ("hot", "cold"):
+        whole = "\n".join(f"\n--- File: /w/{rel} ---\n{text}" for rel, text in sorted(texts.items()) if rel.startswith(repo + "/"))
+        mine = sorted((r for r in got if r.repo == repo), key=lambda r: (r.path, r.start))
+        assert [r.piece for r in mine] == [whole[r.offset:r.offset + r.piece_chars] for r in mine]
+        assert sum(r.piece_chars for r in mine) == len(whole) - (len({r.path for r in mine}) - 1)
+    assert len(got) > len(texts) + 5
+    assert {r.path for r in got} == {f"/w/{rel}" for rel in texts}
+    empty = tempfile.mkdtemp(prefix="runlens-splits-")
+    assert CO.corpus_tree_layout(spark, empty).count() == 0
