@@ -5,18 +5,23 @@ Nearness is the inner product.  Vectors are lifted by one coordinate,
 inner product into smallest Euclidean distance.
 
 1. The tree is fitted by k-means, node by node, on a bounded sample (SAMPLE
-   vectors, chosen by a hash of the id); every row is then sent down to a leaf.
+   vectors, chosen by a hash of the id).  Then it grows with the table: every
+   leaf that holds more than CELL_ROWS rows is split further in a task of its
+   own, on a sample of its own rows, round by round, until no leaf is too large
+   or the tree has MAX_LEAVES leaves (every task holds the tree).
 2. A query walks the tree with a priority queue: the nearest open node is opened
    next, leaves are visited in the order in which they come up.  How many leaves
-   are visited is calibrated: the number is widened on sample queries until
-   their exact neighbours are found at RECALL, and for each query it is widened
+   are visited is calibrated against the whole table: the exact neighbours of
+   CALIBRATION sample queries among all rows are found, the number is widened
+   until RECALL of them lie in visited leaves, and for each query it is widened
    further until the visited leaves hold enough ids.
 3. Leaves are packed into cells of about CELL_ROWS rows; a leaf that holds more
    rows (a hot one) is spread over several cells.  Rows move once to their cell,
    a query moves to each cell that has a visited leaf, and the matrix product
    there gives the best K of the cell by exact double-precision scores.
 
-Only vec_id and embedding are read.  Rows without id, and vectors that are null,
+Only vec_id and embedding are read, whatever other columns are called; an empty
+table gives no rows.  Rows without id, and vectors that are null,
 zero, of another than the most common length or that hold null or non-finite
 components, take no part.  Rows that repeat a vec_id stand for one vector (its
 best row counts); equal scores go to the smaller vec_id.
@@ -25,6 +30,8 @@ best row counts); equal scores go to the smaller vec_id.
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +45,9 @@ from runlens.llm._common import prepare, written
 SAMPLE = 20_000
 BRANCH = 8
 LEAF_SAMPLE = 100           # a node with at most so many sample vectors is a leaf
+PART_SAMPLE = 4096          # rows on which a leaf that is too large is split further
+PART_ROWS = 512             # rows below which such a split does not go
+MAX_LEAVES = 32_768         # about so many leaves at most, since every task holds the tree
 CALIBRATION = 300           # sample queries
 RECALL = 0.95
 CELL_ROWS = 4096
@@ -76,6 +86,17 @@ class Tree:
             todo = todo[self.leaf[node[todo]] < 0]
         return self.leaf[node]
 
+    def graft(self, leaf: int, part: Tree) -> None:
+        """Put a tree in the place of a leaf; its first leaf takes the old number, the others follow the last one."""
+        at, shift = int(np.flatnonzero(self.leaf == leaf)[0]), len(self.leaf) - 1       # the part's root is the old leaf
+        numbers = np.where(part.leaf > 0, part.leaf + self.leaves - 1, np.where(part.leaf == 0, leaf, -1))
+        kids = [[k + shift for k in own] for own in part.children]
+        self.centres = np.concatenate((self.centres, part.centres[1:]))
+        self.children[at] = kids[0]
+        self.children += kids[1:]
+        self.leaf = np.concatenate((self.leaf, numbers[1:]))
+        self.leaf[at] = -1
+
     def visit(self, query: np.ndarray) -> Iterator[int]:
         """Leaves in best-bin-first order."""
         lifted = np.append(query, 0.0)
@@ -95,7 +116,7 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
 
 
-def fit_tree(sample: np.ndarray, largest: float, seed: int = 11) -> Tree:
+def fit_tree(sample: np.ndarray, largest: float, seed: int = 11, leaf_sample: int = LEAF_SAMPLE) -> Tree:
     rng = np.random.default_rng(seed)
     tree = Tree(np.empty((0, sample.shape[1] + 1)), [[]], np.empty(0, dtype=np.int64), largest)
     lifted = tree.lift(sample)
@@ -103,7 +124,7 @@ def fit_tree(sample: np.ndarray, largest: float, seed: int = 11) -> Tree:
     todo, leaves = [(0, np.arange(len(lifted)))], 0
     while todo:
         node, own = todo.pop()
-        parts = _split(lifted[own], rng) if len(own) > LEAF_SAMPLE else []
+        parts = _split(lifted[own], rng) if len(own) > leaf_sample else []
         if len(parts) < 2:
             leaf[node] = leaves
             leaves += 1
@@ -140,11 +161,15 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL) ->
         order = np.empty(tree.leaves, dtype=np.int64)
         order[list(tree.visit(sample[q]))] = np.arange(tree.leaves)
         places.append(order[leaf[best]])
-    place = np.concatenate(places)
+    return widened(np.concatenate(places), tree.leaves, recall)
+
+
+def widened(place: np.ndarray, leaves: int, recall: float = RECALL) -> int:
+    """Leaf visits, widened until the wanted part of the neighbours, given by the visit that finds each, is found."""
     visits = 1
-    while visits < tree.leaves and (place < visits).mean() < recall:
+    while visits < leaves and (place < visits).mean() < recall:
         visits += max(1, visits // 4)
-    return min(visits, tree.leaves)
+    return min(visits, leaves)
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -179,36 +204,47 @@ def _profile(vectors: DataFrame) -> tuple[int, int, float] | None:
     return (rows[0].dim, rows[0].n, rows[0].norm) if rows else None
 
 
-def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> tuple[Tree, int] | None:
-    """(tree with calibrated visits, length of its vectors); None without any vector."""
+@dataclass
+class Index:
+    """The calibrated tree, the rows beside their leaf, and rows and ids of each leaf."""
+
+    tree: Tree
+    dim: int
+    placed: DataFrame
+    held: np.ndarray
+    ids_held: np.ndarray
+
+
+def build(vectors: DataFrame, is_query: Column, k: int, sample: int = SAMPLE) -> Index | None:
+    """Index of all vectors that take part; None without any.  Runs several jobs."""
+    prepare(vectors.sparkSession)
+    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding", is_query.alias("query")).where("vec_id is not null and embedding is not null")
     profile = _profile(vectors)
     if profile is None:
         return None
     dim, rows, norm = profile
     rate = min(1.0, 1.1 * sample / rows)
     chosen = (vectors.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(rate * (1 << 30))))
-              .limit(sample + sample // 5).toArrow())
+              .select("vec_id", "embedding").limit(sample + sample // 5).toArrow())
     _, order = np.unique(chosen.column("vec_id").to_numpy(), return_index=True)     # copies are no neighbours of their own
     at, x = _matrix(chosen.column("embedding").combine_chunks().take(pa.array(order)), dim)
+    ids = chosen.column("vec_id").to_numpy()[order][at]
     if not len(x):                                          # a few odd rows and none of them in the sample
-        x = np.zeros((1, dim))
-    tree = fit_tree(x, norm)
-    tree.visits = calibrate(tree, x, k) if len(x) > 1 else 1
-    return tree, dim
+        ids, x = np.zeros(1, dtype=np.int64), np.zeros((1, dim))
+    tree = grown(vectors, fit_tree(x, norm), dim)
+    placed = written(_placed(vectors, tree, dim), "ann-leaves")
+    held, ids_held = (_by_leaf(p, tree) for p in (placed, placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf"))))  # an id counts in one leaf
+    step = max(1, len(x) // CALIBRATION)
+    place = _visit_places(placed, tree, dim, ids[::step], x[::step], k)
+    tree.visits = widened(place, tree.leaves) if len(place) else 1
+    return Index(tree, dim, placed, held, ids_held)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest rows found for each row for which ``is_query`` holds."""
-    spark = vectors.sparkSession
-    prepare(spark)
-    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding").where("vec_id is not null and embedding is not null")
-    built = build(vectors, k)
-    if built is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree, dim = built
-    shared = spark.sparkContext.broadcast(tree)             # bounded by SAMPLE vectors
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(vectors: DataFrame, tree: Tree, dim: int) -> DataFrame:
+    """vec_id, leaf, x, query of the vectors that take part."""
+    shared = vectors.sparkSession.sparkContext.broadcast(tree)          # bounded by MAX_LEAVES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = _matrix(batch.column("embedding"), dim)
             yield pa.RecordBatch.from_arrays(
@@ -216,15 +252,111 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dim, type=pa.int32()), pa.array(x.ravel())), batch.column("query").take(pa.array(rows))],
                 names=["vec_id", "leaf", "x", "query"])
 
-    placed = written(vectors.select("vec_id", "embedding", is_query.alias("query"))
-                     .mapInArrow(leaves, "vec_id long, leaf int, x array<double>, query boolean"), "ann-leaves")
+    return vectors.select("vec_id", "embedding", "query").mapInArrow(run, "vec_id long, leaf int, x array<double>, query boolean")
+
+
+def _by_leaf(placed: DataFrame, tree: Tree) -> np.ndarray:
     held = np.zeros(tree.leaves, dtype=np.int64)
     for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():     # one row per leaf
         held[r.leaf] = r.n
-    first_cell, cells = _cells(held)
-    ids_held = np.zeros(tree.leaves, dtype=np.int64)        # an id counts in one leaf, wherever its rows are
-    for r in placed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect():
-        ids_held[r.leaf] = r.n
+    return held
+
+
+def grown(vectors: DataFrame, tree: Tree, dim: int) -> Tree:
+    """The tree with every leaf of more than CELL_ROWS rows split further, the largest first if there is no room for all.
+
+    A round counts the rows of the leaves and splits each leaf that is too large in one task, on about PART_SAMPLE of its
+    rows.  A leaf of vectors that k-means does not part (copies, say) stays as it is; its rows are spread over cells later.
+    """
+    whole: set[int] = set()
+    while True:
+        placed = _placed(vectors, tree, dim)
+        held = _by_leaf(placed.select("leaf"), tree)
+        large = [leaf for leaf in np.argsort(-held, kind="stable").tolist() if held[leaf] > CELL_ROWS and leaf not in whole]
+        large = large[:max(0, MAX_LEAVES - tree.leaves) // BRANCH ** 2]
+        if not large:
+            return tree
+        rates = vectors.sparkSession.createDataFrame([(leaf, PART_SAMPLE / int(held[leaf]), int(held[leaf])) for leaf in large],
+                                                     "leaf int, rate double, n long")
+        drawn = placed.select("leaf", "x").join(F.broadcast(rates), "leaf").where(F.rand(17) < F.col("rate"))   # rows, so copies of an id too
+
+        largest = tree.largest
+
+        def fit(part: pa.Table) -> pa.Table:
+            x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            least = math.ceil(PART_ROWS * len(x) / part.column("n")[0].as_py())
+            found = fit_tree(x, largest, leaf_sample=max(LEAF_SAMPLE, least))
+            return pa.table({"leaf": part.column("leaf").slice(0, 1), "part": pa.array([pickle.dumps(found)], type=pa.binary())})
+
+        parts = {r.leaf: r.part for r in drawn.groupBy("leaf").applyInArrow(fit, "leaf int, part binary").collect()}    # bounded by MAX_LEAVES
+        for leaf in large:
+            part = pickle.loads(parts[leaf]) if leaf in parts else None
+            if part is None or part.leaves < 2:
+                whole.add(leaf)
+            else:
+                tree.graft(leaf, part)
+
+
+def _visit_places(placed: DataFrame, tree: Tree, dim: int, ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For each exact neighbour, among all rows, of the few queries: how many leaves are visited before its own."""
+    spark = placed.sparkSession
+    shared = spark.sparkContext.broadcast((tree, ids, queries))
+
+    def nearest_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, own, q = shared.value
+        best = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))] * len(q)
+        least = np.full(len(q), -np.inf)
+        for batch in batches:
+            names, leaf = batch.column("vec_id").to_numpy(), batch.column("leaf").to_numpy()
+            score = q @ batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).T
+            score[own[:, None] == names[None, :]] = -np.inf
+            for i in np.flatnonzero((score > least[:, None]).any(axis=1)).tolist():
+                some = np.flatnonzero(score[i] > least[i])
+                s, n, f = (np.concatenate(c) for c in zip(best[i], (score[i, some], names[some], leaf[some])))
+                order = np.lexsort((n, -s))
+                order = order[np.sort(np.unique(n[order], return_index=True)[1])][:k]       # an id once, by its best row
+                best[i] = (s[order], n[order], f[order])
+                least[i] = s[order][-1] if len(order) == k else -np.inf
+        for i, (s, n, f) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(s), type=pa.int32()), pa.array(n, type=pa.int64()), pa.array(s, type=pa.float64()),
+                                              pa.array(f, type=pa.int32())], names=["q", "vec_id", "score", "leaf"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walker, _, q = shared.value
+        for batch in batches:
+            wanted: dict[int, list[int]] = {}
+            for i, leaf in zip(batch.column("q").to_pylist(), batch.column("leaf").to_pylist()):
+                wanted.setdefault(i, []).append(leaf)
+            for i, leaves in wanted.items():
+                left, found = set(leaves), {}
+                for n, leaf in enumerate(walker.visit(q[i])):
+                    if leaf in left:
+                        found[leaf] = n
+                        left.remove(leaf)
+                        if not left:
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([found[leaf] for leaf in leaves], type=pa.int64())], names=["place"])
+
+    of_tasks = placed.select("vec_id", "leaf", "x").mapInArrow(nearest_of_task, "q int, vec_id long, score double, leaf int")
+    of_all = (of_tasks.groupBy("q", "vec_id").agg(F.max(F.struct("score", "leaf")).alias("b"))
+              .withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("b.score"), "vec_id"))).where(F.col("n") <= k))
+    found = of_all.select("q", F.col("b.leaf").alias("leaf")).repartition("q").mapInArrow(places, "place long")
+    return np.array([r.place for r in found.collect()], dtype=np.int64)       # k numbers for each of a few hundred queries
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest rows found for each row for which ``is_query`` holds."""
+    index = build(vectors, is_query, k)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(index, k)
+
+
+def search(index: Index, k: int = 20) -> DataFrame:
+    """The k nearest rows found for each query of the index, with the visits calibrated for k."""
+    dim, placed, ids_held = index.dim, index.placed, index.ids_held
+    shared = placed.sparkSession.sparkContext.broadcast(index.tree)
+    first_cell, cells = _cells(index.held)
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows to their cell (probe null), queries to every cell with a visited leaf (probe: those leaves)."""

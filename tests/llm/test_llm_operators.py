@@ -472,6 +472,51 @@ def test_a_hot_vector_is_spread_over_cells(spark, monkeypatch):
         assert [v for _, v in sorted(got[q])] == best
 
 
+def _share_scored(index, queries):
+    """Part of the rows that lie in leaves which a query visits."""
+    import itertools
+    seen = [sum(int(index.held[leaf]) for leaf in itertools.islice(index.tree.visit(q), index.tree.visits)) for q in queries]
+    return sum(seen) / len(seen) / int(index.held.sum())
+
+
+def test_the_tree_grows_with_the_table(spark, monkeypatch):
+    """Over a clustered table of ten times the rows a smaller share of them is scored, at the same recall; no leaf stays large."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 400)
+    monkeypatch.setattr(ann, "PART_ROWS", 50)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(400, 8)) * 4
+    x = centres[rng.integers(0, 400, 20_000)] + rng.normal(size=(20_000, 8)) * 0.4
+    x[::7] = x[0]                                               # a hot vector, which no split parts
+    x[::7] *= 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = [q for q in range(0, 20_000, 200) if q % 7]
+    share, recall, index = {}, {}, None
+    for rows in (2_000, 20_000):
+        index = ann.build(df.where(F.col("vec_id") < rows), F.col("vec_id") % 200 == 0, 10, sample=400)
+        own = [q for q in queries if q < rows]
+        share[rows] = _share_scored(index, x[own])
+        got = {}
+        for r in ann.search(index, 10).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        best = {q: set(b) for q, b, _ in _brute_nearest(np.arange(rows), x[:rows], own, 10)}
+        recall[rows] = sum(len(best[q] & got[q]) for q in own) / (10 * len(own))
+    hot = index.tree.assign(x[:1])[0]
+    assert sorted(index.held.tolist())[-2] <= 3 * 400 and index.held[hot] >= 20_000 // 7
+    assert sorted(index.tree.visit(x[3])) == list(range(index.tree.leaves)) and index.held.sum() == 20_000
+    assert share[20_000] < 0.7 * share[2_000] and min(recall.values()) >= 0.9, (share, recall)
+
+
+def test_the_tree_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 50)
+    monkeypatch.setattr(ann, "PART_ROWS", 10)
+    monkeypatch.setattr(ann, "LEAF_SAMPLE", 20)
+    monkeypatch.setattr(ann, "MAX_LEAVES", 90)
+    x = np.random.default_rng(2).normal(size=(3000, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build(df, F.col("vec_id") % 100 == 0, 5, sample=100)
+    assert index.tree.leaves <= 2 * 90 and index.held.max() > 50 and ann.search(index, 5).count() == 150
+
+
 @pytest.mark.parametrize("cell_rows", [4096, 40])
 def test_copies_of_a_vector_take_one_place(spark, monkeypatch, cell_rows):
     monkeypatch.setattr(ann, "CELL_ROWS", cell_rows)
