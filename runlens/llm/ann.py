@@ -168,7 +168,7 @@ def widened(place: np.ndarray, leaves: int, recall: float = RECALL) -> int:
     """Leaf visits, widened until the wanted part of the neighbours, given by the visit that finds each, is found."""
     visits = 1
     while visits < leaves and (place < visits).mean() < recall:
-        visits += max(1, visits // 4)
+        visits += max(1, visits // 16)
     return min(visits, leaves)
 
 

@@ -16,7 +16,9 @@ the offsets stay available for decoding and for token spans.
 
 Texts: null is encoded as the empty text, an empty text has no tokens.  Any
 length works: a long text is scanned in the same array passes and a long slice
-is merged with a heap in O(n log n).  Repeated rows are encoded row by row.
+is merged with a heap in O(n log n).  Repeated rows are encoded row by row (ties
+of ranks go to the leftmost pair); an empty table gives no rows; only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

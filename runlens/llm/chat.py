@@ -27,7 +27,8 @@ conversation is held whole.
 
 Defined cases: null text and null role are empty; turns are ordered by turn (null first), ties by
 role and text; rows that repeat are turns like any other; rows with null conv_id form one
-conversation; an empty table gives no rows.
+conversation; an empty table gives no rows; only conv_id, turn, role and text are read, so other
+columns may have any name (a template of another shape sees no further column either).
 """
 
 from __future__ import annotations

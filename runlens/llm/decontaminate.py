@@ -15,7 +15,10 @@ least one word is a single window.
 Defined cases: null and empty texts have no words; items without words or
 without id have no windows; an item_id that repeats has the windows of all its
 rows; documents that repeat are searched row by row; an empty benchmark hits
-nothing.  A document longer than a shard is indexed in overlapping pieces.  The
+nothing and an empty corpus gives no rows.  ``contamination`` reads doc_id and text
+only; ``remove_passages`` keeps all columns, whatever they are called, and changes
+text and n_chars alone.  Spans that touch or overlap are one.  A document longer
+than a shard is indexed in overlapping pieces.  The
 benchmark is a stated query set: it is searched in blocks of bounded size, one
 pass over the corpus per block.
 """

@@ -12,7 +12,10 @@ window costs five gathers instead of a matrix product per position.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 without any labelled text everything is ``und``; rows that repeat are predicted
-row by row; other columns are never read by the prediction.
+row by row; other columns are never read by the prediction, and
+``keep_identified`` hands them on, whatever they are called; languages of equal
+probability go to the first by name; an empty table gives no model and no rows;
+a text of any length is predicted from all its windows.
 """
 
 from __future__ import annotations

@@ -26,7 +26,10 @@ by the number of bands.  Sets are compared as 64-bit shingle hashes.
 Defined cases: null, empty and blank texts have an empty set and no link; a
 text with fewer words than a shingle is one shingle; rows that repeat a doc_id
 are one document with the links of all its texts; a row without doc_id takes no
-part (component null, kept).
+part (component null, kept); an empty table gives no rows.  Only doc_id and text
+are read; ``keep_one`` hands on all columns, whatever they are called.  The
+smallest doc_id names a component, so ties inside it change nothing; a text of
+any length is compared by its whole set.
 """
 
 from __future__ import annotations

@@ -22,7 +22,9 @@ are summed before each exchange.
 
 Defined cases: null is the empty text and has no spans; rows that repeat are
 searched row by row; a copy adds no weight to the graph (its edges are
-distinct); offsets are code points, the end exclusive.
+distinct); offsets are code points, the end exclusive; a text of any length is
+searched in time linear in it; an empty table gives no rows.  Only doc_id and
+text are read; ``redacted`` hands on all columns, whatever they are called.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ retried and speculative tasks harmless on any store.
 Defined cases: a null text is an empty text and still gets the end id, an empty
 table gives no shard, a null doc_id sorts first, repeated doc_ids are ordered
 by length and ids, and a document longer than a shard makes a shard of its own.
+Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

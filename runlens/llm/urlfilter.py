@@ -14,7 +14,8 @@ Defined cases: a null or unparsable URL has no host and is not blocked; a captur
 without a day is not blocked; listings without entry or day are ignored; an
 entry both added and removed on one day is on the list from that day; repeated
 listings count once; repeated captures are judged row by row; hosts and entries
-are compared in lower case, without a final dot.
+are compared in lower case, without a final dot; an empty list blocks nothing and
+no captures give no rows; URLs may have any length; other columns are not read.
 """
 
 from __future__ import annotations

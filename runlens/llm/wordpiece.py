@@ -10,7 +10,8 @@ number of popped pieces is stored, lengths come without building any piece.
 Words are the maximal runs without blanks (``[^\\x20\\x09-\\x0D]+``).  A word that
 greedy matching cannot cover is one unknown token.  Null and empty texts have
 no words and no tokens; a word of any length is walked once; rows that repeat
-are counted row by row.
+are counted row by row; an empty table gives no rows; only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
