@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
@@ -113,3 +113,42 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], val
     table = spark.createDataFrame(list(starts.items()), "_rng int, _start long")
     out = summed.join(F.broadcast(table), "_rng")                 # one row per range
     return out.select(*df.columns, (F.col("_sum") + F.when(F.col("_first"), F.col("_start")).otherwise(0)).alias(out_col))
+
+
+def ranged_sum(df: DataFrame, group_cols: list[str], order_cols: list[str], value_col: str, out_col: str,
+               inclusive: bool = False, n_ranges: int | None = None) -> DataFrame:
+    """``running_sum`` without Python workers, for wide rows that are read once afterwards.
+
+    The rows move once into ranges of (group, order) and are stored in a table bucketed by their range's
+    number, a file per range.  A window inside (range, group) over that table needs no second exchange, and
+    neither does the summary that tells how much of a range's first group stands before it (a row per
+    range, MAX_RANGES at most; no column but groups and value is read for it).  The table is kept in the
+    shared folder under a name of its own in the session's catalog.  NULLs, repeated keys and long texts
+    as in ``running_sum``.  Runs jobs at the time of the call; the window is computed when the result is read.
+    """
+    import uuid
+
+    from runlens.session import checkpoint_dir
+    spark, ordered, n = df.sparkSession, [*group_cols, *order_cols], ranges_for(df, n_ranges)
+    name = f"runlens_ranges_{uuid.uuid4().hex}"
+    (df.repartitionByRange(n, *range_keys(df, ordered)).withColumn("_rng", F.spark_partition_id())
+     .write.bucketBy(n, "_rng").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name))
+    stored = spark.table(name)
+    value = F.coalesce(F.col(value_col).cast("bigint"), F.lit(0))
+    key = F.struct(*group_cols)
+    summary = (stored.groupBy("_rng", *group_cols).agg(F.sum(value).alias("total"))
+               .groupBy("_rng").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max_by("total", key).alias("total"),
+                                    (F.count("*") == 1).alias("single")).orderBy("_rng"))
+    starts, group, carried = [], None, 0
+    for r in summary.collect():
+        start = carried if group == tuple(r["first"]) else 0
+        if start:
+            starts.append((r["_rng"], r["first"], start))
+        group, carried = tuple(r["last"]), r["total"] + (start if r["single"] else 0)
+    schema = StructType([StructField("_of", IntegerType()), StructField("_first", StructType([df.schema[c] for c in group_cols])),
+                         StructField("_start", LongType())])
+    table = spark.createDataFrame(starts, schema)                   # one row per range at most
+    own = Window.partitionBy("_rng", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    summed = stored.withColumn("_sum", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    out = summed.join(F.broadcast(table), (F.col("_rng") == F.col("_of")) & key.eqNullSafe(F.col("_first")), "left")
+    return out.select(*df.columns, (F.col("_sum") + F.coalesce("_start", F.lit(0))).alias(out_col))

@@ -56,13 +56,14 @@ def corpus_layout(pieces: DataFrame, repo_col: str = "repo", path_col: str = "pa
     """A7 layout: each piece's start ``offset`` in its repository's packed corpus.
 
     The offset is the running sum of the preceding pieces' lengths (+1 for the
-    joining '\\n') in path order, computed by ``running_sum``: the pieces move
+    joining '\\n') in path order, computed by ``ranged_sum``: the pieces move
     once, into ranges, so a repository holding a third of all files is spread
-    over many tasks instead of one window partition.
+    over many tasks instead of one window partition, and no text passes through
+    Python workers.
     """
-    from runlens.operators._plan import running_sum
+    from runlens.operators._plan import ranged_sum
     sized = pieces.withColumn("_len", F.length("piece").cast("bigint") + 1)
-    out = running_sum(sized, [repo_col], [path_col], "_len", "offset", n_ranges=n_ranges)
+    out = ranged_sum(sized, [repo_col], [path_col], "_len", "offset", n_ranges=n_ranges)
     return out.select(repo_col, path_col, "offset", F.length("piece").cast("bigint").alias("piece_chars"), "piece")
 
 

@@ -66,8 +66,10 @@ def test_running_sum_ranges_by_short_keys(spark, monkeypatch):
     assert "rangepartitioning(substring" in p or "_w0" in p or "rangepartitioning(_" in p, p
 
 
-def test_running_sum_keeps_null_and_repeated_keys(spark):
-    from runlens.operators._plan import running_sum
+@pytest.mark.parametrize("form", ["running_sum", "ranged_sum"])
+def test_running_sum_keeps_null_and_repeated_keys(spark, form):
+    from runlens.operators import _plan
+    running_sum = getattr(_plan, form)
     rows = [(None, 1, 5), (None, None, 7), ("a", 1, 2), ("a", 1, 2), ("a", 2, None), ("b", 1, 9)] + [("c", i, 1) for i in range(500)]
     df = spark.createDataFrame(rows, "g string, o int, v long").repartition(3)
     got = sorted(((r.g, r.o, r.v, r.s) for r in running_sum(df, ["g"], ["o"], "v", "s", inclusive=True, n_ranges=7).collect()), key=repr)
@@ -75,6 +77,19 @@ def test_running_sum_keeps_null_and_repeated_keys(spark):
     assert got == sorted(want + [("c", i, 1, i + 1) for i in range(500)], key=repr)
 
 
+def test_ranged_sum_needs_no_second_exchange(spark):
+    """The window and its summary read the stored ranges bucket by bucket, without Python; groups over many ranges add up."""
+    from runlens.operators._plan import ranged_sum
+    rows = [("hot", i, i % 5) for i in range(900)] + [("a", 1, 3), ("z", 1, 4), ("z", 2, 5)]
+    df = spark.createDataFrame(rows, "g string, o int, v long").repartition(5)
+    out = ranged_sum(df, ["g"], ["o"], "v", "s", n_ranges=9)
+    p = plan(out)
+    assert "Window" in p and "hashpartitioning" not in p and "rangepartitioning" not in p and not any(n in p for n in PY_NODES), p
+    want = {("a", 1): 0, ("z", 1): 0, ("z", 2): 4} | {("hot", i): sum(j % 5 for j in range(i)) for i in range(900)}
+    assert {(r.g, r.o): r.s for r in out.collect()} == want
+    assert ranged_sum(df.where("false"), ["g"], ["o"], "v", "s").count() == 0
+
+
 def test_agent_log_lines_move_once(spark):
     """The logs are read and ranged once; the plan over the numbered lines has one group per step and the header join."""
     from runlens.operators import agentlog
