@@ -136,15 +136,22 @@ def q_corpus_tree(spark, sf_dir):
     i, text, bad = F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FF"))
     content = F.when(i % 38 == 0, F.concat(text, bad)).when(i % 38 == 19, F.concat(bad, text)).otherwise(text)
     rel = F.format_string("r%d/src/d%d.py", F.expr("doc_id div 16 % 50"), i)
-    root = B.files_written(B.table(spark, sf_dir, "documents").select(rel.alias("rel"), content.alias("content")), "corpus")
-    pieces = CO.corpus_tree_layout(spark, root, shown_root="/repos", split_bytes=16 << 10)
-    files = pieces.groupBy("repo", "path").agg(
-        F.array_sort(F.collect_list(F.struct("start", "offset", "piece_chars", "piece"))).alias("p"))
+    # Dealt out by doc_id from the table itself: the files are the only copy of the texts.
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
+    root = B.files_written(docs.select(rel.alias("rel"), content.alias("content")), "corpus")
+    split = 16 << 10
+    pieces = CO.corpus_tree_layout(spark, root, shown_root="/repos", split_bytes=split)
+    # A piece shorter than a split is a whole file and gives its digest at once; only the others are brought together.
+    whole = (F.col("start") == 0) & (F.octet_length("piece") < split)
+    told = pieces.select("repo", "path", "start", "offset", "piece_chars", F.when(whole, F.md5("piece")).alias("md5"),
+                         F.when(~whole, F.col("piece")).alias("piece"))
+    files = told.groupBy("repo", "path").agg(
+        F.array_sort(F.collect_list(F.struct("start", "offset", "piece_chars", "md5", "piece"))).alias("p"))
     before = F.aggregate("p", F.struct(F.lit(0).cast("bigint").alias("chars"), F.col("p")[0]["offset"].alias("at")),
                          lambda acc, x: F.struct((acc["chars"] + x["piece_chars"]).alias("chars"),
                                                  F.when(x["offset"] - acc["chars"] == acc["at"], acc["at"]).alias("at")))
     return files.select("repo", "path", before["at"].alias("offset"), before["chars"].alias("file_chars"),
-                        F.md5(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("file_md5"))
+                        F.coalesce(F.col("p")[0]["md5"], F.md5(F.array_join(F.transform("p", lambda x: x["piece"]), ""))).alias("file_md5"))
 
 
 @register("corpus_summary", oracle=f"""
