@@ -136,8 +136,8 @@ def q_corpus_tree(spark, sf_dir):
     i, text, bad = F.col("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FF"))
     content = F.when(i % 38 == 0, F.concat(text, bad)).when(i % 38 == 19, F.concat(bad, text)).otherwise(text)
     rel = F.format_string("r%d/src/d%d.py", F.expr("doc_id div 16 % 50"), i)
-    # Dealt out by doc_id from the table itself: the files are the only copy of the texts.
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition("doc_id")
+    # Written by the tasks that read the table: the files are the only copy of the texts.
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = B.files_written(docs.select(rel.alias("rel"), content.alias("content")), "corpus")
     split = 16 << 10
     pieces = CO.corpus_tree_layout(spark, root, shown_root="/repos", split_bytes=split)
