@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the
 last return the columns of ``documents``.  ``run`` writes every stage's result to the shared
 checkpoint folder and reads it back for the next one.
+
+Defined cases: a null or empty text has no letters and goes in the first stage; a stage given such a text hands it
+on; texts of any length are taken whole; rows that repeat a doc_id are one document to the second stage and rows
+of their own to the others; rows without doc_id are no one's duplicates; further columns are handed on, whatever
+they are called, by all stages but the last; an empty table gives an empty result of every stage.
 """
 
 from __future__ import annotations
