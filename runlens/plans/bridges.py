@@ -18,20 +18,29 @@ _TABLES: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, copied once per application into one file per task slot.
+    """A driver table as it is stored, or, if its tasks would be uneven, copied once per application into a file per task slot.
 
-    A driver table is a single Parquet row group, which only one task can read.  The copy in the shared
+    A small driver table is a single Parquet row group, which only one task can read.  The copy in the shared
     checkpoint folder has a row group per slot, so the bridges' row-local work spreads without a shuffle
-    in any query.  The first use of a table runs this copy.
+    in any query.  A larger table has row groups for all slots and is never copied: a query reads the
+    columns it needs from where they are.  The first use of a table counts its tasks' rows and may run this copy.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
         slots = spark.sparkContext.defaultParallelism
-        _TABLES[key] = materialize(spark.read.parquet(path).repartition(slots), f"table-{name}")
+        stored = spark.read.parquet(path)
+        _TABLES[key] = stored if _even(stored, slots) else materialize(stored.repartition(slots), f"table-{name}")
     return _TABLES[key]
 
 
+def _even(stored: DataFrame, slots: int) -> bool:
+    """Has no task more than twice a slot's share of the rows?  Reads the row counts of the files, no column."""
+    tasks = stored.groupBy(F.spark_partition_id().alias("task")).count()
+    rows = tasks.agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    return (rows["most"] or 0) * slots <= 2 * (rows["all"] or 0)
+
+
 def _s(c) -> F.Column:
     return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
 

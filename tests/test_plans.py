@@ -145,3 +145,38 @@ def test_window_of_experiments_opens_only_their_dates(spark):
     p = plan(df)
     assert "dynamicpruning" in p.lower() and "run_date" in p, p
     assert df.count() > 0
+
+
+def test_tables_with_row_groups_for_all_slots_are_read_in_place(spark, tmp_path):
+    """Only a table that a few tasks would read is copied (and then without loss)."""
+    from runlens.plans import bridges as B
+    slots = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"))
+    rows.repartition(4 * slots).write.parquet(f"{tmp_path}/many/orders.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one/orders.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        many, one = (B.table(spark, f"{tmp_path}/{d}", "orders") for d in ("many", "one"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(f"{tmp_path}/many/" in f for f in many.inputFiles())
+    assert not any(str(tmp_path) in f for f in one.inputFiles()) or slots <= 2
+    assert sorted(many.collect()) == sorted(one.collect()) == sorted(rows.collect())
+    rows.where("false").write.parquet(f"{tmp_path}/none/orders.parquet")
+    assert B.table(spark, f"{tmp_path}/none", "orders").count() == 0
+
+
+def test_written_guard_is_computed_once(spark, monkeypatch):
+    """The summary is counted from written rows, and the resumed guard does not parse the reports again."""
+    from runlens.sources import files as S
+    seen, write = [], S.write_guard_report
+    monkeypatch.setattr(S, "write_guard_report", lambda rows, summary, out: (seen.extend([plan(rows), plan(summary)]), write(rows, summary, out)))
+    E.queries()["guard_written"](spark, SF_SMALL)
+    seen.append(plan(E.queries()["guard_resume"](spark, SF_SMALL)))
+    assert len(seen) == 5 and not any(n in p for p in seen for n in PY_NODES)
+
+
+def test_patch_names_and_texts_are_made_once(spark):
+    """The generator's file names stand in a projection of their own."""
+    p = E.queries()["filtered_patch"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("src/main/java/A") == 1
