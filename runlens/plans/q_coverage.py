@@ -47,8 +47,8 @@ def b4_reports(spark, sf_dir):
     path = F.concat(F.lit("r_"), s(k), F.lit("/m"), s(ln), F.lit("_"), s(pk), site)
     base = li.select(k.alias("run_id"), path.alias("path"), ((k + ln) % 17 == 0).alias("_cut"), ((k + ln) % 31 == 0).alias("_bad"),
                      _xml_expr(k, ln, q, pk, sk, doctype, counter).alias("_x"))
-    raw = F.encode(xml, "UTF-8")
-    broken = F.concat(F.encode(F.substring(F.col("_x"), 1, 60), "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.expr("substring(_x, 61)"), "UTF-8"))
+    raw = xml.cast("binary")
+    broken = F.concat(F.substring(F.col("_x"), 1, 60).cast("binary"), F.unhex(F.lit("FF")), F.expr("substring(_x, 61)").cast("binary"))
     return base.select("run_id", "path", F.when(F.col("_bad"), broken).otherwise(raw).alias("xml"))
 
 
@@ -246,7 +246,10 @@ def _report_folder(spark) -> str:
 
 
 def _write(rows, out: str) -> None:
+    """The rows are computed once: the summary is counted from what was written of them."""
+    from runlens.session import materialize
     from runlens.sources import files as S
+    rows = materialize(rows, "guard-report")
     S.write_guard_report(rows, C.guard_summary(rows), out)
 
 
@@ -259,8 +262,11 @@ def q_guard_resume(spark, sf_dir):
 
     Writes at the time of the call.
     """
+    from runlens.session import materialize
     from runlens.sources import files as S
     candidates, stored, after, pre_cov = guard_inputs(spark, sf_dir)
+    # Both guards read these: logs and reports are parsed once.
+    candidates, after = materialize(candidates, "guard-candidates"), materialize(after, "guard-after")
     out = _report_folder(spark)
     _write(C.guard_rows(candidates, stored, after, pre_cov, pre_order="nth"), out)
     again = C.guard_rows(candidates, S.read_stored_results(spark, f"{out}/repo_results"), after, pre_cov, pre_order="nth")
