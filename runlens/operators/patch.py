@@ -82,7 +82,10 @@ def _path(section: Column) -> Column:
         return let(found, _unquoted)
 
     # A carriage return in front of a line end belongs to the line end (git quotes one that is part of a name).
-    return let(F.regexp_replace(F.substring_index(section, "\n@@", 1), "\r(\n|\\z)", "$1"), named)
+    def ended(head: Column) -> Column:
+        return F.when(head.contains("\r"), F.regexp_replace(head, "\r(\n|\\z)", "$1")).otherwise(head)
+
+    return let(F.substring_index(section, "\n@@", 1), lambda head: let(ended(head), named))
 
 
 def changed_files(patches: DataFrame, diff_col: str = "diff") -> DataFrame:

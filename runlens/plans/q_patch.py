@@ -47,10 +47,14 @@ def _section(f, k, ln):
 def b6_patches(spark, sf_dir):
     li = B.table(spark, sf_dir, "lineitem")
     k, ln, pk, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    body = F.concat(*[_section(f, k, ln) for f in _files(pk, sk)])
+    # A projection each for the names and the text, which are named several times and made once.
+    ids = ("l_orderkey", "l_linenumber", "l_partkey")
+    named = li.select(*ids, *[f.alias(f"_f{i}") for i, f in enumerate(_files(pk, sk))])
+    texts = named.select(*ids, F.concat(*[_section(F.col(f"_f{i}"), k, ln) for i in range(3)]).alias("_body"))
+    body = F.col("_body")
     diff = (F.when((k + ln) % 9 == 0, F.lit("")).when((k + ln) % 9 == 4, F.replace(body, F.lit("\n"), F.lit("\r\n")))
             .otherwise(body))
-    return li.select(k.alias("run_id"), ln.alias("line_no"), pk.alias("part_id"), diff.alias("diff"))
+    return texts.select(k.alias("run_id"), ln.alias("line_no"), pk.alias("part_id"), diff.alias("diff"))
 
 
 _P_SQL = """SELECT l_orderkey AS k, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk FROM lineitem
