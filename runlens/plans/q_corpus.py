@@ -44,6 +44,7 @@ def _files_written(spark, sf_dir):
     def write(batches):
         import pyarrow as pa
         system, base = open_root(root)
+        made = set()
         for batch in batches:
             folders = set()
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -53,7 +54,9 @@ def _files_written(spark, sf_dir):
                     folders.add(n)
                 for rel, data in files:
                     folder, _, name = f"{base}/r{n % 50}/{rel}".rpartition("/")
-                    system.create_dir(folder, recursive=True)
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
                     with system.open_output_stream(f"{folder}/{name}") as f:
                         f.write(data.encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], type=pa.int64())], names=["files"])
