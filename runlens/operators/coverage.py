@@ -50,8 +50,9 @@ def report_counters(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
     screened = reports.withColumn("_regular", X.regular_report(xml_col))
     counted = screened.select(*others, "_regular", F.when(F.col("_regular"), X.regular_counters(xml_col)).alias("_sums"),
                               F.when(~F.col("_regular"), F.col(xml_col)).alias("_doubtful"))
-    # The report text is dropped before the one-row generator, so it is not copied again.
-    staged = evaluate_once(counted.withColumn("_c", X.coverage_counters("_doubtful")).drop("_doubtful"))
+    # Regular reports are counted, and their texts dropped, before rows wait for the Python workers.
+    asked = X.coverage_counters(F.when(~F.col("_regular"), F.col("_doubtful")))
+    staged = evaluate_once(evaluate_once(counted).withColumn("_c", asked).drop("_doubtful"))
     names = ("line_missed", "line_covered", "method_missed", "method_covered")
     valid = F.col("_regular") | F.coalesce(F.col("_c.message") == X.WELL_FORMED_MSG, F.lit(False))
     return staged.select(*others, valid.alias("valid"), *[F.coalesce(f"_sums.{f}", f"_c.{f}").alias(f) for f in names])

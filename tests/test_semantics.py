@@ -332,3 +332,20 @@ def test_only_doubtful_reports_reach_the_parser(spark):
     plan = C.report_counters(df)._jdf.queryExecution().executedPlan().toString()
     asked = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
     assert "CASE WHEN NOT _regular" in asked and plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_report_texts_are_counted_before_rows_wait_for_python(spark):
+    """No report text is kept beside the rows that wait for the Python workers: the counters are read below them."""
+    df = spark.createDataFrame([(1, bytearray(b"<report/>"))], "run_id long, xml binary")
+    plan = C.report_counters(df)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("ArrowEvalPython")
+    assert below and "regexp_extract_all" in below and "regexp_extract_all" not in above
+
+
+def test_attribute_values_of_regular_reports(spark):
+    """Every character but markup, controls and the two non-characters may stand in a value, as if the class were negated."""
+    from runlens.functions import xml as X
+    codes = [*range(0, 0x300), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), *range(0xFFF0, 0x10010), 0x1F600, 0x10FFFF]
+    rows = spark.createDataFrame([(c, f'<report name="a{chr(c)}&amp;{chr(c)}"/>') for c in codes], "code int, xml string")
+    bad = {r.code for r in rows.where(~X.regular_report("xml")).collect()}
+    assert bad == {*range(0x20), ord('"'), ord("<"), ord("&"), 0xFFFE, 0xFFFF}
