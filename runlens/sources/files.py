@@ -9,7 +9,9 @@ executors; nothing goes through the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,22 @@ def _as_long(v):
         return None
 
 
+#: Times as manifests usually have them; the parser for all others takes longer than the item's YAML.
+_ISO_TIME = re.compile(r"(1[7-9]|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}[T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([+-](0[0-9]|1[0-4]):[0-5][0-9])?")
+
+
+def _as_time(v):
+    """A time in UTC: ``pd.to_datetime`` of a value, where the usual forms need no guess of their format."""
+    try:
+        if type(v) is str and _ISO_TIME.fullmatch(v):
+            v = datetime.fromisoformat(v)
+        if type(v) is datetime and 1700 <= v.year < 2200:
+            return pd.Timestamp(v.replace(tzinfo=timezone.utc) if v.tzinfo is None else v.astimezone(timezone.utc))
+    except ValueError:
+        pass                                # no such day: the message is that of the general parser
+    return pd.to_datetime(v, utc=True)
+
+
 def _item_fields(it: dict) -> dict:
     """The typed fields of one manifest item."""
     feats, tc, cd = it.get("repo_features") or None, it.get("test_count") or None, it.get("commit_date")
@@ -63,7 +81,7 @@ def _item_fields(it: dict) -> dict:
             "license": it.get("license"),
             "repo_features": None if feats is None else {k: _as_long(feats.get(k)) for k in _FEATURES.names},
             "test_count": None if tc is None else {k: _as_long(tc.get(k)) for k in _TEST_COUNT.names},
-            "commit_date": None if cd is None else pd.to_datetime(cd, utc=True)}
+            "commit_date": None if cd is None else _as_time(cd)}
 
 
 def _manifest_rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

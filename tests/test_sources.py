@@ -445,3 +445,23 @@ def test_corpus_of_split_files_equals_whole_files(spark, split_bytes):
     assert {r.path for r in got} == {f"/w/{rel}" for rel in texts}
     empty = tempfile.mkdtemp(prefix="runlens-splits-")
     assert CO.corpus_tree_layout(spark, empty).count() == 0
+
+
+def test_usual_times_of_manifests_need_no_guess(monkeypatch):
+    import pandas as pd
+    from datetime import datetime, timedelta, timezone
+    usual = ["2023-11-15T00:13:20+02:00", "2024-02-29 12:00:00", "1969-12-31T23:59:59-14:59", datetime(2023, 1, 2, 3),
+             datetime(2023, 1, 2, 3, 4, 5, 678901, tzinfo=timezone(timedelta(hours=-5)))]
+    general = pd.to_datetime
+    for odd in ("2024-02-29T12:00:00Z", "2023-11-15", "15 Nov 2023", 5):
+        assert S._as_time(odd) == general(odd, utc=True)
+    for wrong in ("2023-02-30T00:00:00", "2023-11-15T24:00:00", "soon", datetime(1500, 1, 1)):
+        with pytest.raises(ValueError) as said:
+            general(wrong, utc=True)
+        with pytest.raises(ValueError) as again:
+            S._as_time(wrong)
+        assert str(again.value) == str(said.value)
+    monkeypatch.setattr(pd, "to_datetime", None)
+    got = [S._as_time(v) for v in usual]
+    monkeypatch.undo()
+    assert got == [general(v, utc=True) for v in usual]
