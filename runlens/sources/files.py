@@ -179,6 +179,38 @@ def _parse_results(texts: pd.Series) -> pd.DataFrame:
 
 
 ARTIFACT_COLUMNS = ("result_yaml", "build_log", "stdout_log", "diff_patch")
+# Folders, and bytes of their files, that a task hands on at a time.
+ARTIFACT_BATCH_ROWS = 1000
+ARTIFACT_BATCH_BYTES = 8 << 20
+
+
+def _artifact_batch(rows: list[tuple]):
+    import pyarrow as pa
+    types = (pa.string(), pa.string(), *[pa.binary()] * len(ARTIFACT_COLUMNS))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)],
+                                      names=["experiment", "repo_dir", *ARTIFACT_COLUMNS])
+
+
+def _read_artifacts(batches, roots: list[str]):
+    """Record batches of folders (root, repo_dir) with the bytes of their files, many folders to a batch."""
+    opened = {root: open_root(root) for root in roots}
+    rows, held = [], 0
+    for batch in batches:
+        for root, repo in zip(batch.column("root").to_pylist(), batch.column("repo_dir").to_pylist()):
+            system, base = opened[root]
+            found = []
+            for name in ARTIFACTS:
+                try:
+                    with system.open_input_stream(f"{base}/{repo}/{name}") as f:
+                        found.append(f.readall())
+                except FileNotFoundError:
+                    found.append(None)
+            rows.append((root.rpartition("/")[0], repo, *found))
+            held += sum(len(x) for x in found if x is not None)
+            if held >= ARTIFACT_BATCH_BYTES or len(rows) >= ARTIFACT_BATCH_ROWS:
+                yield _artifact_batch(rows)
+                rows, held = [], 0
+    yield _artifact_batch(rows)
 
 
 def scan_run_artifacts(spark: SparkSession, job_results_dir: str | list[str], compat: bool = False) -> DataFrame:
@@ -188,25 +220,11 @@ def scan_run_artifacts(spark: SparkSession, job_results_dir: str | list[str], co
     so the bytes reach their row without a shuffle.  A root that does not exist is an error.
     """
     ship_package(spark)
-    roots = [job_results_dir] if isinstance(job_results_dir, str) else list(job_results_dir)
+    roots = [r.rstrip("/") for r in ([job_results_dir] if isinstance(job_results_dir, str) else job_results_dir)]
     todo = child_folders(spark, roots).withColumnRenamed("name", "repo_dir")
 
     def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            for root, repo in zip(batch.column("root").to_pylist(), batch.column("repo_dir").to_pylist()):
-                system, base = open_root(root)
-                found = []
-                for name in ARTIFACTS:
-                    try:
-                        with system.open_input_stream(f"{base}/{repo}/{name}") as f:
-                            found.append(f.readall())
-                    except FileNotFoundError:
-                        found.append(None)
-                experiment = root.rstrip("/").rpartition("/")[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([experiment], type=pa.string()), pa.array([repo], type=pa.string()),
-                     *(pa.array([x], type=pa.binary()) for x in found)], names=["experiment", "repo_dir", *ARTIFACT_COLUMNS])
+        return _read_artifacts(batches, roots)
 
     wide = todo.mapInArrow(
         run, "experiment string, repo_dir string, " + ", ".join(f"{c} binary" for c in ARTIFACT_COLUMNS))

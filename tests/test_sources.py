@@ -465,3 +465,18 @@ def test_usual_times_of_manifests_need_no_guess(monkeypatch):
     got = [S._as_time(v) for v in usual]
     monkeypatch.undo()
     assert got == [general(v, utc=True) for v in usual]
+
+
+def test_artifact_folders_are_handed_on_in_batches(tmp_path):
+    import pyarrow as pa
+    root = str(tmp_path / "exp" / "job_results")
+    for i in range(S.ARTIFACT_BATCH_ROWS // 2):
+        (tmp_path / "exp" / "job_results" / f"a_{i}").mkdir(parents=True)
+    (tmp_path / "exp" / "job_results" / "a_1" / "build.log").write_bytes(b"log")
+    names = [f"a_{i}" for i in range(S.ARTIFACT_BATCH_ROWS // 2)] * 3
+    given = pa.RecordBatch.from_arrays([pa.array([root] * len(names)), pa.array(names)], names=["root", "repo_dir"])
+    got = list(S._read_artifacts(iter([given]), [root]))
+    assert [b.num_rows for b in got] == [S.ARTIFACT_BATCH_ROWS, S.ARTIFACT_BATCH_ROWS // 2]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["repo_dir"] for r in rows] == names and {r["experiment"] for r in rows} == {str(tmp_path / "exp")}
+    assert [r["build_log"] for r in rows[:2]] == [None, b"log"] and {r["result_yaml"] for r in rows} == {None}
