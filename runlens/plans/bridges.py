@@ -129,7 +129,8 @@ def files_written(files, name: str) -> str:
         system, base = open_root(root)
         made = set()
         for batch in batches:
-            for rel, content in zip(batch.column("rel").to_pylist(), batch.column("content").to_pylist()):
+            # One content at a time: no second copy of a batch stands beside it.
+            for rel, content in zip(batch.column("rel").to_pylist(), (c.as_buffer() for c in batch.column("content"))):
                 folder = f"{base}/{rel}".rpartition("/")[0]
                 if folder not in made:
                     system.create_dir(folder, recursive=True)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from runlens.session import materialize, ship_package
 
 BATCH_BYTES = 32 << 20
+TEXT_BATCH_BYTES = 4 << 20  # bytes of files whose decoded texts a task holds; a character may take four bytes then
 SPLIT_BYTES = 64 << 20
 TASK_ENTRIES = 10_000       # entries of folders that a task lists before it leaves the rest to the next round
 LISTING_ROWS = 4096         # rows of a listing in an Arrow batch
@@ -113,6 +114,9 @@ def list_tree(spark: SparkSession, root: str, pattern: str = "**") -> DataFrame:
                             queue.append(rel)
                     elif wanted.is_file(rel):
                         out.append((rel, i.size or 0, False))
+                    if len(out) >= LISTING_ROWS:        # a folder may hold any number of files
+                        yield _listing(out)
+                        out = []
             if len(out) >= LISTING_ROWS:
                 yield _listing(out)
                 out = []
@@ -194,26 +198,31 @@ def _characters(f, start: int, split_bytes: int) -> bytes:
     return raw[behind(0) if start else 0:behind(split_bytes)]
 
 
+def _split_batches(batches: Iterator[pa.RecordBatch], root: str, split_bytes: int, name: str, value: pa.DataType, of) -> Iterator[pa.RecordBatch]:
+    """The rows of splits with a column more, handed on after every ``TEXT_BATCH_BYTES`` that were read for it."""
+    system, base = open_root(root)
+    for batch in batches:
+        first, found, held = 0, [], 0
+        for i, (rel, start) in enumerate(zip(batch.column("rel").to_pylist(), batch.column("start").to_pylist())):
+            with system.open_input_file(f"{base}/{rel}") as f:
+                data = _characters(f, start, split_bytes)
+            try:
+                found.append(of(data.decode("utf-8")))
+            except UnicodeDecodeError:
+                found.append(None)
+            held += len(data)
+            if held >= TEXT_BATCH_BYTES or i + 1 == batch.num_rows:
+                part = batch.slice(first, len(found))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, type=value)], names=[*batch.schema.names, name])
+                first, found, held = i + 1, [], 0
+
+
 def _with_splits(splits: DataFrame, root: str, split_bytes: int, field: str, value: pa.DataType, of) -> DataFrame:
     if split_bytes < 4:
         raise ValueError("a split must hold a character")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = open_root(root)
-        for batch in batches:
-            first, found, held = 0, [], 0
-            for i, (rel, start) in enumerate(zip(batch.column("rel").to_pylist(), batch.column("start").to_pylist())):
-                with system.open_input_file(f"{base}/{rel}") as f:
-                    data = _characters(f, start, split_bytes)
-                try:
-                    found.append(of(data.decode("utf-8")))
-                except UnicodeDecodeError:
-                    found.append(None)
-                held += len(data)
-                if held >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    part = batch.slice(first, len(found))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, type=value)], names=[*batch.schema.names, field.split()[0]])
-                    first, found, held = i + 1, [], 0
+        return _split_batches(batches, root, split_bytes, field.split()[0], value, of)
 
     ship_package(splits.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in splits.schema.fields)

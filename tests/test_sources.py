@@ -480,3 +480,15 @@ def test_artifact_folders_are_handed_on_in_batches(tmp_path):
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["repo_dir"] for r in rows] == names and {r["experiment"] for r in rows} == {str(tmp_path / "exp")}
     assert [r["build_log"] for r in rows[:2]] == [None, b"log"] and {r["result_yaml"] for r in rows} == {None}
+
+
+def test_texts_of_splits_are_handed_on_in_small_batches(tmp_path):
+    """A task holds a few megabytes of decoded texts, however many splits it is given."""
+    import pyarrow as pa
+    text = "é" * (1 << 19)
+    for i in range(16):
+        (tmp_path / f"f{i}").write_text(text, encoding="utf-8")
+    given = pa.RecordBatch.from_arrays([pa.array([f"f{i}" for i in range(16)]), pa.array([0] * 16, type=pa.int64())], names=["rel", "start"])
+    got = list(T._split_batches(iter([given]), str(tmp_path), 2 << 20, "text", pa.string(), str))
+    assert max(b.num_rows for b in got) << 20 <= T.TEXT_BATCH_BYTES
+    assert [(r["rel"], r["text"] == text) for b in got for r in b.to_pylist()] == [(f"f{i}", True) for i in range(16)]
